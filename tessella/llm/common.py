@@ -58,7 +58,8 @@ def join_counted(
     bar = max(least, total // groups_at_most)
     values = [c for c in groups.columns if c not in on]
     hot = groups.where(F.col(size) >= bar).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    rest = groups.where(F.col(size) < bar).withColumn("_salt", F.lit(0))
+    # 0 in every row, but not as a literal: the optimizer would take that out of the join keys
+    rest = groups.where(F.col(size) < bar).withColumn("_salt", F.pmod(F.xxhash64(size), F.lit(1)).cast("int"))
     out = left.join(F.broadcast(hot), on, "left").withColumn(
         "_salt", F.when(F.col(f"_hot_{size}").isNull(), 0).otherwise((1 + F.pmod(F.xxhash64(spread), F.lit(1009))).cast("int"))
     )
