@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
