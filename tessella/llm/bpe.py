@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import importable, table, text_or_empty
 
 NEVER = 1 << 60
 CACHED_WORDS = 250_000
@@ -228,6 +228,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True))], [id_col, *(n for n, _ in fields)]
             )
 
+    importable(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, schema + (", ids array<int>, decoded string" if full else ""))
