@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .langid import op6_langid
 from .packing import op1_packing
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_bpe": op3_bpe,
+    "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
