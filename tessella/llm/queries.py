@@ -5,15 +5,20 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .langid import op6_langid
+from .ngram_lm import op2_ngram_lm
 from .packing import op1_packing
+from .topk import OP9_SQL, op9_topk
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_ngram_lm": op2_ngram_lm,
     "op3_bpe": op3_bpe,
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_topk": op9_topk,
 }
 
 SQL = {
     "op7_exact_dedup": OP7_SQL,
+    "op9_topk": OP9_SQL,
 }
