@@ -51,6 +51,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small fixed table, as a literal of the plan."""
+    made = [F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*made)))
+
+
 def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -77,3 +83,39 @@ def join_counted(
     return out.select(
         *[c for c in left.columns], *[F.coalesce(f"_hot_{c}", c).alias(c) for c in values]
     )
+
+
+BUCKET_BITS = 32768  # of Spark's bitmap functions
+MAX_FILTER_BITS = 1 << 27
+
+
+class HashFilter:
+    """A bit set over the hashes of some keys, small enough to broadcast.
+
+    It has about 8 bits a key and never more than MAX_FILTER_BITS (16 MB), however many keys
+    there are. A bit set by chance only lets a row through that a join behind it drops.
+    """
+
+    def __init__(self, keys: DataFrame, columns: list[str]):
+        buckets, n = 1, keys.count()
+        while buckets * BUCKET_BITS < min(8 * n, MAX_FILTER_BITS):
+            buckets *= 2
+        self.bits = buckets * BUCKET_BITS
+        place = self._place(*columns)
+        self.maps = (
+            keys.select(F.floor(place / BUCKET_BITS).cast("int").alias("_bucket"), F.pmod(place, F.lit(BUCKET_BITS)).alias("_place"))
+            .groupBy("_bucket")
+            .agg(F.expr("bitmap_construct_agg(_place)").alias("_bits"))
+        )
+
+    def _place(self, *columns: str | Column) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
+    def mark(self, rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+        """`rows` with a boolean column `name`: false where the key is not among the keys."""
+        place = self._place(*columns)
+        at = F.pmod(place, F.lit(BUCKET_BITS))
+        byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.floor(F.coalesce(byte, F.lit(0)) / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))) % 2 == 1
+        marked = rows.withColumn("_bucket", F.floor(place / BUCKET_BITS).cast("int")).join(F.broadcast(self.maps), "_bucket", "left")
+        return marked.withColumn(name, bit).drop("_bucket", "_bits")

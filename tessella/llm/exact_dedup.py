@@ -5,31 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, table, text_or_empty
+from .common import HashFilter, join_counted, table, text_or_empty
 
 PREFIX_CHARS = 256
-MAX_FILTER_BITS = 1 << 27
-BUCKET_BITS = 32768  # of Spark's bitmap functions
-
-
-def _survivor_filter(survivors: DataFrame) -> tuple[DataFrame, int]:
-    """A bit set over the hashes of the surviving (length, prefix) groups.
-
-    It has about 8 bits a group and never more than MAX_FILTER_BITS (16 MB), so that it may
-    be broadcast; a bit set by chance only means that a text is hashed needlessly.
-    """
-    groups = survivors.count()
-    buckets = 1
-    while buckets * BUCKET_BITS < min(8 * groups, MAX_FILTER_BITS):
-        buckets *= 2
-    bits = buckets * BUCKET_BITS
-    pos = F.pmod(F.xxhash64("_len", "_pre"), F.lit(bits))
-    maps = (
-        survivors.select(F.floor(pos / BUCKET_BITS).cast("int").alias("_bucket"), F.pmod(pos, F.lit(BUCKET_BITS)).alias("_pos"))
-        .groupBy("_bucket")
-        .agg(F.expr("bitmap_construct_agg(_pos)").alias("_bits"))
-    )
-    return maps, bits
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -59,15 +37,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_pre"),
     )
     by_length = rows.groupBy("_len", "_pre").agg(F.count("*").alias("_n"))
-    maps, bits = _survivor_filter(by_length.where("_n > 1"))
-    pos = F.pmod(F.xxhash64("_len", "_pre"), F.lit(bits))
-    at = F.pmod(pos, F.lit(BUCKET_BITS))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hashed = (
-        rows.withColumn("_bucket", F.floor(pos / BUCKET_BITS).cast("int"))
-        .join(F.broadcast(maps), "_bucket", "left")
-        .withColumn("_maybe", F.floor(F.coalesce(byte, F.lit(0)) / F.pow(F.lit(2.0), F.pmod(at, F.lit(8)))) % 2 == 1)
-        .select("_row", "_id", "_len", "_pre", F.when(F.col("_maybe"), F.sha2("_text", 256)).alias("_full"))
+    survivors = HashFilter(by_length.where("_n > 1"), ["_len", "_pre"])
+    hashed = survivors.mark(rows, ["_len", "_pre"], "_maybe").select(
+        "_row", "_id", "_len", "_pre", F.when(F.col("_maybe"), F.sha2("_text", 256)).alias("_full")
     )
     members = hashed.where("_full is not null")
     per_id = members.groupBy("_len", "_pre", "_full", "_id").agg(F.count("*").alias("_rows"))
