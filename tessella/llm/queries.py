@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .jaccard_join import op4_jaccard_join
 from .langid import op6_langid
 from .licenses import OP10_SQL, op10_licenses
 from .line_dedup import op8_line_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_ngram_lm": op2_ngram_lm,
     "op3_bpe": op3_bpe,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_secrets": op5_secrets,
     "op6_langid": op6_langid,
     "op7_exact_dedup": op7_exact_dedup,
