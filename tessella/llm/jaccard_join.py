@@ -380,6 +380,8 @@ def op4_jaccard_join(spark, sf_dir):
 
 def near_dedup_stage(spark, docs, sf_dir):
     """Pipeline stage: of each class of near duplicates the document with the least id stays."""
-    found = near_duplicates(docs)
-    gone = found.where("not (doc_id <=> class_id)").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = near_duplicates(docs).where("not (doc_id <=> class_id)").select("doc_id").distinct()
+    gone = written(gone, "gone")
+    marked = HashFilter(gone, ["doc_id"]).mark(docs, ["doc_id"], "_maybe")
+    kept = marked.where("not _maybe").unionByName(marked.where("_maybe").join(gone, "doc_id", "left_anti"))
+    return kept.select(*docs.columns)
