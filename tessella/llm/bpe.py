@@ -122,11 +122,15 @@ class TokenizationAutomaton:
 
 #: The vocabulary's pre-splitting pattern, restricted to the Latin-1 range.
 LATIN_WORDS = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'s|'t|'re|'ve|'m|'ll|'d"
     r"|[^\t-\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+"
 )
 
 
+#: str.split() also splits at these, which are no white space of the vocabulary's.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 bytes for themselves, the
     others, in order, for the code points from 256."""

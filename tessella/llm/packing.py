@@ -1,8 +1,8 @@
 """Order-preserving packing of documents into token sequences by dynamic programming.
 
 Documents follow each other in the order of their table; cuts may fall at document ends
-(free), sentence ends (CUT_SENTENCE tokens' worth of penalty) or, inside a sentence, at every
-STRIDE-th id (CUT_INSIDE). A sequence of n ids is padded to WINDOW unless n is a power of two.
+(free), sentence ends (CUT_SENTENCE tokens' worth of penalty) or, in a sentence of more than
+STRIDE ids, after each STRIDE of them (CUT_INSIDE). A sequence of n ids is padded to WINDOW unless n is a power of two.
 With f(i) the least cost of the ids before cut i, and p(i) its penalty,
 
     f(i) = p(i) + min( min over i - WINDOW <= j < i of f(j) - (i - j) + WINDOW,
@@ -13,6 +13,7 @@ where the first minimum is that of f(j) + j over a sliding window, kept in a mon
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections import deque
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import WordEncoder
+from .bpe import LATIN_WORDS, SEPARATORS
 from .common import importable, table, text_or_empty
 
 WINDOW = 2048
@@ -34,6 +35,7 @@ CUT_SENTENCE, CUT_INSIDE, STRIDE = 6, 24, 64
 #: Ids that are gathered before they are cut; what follows the last but KEEP windows is cut again.
 CHUNK, KEEP = 1 << 19, 8
 SENTENCE_ENDS = ".!?"
+CACHED_WORDS, BLOCK_CHARS = 300_000, 1_000_000
 
 
 def best_cuts(cuts: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
@@ -41,28 +43,38 @@ def best_cuts(cuts: list[int], penalty: list[int], window: int = WINDOW) -> list
 
     `cuts` ascend, with no gap above `window`.
     """
-    n = len(cuts)
+    n, at = len(cuts), np.array(cuts)
+    # (i, j) for which cuts[i] - cuts[j] is a power of two, by i
+    exact = []
+    for k in range(window.bit_length()):
+        if 1 << k <= window:
+            j = np.searchsorted(at, at - (1 << k))
+            i = np.flatnonzero(at[j] == at - (1 << k))
+            exact.append(np.stack([i, j[i]]))
+    pairs = np.concatenate(exact, axis=1)
+    pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+    ends, starts, next_pair = [*pairs[0].tolist(), n], pairs[1].tolist(), 0
     cost, back = [0] * n, [0] * n
-    place = {x: k for k, x in enumerate(cuts)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
-    queue: deque[tuple[int, int]] = deque([(cuts[0], 0)])  # (f(j) + j, j), ascending
+    keys, heads = deque([cuts[0]]), deque([0])  # f(j) + j, ascending, and j
     for i in range(1, n):
         x = cuts[i]
-        low = x - window
-        while cuts[queue[0][1]] < low:
-            queue.popleft()
-        least, came = queue[0]
-        least += window - x
-        for k in powers:
-            j = place.get(x - k)
-            if j is not None and cost[j] < least:
+        while cuts[heads[0]] < x - window:
+            heads.popleft()
+            keys.popleft()
+        least, came = keys[0] + window - x, heads[0]
+        while ends[next_pair] == i:
+            j = starts[next_pair]
+            next_pair += 1
+            if cost[j] < least:
                 least, came = cost[j], j
         least += penalty[i]
         cost[i], back[i] = least, came
         key = least + x
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, i))
+        while keys and keys[-1] >= key:
+            keys.pop()
+            heads.pop()
+        keys.append(key)
+        heads.append(i)
     out, i = [cuts[-1]], n - 1
     while i:
         i = back[i]
@@ -101,11 +113,14 @@ class _Packer:
         ids = np.concatenate(self.ids)
         n, stops = len(ids), np.cumsum([d[3] for d in self.docs])
         penalty = np.full(n + 1, -1, np.int64)
-        penalty[:: STRIDE] = CUT_INSIDE
         penalty[np.flatnonzero(self.ends[ids]) + 1] = CUT_SENTENCE
         penalty[stops] = 0
         penalty[0] = penalty[n] = 0
         cuts = np.flatnonzero(penalty >= 0)
+        long = np.flatnonzero(np.diff(cuts) > STRIDE).tolist()
+        for a, b in zip(cuts[long].tolist(), cuts[[k + 1 for k in long]].tolist(), strict=True):
+            penalty[a + STRIDE : b : STRIDE] = CUT_INSIDE
+        cuts = np.flatnonzero(penalty >= 0)
         chosen = best_cuts(cuts.tolist(), penalty[cuts].tolist(), self.window)
         if last:
             start = chosen[-2] if len(chosen) > 1 else 0
@@ -137,14 +152,81 @@ class _Packer:
             self.count += 1
 
 
+class TokenizerWords:
+    """Ids of texts, as bytes. Runs between white space are looked up among those met lately;
+    the words of new runs that are new too are encoded by the tokenizers library, all those of
+    a block of texts together."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.runs: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def plain(self, text: str) -> bool:
+        """Whether lower-casing and splitting at white space do what the vocabulary's normalizer does."""
+        if any(x in text for x in SEPARATORS) or any(x in text for x in self.special):
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        runs: list[str] = []
+        spans: list[tuple[int, int] | None] = []
+        for text in texts:
+            if self.plain(text):
+                at = len(runs)
+                runs += text.lower().split()
+                spans.append((at, len(runs)))
+            else:
+                spans.append(None)
+        found = list(map(self.runs.get, runs))
+        if None in found:
+            self._learn({r for r, x in zip(runs, found, strict=True) if x is None})
+            found = list(map(self.runs.__getitem__, runs))
+        whole = lambda text: array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        out = [whole(text) if span is None else b"".join(found[span[0] : span[1]]) for text, span in zip(texts, spans, strict=True)]
+        if len(self.runs) > CACHED_WORDS:
+            self.old, self.runs = self.runs, {}
+        return out
+
+    def _learn(self, missing: set[str]) -> None:
+        parts: dict[str, list[str]] = {}
+        for run in missing:
+            if (x := self.old.get(run)) is not None:
+                self.runs[run] = x
+            elif run.isalpha():
+                parts[run] = [run]
+            elif run[-1] in ".," and run[:-1].isalpha():
+                parts[run] = [run[:-1], run[-1]]
+            else:
+                parts[run] = LATIN_WORDS.findall(run)
+        if len(self.words) > CACHED_WORDS:
+            self.words = {}
+        new = list({w for words in parts.values() for w in words if w not in self.words})
+        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", x.ids).tobytes()
+        for run, words in parts.items():
+            self.runs[run] = b"".join([self.words[w] for w in words])
+
+
 @lru_cache(maxsize=2)
-def _ids_encoder(path: str) -> tuple[WordEncoder, np.ndarray]:
-    encoder = WordEncoder(path, lambda ids: array("I", ids).tobytes())
-    ends = np.zeros(encoder.automaton.size, bool)
-    end = encoder.automaton.end
-    for i, token in enumerate(encoder.automaton.label):
-        mark = token.removesuffix(end)
-        ends[i] = bool(mark) and mark[0] in SENTENCE_ENDS and token.endswith(end)
+def _ids_encoder(path: str) -> tuple[TokenizerWords, np.ndarray]:
+    encoder = TokenizerWords(path)
+    vocab = encoder.tokenizer.get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    for token, i in vocab.items():
+        mark = token.removesuffix("</w>")
+        ends[i] = bool(mark) and mark[0] in SENTENCE_ENDS and token != mark
     return encoder, ends
 
 
@@ -179,8 +261,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc_id, np.frombuffer(b"".join(encoder.values(text.as_py())) + end, np.uint32))
+            ids, at = batch.column(0).to_pylist(), 0
+            while at < len(ids):
+                texts, held, first = [], 0, at
+                while at < len(ids) and held < BLOCK_CHARS:
+                    texts.append(batch.column(1)[at].as_py())
+                    held += len(texts[-1])
+                    at += 1
+                for doc_id, raw in zip(ids[first:at], encoder.encode(texts), strict=True):
+                    packer.add(doc_id, np.frombuffer(raw + end, np.uint32))
             if len(packer.rows) > 10_000:
                 yield ready()
         packer.pack(True)
@@ -195,3 +284,10 @@ def op1_packing(spark, sf_dir):
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def packing_stage(spark, docs, sf_dir):
+    """Pipeline stage, the last: the pieces of the documents in sequences."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
