@@ -19,17 +19,42 @@ def _or_into(words: np.ndarray, at: np.ndarray, bits: np.ndarray) -> None:
         words[at[starts]] |= np.bitwise_or.reduceat(bits, starts)
 
 
+def _byte_select() -> np.ndarray:
+    """Place of the set bit number r of a byte, at 256 r + byte."""
+    out = np.zeros((8, 256), np.int64)
+    for byte in range(256):
+        for r, place in enumerate(k for k in range(8) if byte >> k & 1):
+            out[r, byte] = place
+    return out.ravel()
+
+
+SELECT = _byte_select()
+ONES, HIGHS = U(0x0101010101010101), U(0x8080808080808080)
+
+
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of the set bit number r (from 0) of each word."""
-    r, place = r.astype(np.int64), np.zeros(len(word), np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        low = word & U((1 << s) - 1)
-        ones = np.bitwise_count(low).astype(np.int64)
-        up = r >= ones
-        place += up * s
-        r -= up * ones
-        word = np.where(up, word >> U(s), low)
-    return place
+    r = r.astype(U)
+    # bits set up to each byte's end, a byte each
+    s = word - ((word >> U(1)) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + ((s >> U(2)) & U(0x3333333333333333))
+    s = ((s + (s >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * ONES
+    # bytes that end before the bit
+    before = np.bitwise_count((((r * ONES) | HIGHS) - s) & HIGHS).astype(U) << U(3)
+    before = np.minimum(before, U(56))
+    r -= ((s << U(8)) >> before) & U(255)
+    return before.astype(np.int64) + SELECT[((r << U(8)) | ((word >> before) & U(255))).astype(np.int64) & 2047]
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, ascending; a place of each in `keys`; and each key's number among them."""
+    order = np.argsort(keys)
+    found = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = found[1:] != found[:-1]
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return found[new], order[new], number
 
 
 class EliasFano:
@@ -37,7 +62,7 @@ class EliasFano:
 
     def __init__(self, arrays: dict[str, np.ndarray], prefix: str):
         self.n, self.l = map(int, arrays[f"{prefix}.size"])
-        self.low, self.high, self.ones = (arrays[f"{prefix}.{x}"] for x in ("low", "high", "ones"))
+        self.low, self.high, self.ones, self.zeros = (arrays[f"{prefix}.{x}"] for x in ("low", "high", "ones", "zeros"))
 
     @staticmethod
     def encode(values: np.ndarray, universe: int, prefix: str) -> dict[str, np.ndarray]:
@@ -56,7 +81,8 @@ class EliasFano:
         place = (values >> U(bits)).astype(np.int64) + i
         _or_into(high, place >> 6, U(1) << (place & 63).astype(U))
         ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high).astype(np.int64))])
-        return {f"{prefix}.size": np.array([n, bits]), f"{prefix}.low": low, f"{prefix}.high": high, f"{prefix}.ones": ones.astype(np.uint32 if n < 1 << 32 else np.int64)}
+        zeros = (np.arange(len(ones), dtype=np.int64) << 6) - ones
+        return {f"{prefix}.{x}": v for x, v in (("size", np.array([n, bits])), ("low", low), ("high", high), ("ones", ones), ("zeros", zeros))}
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -68,7 +94,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.ones, i, side="right") - 1
-        place = (word << 6) + _select_in_word(self.high[word], i - self.ones[word].astype(np.int64))
+        place = (word << 6) + _select_in_word(self.high[word], i - self.ones[word])
         return (((place - i).astype(U) << U(self.l)) | self._low(i)).astype(np.int64)
 
     def pair(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +111,7 @@ class EliasFano:
         target = (values & ((1 << self.l) - 1)).astype(U)
         n_words = len(self.high)
         # where the high part's elements begin: after its h-th zero
-        zeros = (np.arange(n_words + 1, dtype=np.int64) << 6) - self.ones
+        zeros = self.zeros
         word = np.minimum(np.searchsorted(zeros, h, side="left") - 1, n_words - 1)
         inside = (h > 0) & (h <= int(zeros[-1]))
         safe = np.where(inside, word, 0)
@@ -180,7 +206,7 @@ def merge_counts(parts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
     parts = list(parts)
     keys = np.concatenate([k for k, _ in parts])
     counts = np.concatenate([c for _, c in parts]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.zeros(0, np.int64)
     return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_path, importable, table, text_or_empty
-from .elias_fano import U, EliasFano, load, merge_counts, save, shuffle_bytes, unshuffle_bytes
+from .elias_fano import U, EliasFano, distinct, load, merge_counts, save, shuffle_bytes, unshuffle_bytes
 
 ORDER = 3
 #: Occurrences in a shard of a level; text bytes for a shard of words; text bytes handled at once.
 SHARD, WORD_SHARD, BLOCK = 4_000_000, 64_000_000, 1_500_000
-HELD_KEYS, HELD_WORDS, CACHED_WORDS = 6_000_000, 600_000, 250_000
+HELD_KEYS, HELD_WORDS, CACHED_WORDS = 2_500_000, 600_000, 250_000
 END = b""
 STEP = 16 / 65535  # of quantised -log10
 
@@ -148,7 +148,7 @@ class Model:
         for level in meta["levels"]:
             self.levels.append(Level(level, self.levels[-1] if self.levels else self, self.width))
         self.cache: dict[bytes, int] = {}
-        self.old: dict[bytes, int] = {}
+        self.known = np.zeros((3, 0), np.int64)
         self.end = int(self._look_up([END])[0])
 
     def _look_up(self, words: list[bytes]) -> np.ndarray:
@@ -165,18 +165,24 @@ class Model:
                 out[order[at]] = np.where(known[i] == values[at], s["base"] + i, -1)
         return out
 
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        """Numbers of the words, -1 for unknown ones."""
+    def slots(self, tokens: list[bytes]) -> np.ndarray:
+        """Places of the words in self.known: their numbers (-1 for unknown ones), and the
+        occurrences before and of them."""
         found = list(map(self.cache.get, tokens))
         if None in found:
+            if len(self.cache) >= CACHED_WORDS:
+                self.cache, self.known = {}, np.zeros((3, 0), np.int64)
+                found = [None] * len(tokens)
             missing = list({t for t, i in zip(tokens, found, strict=True) if i is None})
-            new = {t: i for t in missing if (i := self.old.get(t)) is not None}
-            rest = [t for t in missing if t not in new]
-            new.update(zip(rest, self._look_up(rest).tolist(), strict=True))
-            found = [new[t] if i is None else i for t, i in zip(tokens, found, strict=True)]
-            if len(self.cache) + len(new) > CACHED_WORDS:
-                self.old, self.cache = self.cache, {}
-            self.cache.update(new)
+            ids = self._look_up(missing)
+            order = np.argsort(ids)
+            new = np.zeros((3, len(ids)), np.int64)
+            new[0] = ids
+            there = order[np.searchsorted(ids[order], 0) :]
+            new[1, there], new[2, there] = self.counts(ids[there])
+            self.cache.update(zip(missing, range(self.known.shape[1], self.known.shape[1] + len(missing)), strict=True))
+            self.known = np.concatenate([self.known, new], axis=1)
+            found = list(map(self.cache.__getitem__, tokens))
         return np.array(found, np.int64)
 
     def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -200,24 +206,17 @@ class Walk:
 
     def __init__(self, model: Model, tokens: list[bytes], sizes: list[int]):
         self.model = model
-        self.ids = model.ids(tokens)
-        kinds, self.kind = np.unique(self.ids, return_inverse=True)
-        self.cum, self.count = np.zeros(len(kinds), np.int64), np.zeros(len(kinds), np.int64)
-        known = kinds >= 0
-        self.cum[known], self.count[known] = model.counts(kinds[known])
+        slots = model.slots([END, *tokens])
+        ids, cum, count = model.known[:, slots]
+        self.ids, self.count = ids[1:], count[1:]
         self.first = np.zeros(len(self.ids), bool)
         self.first[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = True
         # of each token: its context's place, and the occurrences before and of that
-        before = np.concatenate([[-1], self.kind[:-1]])
-        self.ctx = np.concatenate([[model.end], self.ids[:-1]])
-        self.ctx_cum, self.ctx_count = self.cum[before], self.count[before]
-        if model.end >= 0 and len(self.ids):
-            a, b = model.counts(np.array([model.end]))
-            self.ctx_cum[0], self.ctx_count[0] = a[0], b[0]
+        self.ctx, self.ctx_cum, self.ctx_count = ids[:-1], cum[:-1], count[:-1]
 
     def unigram(self) -> np.ndarray:
         n, v = self.model.total, self.model.width
-        return ((self.count + 0.5) / (n + 0.5 * (v + 1)))[self.kind]
+        return (self.count + 0.5) / (n + 0.5 * (v + 1))
 
     def keys(self) -> np.ndarray:
         """(context, word) of each token that has both, as one integer."""
@@ -231,7 +230,7 @@ class Walk:
         # an unknown word still needs its context's weight: it counts as word 0 and is not found
         use = np.flatnonzero(self.ctx >= 0)
         key = self.ctx[use] * width + np.maximum(self.ids[use], 0)
-        kinds, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        kinds, first, inverse = distinct(key)
         at = use[first]
         place, prob, weight = level.find(self.ctx[at], kinds % width, self.ctx_cum[at], self.ctx_count[at])
         known = self.ids[use] >= 0
@@ -244,7 +243,7 @@ class Walk:
         self.ctx[self.first] = -1
         self.ctx_cum, self.ctx_count = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         if level is not self.model.levels[-1] or self.more:
-            places, back = np.unique(self.ctx, return_inverse=True)
+            places, _, back = distinct(self.ctx)
             there = places >= 0
             cum, count = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
             cum[there], count[there] = level.counts(places[there])
@@ -349,8 +348,10 @@ def _build_level(train: DataFrame, meta: dict, folder: str) -> dict:
             walk.more = True
             for level in model.levels:
                 walk.up(level)
-            keys, counts = np.unique(walk.keys(), return_counts=True)
-            held.append((keys, counts))
+            keys = np.sort(walk.keys())
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+            held.append((keys[starts], np.diff(starts, append=len(keys))))
+            keys = keys[starts]
             n += len(keys)
             if n >= HELD_KEYS:
                 yield out()
@@ -431,7 +432,7 @@ def score_block(model: Model, tokens: list[bytes], sizes: list[int]) -> tuple[np
     """Per text: known tokens, log10 of the unigram base and of the model's probability."""
     walk = model.walk(tokens, sizes)
     p = walk.unigram()
-    base, known = np.log10(p), walk.count[walk.kind] > 0
+    base, known = np.log10(p), walk.count > 0
     for level in model.levels:
         a, b = walk.up(level)
         p = a + b * p
