@@ -108,15 +108,3 @@ def ring_area(xs: str | Column, ys: str | Column) -> Column:
 def array_mean(xs: str | Column) -> Column:
     xs = _col(xs)
     return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), F.size(xs))
-
-
-def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
-    """Even-odd ray cast with half-open edges."""
-    n = F.size(xs)
-
-    def crosses(i: Column) -> Column:
-        xi, yi, xj, yj = F.get(xs, i), F.get(ys, i), F.get(xs, (i + n - 1) % n), F.get(ys, (i + n - 1) % n)
-        at = F.try_divide((xj - xi) * (y - yi), yj - yi) + xi
-        return F.coalesce(((yi > y) != (yj > y)) & (x < at), F.lit(False))
-
-    return F.when(n > 2, F.size(F.filter(F.sequence(F.lit(0), n - 1), crosses)) % 2 == 1).otherwise(False)

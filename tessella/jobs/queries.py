@@ -165,7 +165,7 @@ def _pairs(i: DataFrame) -> DataFrame:
     "shared_years",
     f""", {PAIRS}, p AS (SELECT DISTINCT geo, indicator, year FROM fine WHERE indicator <> 'qty' OR (year > 1996 AND geo <> 'Brand#11')),
 b AS (SELECT q.geo, q.indicator, q.weight, p.year, w.year IS NOT NULL AS hit FROM pairs q JOIN p USING (geo, indicator) LEFT JOIN p w ON w.geo = q.geo AND w.indicator = q.weight AND w.year = p.year),
-c AS (SELECT *, bool_or(hit) OVER (PARTITION BY geo, indicator, weight) AS some FROM b), d AS (SELECT * FROM c WHERE hit OR NOT some)
+c AS (SELECT *, bool_or(hit) OVER (PARTITION BY geo, indicator, weight) AS any_hit FROM b), d AS (SELECT * FROM c WHERE hit OR NOT any_hit)
 SELECT geo, indicator, weight, year, year = max(year) OVER (PARTITION BY geo, indicator, weight) AS is_default FROM d""",
 )
 def shared_years(spark, sf_dir):
