@@ -1,0 +1,260 @@
+import hashlib
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import bpe, exact_dedup, jaccard_join, langid, licenses, line_dedup, ngram_lm, packing, secrets, topk
+from tessella.llm.elias_fano import EliasFano
+
+P = pytest.importorskip("public_tokenizers")
+PATH = P.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, kept string"
+
+
+def docs(spark, texts, schema=SCHEMA):
+    return spark.createDataFrame([(i, t, "en", "x") for i, t in texts], schema)
+
+
+ODD = [(1, None), (2, ""), (None, "a b"), (3, "a b"), (3, "a b"), (4, "x" * 5000), (5, "Ünï\ncode 日本 <|endoftext|> 'S")]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(PATH)
+
+
+def test_bpe_equals_the_library(spark, tokenizer):
+    found = bpe.bpe_encode(docs(spark, ODD), PATH).collect()
+    assert len(found) == len(ODD)
+    want = {}
+    for i, t in ODD:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) == want[r.doc_id] for r in found)
+    assert bpe.bpe_encode(docs(spark, []), PATH).count() == 0
+
+
+def test_automaton_on_random_words(tokenizer):
+    rng = random.Random(3)
+    automaton = bpe.TokenizationAutomaton(PATH)
+    vocab = [t.replace("</w>", "") for t in tokenizer.get_vocab() if t.isascii()]
+    for _ in range(3000):
+        word = "".join(c for c in "".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) if c.isalpha()).lower()
+        if word:
+            assert automaton.encode(word) == tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def test_packing(spark, tokenizer):
+    texts = [*ODD, *[(100 + k, "One sentence. " * (k * 7 % 400)) for k in range(60)]]
+    rows = packing.pack(docs(spark, texts).coalesce(1), PATH).toPandas()
+    for _, s in rows.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert list(s.offset) == list(np.cumsum(s.length) - s.length) and s.length.sum() <= 2048
+    for i, t in texts[7:]:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        own = rows[rows.doc_id == i].sort_values("start")
+        assert own.length.sum() == len(ids) and list(own.start) == list(np.cumsum(own.length) - own.length)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == c for a, n, c in zip(own.start, own.length, own.ids_crc32, strict=True))
+    sizes = rows.groupby("sequence_id").length.sum()
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes) < 0.05 * sizes.sum()
+    assert rows[rows.doc_id.isna()].length.sum() == 3 and packing.pack(docs(spark, []), PATH).count() == 0
+
+
+def test_best_cuts_is_least():
+    rng = random.Random(1)
+    for _ in range(30):
+        cuts, penalty = [0], [0]
+        while len(cuts) < 12:
+            cuts.append(cuts[-1] + rng.randint(1, 6))
+            penalty.append(rng.randint(0, 3))
+        window, pad = 8, lambda n: 0 if n & (n - 1) == 0 else 8 - n
+        best = [0] + [math.inf] * 11
+        for i in range(1, 12):
+            best[i] = min(best[j] + pad(cuts[i] - cuts[j]) + penalty[i] for j in range(i) if cuts[i] - cuts[j] <= window)
+        got, cost = packing.best_cuts(cuts, penalty, window), 0
+        for a, b in zip(got, got[1:], strict=False):
+            cost += pad(b - a) + penalty[cuts.index(b)]
+        assert cost == best[-1]
+
+
+def test_ngram_model_against_counts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "SHARD", 40)
+    rng = random.Random(5)
+    words = ["The", "cat", "sat", "on", "mat", "é"]
+    texts = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for k in range(60)] + [(None, None), (7, "dog the\x1fcat")]
+    train = docs(spark, texts[:50])
+    meta = ngram_lm.train_model(train)
+    found = ngram_lm.score_texts(docs(spark, texts), meta, carry=["doc_id", "text"]).collect()
+    counts = [{}, {}, {}]
+    for _, t in texts[:50]:
+        seq = [b"", *ngram_lm.tokens_of(t)]
+        for n in (1, 2, 3):
+            for k in range(1 if n == 1 else 0, len(seq) - n + 1):
+                key = tuple(seq[k : k + n])
+                counts[n - 1][key] = counts[n - 1].get(key, 0) + 1
+    total, size = sum(counts[0].values()), len(counts[0])
+    discount = []
+    for n in (1, 2):
+        ones, twos = (sum(v == x for v in counts[n].values()) for x in (1, 2))
+        discount.append(min(0.99, max(0.05, ones / (ones + 2 * twos))))
+
+    def score(text):
+        seq, out, base = [b"", *ngram_lm.tokens_of(text)], 0.0, 0.0
+        for k in range(1, len(seq)):
+            p = (counts[0].get((seq[k],), 0) + 0.5) / (total + 0.5 * (size + 1))
+            base += math.log10(p)
+            for n in (1, 2):
+                if k - n >= 0:
+                    ctx = tuple(seq[k - n : k])
+                    c = counts[n - 1].get(ctx, 0)
+                    if c:
+                        succ = sum(key[:-1] == ctx for key in counts[n])
+                        p = max(0, counts[n].get((*ctx, seq[k]), 0) - discount[n - 1]) / c + discount[n - 1] * succ / c * p
+            out += math.log10(p)
+        return base, out
+
+    assert len(found) == len(texts)
+    for r in found:
+        base, want = score(r.text)
+        assert abs(r.base_score - base) < 1e-9 and abs(r.score - want) < 1e-3 * r.n_tokens and r.train_tokens == total
+
+
+def test_nothing_learned(spark):
+    r = ngram_lm.score_texts(docs(spark, [(1, "a")]), ngram_lm.train_model(docs(spark, []))).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (2, 0, 0, 0.0)
+
+
+def test_elias_fano():
+    rng = np.random.default_rng(1)
+    for n, universe in ((0, 5), (1, 1), (500, 90), (500, 10**12)):
+        values = np.sort(rng.integers(0, universe, n))
+        e = EliasFano(EliasFano.encode(values, universe, "x"), "x")
+        asked = np.concatenate([values, rng.integers(0, universe, 50)])
+        place, there = e.find(asked), set(values.tolist())
+        assert (e.get(np.arange(n)) == values).all()
+        assert all((p >= 0) == (int(v) in there) and (p < 0 or values[p] == v) for p, v in zip(place.tolist(), asked, strict=True))
+
+
+def test_near_duplicates_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "NODE_BLOCK", 4)
+    rng = random.Random(2)
+    vocab = [f"w{k}" for k in range(300)]
+    texts = []
+    for g in range(6):
+        base = [rng.choice(vocab) for _ in range(120)]
+        for _ in range(1 + 6 * (g % 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append((len(texts), " ".join(copy)))
+    texts += [(900, None), (901, " "), (902, "one two"), (903, "One two"), (904, "a b c d e"), (905, texts[0][1])]
+    sets = {i: jaccard_sets(t) for i, t in texts}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = dict.fromkeys(sets, 0)
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or 10 * len(a & b) >= 8 * len(a | b)):
+                links[i] += 1
+                links[j] += 1
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    found = {r.doc_id: r for r in jaccard_join.near_duplicates(docs(spark, texts)).collect()}
+    assert {i: (r.class_id, r.n_links) for i, r in found.items()} == {i: (find(i), links[i]) for i in sets}
+
+
+def jaccard_sets(text):
+    w = (text or "").lower().split()
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[k : k + 5]) for k in range(len(w) - 4)])
+
+
+def test_near_duplicates_of_odd_tables(spark):
+    assert jaccard_join.near_duplicates(docs(spark, [])).count() == 0
+    assert jaccard_join.near_duplicates(docs(spark, ODD)).count() == len(ODD)
+
+
+def test_secrets(spark):
+    key = "AKIA" + "A1" * 8
+    text = f'é password = "abcdefghijklmnop" token:short {key} 0123456789abcdef0 -----BEGIN RSA PRIVATE KEY----- TOKEN=secret=abc'
+    rows = secrets.find_secrets(docs(spark, [(1, text), (1, text), (2, None), (None, "ſecret=abcdefghijklmnop"), (3, "x")])).collect()
+    spans = {r.doc_id: [(s.kind, text[s.start : s.end]) for s in r.secret_spans] for r in rows if r.doc_id == 1}
+    assert [k for k, _ in spans[1]] == ["assign", "access", "hex", "private_key"] and len(rows) == 5
+    assert spans[1][0][1] == 'password = "abcdefghijklmnop' and spans[1][1][1] == key
+    assert all(not r.secret_spans for r in rows if r.doc_id != 1)
+    clean = secrets.secrets_stage(spark, docs(spark, [(1, text), (2, None)]), "")
+    assert {r.doc_id: r.text for r in clean.collect()} == {1: 'é <assign>" token:short <access> <hex> <private_key> TOKEN=secret=abc', 2: None}
+
+
+def test_trigram_queries():
+    assert secrets.trigram_query("AKIA[A-Z0-9]+") == [[frozenset({"aki", "kia"})]]
+    assert secrets.trigram_query("[0-9a-f]+") == []
+    assert secrets.trigram_query("(abc|xyz)+q") == [[frozenset({"abc"}), frozenset({"xyz"})]]
+
+
+def test_language(spark):
+    english = "the quick brown fox jumps over the lazy dog and the cat sat on the mat with another"
+    german = "der schnelle braune fuchs springt über den faulen hund und die katze saß auf der matte"
+    sample = (("de", german), ("en", english))
+    rows = [(1, "the dog and the fox", None, ""), (2, "der hund und die katze", None, ""), (3, None, None, ""), (4, "123 !", None, ""), (None, "the cat " * 9000, None, "")]
+    found = langid.identify(spark.createDataFrame(rows, SCHEMA), sample).collect()
+    assert [r.lang_pred for r in found] == ["en", "de", "und", "und", "en"] and all(0 <= r.score <= 1 for r in found)
+    assert langid.identify(docs(spark, [(1, "a")]), ()).first().lang_pred == "und"
+    assert langid.labelled_sample(docs(spark, [])) == ()
+
+
+def test_exact_dedup(spark):
+    rows = exact_dedup.exact_groups(docs(spark, [*ODD, (9, "a b"), (10, "y" * 5000), (11, "y" * 5000)])).collect()
+    got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in rows)
+    assert got == sorted(
+        [("1", 2, 2, False), ("2", 2, 2, True), ("None", 9, 4, False), ("3", 9, 4, False), ("3", 9, 4, False), ("9", 9, 4, True), ("4", 4, 1, True), ("5", 5, 1, True), ("10", 11, 2, False), ("11", 11, 2, True)]
+    )
+    twice = exact_dedup.exact_dedup_stage(spark, docs(spark, [(3, "a"), (3, "a")]), "")
+    assert twice.count() == 1 and exact_dedup.exact_groups(docs(spark, [])).count() == 0
+
+
+def test_line_dedup(spark):
+    passage = "\n".join(f"line {k} of a long passage" for k in range(40))
+    texts = [(1, "start one\n" + passage), (2, "other start\n" + passage + "\nan end"), (3, None), (4, "x"), (4, "x"), (None, "only\nhere")]
+    found = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    by = {r.doc_id: r for r in found}
+    assert len(found) == 6 and by[1].n_removed == 0 and by[1].clean_text == texts[0][1]
+    assert by[2].n_removed > 20 and by[2].n_lines - by[2].n_removed == by[2].clean_text.count("\n") + 1
+    assert all(line in by[1].clean_text for line in passage.split("\n")) and by[3].clean_text == ""
+
+
+def test_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 64)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.2, (400, 12)).astype(np.float32)
+    x[50:90] = x[50]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(400)] + [(1000, None), (None, [1.0] * 12), (1020, [None] * 12), (1040, [float("nan")] * 12)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 7).collect()
+    q = np.floor(64 * x.astype(float)).astype(int)
+    want = []
+    for i in range(0, 400, 20):
+        score = q @ q[i]
+        best = sorted((-int(s), j) for j, s in enumerate(score) if j != i)[:7]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, found)) == want
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_licenses(spark):
+    name, sentences = licenses.NOTICES[1]
+    text = "Intro.\n" + "; ".join(sentences) + "\nhttp://example.org"
+    wrapped = "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    found = licenses.scan_licenses(docs(spark, [(1, text), (2, wrapped), (3, None), (4, sentences[1] + ". " + sentences[0])])).collect()
+    assert [r.licenses for r in found] == [[name], ["isc"], [], []] and [len(r.sentence_ids) for r in found] == [3, 1, 0, 2]
