@@ -102,7 +102,7 @@ def test_ngram_model_against_counts(spark, monkeypatch):
     discount = []
     for n in (1, 2):
         ones, twos = (sum(v == x for v in counts[n].values()) for x in (1, 2))
-        discount.append(min(0.99, max(0.05, ones / (ones + 2 * twos))))
+        discount.append(min(0.99, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5)
 
     def score(text):
         seq, out, base = [b"", *ngram_lm.tokens_of(text)], 0.0, 0.0
@@ -254,7 +254,7 @@ def test_top_k_against_brute_force(spark, monkeypatch):
 
 def test_licenses(spark):
     name, sentences = licenses.NOTICES[1]
-    text = "Intro.\n" + "; ".join(sentences) + "\nhttp://example.org"
+    text = "Intro.\n" + "; ".join(sentences) + "\n\nhttp://example.org"
     wrapped = "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     found = licenses.scan_licenses(docs(spark, [(1, text), (2, wrapped), (3, None), (4, sentences[1] + ". " + sentences[0])])).collect()
     assert [r.licenses for r in found] == [[name], ["isc"], [], []] and [len(r.sentence_ids) for r in found] == [3, 1, 0, 2]
