@@ -127,10 +127,6 @@ LATIN_WORDS = re.compile(
 )
 
 
-#: str.split() also splits at these, which are no white space of the vocabulary's.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 bytes for themselves, the
     others, in order, for the code points from 256."""

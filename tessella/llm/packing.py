@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LATIN_WORDS, SEPARATORS
+from .bpe import LATIN_WORDS
 from .common import importable, table, text_or_empty
 
 WINDOW = 2048
@@ -153,9 +153,8 @@ class _Packer:
 
 
 class TokenizerWords:
-    """Ids of texts, as bytes. Runs between white space are looked up among those met lately;
-    the words of new runs that are new too are encoded by the tokenizers library, all those of
-    a block of texts together."""
+    """Ids of texts, as bytes. Words met lately are looked up; those that are new in a block of
+    texts are encoded together by the tokenizers library."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -165,13 +164,12 @@ class TokenizerWords:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.runs: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def plain(self, text: str) -> bool:
-        """Whether lower-casing and splitting at white space do what the vocabulary's normalizer does."""
-        if any(x in text for x in SEPARATORS) or any(x in text for x in self.special):
+        """Whether lower-casing and LATIN_WORDS do what the vocabulary's own steps do."""
+        if any(x in text for x in self.special):
             return False
         try:
             text.encode("latin-1")
@@ -180,43 +178,34 @@ class TokenizerWords:
         return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs: list[str] = []
+        words: list[str] = []
         spans: list[tuple[int, int] | None] = []
         for text in texts:
             if self.plain(text):
-                at = len(runs)
-                runs += text.lower().split()
-                spans.append((at, len(runs)))
+                at = len(words)
+                words += LATIN_WORDS.findall(text.lower())
+                spans.append((at, len(words)))
             else:
                 spans.append(None)
-        found = list(map(self.runs.get, runs))
+        found = list(map(self.words.get, words))
         if None in found:
-            self._learn({r for r, x in zip(runs, found, strict=True) if x is None})
-            found = list(map(self.runs.__getitem__, runs))
+            self._learn({w for w, x in zip(words, found, strict=True) if x is None})
+            found = list(map(self.words.__getitem__, words))
         whole = lambda text: array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         out = [whole(text) if span is None else b"".join(found[span[0] : span[1]]) for text, span in zip(texts, spans, strict=True)]
-        if len(self.runs) > CACHED_WORDS:
-            self.old, self.runs = self.runs, {}
+        if len(self.words) > CACHED_WORDS:
+            self.old, self.words = self.words, {}
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        parts: dict[str, list[str]] = {}
-        for run in missing:
-            if (x := self.old.get(run)) is not None:
-                self.runs[run] = x
-            elif run.isalpha():
-                parts[run] = [run]
-            elif run[-1] in ".," and run[:-1].isalpha():
-                parts[run] = [run[:-1], run[-1]]
+        new = []
+        for word in missing:
+            if (x := self.old.get(word)) is None:
+                new.append(word)
             else:
-                parts[run] = LATIN_WORDS.findall(run)
-        if len(self.words) > CACHED_WORDS:
-            self.words = {}
-        new = list({w for words in parts.values() for w in words if w not in self.words})
-        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[w] = array("I", x.ids).tobytes()
-        for run, words in parts.items():
-            self.runs[run] = b"".join([self.words[w] for w in words])
+                self.words[word] = x
+        for word, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.words[word] = array("I", x.ids).tobytes()
 
 
 @lru_cache(maxsize=2)
