@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, as where it is
-    not installed but lies in a folder that all have."""
+    """Prepares the session for Python workers: they can import this package from where the
+    driver did, as where it is not installed but lies in a folder that all have; and they get
+    smaller batches, unless the session asks for another size than the default."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    # rows hold whole texts: a batch of the default 10,000 would take much memory in a worker
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -206,15 +206,16 @@ def identify(docs: DataFrame, sample: tuple[tuple[str, str], ...], text_col: str
     importable(docs.sparkSession)
     new = [("lang_pred", pa.string()), ("score", pa.float64()), ("phrase_rate", pa.float64())]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in dict(new)]
-    rows = docs.select(*carry, F.col(text_col).alias("_text_"))
+    rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
+    at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sample)
         for batch in batches:
-            found = parser.predict(batch.column(batch.num_columns - 1).to_pylist())
+            found = parser.predict(batch.column(at).to_pylist())
             columns = list(zip(*found, strict=True)) if found else [[]] * 3
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], *(pa.array(c, t) for c, (_, t) in zip(columns, new, strict=True))], [*carry, *dict(new)]
+                [*batch.columns[: len(carry)], *(pa.array(c, t) for c, (_, t) in zip(columns, new, strict=True))], [*carry, *dict(new)]
             )
 
     schema = rows.select(*carry).schema.add("lang_pred", "string").add("score", "double").add("phrase_rate", "double")
