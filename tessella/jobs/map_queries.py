@@ -315,7 +315,6 @@ def open_cell(spark, sf_dir):
     return grid.open_cell(cells_of_parts(spark, sf_dir))
 
 
-@register("component_budget")
 def component_budget(spark, sf_dir):
     cells = grid.grid_components(cells_of_parts(spark, sf_dir))
     targets = _targets(cells)
