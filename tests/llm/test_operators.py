@@ -234,6 +234,42 @@ def test_line_dedup(spark):
     assert all(line in by[1].clean_text for line in passage.split("\n")) and by[3].clean_text == ""
 
 
+def passages_of(text):
+    lines = (text or "").split("\n")
+    for k in range(len(lines)):
+        if lines[k].count(" ") >= 49:
+            yield k, k + 1, lines[k]
+        if k + 1 < len(lines) and (lines[k].strip() or lines[k + 1].strip()):
+            yield k, k + 2, "\n".join(lines[k : k + 2])
+
+
+def test_planted_passages_against_brute_force(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    planted = [[line(rng.randint(1, 12)) for _ in range(n)] for n in range(2, 11) for _ in range(6)] + [[line(60)] for _ in range(6)]
+    texts, spots = [], []
+    for p in planted:
+        for copy in range(3):
+            ahead = [line(6) for _ in range(rng.randint(0, 5))]
+            spots.append((len(texts), len(ahead), p, copy))
+            texts.append([*ahead, *p, *[line(6) for _ in range(rng.randint(0, 5))]])
+    texts += [["a", "a", "a", "b", "a", "a"], ["", "", "x y", "", ""], ["new", "x y", "", ""], planted[0] + planted[1] + planted[0]]
+    texts = list(enumerate("\n".join(t) for t in texts))
+    seen, want = set(), {}
+    for i, t in texts:
+        gone = set()
+        for a, b, p in passages_of(t):
+            gone |= set(range(a, b)) if p in seen else set()
+            seen.add(p)
+        lines = t.split("\n")
+        runs = sum(k - 1 not in gone for k in gone)
+        want[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t, len(lines), len(gone), runs)
+    found = line_dedup.dedup_lines(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.clean_text, r.n_lines, r.n_removed, r.n_chunks_removed) for r in found} == want
+    for i, at, p, copy in spots:
+        assert want[i][2] == (len(p) if copy else 0)  # every line of each later copy, and no other
+
+
 def test_top_k_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 8)
