@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import importable, table
 
 UNKNOWN = "und"
-#: The bound of the labelled sample: about SAMPLE_ROWS rows a language, EXCERPT characters of
-#: each, SAMPLE_CHARS symbols of those; ALPHABET letters, the most frequent in the sample.
+#: The bound of the labelled sample: SAMPLE_ROWS different excerpts a language at most, EXCERPT
+#: characters each, SAMPLE_CHARS symbols of those; ALPHABET letters, the most frequent in the sample.
 SAMPLE_ROWS, EXCERPT, SAMPLE_CHARS, ALPHABET = 160, 400, 40_000, 250
 #: A parse starts anew every SEGMENT symbols, so that many places are parsed at once.
 SEGMENT, BLOCK_CHARS = 256, 1 << 20
@@ -36,18 +36,25 @@ def id_hash(id_col: str = "doc_id") -> Column:
 def labelled_sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[tuple[str, str], ...]:
     """(language, text) of a bounded sample, ordered by language.
 
-    Which rows are taken depends on a hash of the text alone, at a rate that leaves about
-    SAMPLE_ROWS rows a language.
+    Of each language's different excerpts the SAMPLE_ROWS with the least hashes are taken, or
+    all if there are fewer. Copies of a text count once, and so do texts that begin alike.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text")
+    excerpt = F.substring("_text", 1, EXCERPT)
+    rows = (
+        labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+        .select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_text"))
+        .select("_lang", F.xxhash64(excerpt).alias("_key"), excerpt.alias("_text"))
     )
-    counts = rows.groupBy("_lang").count()
-    key = F.xxhash64("_text")
+    counts = rows.select("_lang", "_key").distinct().groupBy("_lang").count()
+    # twice the rate that is needed, so that too few come with no odds to speak of; then the least
     sampled = (
         rows.join(F.broadcast(counts), "_lang")  # a row a language
-        .where(F.pmod(key, F.lit(1 << 30)) * F.col("count") < F.lit(SAMPLE_ROWS << 30))
-        .select("_lang", key.alias("_key"), F.substring("_text", 1, EXCERPT).alias("_text"))
+        .where(F.pmod("_key", F.lit(1 << 30)) * F.col("count") < F.lit(2 * SAMPLE_ROWS << 30))
+        .groupBy("_lang", "_key")
+        .agg(F.min("_text").alias("_text"))
+        .withColumn("_rank", F.expr(f"row_number() over (partition by _lang order by pmod(_key, {1 << 30}), _key)"))
+        .where(F.col("_rank") <= SAMPLE_ROWS)
+        .select("_lang", "_key", "_text")
     )
     texts: dict[str, list[str]] = {}
     for lang, _, text in sorted(map(tuple, sampled.collect())):

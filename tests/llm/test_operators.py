@@ -214,6 +214,15 @@ def test_language(spark):
     assert langid.labelled_sample(docs(spark, [])) == ()
 
 
+def test_language_sample_takes_copies_once(spark):
+    opening = "all begin alike " * 30
+    texts = [("aa", f"group {k % 40} of copies") for k in range(4000)] + [("bb", f"text number {k}") for k in range(900)] + [("cc", opening + str(k)) for k in range(300)]
+    rows = spark.createDataFrame([(k, t, lang, "x") for k, (lang, t) in enumerate(texts)], SCHEMA)
+    found = {lang: text.split("\n") for lang, text in langid.labelled_sample(rows)}
+    assert sorted(found["aa"]) == sorted(f"group {k} of copies" for k in range(40))
+    assert len(set(found["bb"])) == len(found["bb"]) == langid.SAMPLE_ROWS and found["cc"] == [opening[: langid.EXCERPT]]
+
+
 def test_exact_dedup(spark):
     rows = exact_dedup.exact_groups(docs(spark, [*ODD, (9, "a b"), (10, "y" * 5000), (11, "y" * 5000)])).collect()
     got = sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in rows)
