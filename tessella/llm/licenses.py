@@ -1,7 +1,8 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-Texts are cut into sentences, which are normalised and looked up among the known sentences of
-license notices; the sequence of the numbers found is then compared with each license's own
+Texts are normalised and cut into sentences and lines. What stands between any two cuts, with
+no sentence's end or blank line between, is looked up among the known sentences of license
+notices, so that a sentence may be broken over lines, indented or commented; the sequence of the numbers found is then compared with each license's own
 sequence. A license is found where its sentences follow each other, with no other known
 sentence between.
 """
@@ -60,37 +61,71 @@ NOTICES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ),
     ("all-rights-reserved", ("All rights reserved",)),
 )
-#: A line that goes on with a small letter continues the sentence before; what ends a sentence.
-WRAP, END, OTHER = r"([^.;:!?\n])\n([a-z])", r"[.;:!?]+[ \t\r\n]", "[^a-z0-9]+"
+#: Further ones, numbered after those.
+SPDX_IDS = (
+    *("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "Unlicense", "0BSD", "Zlib", "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0"),
+    *(f"{k}{how}" for k in ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for how in ("", "-only", "-or-later")),
+)
+_GNU = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation"
+_LATER = "either version {} of the License, or (at your option) any later version"
+_BSD = NOTICES[8][1]
+MORE_NOTICES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("gpl-2.0-or-later", ("This program is free software", _GNU.format("General Public License"), _LATER.format("2"))),
+    ("gpl-2.0-only", ("This program is free software", _GNU.format("General Public License version 2"))),
+    ("gpl-2.0-only", ("This program is free software", _GNU.format("General Public License"), "version 2 of the License")),
+    ("gpl-3.0-or-later", ("This program is free software", _GNU.format("General Public License"), _LATER.format("3"))),
+    ("lgpl-2.0-or-later", ("This library is free software", _GNU.format("Library General Public License"), _LATER.format("2"))),
+    ("lgpl-2.1-or-later", ("This library is free software", _GNU.format("Lesser General Public License"), _LATER.format("2.1"))),
+    *(("lgpl-3.0-or-later", (f"This {what} is free software", _GNU.format("Lesser General Public License") + x)) for what in ("library", "program") for x in (", " + _LATER.format("3"),)),
+    *(("lgpl-3.0-or-later", (f"This {what} is free software", _GNU.format("Lesser General Public License"), _LATER.format("3"))) for what in ("library", "program")),
+    ("agpl-3.0-or-later", ("This program is free software", _GNU.format("Affero General Public License") + ", " + _LATER.format("3"))),
+    ("agpl-3.0-or-later", ("This program is free software", _GNU.format("Affero General Public License"), _LATER.format("3"))),
+    ("mpl-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v",)),
+    ("unlicense", ("This is free and unencumbered software released into the public domain",)),
+    (
+        "bsd-2-clause",
+        (
+            *_BSD[:3],
+            'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+        ),
+    ),
+    ("isc", ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",)),
+    *((f"spdx:{k}", (f"SPDX-License-Identifier {k}",)) for k in SPDX_IDS),
+)
+#: What ends a sentence; comment marks that read as one, or as a word, at a line's start.
+END, MARK, OTHER = r"[.;:!?]+[ \n]", r"(?m)^ *(?:[;!]+|dnl|rem)(?=[ \n])", "[^a-z0-9]+"
 
 
 def normalised(sentence: str) -> str:
     return re.sub(OTHER, " ", sentence.lower()).strip(" ")
 
 
-def rules() -> tuple[dict[str, int], list[tuple[str, list[int]]]]:
+def rules(notices: tuple[tuple[str, tuple[str, ...]], ...] = NOTICES) -> tuple[dict[str, int], list[tuple[str, list[int]]]]:
     """Number of each normalised sentence, and each license's sequence of numbers."""
     numbers: dict[str, int] = {}
     out = []
-    for name, sentences in NOTICES:
+    for name, sentences in notices:
         out.append((name, [numbers.setdefault(normalised(s), len(numbers)) for s in sentences]))
     return numbers, out
 
 
 def _known(text: Column) -> Column:
-    numbers, _ = rules()
+    numbers, _ = rules(NOTICES + MORE_NOTICES)
     table_ = F.create_map(*[x for s, k in numbers.items() for x in (F.lit(s), F.lit(k))])
-    joined = F.regexp_replace(text, WRAP, "$1 $2")
-    pieces = F.split(F.regexp_replace(joined, END, "\n"), "\n", -1)
-    longest, shortest = max(map(len, numbers)), min(map(len, numbers))
-    # a piece has as many letters and digits at least as its normalised form has
-    maybe = F.filter(pieces, lambda p: F.length(p) >= shortest)
-    found = F.transform(maybe, lambda p: F.trim(F.regexp_replace(F.lower(p), OTHER, " ")))
-    return F.transform(F.filter(found, lambda p: (F.length(p) <= longest) & F.map_contains_key(table_, p)), lambda p: F.try_element_at(table_, p))
+    # a vertical tab ends a sentence; a tab is a line's end within one, two are a blank line
+    lowered = F.replace(F.lower(text), F.lit("spdx-license-identifier:"), F.lit("spdx-license-identifier "))
+    lines = F.regexp_replace(F.translate(lowered, "\t\r\v", "   "), MARK, "")
+    ended = F.regexp_replace(lines, END, "\v")
+    plain = F.regexp_replace(F.translate(ended, "\n", "\t"), r"[^a-z0-9\t\x0b]+", " ")
+    cut = F.regexp_replace(F.concat(F.lit("\v"), plain, F.lit("\v")), r" ?([\t\x0b]) ?", "$1")
+    # longest first; the words of a sentence may stand on two lines
+    any_of = "|".join(s.replace(" ", "[ \\t]") for s in sorted(numbers, key=len, reverse=True))
+    found = F.regexp_extract_all(cut, F.lit(rf"(?<=[\t\x0b])(?:{any_of})(?=[\t\x0b])"), F.lit(0))
+    return F.transform(found, lambda p: F.try_element_at(table_, F.translate(p, "\t", " ")))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Adds sentence_ids (array, in order) and licenses (array, in the order of NOTICES).
+    """Adds sentence_ids (array, in order) and licenses (array, in the order of NOTICES, then MORE_NOTICES).
 
     A null or empty text has none. Null ids, repeated rows and further columns (`carry`,
     default all) pass as they are; columns named like the new ones are replaced.
@@ -98,8 +133,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ("sentence_ids", "licenses")]
     rows = docs.select(*carry, _known(text_or_empty(text_col)).alias("_known"))
     path = F.concat(F.lit(","), F.array_join(F.transform("_known", lambda k: k.cast("string")), ","), F.lit(","))
-    named = F.array(*[F.when(F.contains("_path", F.lit("," + ",".join(map(str, sequence)) + ",")), F.lit(name)) for name, sequence in rules()[1]])
-    return rows.withColumn("_path", path).select(*carry, F.col("_known").alias("sentence_ids"), F.array_compact(named).alias("licenses"))
+    named = F.array(*[F.when(F.contains("_path", F.lit("," + ",".join(map(str, sequence)) + ",")), F.lit(name)) for name, sequence in rules(NOTICES + MORE_NOTICES)[1]])
+    return rows.withColumn("_path", path).select(*carry, F.col("_known").alias("sentence_ids"), F.array_distinct(F.array_compact(named)).alias("licenses"))
 
 
 def op10_licenses(spark, sf_dir):

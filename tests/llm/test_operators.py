@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -303,3 +304,22 @@ def test_licenses(spark):
     wrapped = "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or\nwithout fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
     found = licenses.scan_licenses(docs(spark, [(1, text), (2, wrapped), (3, None), (4, sentences[1] + ". " + sentences[0])])).collect()
     assert [r.licenses for r in found] == [[name], ["isc"], [], []] and [len(r.sentence_ids) for r in found] == [3, 1, 0, 2]
+
+
+def test_wrapped_and_commented_licenses(spark):
+    texts, want = [], []
+    for name, sentences in licenses.NOTICES + licenses.MORE_NOTICES:
+        for mark in ("", "    ", "# ", " * ", "// ", ";; ", "! ", "-- ", "dnl ", "REM "):
+            lines = textwrap.wrap(". ".join(sentences) + ".", 40, break_on_hyphens=False)
+            texts.append("a line before\n\n" + "\n".join(mark + x for x in lines) + "\n\nx = 1")
+            want.append(name)
+    fsf = "This program is free software{} you can redistribute it and/or modify\n{}it under the terms of the GNU General Public License as published by\n{}the Free Software Foundation{} either version {} of the License, or\n{}(at your option) any later version.\n{}\n{}This program is distributed in the hope that it will be useful,\n{}but WITHOUT ANY WARRANTY; without even the implied warranty"
+    for m in ("", " * ", "# "):
+        texts += [m + fsf.format(":", m, m, ",", 3, m, m, m, m), m + fsf.format(";", m, m, ";", 2, m, m, m, m)]
+        want += ["gpl-3.0-or-later", "gpl-2.0-or-later"]
+    texts += ["/* SPDX-License-Identifier: GPL-2.0-only */\r\nint x;", "A title\nReleased under the MIT License\nMore"]
+    want += ["spdx:GPL-2.0-only", "mit-line"]
+    found = {r.doc_id: r.licenses for r in licenses.scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    assert [(want[i], texts[i]) for i in found if want[i] not in found[i]] == []
+    broken = "Permission to use, copy, modify, and/or distribute\n\nthis software"
+    assert licenses.scan_licenses(docs(spark, [(1, broken)])).first().licenses == []
