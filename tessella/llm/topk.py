@@ -12,11 +12,12 @@ together, as products of matrices.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import importable, table, written
@@ -25,6 +26,7 @@ CANDIDATES, QUERIES, BLOCKS_A_TASK = 4096, 256, 16
 DEPTHS = (0.125, 0.5)
 SCALE = 64
 MOST_COMPONENT = 1 << 20  # components beyond +-2^20 would not be exact in the products of doubles
+LEAST_SCORE = -(1 << 63)  # stands for a score that is no long
 
 
 class SortedLists:
@@ -81,6 +83,28 @@ class SortedLists:
         return j[keep], self.ids[c[keep]], np.rint(score[keep]).astype(np.int64)
 
 
+def _integers(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) of raw components, as Python's integers; integers stay."""
+    if x.dtype.kind == "i":
+        return x.astype(object)
+    return np.array([math.floor(v * SCALE) if abs(v) < 1 << 53 else int(v) * SCALE for v in x.ravel().tolist()], object).reshape(x.shape)
+
+
+def exact_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As SortedLists.search, of all candidates, where components are large."""
+    a, b = _integers(x), _integers(queries)
+    most_a, most_b = int(np.abs(a).max(initial=0)), int(np.abs(b).max(initial=0))
+    if max(most_a, most_b, most_a * most_b * x.shape[1]) < 1 << 63:
+        score = a.astype(np.int64) @ b.astype(np.int64).T
+    else:
+        score = a @ b.T
+        if ((score >= 1 << 63) & (ids[:, None] != query_ids[None, :])).any():
+            raise OverflowError("a score among the best is no 64-bit integer")
+        score = np.clip(score, LEAST_SCORE, (1 << 63) - 1).astype(np.int64)
+    c, j = np.nonzero(ids[:, None] != query_ids[None, :])
+    return j, ids[c], score[c, j]
+
+
 def best(j: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query number, ties to the smaller id, and their rank from 1."""
     order = np.lexsort((ids, -score, j))
@@ -92,15 +116,17 @@ def best(j: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.
 
 
 def _blocks(vectors: DataFrame, block: str, width: int) -> DataFrame:
-    """One row a block: its ids and its integer components as bytes."""
+    """One row a block: its ids and its integer components, or large ones as they are, as bytes."""
 
     def pack(found):  # without hints: else all need them
-        x = np.zeros((found.num_rows, width), np.int64)
+        x = np.zeros((found.num_rows, width))
         v = found.column("_v").combine_chunks()
         sizes = np.diff(v.offsets.to_numpy())
         row = np.repeat(np.arange(found.num_rows), sizes)
         x[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = v.flatten().to_numpy()
-        x = x.astype(np.int8 if np.abs(x).max(initial=0) < 128 else np.int32)
+        if np.abs(x).max(initial=0) < MOST_COMPONENT / SCALE:  # else they stay raw
+            x = np.floor(x * SCALE)
+            x = x.astype(np.int8 if np.abs(x).max(initial=0) < 128 else np.int32)
         ids = found.column("_id").to_numpy().astype(np.int64)
         return pa.table({block: pa.array([found.column(block)[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "x": [x.tobytes()], "kind": [x.dtype.str]})
 
@@ -111,28 +137,34 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     """query_id, rank, vec_id, score of the k best candidates of each query.
 
     Components become floor(SCALE * x). A row takes no part if its id or vector is null, or
-    if its vector holds a null or non-finite component or one beyond +-MOST_COMPONENT after
-    scaling. Shorter vectors count as ending in zeros. The id is the key: of rows that repeat
-    one, the greatest vector stands for all. Every other row is a candidate; a query with
+    if its vector holds a null or non-finite component. Shorter vectors count as ending in
+    zeros. Rows may share an id: each is a candidate of all queries with another id, and the
+    queries that share one have one ranking of all their pairs. Vectors with components beyond
+    +-MOST_COMPONENT after scaling are in blocks of their own, which go by exact integers; a
+    score among the best that is no 64-bit integer is an error. A query with
     fewer than k gets all; equal scores go by id. An empty table gives no rows. `is_query` is
     a condition on the id column; further columns are not read.
     """
     spark = vectors.sparkSession
     importable(spark)
-    scaled = F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE))
-    ok = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * SCALE < MOST_COMPONENT))
+    real = F.transform(vector_col, lambda x: x.cast("double"))
+    ok = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(F.coalesce(ok, F.lit(False)))
-    rows = rows.select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_query"), scaled.alias("_v"))
-    rows = rows.groupBy("_id").agg(F.max("_v").alias("_v"), F.max("_query").alias("_query"))
+    rows = rows.select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_query"), real.alias("_v"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.withColumn("_large", F.exists("_v", lambda x: F.abs(x) >= MOST_COMPONENT / SCALE))
     rows = written(rows, "vectors")
     n, queries, width = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.size("_v"))).first()
     n_blocks, n_queries, width = -(-n // CANDIDATES) or 1, -(-queries // QUERIES) or 1, width or 1
     groups = -(-n_blocks // BLOCKS_A_TASK)
-    h = F.xxhash64("_id")
-    candidates = _blocks(rows.withColumn("_cb", F.pmod(h, F.lit(n_blocks))), "_cb", width)
-    asked = _blocks(rows.where("_query").withColumn("_qb", F.pmod(h, F.lit(n_queries))), "_qb", width)
+    h = F.xxhash64("_row")  # ids may repeat
+
+    def block_of(n: int) -> Column:  # those of large components come after
+        return F.pmod(h, F.lit(n)) + F.when(F.col("_large"), n).otherwise(0)
+
+    candidates = _blocks(rows.withColumn("_cb", block_of(n_blocks)), "_cb", width)
+    asked = _blocks(rows.where("_query").withColumn("_qb", block_of(n_queries)), "_qb", width)
     # the stated queries, in blocks, against all candidates, in blocks
-    left = candidates.select(F.explode(F.expr(f"sequence(0L, {n_queries - 1}L)")).alias("_qb"), F.pmod("_cb", F.lit(groups)).alias("_g"), *["ids", "x", "kind"])
+    left = candidates.select(F.explode(F.expr(f"sequence(0L, {2 * n_queries - 1}L)")).alias("_qb"), F.pmod("_cb", F.lit(groups)).alias("_g"), *["ids", "x", "kind"])
     right = asked.select("_qb", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("_g"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "kind")])
     pairs = left.join(right.hint("shuffle_merge"), ["_qb", "_g"]).select("_qb", "ids", "x", "kind", "q_ids", "q_x", "q_kind")
 
@@ -151,14 +183,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
                 last = np.full(len(ids), np.inf)
                 np.minimum.at(last, old[1], old[3])
                 bar[full] = last[full]
-                new = SortedLists(*read(row, "")).search(ids, q, k, bar)
+                own, x = read(row, "")
+                new = exact_search(own, x, ids, q) if "f" in (x.dtype.kind, q.dtype.kind) else SortedLists(own, x).search(ids, q, k, bar)
                 found[row["_qb"]] = (ids, *best(*(np.concatenate(x) for x in zip(old[1:], new, strict=True)), k)[:3])
         for ids, j, other, score in found.values():
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(other), pa.array(score)], ["query_id", "vec_id", "score"])
 
     best_of_groups = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return best_of_groups.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    score = F.when(F.col("score") == LEAST_SCORE, F.raise_error(F.lit("a score among the best is no 64-bit integer")).cast("long")).otherwise(F.col("score")).alias("score")
+    return best_of_groups.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op9_topk(spark, sf_dir):

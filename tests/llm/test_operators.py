@@ -298,6 +298,20 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    rng = random.Random(9)
+    rows = [(k % 70, [rng.uniform(-1, 1) * 10 ** (rng.choice((0, 0, 0, 5, 6))) for _ in range(4)]) for k in range(100)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 9).collect()
+    e = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+    want = []
+    for i in range(0, 70, 20):
+        pairs = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for q, v in e if q == i for j, w in e if j != i)
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(pairs[:9])]
+    assert sorted(map(tuple, found)) == want
+
+
 def test_licenses(spark):
     name, sentences = licenses.NOTICES[1]
     text = "Intro.\n" + "; ".join(sentences) + "\n\nhttp://example.org"
