@@ -18,7 +18,6 @@ import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import LATIN_WORDS
+from .bpe import LATIN_WORDS, byte_letters
 from .common import importable, table, text_or_empty
 
 WINDOW = 2048
@@ -154,7 +153,8 @@ class _Packer:
 
 class TokenizerWords:
     """Ids of texts, as bytes. Words met lately are looked up; those that are new in a block of
-    texts are encoded together by the tokenizers library."""
+    texts go to the library's BPE model, without its normalizer and pre-splitter, as they are
+    normal and split already."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -164,6 +164,8 @@ class TokenizerWords:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -198,17 +200,13 @@ class TokenizerWords:
         return out
 
     def _learn(self, missing: set[str]) -> None:
-        new = []
         for word in missing:
             if (x := self.old.get(word)) is None:
-                new.append(word)
-            else:
-                self.words[word] = x
-        for word, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.words[word] = array("I", x.ids).tobytes()
+                letters = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
+                x = array("I", [t.id for t in self.merge(letters)]).tobytes()
+            self.words[word] = x
 
 
-@lru_cache(maxsize=2)
 def _ids_encoder(path: str) -> tuple[TokenizerWords, np.ndarray]:
     encoder = TokenizerWords(path)
     vocab = encoder.tokenizer.get_vocab()
@@ -237,7 +235,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = _ids_encoder(path)
+        encoder, ends = _ids_encoder(path)  # dropped with the task: idle workers hold no words
         end = array("I", [END_ID]).tobytes()
         packer, kind = _Packer(TaskContext.get().partitionId(), ends, window), None
 
