@@ -68,6 +68,29 @@ def text_or_empty(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def running(values: Column, op, zero: Column, kind: str = "int", chunk: int = 512) -> Column:
+    """Array of op over the values up to each. Results are appended chunk by chunk, so that
+    no append copies more than `chunk` of them."""
+
+    def chain(x: Column, start: Column, inclusive: bool) -> Column:
+        step = lambda acc, v: op(acc["at"], v)
+        return F.aggregate(
+            x,
+            F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda acc, v: F.struct(step(acc, v).alias("at"), F.concat(acc["out"], F.array(step(acc, v) if inclusive else acc["at"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def of(chunks: Column) -> Column:
+        bases = chain(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), zero, False)
+        return F.flatten(F.zip_with(chunks, bases, lambda c, b: chain(c, b, True)))
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int") + F.when(F.size(v) == 0, 1).otherwise(0)), lambda k: F.slice(v, k * chunk + 1, F.lit(chunk)))
+    # each is computed once: a lambda's variable is computed before its body
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    return once(values, lambda v: once(cut(v), of))
+
+
 def join_counted(
     left: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, spread: Column, least: int = 1000, groups_at_most: int = 4096
 ) -> DataFrame:

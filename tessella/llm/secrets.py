@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, literal_table, table, text_or_empty
+from .common import HashFilter, join_counted, literal_table, running, table, text_or_empty, written
 
 
 @dataclass(frozen=True)
@@ -38,7 +38,7 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("pay_key", "[rs]k_live_[A-Za-z0-9]+", least=24),
@@ -133,39 +133,22 @@ def _candidates(rows: DataFrame, rules: list[tuple[int, Query]]) -> DataFrame:
 
 
 def _spans(text: str, matches: str, number: int, rule: Rule) -> Column:
-    """Spans (start, number, end, kind) of a rule's matches: the pieces between the matches
-    and the matches in turn give the offsets, in code points."""
-    pattern = F.lit(rule.regex)
-    made = F.transform(
-        F.array(F.struct(F.col(matches).alias("m"), F.split(F.col(text), pattern, -1).alias("p"))),
-        lambda s: F.aggregate(
-            F.sequence(F.lit(0), F.size(s["m"]) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,number:int,end:int,kind:string,text:string>>").alias("out")),
-            lambda acc, i: F.struct(
-                (acc["at"] + F.length(s["p"][i]) + F.length(s["m"][i])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(s["p"][i])).alias("start"),
-                            F.lit(number).alias("number"),
-                            (acc["at"] + F.length(s["p"][i]) + F.length(s["m"][i])).alias("end"),
-                            F.lit(rule.kind).alias("kind"),
-                            s["m"][i].alias("text"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    )[0]
+    """Spans (start, number, end, kind) of a rule's matches: the lengths of the pieces between
+    the matches and of the matches, added up, give the offsets, in code points."""
+
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x["m"], lambda m, k: F.length(m) + F.length(F.get(x["p"], k))), lambda a, b: a + b, F.lit(0))
+        made = F.zip_with(
+            x["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(number).alias("number"), e.alias("end"), F.lit(rule.kind).alias("kind"), m.alias("text"))
+        )
+        return F.transform(F.filter(made, good), lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind")))
 
     def good(span: Column) -> Column:
         long = F.length(span["text"]) >= rule.least
         return long & (F.length(F.regexp_extract(span["text"], rule.regex, rule.value)) >= rule.value_least) if rule.value else long
 
-    bare = F.transform(F.filter(made, good), lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return F.when(F.size(matches) > 0, bare)
+    pieces = F.struct(F.col(matches).alias("m"), F.split(F.col(text), F.lit(rule.regex), -1).alias("p"))
+    return F.when(F.size(matches) > 0, F.transform(F.array(pieces), placed)[0])
 
 
 EMPTY = "array<struct<start:int,number:int,end:int,kind:string>>"
@@ -177,8 +160,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     Offsets count code points, the end is exclusive. Of one kind, matches are those of a scan
     from the left without overlap, less those that are too short. A null text counts as empty
     and has no spans. Rows are told apart by id and text, so null and repeated ids are no
-    matter, and repeated rows get the same spans. All columns of `carry` (default: all) are
-    kept; an input column `secret_spans` is replaced.
+    matter, and repeated rows get the same spans. Texts of any length are searched whole, in
+    time in proportion to their length and matches. All columns of `carry` (default: all) are
+    kept; an input column `secret_spans` is replaced. An empty table gives no rows.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c != "secret_spans"]
     rows = docs.select(
@@ -204,11 +188,15 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     if not indexed:
         found = scanned.withColumn("_spans", F.array().cast(EMPTY))
     else:
-        candidates = _candidates(rows, indexed)
-        chosen = HashFilter(candidates, ["_id", "_hash"]).mark(rows.select("_id", "_hash", "_text"), ["_id", "_hash"], "_maybe").where("_maybe")
-        verified = search(chosen.join(candidates, ["_id", "_hash"]), [k for k, _ in indexed], F.col("_rules"))
-        verified = verified.where(F.size("_spans") > 0).groupBy("_id", "_hash").agg(F.first("_spans").alias("_spans"))
-        found = scanned.join(verified, ["_id", "_hash"], "left")
+        key = ["_id", "_hash"]
+        candidates = written(_candidates(rows, indexed), "candidates")  # read three times
+        chosen = HashFilter(candidates, key).mark(rows.select(*key, "_text"), key, "_maybe").where("_maybe")
+        # rows that repeat id and text are one text, counted
+        chosen = chosen.groupBy(*key).agg(F.first("_text").alias("_text"), F.count("*").alias("_n"))
+        verified = search(chosen.join(candidates, key), [k for k, _ in indexed], F.col("_rules"))
+        verified = verified.where(F.size("_spans") > 0).select(*key, "_n", "_spans")
+        verified = written(verified, "verified")
+        found = join_counted(scanned, verified, key, "_n", docs.count(), F.monotonically_increasing_id())
     both = F.array_sort(F.concat("_full_spans", F.coalesce("_spans", F.array().cast(EMPTY))))
     return found.select(*[F.col(f"_row.{c}").alias(c) for c in carry], both.alias("secret_spans"))
 
@@ -267,32 +255,44 @@ FROM docs LEFT JOIN per USING (row)
 OP5_SQL = _sql()
 
 
+#: Code points in a block of a text that is cut: no piece is looked for in more of it.
+BLOCK = 1024
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each span (by start) as its kind in angle brackets. Of overlapping spans
+    the one that starts first counts, to the furthest end reached."""
+
+    def merged(v: Column) -> Column:
+        starts = F.filter(v["s"], lambda s, k: (k == 0) | (s["start"] >= F.get(v["to"], k - 1)))
+        ends = F.filter(v["to"], lambda e, k: (k == F.size(v["to"]) - 1) | (F.get(v["s"], k + 1)["start"] >= e))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s["start"].alias("start"), e.alias("end"), s["kind"].alias("kind")))
+
+    def cut(v: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            def part(k: Column) -> Column:
+                start = F.greatest(a - k * BLOCK, F.lit(0))
+                return F.substring(F.get(v["blocks"], k), start + 1, F.least(b - k * BLOCK, F.lit(BLOCK)) - start)
+
+            blocks = F.sequence(F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int"))
+            return F.when(b > a, F.array_join(F.transform(blocks, part), "")).otherwise("")
+
+        before = F.transform(v["s"], lambda s, k: F.concat(piece(F.coalesce(F.get(v["s"], k - 1)["end"], F.lit(0)), s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+        return F.concat(F.array_join(before, ""), piece(F.element_at(v["s"], -1)["end"], v["n"]))
+
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    whole = F.struct(spans.alias("s"), running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)).alias("to"))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return once(F.struct(blocks.alias("blocks"), F.length(text).alias("n"), once(whole, merged).alias("s")), cut)
+
+
 def secrets_stage(spark, docs, sf_dir):
     """Pipeline stage: each secret in a text is replaced by its kind in angle brackets.
 
-    Of overlapping spans the one that starts first counts, to the furthest end reached.
+    A text without secrets stays as it is, a null one too. Every row stays, repeated ones and
+    those with a null id as well. An empty table gives no rows.
     """
     found = find_secrets(docs)
-    text, spans = text_or_empty("text"), F.col("secret_spans")
-    # overlapping spans become one: a span joins the last one if it starts before its end
-    merged = F.aggregate(
-        spans,
-        F.array().cast(EMPTY),
-        lambda out, s: F.when(
-            (F.size(out) > 0) & (s["start"] < F.try_element_at(out, F.lit(-1))["end"]),
-            F.concat(
-                F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))),
-                F.transform(F.array(F.try_element_at(out, F.lit(-1))), lambda x: F.struct(x["start"].alias("start"), x["number"].alias("number"), F.greatest(x["end"], s["end"]).alias("end"), x["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(out, F.array(s))),
-    )
-    redacted = F.transform(
-        F.array(F.struct(text.alias("t"), merged.alias("s"))),
-        lambda v: F.aggregate(
-            v["s"],
-            F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-            lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(v["t"], acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("out")),
-            lambda acc: F.concat(acc["out"], F.substring(v["t"], acc["at"] + 1, F.length(v["t"]))),
-        ),
-    )[0]
-    return found.withColumn("text", F.when(F.size(spans) > 0, redacted).otherwise(F.col("text"))).select(*docs.columns)
+    spans = F.col("secret_spans")
+    text = F.when(F.size(spans) > 0, redacted(text_or_empty("text"), spans)).otherwise(F.col("text"))
+    return found.withColumn("text", text).select(*docs.columns)
