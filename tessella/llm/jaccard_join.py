@@ -13,16 +13,15 @@ which just counts and one edge a node come out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, importable, join_counted, table, text_or_empty, written
+from .common import HashFilter, importable, join_counted, lean, table, text_or_empty, written
 from .components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -30,8 +29,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS, TOLERANCE = (16, 32, 64, 128), 1e-7
-BUCKET_BLOCK, NODE_BLOCK, MOST_PAIRS = 512, 128, 400_000
-BLOCK, CACHED_WORDS = 1_500_000, 250_000
+BUCKET_BLOCK, NODE_BLOCK, MOST_PAIRS = 512, 128, 100_000
+BLOCK, CACHED_WORDS = 1_000_000, 100_000
 U = np.uint64
 
 
@@ -114,13 +113,8 @@ class Shingler:
         return out
 
 
-@lru_cache(maxsize=1)
-def _shingler() -> Shingler:
-    return Shingler()
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingler = _shingler()
+    shingler = Shingler()
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -132,8 +126,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shingles, starts = shingler.sets(texts)
             sigs = shingler.signatures(shingles, starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, at - start), pa.array(shingler.nodes(shingles, starts)), pa.array(np.diff(starts)), pa.array([s.tobytes() for s in sigs], pa.binary())],
-                ["_id", "node", "n", "sig"],
+                [*(batch.column(c).slice(start, at - start) for c in (0, 2)), pa.array(shingler.nodes(shingles, starts)), pa.array(np.diff(starts)), pa.array([s.tobytes() for s in sigs], pa.binary())],
+                ["_id", "text_hash", "node", "n", "sig"],
             )
 
 
@@ -216,10 +210,11 @@ def _group_starts(t: pa.Table) -> list[int]:
 
 def _pack_sets(found):  # without hints: else all need them
     """One row for the nodes of a place: their sets, from one text each."""
-    shingles, starts = _shingler().sets(found.column("_text").to_pylist())
-    node = _shingler().nodes(shingles, starts)
+    shingler = Shingler()
+    shingles, starts = shingler.sets(found.column("_text").to_pylist())
+    node = shingler.nodes(shingles, starts)
     want = found.column("node").to_numpy()
-    # rows that repeat an id with another text are not the node's
+    # a text with another's hash is not the node's
     _, first = np.unique(np.where(node == want, want, -1), return_index=True)
     use = np.sort(first[node[first] == want[first]])
     parts = [shingles[starts[k] : starts[k + 1]] for k in use.tolist()]
@@ -250,7 +245,7 @@ def verify_pairs(i: np.ndarray, j: np.ndarray, shingles: np.ndarray, starts: np.
         row, column = row[keep], column[inverse[keep]]
         shared = np.zeros((len(used), len(used)), np.float32)
         width = int((counts > 1).sum())
-        step = max(1024, (1 << 24) // max(1, len(used)))
+        step = max(1024, (1 << 22) // max(1, len(used)))
         for at in range(0, width, step):
             here = (column >= at) & (column < at + step)
             m = np.zeros((len(used), min(step, width - at)), np.float32)
@@ -301,6 +296,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(np.rint(links[at]).astype(np.int64)), pa.array(node[root[at]])], ["node", "links", "root"])
 
 
+def _id_key(id_: Column) -> Column:
+    """An id as a key of joins, null too."""
+    return F.coalesce(id_.cast("string"), F.lit("\0"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, class_id, set_id, n_links.
 
@@ -309,16 +309,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only. set_id is the least id among the texts with the same set; class_id the least id of
     all that are connected by links, a link being a similarity of at least THRESHOLD; n_links
     the number of other rows linked to the row, its copies included. Ids that are null are
-    not counted as least; a set of which all ids are null links with its copies alone. Further
-    columns are not read. Sets are told apart by 64-bit fingerprints, shingles by 64-bit hashes.
+    not counted as least (a class of null ids alone has class_id null); their texts link as all
+    others do. Texts of any length count whole. Rows that repeat an id, with the same text or
+    another, are rows of their own. An empty table gives no rows. Further columns are not
+    read. Sets are told apart by 64-bit fingerprints, shingles by 64-bit hashes.
     """
+    return _classes(docs, id_col, text_col).select(F.col("_id").alias(id_col), "class_id", "set_id", "n_links")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: _id, text_hash, class_id, set_id, n_links, and keeper: (id key, text_hash) of
+    the text that stands for the class, one with the least id."""
     spark = docs.sparkSession
     importable(spark)
-    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("text_hash", F.xxhash64("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    sketch = written(texts.mapInArrow(_sketch, f"_id {kind}, node long, n long, sig binary"), "sketch")
-    nodes = sketch.groupBy("node").agg(F.min("_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes, "nodes")
+    sketch = written(texts.mapInArrow(lean(_sketch), f"_id {kind}, text_hash long, node long, n long, sig binary"), "sketch")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "text_hash")).alias("at")  # nulls last
+    nodes = sketch.groupBy("node").agg(first, F.count("*").alias("copies"), F.max("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("at.id").alias("rep"), "at", "copies", "n", "sig"), "nodes")
 
     # bands: (node, band, key); only keys that two nodes have go on
     at = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
@@ -334,7 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = labels.groupBy("label").agg(F.count("*").alias("_in"))
     places = join_counted(labels, sizes, ["label"], "_in", labels.count(), F.struct("node"))
     places = places.select("node", "label", F.pmod(F.xxhash64("node"), F.ceil(F.col("_in") / NODE_BLOCK)).alias("place"))
-    places = written(places.join(nodes.select("node", "rep", "copies", "sig"), "node"), "places")
+    places = written(places.join(nodes.select("node", "at", "copies", "sig"), "node"), "places")
 
     # blocks of a bucket, each with each
     g = F.ceil(F.col("size") / BUCKET_BLOCK)
@@ -344,15 +353,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = blocks.join(places.select("node", "label", "place", "sig"), "node")
     keys = ["band", "key", "a", "b"]
     blocks = blocks.select(*keys, "sub", "node", "label", "place", "sig").repartition(*keys).sortWithinPartitions(*keys)
-    pairs = blocks.mapInArrow(_pairs, "l1 long, s1 long, l2 long, s2 long, i array<long>, j array<long>")
+    pairs = blocks.mapInArrow(lean(_pairs), "l1 long, s1 long, l2 long, s2 long, i array<long>, j array<long>")
     pairs = pairs.groupBy("l1", "s1", "l2", "s2").agg(F.flatten(F.collect_list("i")).alias("i"), F.flatten(F.collect_list("j")).alias("j"))
     pairs = written(pairs, "pairs")
 
     # the sets of the nodes that are left, by place
     left = pairs.select(F.explode(F.array_union("i", "j")).alias("node")).distinct()
-    wanted = written(places.select("node", "label", "place", "rep", "copies").join(left, "node").where("rep is not null"), "wanted")
-    chosen = HashFilter(wanted.select(F.col("rep").alias("_id")), ["_id"]).mark(texts, ["_id"], "_maybe").where("_maybe")
-    chosen = chosen.join(wanted, F.col("_id") == F.col("rep")).select("label", "place", "node", "copies", "_text")
+    wanted = places.select("node", "label", "place", "copies", _id_key(F.col("at.id")).alias("_key"), F.col("at.text_hash").alias("text_hash"))
+    wanted = written(wanted.join(left, "node"), "wanted")
+    one = ["_key", "text_hash"]
+    chosen = HashFilter(wanted, one).mark(texts.withColumn("_key", _id_key(F.col("_id"))), one, "_maybe").where("_maybe")
+    # rows that repeat id and text are one text
+    chosen = chosen.groupBy(*one).agg(F.first("_text").alias("_text")).join(wanted, one).select("label", "place", "node", "copies", "_text")
     sets = chosen.groupBy("label", "place").applyInArrow(_pack_sets, "label long, place long, nodes binary, copies binary, sizes binary, sets binary")
     sets = written(sets, "sets")
     side = lambda x: sets.select(F.col("label").alias(f"l{x}"), F.col("place").alias(f"s{x}"), *[F.col(c).alias(f"{c}{x}") for c in ("nodes", "copies", "sizes", "sets")])
@@ -361,27 +373,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inside = inside.select("i", "j", F.lit(True).alias("same"), *[F.col(f"{c}{x}") if x == 1 else F.lit(None).cast("binary").alias(f"{c}{x}") for x in (1, 2) for c in ("nodes", "copies", "sizes", "sets")])
     across = pairs.where(~same).join(side(1), ["l1", "s1"]).join(side(2), ["l2", "s2"])
     across = across.select("i", "j", F.lit(False).alias("same"), *[f"{c}{x}" for x in (1, 2) for c in ("nodes", "copies", "sizes", "sets")])
-    linked = written(inside.unionByName(across).mapInArrow(_verify, "node long, links long, root long"), "links")
+    linked = written(inside.unionByName(across).mapInArrow(lean(_verify), "node long, links long, root long"), "links")
 
     parts = connected_components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "rep", "copies").join(links, "node", "left").join(parts, "node", "left")
+    known = nodes.select("node", "rep", "at", "copies").join(links, "node", "left").join(parts, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node"))
-    classes = known.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("_in"))
+    classes = known.groupBy("component").agg(F.min("rep").alias("class_id"), F.min("at").alias("keeper"), F.count("*").alias("_in"))
     known = join_counted(known, classes, ["component"], "_in", nodes.count(), F.struct("node"))
-    known = known.select("node", "copies", F.col("class_id"), F.col("rep").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = join_counted(sketch.select("_id", "node"), known, ["node"], "copies", sketch.count(), F.struct("_id"))
-    return out.select(F.col("_id").alias(id_col), "class_id", "set_id", "n_links")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    known = known.select("node", "copies", "class_id", F.col("rep").alias("set_id"), n_links, F.struct(_id_key(F.col("keeper.id")).alias("key"), "keeper.text_hash").alias("keeper"))
+    return join_counted(sketch.select("_id", "text_hash", "node"), known, ["node"], "copies", sketch.count(), F.struct("_id", "text_hash"))
 
 
 def op4_jaccard_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without all but one of each class of near duplicates.
+
+    The text with the least id stays (of texts that share it, the one with the least hash); a
+    null id is greater than any other. Rows are told apart by id and text: a row goes only for
+    the class of its own text, whatever else has its id, and of rows that repeat both one
+    stays. All columns stay. An empty table gives no rows.
+    """
+    found = _classes(docs, id_col, text_col).select(_id_key(F.col("_id")).alias("_key"), "text_hash", "keeper")
+    stays = (F.col("_key") == F.col("keeper.key")) & (F.col("text_hash") == F.col("keeper.text_hash"))
+    one = ["_key", "text_hash"]
+    counted = found.groupBy(*one, stays.alias("_stays")).agg(F.count("*").alias("_n"))
+    # most rows stay and have no like: only the others are looked up
+    special = written(counted.where("not _stays or _n > 1"), "special")
+    columns = docs.columns
+    rows = docs.select(F.struct(*columns).alias("_row"), _id_key(F.col(id_col)).alias("_key"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"))
+    marked = HashFilter(special, one).mark(rows, one, "_maybe")
+    looked_up = join_counted(marked.where("_maybe").drop("_maybe"), special, one, "_n", special.agg(F.sum("_n")).first()[0] or 0, F.monotonically_increasing_id())
+    repeated = looked_up.where("_stays").groupBy(*one).agg(F.first("_row").alias("_row"))
+    kept = marked.where("not _maybe").select("_row").unionByName(looked_up.where("_stays is null").select("_row")).unionByName(repeated.select("_row"))
+    return kept.select(*[F.col(f"_row.{c}").alias(c) for c in columns])
+
+
 def near_dedup_stage(spark, docs, sf_dir):
-    """Pipeline stage: of each class of near duplicates the document with the least id stays."""
-    gone = near_duplicates(docs).where("not (doc_id <=> class_id)").select("doc_id").distinct()
-    gone = written(gone, "gone")
-    marked = HashFilter(gone, ["doc_id"]).mark(docs, ["doc_id"], "_maybe")
-    kept = marked.where("not _maybe").unionByName(marked.where("_maybe").join(gone, "doc_id", "left_anti"))
-    return kept.select(*docs.columns)
+    """Pipeline stage: of each class of near duplicates one row stays (drop_near_duplicates)."""
+    return drop_near_duplicates(docs)

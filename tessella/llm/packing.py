@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import LATIN_WORDS, byte_letters
-from .common import importable, table, text_or_empty
+from .common import importable, lean, table, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ends = _ids_encoder(path)  # dropped with the task: idle workers hold no words
+        encoder, ends = _ids_encoder(path)
         end = array("I", [END_ID]).tobytes()
         packer, kind = _Packer(TaskContext.get().partitionId(), ends, window), None
 
@@ -264,7 +264,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield ready()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n, _ in SCHEMA))
+    return rows.mapInArrow(lean(run), f"`{id_col}` {kind}, " + ", ".join(f"{n} long" for n, _ in SCHEMA))
 
 
 def op1_packing(spark, sf_dir):

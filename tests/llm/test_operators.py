@@ -379,3 +379,25 @@ def test_secrets_of_long_and_repeated_texts(spark):
         ((i, brute_redaction(t) or "") for i, t in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])
     )
     assert secrets.find_secrets(docs(spark, [])).count() == 0 and secrets.secrets_stage(spark, docs(spark, []), "").count() == 0
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    rng = random.Random(4)
+    words = lambda n: [rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(n)]
+    base, other = words(90), words(60)
+    near = [*base[:-1], "changed"]
+    rows = [
+        (1, " ".join(base)), (5, " ".join(near)), (5, "a text quite unlike the others that shares an id"),
+        (None, " ".join([*base[1:], "more"])), (None, " ".join(other)), (None, " ".join([*other, "more"])), (7, " ".join(words(20_000))),
+        (9, None), (10, ""), (11, "kept twice? no, once of course"), (11, "kept twice? no, once of course"),
+    ]
+    table = spark.createDataFrame([(i, t, k, "x") for k, (i, t) in enumerate(rows)], "doc_id long, text string, class_id int, _row string")
+    kept = jaccard_join.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    got = sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in kept.collect())
+    null = [r for r in kept.collect() if r.doc_id is None]
+    assert [g[1] for g in got if not g[0]] == [1, 5, 7, 9, 11] and len(null) == 1 and null[0].text in (rows[4][1], rows[5][1])
+    assert {r.text for r in kept.collect() if r.doc_id == 5} == {rows[2][1]}
+    links = {(r.doc_id, r.class_id): r.n_links for r in jaccard_join.near_duplicates(table).collect()}
+    assert links[(1, 1)] == 2 and links[(None, 1)] == 2 and links[(None, None)] == 1
+    assert jaccard_join.drop_near_duplicates(docs(spark, [])).count() == 0
