@@ -208,7 +208,7 @@ def test_trigram_queries():
 def test_language(spark):
     english = "the quick brown fox jumps over the lazy dog and the cat sat on the mat with another"
     german = "der schnelle braune fuchs springt über den faulen hund und die katze saß auf der matte"
-    sample = (("de", german), ("en", english))
+    sample = (("de", (german,)), ("en", (english,)))
     rows = [(1, "the dog and the fox", None, ""), (2, "der hund und die katze", None, ""), (3, None, None, ""), (4, "123 !", None, ""), (None, "the cat " * 9000, None, "")]
     found = langid.identify(spark.createDataFrame(rows, SCHEMA), sample).collect()
     assert [r.lang_pred for r in found] == ["en", "de", "und", "und", "en"] and all(0 <= r.score <= 1 for r in found)
@@ -216,13 +216,59 @@ def test_language(spark):
     assert langid.labelled_sample(docs(spark, [])) == ()
 
 
-def test_language_sample_takes_copies_once(spark):
-    opening = "all begin alike " * 30
-    texts = [("aa", f"group {k % 40} of copies") for k in range(4000)] + [("bb", f"text number {k}") for k in range(900)] + [("cc", opening + str(k)) for k in range(300)]
+def test_language_sample(spark):
+    long = "all of this text is longer than the bound. " * 500
+    texts = [("aa", f"group {k % 40} of copies") for k in range(4000)] + [("bb", f"text number {k}") for k in range(900)] + [("cc", long + str(k)) for k in range(30)]
+    texts += [("dd", "word " * 1999 + str(k)) for k in range(50)] + [(None, "x"), ("ee", None)]
     rows = spark.createDataFrame([(k, t, lang, "x") for k, (lang, t) in enumerate(texts)], SCHEMA)
-    found = {lang: text.split("\n") for lang, text in langid.labelled_sample(rows)}
+    found = dict(langid.labelled_sample(rows))
     assert sorted(found["aa"]) == sorted(f"group {k} of copies" for k in range(40))
-    assert len(set(found["bb"])) == len(found["bb"]) == langid.SAMPLE_ROWS and found["cc"] == [opening[: langid.EXCERPT]]
+    assert len(set(found["bb"])) == len(found["bb"]) == langid.SAMPLE_ROWS and len(found["cc"]) == 1 and found["cc"][0] in {long + str(k) for k in range(10)}
+    # whole texts, as many as the bound has room for
+    assert len(found["dd"]) == langid.SAMPLE_CHARS // len("word " * 1999 + "xx") and set(found["dd"]) < {t for _, t in texts} and set(found) == {"aa", "bb", "cc", "dd"}
+
+
+def naive_phrases(text, known):
+    """Greedy longest matches of the symbols of text with any of the known strings."""
+    n = at = 0
+    while at < len(text):
+        to = at + 1
+        while to < len(text) and any(text[at : to + 1] in x for x in known):
+            to += 1
+        n, at = n + 1, to
+    return n
+
+
+def test_cross_parsing_against_naive_matches(monkeypatch):
+    rng = random.Random(6)
+    wide = [chr(0x4E00 + k) for k in range(400)]  # more letters than the dense part has
+    kinds = {"aa": "abcd", "bb": "bcde ", "zh": "".join(wide[:300]), "ja": "".join(wide[200:])}
+    text = lambda k, n: "".join(rng.choice(k) for _ in range(n))
+    sample = tuple((k, tuple(text(x, rng.randint(1, 300)) for _ in range(5))) for k, x in sorted(kinds.items()))
+    parser = langid.CrossParser(sample)
+    texts = [text(rng.choice(list(kinds.values())), rng.randint(1, 200)) for _ in range(150)] + ["q", "abq cd", " a ", "a" * 50]
+    symbols = lambda t: re.sub(r"[^\w]+", " ", t)
+    for lanes, part in ((1, 1 << 20), (24, 1 << 20), (24, 7)):
+        monkeypatch.setattr(langid, "LEAST_LANES", lanes)
+        monkeypatch.setattr(langid, "PART", part)
+        for t, (lang, _, rate) in zip(texts, parser.predict(texts), strict=True):
+            counts = [naive_phrases(symbols(t), [symbols(x) for x in known]) for _, known in sample]
+            least = counts.index(min(counts))
+            assert (lang, round(rate * len(symbols(t)))) == (sample[least][0], counts[least])
+
+
+def test_held_out_language(spark):
+    rng = random.Random(11)
+    wide = [chr(0x4E00 + k) for k in range(3000)]
+    kinds = {"en": "etaoinshr ", "de": "enisratdhä ", "zh": wide[:2000], "ja": wide[1000:]}
+    common = {k: ["".join(rng.choice(x) for _ in range(rng.randint(1, 4))) for _ in range(300)] for k, x in kinds.items()}
+    rows = [(i, " ".join(rng.choice(common[k]) for _ in range(rng.randint(20, 200))), k, "x") for i, k in enumerate(list(kinds) * 60)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("lang_pred", F.lit("old")).withColumn("held_out", langid.id_hash() % 4 == 2)
+    found = langid.identify(table, langid.labelled_sample(table.where("not held_out"))).collect()
+    assert len(found) == len(rows) and all(r.lang == r.lang_pred for r in found)
+    assert langid.langid_stage(spark, docs(spark, []), "").count() == 0
+    kept = langid.langid_stage(spark, docs(spark, [(i, t) for i, t, k, _ in rows if k == "en"] + [(900, None), (901, "12 !"), (None, rows[0][1])]), "")
+    assert kept.columns == ["doc_id", "text", "lang", "kept"] and kept.count() == 61
 
 
 def test_exact_dedup(spark):
