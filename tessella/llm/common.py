@@ -16,7 +16,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's settings of Arrow batches: their defaults, and what rows with whole texts need.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
+#: Workers share an executor's memory: what they free goes back at once.
+WORKER_ENV = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2"}
 
 
 def importable(spark: SparkSession) -> None:
@@ -26,9 +29,11 @@ def importable(spark: SparkSession) -> None:
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
-    # rows hold whole texts: a batch of the default 10,000 would take much memory in a worker
-    if spark.conf.get(ARROW_ROWS, "10000") == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+    for name, value in WORKER_ENV.items():
+        env.setdefault(name, value)
+    for name, (default, ours) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
 
 
 def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

@@ -29,7 +29,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEPS, TOLERANCE = (16, 32, 64, 128), 1e-7
-BUCKET_BLOCK, NODE_BLOCK, MOST_PAIRS = 512, 128, 100_000
+BUCKET_BLOCK, NODE_BLOCK, PAIRS_AT_ONCE = 512, 128, 1 << 15
 BLOCK, CACHED_WORDS = 1_000_000, 100_000
 U = np.uint64
 
@@ -136,7 +136,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     needed = [least_matches(n) for n in STEPS]
     rest = None
 
-    def survivors(t: pa.Table, i: np.ndarray, j: np.ndarray, sig: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def survivors(i: np.ndarray, j: np.ndarray, sig: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done = 0
         for upto, least in zip(STEPS, needed, strict=True):
             if done == 0:
@@ -150,7 +150,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = first == band[i]
         return i[keep], j[keep]
 
-    def out(t: pa.Table, i: np.ndarray, j: np.ndarray, node: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    def out(i: np.ndarray, j: np.ndarray, node: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
         swap = (place[i, 0] > place[j, 0]) | ((place[i, 0] == place[j, 0]) & (place[i, 1] > place[j, 1]))
         i, j = np.where(swap, j, i), np.where(swap, i, j)
         key = np.stack([place[i, 0], place[i, 1], place[j, 0], place[j, 1]])
@@ -177,14 +177,16 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 side = sub[s:e] == a[s]
                 i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(side), np.flatnonzero(~side), indexing="ij"))
-            left.append(i + s)
-            right.append(j + s)
-            held += len(i)
-            if held >= MOST_PAIRS:
-                yield out(t, *survivors(t, np.concatenate(left), np.concatenate(right), sig, band), node, place)
-                left, right, held = [], [], 0
+            # so many at a time that their signatures take little memory
+            for at in range(0, len(i), PAIRS_AT_ONCE):
+                left.append(i[at : at + PAIRS_AT_ONCE] + s)
+                right.append(j[at : at + PAIRS_AT_ONCE] + s)
+                held += len(left[-1])
+                if held >= PAIRS_AT_ONCE:
+                    yield out(*survivors(np.concatenate(left), np.concatenate(right), sig, band), node, place)
+                    left, right, held = [], [], 0
         if held:
-            yield out(t, *survivors(t, np.concatenate(left), np.concatenate(right), sig, band), node, place)
+            yield out(*survivors(np.concatenate(left), np.concatenate(right), sig, band), node, place)
 
     for batch in batches:
         t = pa.Table.from_batches([batch])
