@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
-from functools import lru_cache
 
 import numpy as np
 
@@ -158,10 +157,18 @@ def save(uri: str, arrays: dict[str, np.ndarray]) -> int:
     return at + len(raw) + 8
 
 
-@lru_cache(maxsize=4096)
+def save_json(uri: str, x: dict) -> None:
+    """As save(), of a small description."""
+    save(uri, {"json": np.frombuffer(json.dumps(x).encode(), np.uint8)})
+
+
+def load_json(uri: str) -> dict:
+    return json.loads(load(uri)["json"].tobytes())
+
+
 def load(uri: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped. A file in a store that cannot be mapped is
-    copied, once in a process, to a nameless local file."""
+    copied to a nameless local file."""
     import mmap
     import shutil
     import tempfile

@@ -1,7 +1,7 @@
 """N-gram language model in an Elias-Fano trie.
 
-Level 1 holds the words, in the order of a 64-bit fingerprint that numbers them, with their
-counts. Level k holds the k-grams as (context, word): the context is the place of the
+Level 1 holds the words, as an Elias-Fano sequence of 62-bit fingerprints, whose order numbers
+them, with their counts. Level k holds the k-grams as (context, word): the context is the place of the
 (k-1)-gram on the level below. Monotone pointers lead from a context to its successors; the
 successor w, of m that start at place b, is the key b * V + m * w of one Elias-Fano sequence, so
 that a search for w sees just the few keys with the same high part, however many successors the
@@ -16,58 +16,122 @@ D = n1 / (n1 + 2 n2) of the level,
 down to p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)), so that the probabilities of all words of the
 vocabulary and of one for all unknown words sum to 1. A text's end is a token; it also stands
 before the first word. Two words with the same fingerprint would count as one (for V words
-the chance is about V^2 / 2^65).
+the chance is about V^2 / 2^63).
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, importable, table, text_or_empty
-from .elias_fano import U, EliasFano, distinct, load, merge_counts, save, shuffle_bytes, unshuffle_bytes
+from .common import fresh_path, gathered, importable, lean, table, text_or_empty
+from .elias_fano import U, EliasFano, distinct, load, load_json, merge_counts, save, save_json, shuffle_bytes, unshuffle_bytes
 
 ORDER = 3
 #: Occurrences in a shard of a level; text bytes for a shard of words; text bytes handled at once.
-SHARD, WORD_SHARD, BLOCK = 4_000_000, 64_000_000, 1_500_000
-HELD_KEYS, HELD_WORDS, CACHED_WORDS = 2_500_000, 600_000, 250_000
-END = b""
+SHARD, WORD_SHARD, BLOCK = 4_000_000, 64_000_000, 3_000_000
+HELD_KEYS, HELD_WORDS = 1_500_000, 1_000_000
+PRINT_BITS, END = 62, 0
 STEP = 16 / 65535  # of quantised -log10
 
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, between ASCII white space; then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
-
-
-def _fingerprints(words: Iterable[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], list[bytes]]]:
-    """(rows, tokens of each, all their tokens) for about BLOCK bytes of text at a time."""
-    rows, sizes, tokens, held = [], [], [], 0
-    for batch in batches:
-        others = zip(*(c.to_pylist() for c in batch.columns[:-1]), strict=True) if batch.num_columns > 1 else iter([()] * batch.num_rows)
-        for row, text in zip(others, batch.column(batch.num_columns - 1), strict=True):
-            found = tokens_of(text.as_py())
-            rows.append(row)
-            sizes.append(len(found))
-            tokens += found
-            held += sum(map(len, found[:1])) + len(found) * 6
-            if held >= BLOCK:
-                yield rows, sizes, tokens
-                rows, sizes, tokens, held = [], [], [], 0
-    if rows:
-        yield rows, sizes, tokens
+#: A word's hash is the sum of LETTER[byte j] * BASE^j modulo 2^64; bytes are hashed PIECE at a time.
+PIECE, BASE = 1 << 18, 0x9E3779B97F4A7C15 ^ 6
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+LETTER = _mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+LETTER[65:91] = LETTER[97:123]
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """BASE^j and BASE^-j modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(PIECE + 1, base, U)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=U))
+    return out[0], out[1]
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    power, inverse = _powers()
+    out = np.zeros(len(starts), U)
+    k = 0
+    while k < len(starts):
+        low = int(starts[k])
+        to = int(np.searchsorted(stops, low + PIECE, side="right"))
+        if to == k:  # one word of more than PIECE bytes
+            total = 0
+            for at in range(low, int(stops[k]), PIECE):
+                x = LETTER[data[at : min(at + PIECE, int(stops[k]))]]
+                total += int((x * power[: len(x)]).sum(dtype=U)) * pow(BASE, at - low, 1 << 64)
+            out[k] = total % (1 << 64)
+            k += 1
+            continue
+        x = LETTER[data[low : stops[to - 1]]]
+        sums = np.zeros(len(x) + 1, U)
+        np.cumsum(x * power[: len(x)], out=sums[1:], dtype=U)
+        out[k:to] = (sums[stops[k:to] - low] - sums[starts[k:to] - low]) * inverse[starts[k:to] - low]
+        k = to
+    return out
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all texts' tokens, and the number of tokens of each: its words between
+    ASCII white space, A-Z as a-z, then END."""
+    n, offsets = len(texts), np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    solid = ~SPACE[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    start, stop = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | begins[1:-1]
+    stop[:-1] &= ~solid[1:] | begins[1:-1]
+    starts = np.flatnonzero(start)
+    prints = (_mix(_hashes(data, starts, np.flatnonzero(stop) + 1)) >> U(64 - PRINT_BITS)).astype(np.int64)
+    sizes = np.bincount(np.searchsorted(offsets, starts, side="right") - 1, minlength=n)[:n] + 1
+    out = np.zeros(int(sizes.sum()), np.int64)
+    words = np.ones(len(out), bool)
+    words[np.cumsum(sizes) - 1] = False
+    out[words] = np.maximum(prints, END + 1)
+    return out, sizes
+
+
+def _pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One integer for each pair, in the order of the pairs, however large they are."""
+    (_, a), (kinds, b) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    return a * len(kinds) + b
+
+
+def _merged_pairs(ctx: np.ndarray, word: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, in the order of the pairs, and the sum of its counts."""
+    keys = _pair_keys(ctx, word)
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return order[starts], np.add.reduceat(counts[order], starts)
+
+
+def shard_of(cum: np.ndarray, count: np.ndarray, word: np.ndarray, width: int, stretch: int) -> np.ndarray:
+    """Shards cut the occurrences of all contexts, in order, into equal stretches."""
+    return ((cum + np.floor(count * (word / width))) // stretch).astype(np.int64)
 
 
 class Level:
@@ -82,22 +146,24 @@ class Level:
         self.edges = np.array([x[0] for x in meta["edges"]], np.int64)
         self.edge_n = np.array([x[1] for x in meta["edges"]], np.int64)
         self.power = 10.0 ** (-STEP * np.arange(65536))
+        self.parts: dict = {}
 
-    @lru_cache(maxsize=4096)  # noqa: B019
     def part(self, k: int):
-        arrays = load(self.shards[k]["file"])
-        return EliasFano(arrays, "pointers"), EliasFano(arrays, "keys"), EliasFano(arrays, "cum")
+        if k not in self.parts:
+            arrays = load(self.shards[k]["file"])
+            self.parts[k] = EliasFano(arrays, "pointers"), EliasFano(arrays, "keys"), EliasFano(arrays, "cum")
+        return self.parts[k]
 
-    def shard_of(self, cum: np.ndarray, count: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Shards cut the occurrences of all contexts, in order, into equal stretches."""
-        place = cum + np.floor(count * (word / self.width))
-        return (place // self.meta["stretch"]).astype(np.int64)
+    def probs(self, k: int) -> np.ndarray:
+        if ("prob", k) not in self.parts:
+            self.parts["prob", k] = load(self.shards[k]["file"] + ".prob")["prob"]
+        return self.parts["prob", k]
 
     def find(self, ctx: np.ndarray, word: np.ndarray, cum: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For ascending (ctx, word), ctx with its counts from the level below: the k-gram's
         place (or -1), its discounted probability (or 0), and the context's backoff weight."""
         place, prob, succ = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx), np.int64)
-        shard = self.shard_of(cum, count, word)
+        shard = shard_of(cum, count, word, self.width, self.meta["stretch"])
         starts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1]) if len(shard) else []
         for at, to in zip(starts, [*starts[1:], len(ctx)], strict=True) if len(shard) else ():
             if (k := self.known.get(int(shard[at]))) is None:
@@ -116,7 +182,7 @@ class Level:
             i[m == 0] = -1
             place[at + inside] = np.where(i >= 0, s["base"] + i, -1)
             hit = np.flatnonzero(i >= 0)
-            prob[at + inside[hit]] = self.power[load(s["file"] + ".prob")["prob"][i[hit]]]
+            prob[at + inside[hit]] = self.power[self.probs(k)[i[hit]]]
         if len(self.edges):
             k = np.minimum(np.searchsorted(self.edges, ctx), len(self.edges) - 1)
             succ = np.where(self.edges[k] == ctx, self.edge_n[k], succ)
@@ -141,128 +207,117 @@ class Model:
         words = meta["words"]
         self.total, self.width = words["total"], words["n"]
         self.shards = words["shards"]
-        self.bits = words["bits"]
-        self.at = {s["shard"]: s for s in self.shards}
+        self.shift = PRINT_BITS - words["bits"]
+        self.at = {s["shard"]: k for k, s in enumerate(self.shards)}
         self.base = np.array([s["base"] for s in self.shards] + [words["n"]], np.int64)
+        self.parts: dict[int, tuple] = {}
         self.levels: list[Level] = []
         for level in meta["levels"]:
             self.levels.append(Level(level, self.levels[-1] if self.levels else self, self.width))
-        self.cache: dict[bytes, int] = {}
-        self.known = np.zeros((3, 0), np.int64)
-        self.end = int(self._look_up([END])[0])
-
-    def _look_up(self, words: list[bytes]) -> np.ndarray:
-        prints = _fingerprints(words)
-        out = np.full(len(prints), -1, np.int64)
-        order = np.argsort(prints)
-        values = prints[order]
-        shard = (values >> U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(values), np.int64)
-        for k in np.unique(shard).tolist():
-            if s := self.at.get(k):
-                at, known = np.flatnonzero(shard == k), load(s["file"])["prints"]
-                i = np.searchsorted(known, values[at])
-                i[i == len(known)] = 0
-                out[order[at]] = np.where(known[i] == values[at], s["base"] + i, -1)
-        return out
-
-    def slots(self, tokens: list[bytes]) -> np.ndarray:
-        """Places of the words in self.known: their numbers (-1 for unknown ones), and the
+
+    def part(self, k: int) -> tuple[EliasFano, EliasFano]:
+        if k not in self.parts:
+            arrays = load(self.shards[k]["file"])
+            self.parts[k] = EliasFano(arrays, "prints"), EliasFano(arrays, "cum")
+        return self.parts[k]
+
+    def words(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For ascending fingerprints: the words' numbers (-1 for unknown ones), and the
         occurrences before and of them."""
-        found = list(map(self.cache.get, tokens))
-        if None in found:
-            if len(self.cache) >= CACHED_WORDS:
-                self.cache, self.known = {}, np.zeros((3, 0), np.int64)
-                found = [None] * len(tokens)
-            missing = list({t for t, i in zip(tokens, found, strict=True) if i is None})
-            ids = self._look_up(missing)
-            order = np.argsort(ids)
-            new = np.zeros((3, len(ids)), np.int64)
-            new[0] = ids
-            there = order[np.searchsorted(ids[order], 0) :]
-            new[1, there], new[2, there] = self.counts(ids[there])
-            self.cache.update(zip(missing, range(self.known.shape[1], self.known.shape[1] + len(missing)), strict=True))
-            self.known = np.concatenate([self.known, new], axis=1)
-            found = list(map(self.cache.__getitem__, tokens))
-        return np.array(found, np.int64)
+        ids, cum, count = np.full(len(prints), -1, np.int64), np.zeros(len(prints), np.int64), np.zeros(len(prints), np.int64)
+        shard = prints >> self.shift
+        for s in np.unique(shard).tolist():
+            if (k := self.at.get(s)) is not None:
+                at = slice(*np.searchsorted(shard, [s, s + 1]).tolist())
+                i = self.part(k)[0].find(prints[at] - (s << self.shift))
+                ids[at] = np.where(i >= 0, self.base[k] + i, -1)
+        there = ids >= 0
+        cum[there], count[there] = self.counts(ids[there])
+        return ids, cum, count
 
     def counts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences before, and of, the words at ascending numbers."""
         cum, count = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         shard = np.searchsorted(self.base, ids, side="right") - 1
         for k in np.unique(shard).tolist():
-            at, s = shard == k, self.shards[k]
-            arrays = load(s["file"])
-            i = ids[at] - s["base"]
-            cum[at] = arrays["cum"][i] + s["cum"]
-            count[at] = arrays["cum"][i + 1] - arrays["cum"][i]
+            at = shard == k
+            a, b = self.part(k)[1].pair(ids[at] - self.base[k])
+            cum[at], count[at] = a + self.shards[k]["cum"], b - a
         return cum, count
 
-    def walk(self, tokens: list[bytes], sizes: list[int]) -> Walk:
-        return Walk(self, tokens, sizes)
-
 
 class Walk:
-    """The tokens of some texts with their contexts, level by level."""
-
-    def __init__(self, model: Model, tokens: list[bytes], sizes: list[int]):
-        self.model = model
-        slots = model.slots([END, *tokens])
-        ids, cum, count = model.known[:, slots]
-        self.ids, self.count = ids[1:], count[1:]
-        self.first = np.zeros(len(self.ids), bool)
-        self.first[np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)] = True
-        # of each token: its context's place, and the occurrences before and of that
-        self.ctx, self.ctx_cum, self.ctx_count = ids[:-1], cum[:-1], count[:-1]
+    """The tokens of some texts with their contexts, level by level.
+
+    Words and contexts have numbers within the walk, in the order of their places in the
+    model, from 1; number 0 stands for all unknown ones.
+    """
+
+    def __init__(self, model: Model, tokens: np.ndarray, sizes: np.ndarray):
+        kinds, _, number = distinct(np.concatenate([[END], tokens]))
+        ids, cum, count = model.words(kinds)
+        there = ids >= 0
+        number = np.where(there, np.cumsum(there), 0)[number]
+        self.model, self.word, self.context = model, number[1:], number[:-1]
+        self.first = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        of = lambda x, unknown: np.concatenate([[unknown], x[there]])
+        self.id_of, self.count = of(ids, 0), of(count, 0)[self.word]
+        # by a context's number: its place, and the occurrences before and of it
+        self.ctx, self.ctx_cum, self.ctx_count = of(ids, -1), of(cum, 0), of(count, 0)
 
     def unigram(self) -> np.ndarray:
         n, v = self.model.total, self.model.width
         return (self.count + 0.5) / (n + 0.5 * (v + 1))
 
-    def keys(self) -> np.ndarray:
-        """(context, word) of each token that has both, as one integer."""
-        use = (self.ctx >= 0) & (self.ids >= 0)
-        return self.ctx[use] * self.model.width + self.ids[use]
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that have a known context, and (context, word) of each as one integer."""
+        use = np.flatnonzero(self.context)
+        return use, self.context[use] * len(self.id_of) + self.word[use]
+
+    def counted(self) -> tuple[np.ndarray, ...]:
+        """Each distinct (context, word): their places, occurrences before and of the context,
+        and how often the pair is there."""
+        keys = np.sort(self.pairs()[1])
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        context, word = np.divmod(keys[starts], len(self.id_of))
+        return self.ctx[context], self.id_of[word], self.ctx_cum[context], self.ctx_count[context], np.diff(starts, append=len(keys))
 
-    def up(self, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    def up(self, level: Level, more: bool) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probability and backoff weight of each token (0 and 1 where its context
-        is unknown); the contexts become those of the next level."""
-        width = self.model.width
-        # an unknown word still needs its context's weight: it counts as word 0 and is not found
-        use = np.flatnonzero(self.ctx >= 0)
-        key = self.ctx[use] * width + np.maximum(self.ids[use], 0)
-        kinds, first, inverse = distinct(key)
-        at = use[first]
-        place, prob, weight = level.find(self.ctx[at], kinds % width, self.ctx_cum[at], self.ctx_count[at])
-        known = self.ids[use] >= 0
-        a, b = np.zeros(len(self.ids)), np.ones(len(self.ids))
-        a[use], b[use] = np.where(known, prob[inverse], 0.0), weight[inverse]
-        here = np.full(len(self.ids), -1, np.int64)
-        here[use] = np.where(known, place[inverse], -1)
+        is unknown); the contexts become those of the next level, with their counts if `more`."""
+        use, key = self.pairs()
+        kinds, _, inverse = distinct(key)
+        context, word = np.divmod(kinds, len(self.id_of))
+        # an unknown word still needs its context's weight: it is looked up as word 0, and not found
+        place, prob, weight = level.find(self.ctx[context], self.id_of[word], self.ctx_cum[context], self.ctx_count[context])
+        place[word == 0], prob[word == 0] = -1, 0.0
+        a, b = np.zeros(len(self.word)), np.ones(len(self.word))
+        a[use], b[use] = prob[inverse], weight[inverse]
         # the next level's context of a token is the k-gram that ends with the token before it
-        self.ctx = np.concatenate([[-1], here[:-1]])
-        self.ctx[self.first] = -1
-        self.ctx_cum, self.ctx_count = np.zeros(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
-        if level is not self.model.levels[-1] or self.more:
-            places, _, back = distinct(self.ctx)
-            there = places >= 0
-            cum, count = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-            cum[there], count[there] = level.counts(places[there])
-            self.ctx_cum, self.ctx_count = cum[back], count[back]
+        there = place >= 0
+        here = np.zeros(len(self.word), np.int64)
+        here[use] = np.where(there, np.cumsum(there), 0)[inverse]
+        self.context = np.concatenate([[0], here[:-1]])
+        self.context[self.first] = 0
+        self.ctx = np.concatenate([[-1], place[there]])
+        self.ctx_cum, self.ctx_count = np.zeros(len(self.ctx), np.int64), np.zeros(len(self.ctx), np.int64)
+        if more:
+            self.ctx_cum[1:], self.ctx_count[1:] = level.counts(place[there])
         return a, b
 
-    more = False  # whether a level above the last is to be built
-
 
-@lru_cache(maxsize=4)
-def _model(meta: str) -> Model:
-    return Model(json.loads(meta))
+@lru_cache(maxsize=1)
+def _model(path: str) -> Model:
+    return Model(load_json(path))
 
 
 def _grouped(rows: DataFrame, build, fields: str) -> list:
-    """One call of build(bucket, blobs) a bucket, where Spark gathers the bucket's blobs."""
+    """One call of build(bucket, blobs) a bucket, where Spark gathers the bucket's blobs; one
+    row for each shard comes to the driver."""
+    names = rows.columns[1:]
 
     def run(key, found):  # without hints: else all need them
-        out = build(key[0].as_py(), zip(*(found.column(c).to_pylist() for c in ("keys", "counts")), strict=True))
+        out = build(key[0].as_py(), list(zip(*(found.column(c).to_pylist() for c in names), strict=True)))
         return pa.Table.from_pylist([out], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -272,49 +327,54 @@ def _grouped(rows: DataFrame, build, fields: str) -> list:
     return sorted(rows.groupBy("bucket").applyInArrow(run, fields).collect(), key=lambda r: r["shard"])
 
 
-def _emit(bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """Blobs of the ascending keys, cut where the (ascending) bucket changes."""
-    starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]).tolist() if len(keys) else []
-    out: list[list] = [[], [], []]
-    for at, to in zip(starts, [*starts[1:], len(keys)], strict=False):
+def _emit(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Blobs of the columns, the first of which ascends, cut where the (ascending) bucket changes."""
+    starts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1]).tolist() if len(bucket) else []
+    out: list[list] = [[] for _ in range(len(columns) + 1)]
+    for at, to in zip(starts, [*starts[1:], len(bucket)], strict=False):
         out[0].append(int(bucket[at]))
-        out[1].append(shuffle_bytes(np.diff(keys[at:to], prepend=keys.dtype.type(0))))
-        out[2].append(shuffle_bytes(counts[at:to].astype(np.uint32)))
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["bucket", "keys", "counts"])
+        for k, x in enumerate(columns, 1):
+            out[k].append(shuffle_bytes(np.diff(x[at:to], prepend=0) if k == 1 else x[at:to]))
+    names = ["bucket", *[f"c{k}" for k in range(len(columns))]]
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names)
 
 
-def _merged(blobs, kind) -> tuple[np.ndarray, np.ndarray]:
-    return merge_counts((np.cumsum(unshuffle_bytes(k, kind), dtype=kind), unshuffle_bytes(c, np.uint32)) for k, c in blobs)
+def _unpacked(blobs: list[tuple]) -> list[np.ndarray]:
+    """The columns of all blobs."""
+    parts = [[np.cumsum(unshuffle_bytes(x, np.int64)) if k == 0 else unshuffle_bytes(x, np.int64) for k, x in enumerate(row)] for row in blobs]
+    return [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def _build_words(train: DataFrame, folder: str) -> dict:
     size = train.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = max(0, min(16, (-(-size // WORD_SHARD) - 1).bit_length()))
+    bits = max(0, (-(-size // WORD_SHARD) - 1).bit_length())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
 
         def out() -> pa.RecordBatch:
-            prints, counts = _fingerprints(held), np.fromiter(held.values(), np.int64)
-            order = np.argsort(prints)
-            prints = prints[order]
-            return _emit((prints >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64), prints, counts[order])
-
-        for _, _, tokens in _blocks(batches):
-            held.update(tokens)
-            if len(held) >= HELD_WORDS:
+            prints, counts = merge_counts(held)
+            return _emit(prints >> (PRINT_BITS - bits), prints, counts)
+
+        for batch in gathered(batches, 0, BLOCK):
+            held.append(np.unique(tokens_of(batch.column(0))[0], return_counts=True))
+            n += len(held[-1][0])
+            if n >= HELD_WORDS:
                 yield out()
-                held.clear()
+                held, n = [], 0
         if held:
             yield out()
 
     def build(shard: int, blobs) -> dict:
-        prints, counts = _merged(blobs, U)
+        prints, counts = merge_counts([tuple(_unpacked(blobs))])
         file = f"{folder}/words-{shard}"
-        save(file, {"prints": prints, "cum": np.concatenate([[0], np.cumsum(counts)])})
+        shift = PRINT_BITS - bits
+        arrays = EliasFano.encode(prints - (shard << shift), 1 << shift, "prints") | EliasFano.encode(np.concatenate([[0], np.cumsum(counts)]), int(counts.sum()) + 1, "cum")
+        save(file, arrays)
         return {"shard": shard, "file": file, "n": len(prints), "total": int(counts.sum())}
 
-    rows = train.mapInArrow(count, "bucket long, keys binary, counts binary")
+    rows = train.mapInArrow(lean(count), "bucket long, c0 binary, c1 binary")
     shards, n, total = [], 0, 0
     for r in _grouped(rows, build, "shard long, file string, n long, total long"):
         shards.append(r.asDict() | {"base": n, "cum": total})
@@ -323,36 +383,28 @@ def _build_words(train: DataFrame, folder: str) -> dict:
 
 
 def _build_level(train: DataFrame, meta: dict, folder: str) -> dict:
-    spark, known = train.sparkSession, json.dumps(meta)
-    k, total = len(meta["levels"]) + 2, meta["words"]["total"]
-    if (meta["levels"][-1]["n"] if meta["levels"] else meta["words"]["n"]) * max(1, meta["words"]["n"]) >= 1 << 63:
-        raise ValueError("contexts times words exceed 63 bits")
+    spark, known = train.sparkSession, f"{folder}/model-{len(meta['levels'])}.json"
+    save_json(known, meta)
+    k, total, width = len(meta["levels"]) + 2, meta["words"]["total"], meta["words"]["n"]
     stretch = max(1, -(-total // max(1, round(total / SHARD))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(known)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def out() -> pa.RecordBatch:
-            keys, counts = merge_counts(held)
-            ctx, word = keys // model.width, keys % model.width
-            starts = np.concatenate([[True], ctx[1:] != ctx[:-1]])
-            cum, c = (model.levels[-1] if model.levels else model).counts(ctx[starts])
-            each = np.cumsum(starts) - 1
-            place = cum[each] + np.floor(c[each] * (word / model.width))
-            return _emit((place // stretch).astype(np.int64), keys, counts)
-
-        for _, sizes, tokens in _blocks(batches):
-            walk = model.walk(tokens, sizes)
-            walk.more = True
+            ctx, word, bucket, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, counts = _merged_pairs(ctx, word, counts)
+            return _emit(bucket[at], ctx[at], word[at], counts)
+
+        for batch in gathered(batches, 0, BLOCK):
+            walk = Walk(model, *tokens_of(batch.column(0)))
             for level in model.levels:
-                walk.up(level)
-            keys = np.sort(walk.keys())
-            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            held.append((keys[starts], np.diff(starts, append=len(keys))))
-            keys = keys[starts]
-            n += len(keys)
+                walk.up(level, True)
+            ctx, word, before, of, counts = walk.counted()
+            held.append((ctx, word, shard_of(before, of, word, width, stretch), counts))
+            n += len(ctx)
             if n >= HELD_KEYS:
                 yield out()
                 held, n = [], 0
@@ -360,24 +412,24 @@ def _build_level(train: DataFrame, meta: dict, folder: str) -> dict:
             yield out()
 
     def build(shard: int, blobs) -> dict:
-        keys, counts = _merged(blobs, np.int64)
-        width = meta["words"]["n"]
-        ctx, word = keys // width, keys % width
+        ctx, word, counts = _unpacked(blobs)
+        at, counts = _merged_pairs(ctx, word, counts)
+        ctx, word = ctx[at], word[at]
         low = int(ctx[0])
         pointers = np.concatenate([[0], np.cumsum(np.bincount(ctx - low))])
         n_of = np.diff(pointers)
         b, m = pointers[ctx - low], n_of[ctx - low]
         file = f"{folder}/level{k}-{shard}"
-        arrays = EliasFano.encode(pointers, len(keys) + 1, "pointers")
-        arrays |= EliasFano.encode(b * width + m * word, len(keys) * width + 1, "keys")
+        arrays = EliasFano.encode(pointers, len(ctx) + 1, "pointers")
+        arrays |= EliasFano.encode(b * width + m * word, len(ctx) * width + 1, "keys")
         arrays |= EliasFano.encode(np.concatenate([[0], np.cumsum(counts)]), int(counts.sum()) + 1, "cum")
         save(file, arrays)
         return {
-            "shard": shard, "file": file, "n": len(keys), "total": int(counts.sum()), "ctx": low,
+            "shard": shard, "file": file, "n": len(ctx), "total": int(counts.sum()), "ctx": low,
             "first": int(n_of[0]), "last_ctx": int(ctx[-1]), "last": int(n_of[-1]), "ones": int((counts == 1).sum()), "twos": int((counts == 2).sum()),
         }
 
-    rows = train.mapInArrow(count, "bucket long, keys binary, counts binary")
+    rows = train.mapInArrow(lean(count), "bucket long, c0 binary, c1 binary, c2 binary")
     fields = "shard long, file string, n long, total long, ctx long, first long, last_ctx long, last long, ones long, twos long"
     shards, n, occurrences, edges = [], 0, 0, Counter()
     ones = twos = 0
@@ -390,11 +442,11 @@ def _build_level(train: DataFrame, meta: dict, folder: str) -> dict:
     discount = min(0.99, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
     level = {"shards": shards, "n": n, "total": occurrences, "edges": sorted(edges.items()), "discount": discount, "stretch": stretch}
     if shards:
-        _quantise(spark, meta, level, known)
+        _quantise(spark, level, known)
     return level
 
 
-def _quantise(spark, meta: dict, level: dict, known: str) -> None:
+def _quantise(spark, level: dict, known: str) -> None:
     """Writes each shard's discounted probabilities, which need the level's discount."""
     discount = level["discount"]
 
@@ -414,38 +466,40 @@ def _quantise(spark, meta: dict, level: dict, known: str) -> None:
             yield batch
 
     rows = spark.createDataFrame([(s["file"], s["ctx"]) for s in level["shards"]], "file string, ctx long")
-    rows.repartition(max(1, len(level["shards"]))).mapInArrow(run, rows.schema).count()
+    rows.repartition(max(1, len(level["shards"]))).mapInArrow(lean(run), rows.schema).count()
 
 
 def train_model(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> str:
-    """Trains on all rows of `docs`; the model's description, as JSON, for score_texts()."""
+    """Trains on all rows of `docs`; the path of the model's description, for score_texts()."""
     importable(docs.sparkSession)
     train = docs.select(text_or_empty(text_col).alias("_text"))
     folder = fresh_path(docs.sparkSession, "ngrams")
     meta: dict = {"words": _build_words(train, folder), "levels": []}
     for _ in range(order - 1 if meta["words"]["n"] else 0):
         meta["levels"].append(_build_level(train, meta, folder))
-    return json.dumps(meta)
+    save_json(f"{folder}/model.json", meta)
+    return f"{folder}/model.json"
 
 
-def score_block(model: Model, tokens: list[bytes], sizes: list[int]) -> tuple[np.ndarray, ...]:
+def score_block(model: Model, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Per text: known tokens, log10 of the unigram base and of the model's probability."""
-    walk = model.walk(tokens, sizes)
+    walk = Walk(model, tokens, sizes)
     p = walk.unigram()
-    base, known = np.log10(p), walk.count > 0
-    for level in model.levels:
-        a, b = walk.up(level)
+    base, known = np.log10(p), walk.word > 0
+    for k, level in enumerate(model.levels, 1):
+        a, b = walk.up(level, k < len(model.levels))
         p = a + b * p
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
     return tuple(np.add.reduceat(x, starts) for x in (known.astype(np.int64), base, np.log10(p)))
 
 
-def score_texts(docs: DataFrame, meta: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, model_path: str, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score and score to each row.
 
-    A null text counts as empty: it has one token, its end. Null ids, repeated rows and
-    further columns (`carry`, default all) pass as they are; columns named like the new ones
-    are replaced. With nothing learned every token has probability 1.
+    A null text counts as empty: it has one token, its end. An empty table gives no rows. Null
+    ids, repeated rows and further columns (`carry`, default all) pass as they are; columns
+    named like the new ones are replaced. Texts of any length are scored whole. With nothing
+    learned every token has probability 1.
     """
     importable(docs.sparkSession)
     new = {"n_tokens": "long", "n_known": "long", "train_tokens": "long", "base_score": "double", "score": "double"}
@@ -456,26 +510,19 @@ def score_texts(docs: DataFrame, meta: str, text_col: str = "text", carry: list[
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(meta)
-        kind = None
-
-        def typed() -> Iterator[pa.RecordBatch]:
-            nonlocal kind
-            for batch in batches:
-                kind = batch.column(0).type
-                yield batch
-
-        for found, sizes, tokens in _blocks(typed()):
+        model = _model(model_path)
+        for batch in gathered(batches, 1, BLOCK):
+            tokens, sizes = tokens_of(batch.column(1))
             known, base, score = score_block(model, tokens, sizes)
-            columns = [pa.array([x[0] for x in found], kind), pa.array(sizes, pa.int64()), pa.array(known), pa.array([model.total] * len(found), pa.int64()), pa.array(base), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", *new])
+            columns = [pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.total)), pa.array(base), pa.array(score)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_row", *new])
 
-    return rows.mapInArrow(run, schema).select(*[F.col(f"_row.{c}").alias(c) for c in carry], *new)
+    return rows.mapInArrow(lean(run), schema).select(*[F.col(f"_row.{c}").alias(c) for c in carry], *new)
 
 
 def op2_ngram_lm(spark, sf_dir):
     from .langid import id_hash
 
     docs = table(spark, sf_dir, "documents").withColumn("held_out", id_hash() % 5 == 1)
-    meta = train_model(docs.where("not held_out"))
-    return score_texts(docs, meta, carry=["doc_id", "held_out"])
+    model_path = train_model(docs.where("not held_out"))
+    return score_texts(docs, model_path, carry=["doc_id", "held_out"])

@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,26 @@ def test_best_cuts_is_least():
         assert cost == best[-1]
 
 
+def words_and_end(text):
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
+
+
+def test_fingerprints_of_tokens(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(ngram_lm, "PIECE", 32)
+    ngram_lm._powers.cache_clear()
+    part = lambda: rng.choice(["a", "B", "ab", "é", "日本", " ", "\t\n", "\x1f", "\xa0", "x" * rng.randint(1, 150), "", "Word "])
+    texts = ["".join(part() for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", ""]
+    prints, sizes = ngram_lm.tokens_of(pa.array(texts).slice(1))
+    want = [words_and_end(t) for t in texts[1:]]
+    assert sizes.tolist() == [len(x) for x in want]
+    pairs = set(zip(prints.tolist(), [w for x in want for w in x], strict=True))
+    assert len(pairs) == len({p for p, _ in pairs}) == len({w for _, w in pairs}) and (0, b"") in pairs
+    monkeypatch.undo()
+    ngram_lm._powers.cache_clear()
+    assert (prints == ngram_lm.tokens_of(pa.array(texts[1:]))[0]).all()
+
+
 def test_ngram_model_against_counts(spark, monkeypatch):
     monkeypatch.setattr(ngram_lm, "SHARD", 40)
     rng = random.Random(5)
@@ -95,7 +116,7 @@ def test_ngram_model_against_counts(spark, monkeypatch):
     found = ngram_lm.score_texts(docs(spark, texts), meta, carry=["doc_id", "text"]).collect()
     counts = [{}, {}, {}]
     for _, t in texts[:50]:
-        seq = [b"", *ngram_lm.tokens_of(t)]
+        seq = [b"", *words_and_end(t)]
         for n in (1, 2, 3):
             for k in range(1 if n == 1 else 0, len(seq) - n + 1):
                 key = tuple(seq[k : k + n])
@@ -107,7 +128,7 @@ def test_ngram_model_against_counts(spark, monkeypatch):
         discount.append(min(0.99, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5)
 
     def score(text):
-        seq, out, base = [b"", *ngram_lm.tokens_of(text)], 0.0, 0.0
+        seq, out, base = [b"", *words_and_end(text)], 0.0, 0.0
         for k in range(1, len(seq)):
             p = (counts[0].get((seq[k],), 0) + 0.5) / (total + 0.5 * (size + 1))
             base += math.log10(p)
@@ -130,6 +151,11 @@ def test_ngram_model_against_counts(spark, monkeypatch):
 def test_nothing_learned(spark):
     r = ngram_lm.score_texts(docs(spark, [(1, "a")]), ngram_lm.train_model(docs(spark, []))).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (2, 0, 0, 0.0)
+    rows = docs(spark, [(1, "a " * 5000), (1, "a " * 5000), (None, None)]).withColumn("score", F.lit("old"))
+    path = ngram_lm.train_model(rows)
+    found = ngram_lm.score_texts(rows, path).collect()
+    assert [r.n_tokens for r in found] == [5001, 5001, 1] and found[0].score == found[1].score < 0 and found[0].train_tokens == 10003
+    assert ngram_lm.score_texts(docs(spark, []), path).count() == 0
 
 
 def test_elias_fano():
