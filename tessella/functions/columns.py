@@ -38,8 +38,13 @@ def format_value(v: str | Column, decimals: int | Column, unit: str | Column | N
     v = _col(v)
     decimals = F.lit(decimals) if isinstance(decimals, int) else decimals
     rounded = round_half_up(v, decimals)
-    digits = F.coalesce(*[F.when(decimals == d, F.format_number(rounded, d)) for d in range(7)])
-    text = F.translate(digits, ",.", ".,")
+    whole = F.format_number(F.floor(F.abs(rounded)), 0)
+    # the decimals, padded; format_number wants a literal number of them
+    part = F.rpad(F.split(F.format_number(F.abs(rounded) - F.floor(F.abs(rounded)), 17), "[.]")[1], 17, "0")
+    scaled = F.lpad(F.floor((F.abs(rounded) - F.floor(F.abs(rounded))) * F.pow(F.lit(10.0), decimals) + 0.5).cast("long").cast("string"), 17, "0")
+    few = F.coalesce(*[F.when(decimals == d, F.format_number(rounded, d)) for d in range(7)])
+    many = F.concat(F.when(rounded < 0, "-").otherwise(""), whole, F.lit("."), F.when(decimals > 15, F.substring(part, 1, 17)).otherwise(F.substring(scaled, 18 - decimals, decimals)))
+    text = F.translate(F.coalesce(few, many), ",.", ".,")
     if unit is not None:
         unit = _col(unit)
         text = F.concat_ws(" ", text, F.when(unit != "", unit))
@@ -61,9 +66,9 @@ def sequential_class(v: str | Column, cuts: str | Column) -> Column:
 
 
 def diverging_class(v: str | Column, step: str | Column, middle: float = 100.0) -> Column:
-    """-3..3 about the middle; within half a unit of it, 0."""
-    offset = _col(v) - middle
-    ranks = F.least(F.lit(3), F.ceil(F.try_divide(F.abs(offset), _col(step)))).cast("int")
+    """-3..3 about the middle; within half a step of it, 0."""
+    offset = F.try_divide(_col(v) - middle, _col(step))
+    ranks = F.least(F.lit(3), F.ceil(F.abs(offset))).cast("int")
     return F.when(finite(v), F.when(F.abs(offset) < 0.5, 0).otherwise((F.signum(offset) * ranks).cast("int")))
 
 
@@ -83,13 +88,14 @@ def laea(lon: str | Column, lat: str | Column, lon0: float = 15.0, lat0: float =
     return k * F.cos(phi) * F.sin(lam), k * (c0 * F.sin(phi) - s0 * F.cos(phi) * F.cos(lam))
 
 
-def route_inset(region_id: str | Column, lon: str | Column) -> Column:
-    """The sub-projection that a feature is drawn in: far west, islands of the north or east, or none."""
-    region_id = _col(region_id)
+def route_inset(insets: str | Column, region_id: str | Column, lon: str | Column) -> Column:
+    """The sub-projection that a feature is drawn in, by the rules of its geography: `west` by
+    its least longitude, `islands` by its id; any other geography has none."""
+    insets, prefix = _col(insets), F.substring(_col(region_id), 1, 2)
     return (
-        F.when(_col(lon) < -10, "canaries")
-        .when(F.substring(region_id, 1, 2) == "IS", "iceland")
-        .when(F.substring(region_id, 1, 2).isin("CY", "MT"), "east")
+        F.when((insets == "west") & (_col(lon) <= -10), "canaries")
+        .when((insets == "islands") & (prefix == "IS"), "iceland")
+        .when((insets == "islands") & prefix.isin("CY", "MT"), "east")
         .otherwise("main")
     )
 

@@ -302,8 +302,8 @@ def diverging_spread(spark, sf_dir):
 @register(
     "diverging_ranges",
     f""", s AS (SELECT geo, indicator, year, greatest(abs(min(value) - 100), abs(max(value) - 100), 1) / 3 AS step FROM panel WHERE indicator = 'price_index' GROUP BY ALL)
-SELECT geo, indicator, year, CAST(c AS INTEGER) AS class, {r("CASE WHEN c < 0 THEN 100 + c * step WHEN c = 0 THEN 99.5 ELSE 100 + (c - 1) * step END", 6)} AS "from",
-       {r("CASE WHEN c < 0 THEN 100 + (c + 1) * step WHEN c = 0 THEN 100.5 ELSE 100 + c * step END", 6)} AS "to" FROM s, range(-3, 4) t(c)""",
+SELECT geo, indicator, year, CAST(c AS INTEGER) AS class, {r("CASE WHEN c < 0 THEN 100 + c * step WHEN c = 0 THEN 100 - step / 2 ELSE 100 + (c - 1) * step END", 6)} AS "from",
+       {r("CASE WHEN c < 0 THEN 100 + (c + 1) * step WHEN c = 0 THEN 100 + step / 2 ELSE 100 + c * step END", 6)} AS "to" FROM s, range(-3, 4) t(c)""",
 )
 def diverging_ranges(spark, sf_dir):
     out = classify.diverging_ranges(S.coarse_panel(spark, sf_dir).where("indicator = 'price_index'"))
@@ -312,7 +312,7 @@ def diverging_ranges(spark, sf_dir):
 
 CLASSIFIED = f"""cuts AS (SELECT geo, indicator, year, {CUTS} AS cuts, greatest(abs(min(value) - 100), abs(max(value) - 100), 1) / 3 AS step FROM {{panel}} GROUP BY ALL),
 classified AS (SELECT p.geo, p.indicator, p.year, p.region_id, p.value, i.kind, CAST(CASE WHEN i.kind <> 'index' THEN len(list_filter(cuts, lambda c: p.value > c))
-  WHEN abs(value - 100) < 0.5 THEN 0 ELSE sign(value - 100) * least(3, ceil(abs(value - 100) / step)) END AS INTEGER) AS class
+  WHEN abs((value - 100) / step) < 0.5 THEN 0 ELSE sign(value - 100) * least(3, ceil(abs((value - 100) / step))) END AS INTEGER) AS class
   FROM {{panel}} p JOIN cuts USING (geo, indicator, year) JOIN {{indicator}} i USING (geo, indicator))"""
 
 
@@ -328,9 +328,11 @@ def bivariate_slice(spark, sf_dir):
     return classify.bivariate_slice(p, _weights(p, "qty"), i)
 
 
-BASE = """years AS (SELECT geo, indicator, year, count(*) FILTER (value > 60) AS have FROM fine GROUP BY ALL), l AS (SELECT *, arg_max(have, year) OVER (PARTITION BY geo, indicator) AS latest FROM years),
+BASE = """years AS (SELECT geo, indicator, year, count(*) FILTER (value > 60) AS have FROM fine GROUP BY ALL), """
+BASE_RULE = """l AS (SELECT *, arg_max(have, year) OVER (PARTITION BY geo, indicator) AS latest FROM years),
 base AS (SELECT geo, indicator, min(year) FILTER (latest = 0 OR have >= 0.9 * latest) AS base_year, min(year) AS first_year, max(year) AS last_year, max(latest) AS latest_have,
   arg_min(have, year) FILTER (latest = 0 OR have >= 0.9 * latest) AS base_have, count(*) AS n_years FROM l GROUP BY ALL)"""
+BASE += BASE_RULE
 
 
 def _sparse(spark, sf_dir):
@@ -357,7 +359,11 @@ def trend_domain(spark, sf_dir):
     return trend.trend_domain(S.fine_panel(spark, sf_dir))
 
 
-@register("trend_coverage", "SELECT geo, indicator, count(DISTINCT region_id) AS kept, n_regions FROM fine JOIN fine_n USING (geo) WHERE value > 60 GROUP BY geo, indicator, n_regions")
+@register(
+    "trend_coverage",
+    """, s AS (SELECT geo, indicator, region_id FROM fine WHERE value > 60 GROUP BY ALL HAVING count(*) > 1)
+SELECT geo, indicator, count(*) AS kept, n_regions FROM s JOIN fine_n USING (geo) GROUP BY geo, indicator, n_regions""",
+)
 def trend_coverage(spark, sf_dir):
     series = trend.index_to_base(_sparse(spark, sf_dir), None, indexed=False)
     return trend.trend_coverage(series, panel.region_counts(S.fine_region(spark, sf_dir)))
@@ -366,16 +372,28 @@ def trend_coverage(spark, sf_dir):
 NONE = "CAST(NULL AS {}) AS {}"
 
 
-@register("missing_fields", "SELECT 'missing field' AS \"check\", geo, indicator, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS region_id, 'unit' AS detail FROM fine_indicator WHERE indicator = 'qty'")
+@register(
+    "missing_fields",
+    """, m(rule, field) AS (VALUES (1, 'unit'), (2, 'decimals'), (3, 'sourceUrl'), (4, 'kind'), (4, 'label'), (5, 'source'))
+SELECT 'missing field' AS "check", geo, indicator, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS region_id, field AS detail FROM fine_indicator
+JOIN m ON rule = CASE WHEN indicator = 'qty' THEN CAST(right(geo, 1) AS INTEGER) ELSE 5 END""",
+)
 def missing_fields(spark, sf_dir):
-    i = S.fine_indicator(spark, sf_dir)
-    return quality.missing_fields(i.withColumn("unit", F.when(F.col("indicator") != "qty", F.col("unit"))))
+    rule = F.when(F.col("indicator") == "qty", F.substring("geo", -1, 1).cast("int")).otherwise(5)
+    without = {"unit": 1, "decimals": 2, "source_url": 3, "kind": 4, "label": 4, "source": 5}
+    i = S.fine_indicator(spark, sf_dir).withColumn("_rule", rule)
+    return quality.missing_fields(i.withColumns({c: F.when(F.col("_rule") != k, F.col(c)) for c, k in without.items()}))
 
 
-@register("unknown_kinds", "SELECT 'unknown kind' AS \"check\", geo, indicator, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS region_id, 'share' AS detail FROM fine_indicator WHERE indicator = 'avg_discount'")
+@register(
+    "unknown_kinds",
+    """SELECT 'unknown kind' AS "check", geo, indicator, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS region_id, CASE WHEN geo < 'Brand#3' THEN 'share' ELSE 'missing' END AS detail
+FROM fine_indicator WHERE indicator = 'avg_discount'""",
+)
 def unknown_kinds(spark, sf_dir):
     i = S.fine_indicator(spark, sf_dir)
-    return quality.unknown_kinds(i.withColumn("kind", F.when(F.col("kind") == "rate", "share").otherwise(F.col("kind"))))
+    odd = F.when(F.col("geo") < "Brand#3", "share")  # else null
+    return quality.unknown_kinds(i.withColumn("kind", F.when(F.col("kind") == "rate", odd).otherwise(F.col("kind"))))
 
 
 @register("unknown_regions", "SELECT 'unknown region' AS \"check\", geo, indicator, year, region_id, region_id AS detail FROM fine WHERE region_id NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size > 5)")
@@ -396,14 +414,31 @@ def negative_counts(spark, sf_dir):
     return quality.negative_counts(p.withColumn("value", F.col("value") - 20), i).withColumn("detail", F.col("detail").cast("double").cast("long").cast("string"))
 
 
-@register(
-    "trend_notes",
-    f""", {BASE}, n AS (SELECT 'base year moved' AS "check", geo, indicator, base_year AS year, first_year AS d FROM base WHERE base_year <> first_year
+#: Few regions have values before 1994, and some indicators a single year.
+UNEVEN = f"""uneven AS (SELECT geo, indicator, year, region_id, CASE WHEN year >= 1994 OR CAST(region_id AS BIGINT) % 3 = 0 THEN value END AS value FROM fine
+  WHERE indicator = 'qty' OR geo >= 'Brand#2' OR year = 1995),
+years AS (SELECT geo, indicator, year, count(value) AS have FROM uneven GROUP BY ALL), {BASE_RULE}"""
+
+
+def _uneven(spark, sf_dir):
+    p = S.fine_panel(spark, sf_dir).where("indicator = 'qty' or geo >= 'Brand#2' or year = 1995")
+    return p.withColumn("value", F.when((F.col("year") >= 1994) | (F.col("region_id").cast("long") % 3 == 0), F.col("value")))
+
+
+NOTES = f""", {UNEVEN}, n AS (SELECT 'base year moved' AS "check", geo, indicator, base_year AS year, first_year AS d FROM base WHERE base_year <> first_year AND base_have >= 0.85 * latest_have
 UNION ALL SELECT 'base year covers too little', geo, indicator, base_year, base_have FROM base WHERE base_have < 0.85 * latest_have UNION ALL SELECT 'single year', geo, indicator, base_year, n_years FROM base WHERE n_years = 1)
-SELECT "check", geo, indicator, year, CAST(NULL AS VARCHAR) AS region_id, CAST(d AS VARCHAR) AS detail FROM n""",
-)
+SELECT "check", geo, indicator, year, CAST(NULL AS VARCHAR) AS region_id, CAST(d AS VARCHAR) AS detail FROM n"""
+
+
+@register("trend_notes", NOTES)
 def trend_notes(spark, sf_dir):
-    return quality.trend_notes(_sparse(spark, sf_dir), S.fine_region(spark, sf_dir))
+    return quality.trend_notes(_uneven(spark, sf_dir), S.fine_region(spark, sf_dir))
+
+
+@register("trend_notes_low_bar", NOTES.replace("0.9 *", "0.2 *"))
+def trend_notes_low_bar(spark, sf_dir):
+    """With a lower bar a base year may cover too little."""
+    return quality.trend_notes(_uneven(spark, sf_dir), S.fine_region(spark, sf_dir), bar=0.2)
 
 
 @register(

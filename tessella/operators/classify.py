@@ -38,8 +38,8 @@ def diverging_ranges(panel: DataFrame, middle: float = 100.0) -> DataFrame:
     """The legend's seven ranges about the middle, by class -3..3."""
     rows = diverging_spread(panel, middle).select(*SLICE, "step", F.explode(F.sequence(F.lit(-3), F.lit(3))).alias("class"))
     c, step = F.col("class"), F.col("step")
-    low = F.when(c < 0, middle + c * step).when(c == 0, F.lit(middle - 0.5)).otherwise(middle + (c - 1) * step)
-    high = F.when(c < 0, middle + (c + 1) * step).when(c == 0, F.lit(middle + 0.5)).otherwise(middle + c * step)
+    low = F.when(c < 0, middle + c * step).when(c == 0, middle - step / 2).otherwise(middle + (c - 1) * step)
+    high = F.when(c < 0, middle + (c + 1) * step).when(c == 0, middle + step / 2).otherwise(middle + c * step)
     return rows.select(*SLICE, "class", low.alias("from"), high.alias("to"))
 
 

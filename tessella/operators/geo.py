@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import array_mean, laea, mercator, ring_area, route_inset
+from tessella.functions.columns import array_mean, finite, laea, mercator, ring_area, route_inset
 
 POLYGON = ["geo", "region_id", "feature_ord", "poly_ord"]
 
@@ -63,41 +63,82 @@ def project_rings(ring: DataFrame, projection: str) -> DataFrame:
     return valid_rings(rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: -p["y"]).alias("ys")))
 
 
-def fit_extent(ring: DataFrame, width: float, height: float, include: Column | None = None) -> DataFrame:
-    """Scales and centres each geography into a box, by the bounds of what is included, or of
-    all where nothing is."""
-    box = bounds(ring)
-    if include is not None:
-        chosen = bounds(ring, include)
-        names = ["x0", "x1", "y0", "y1"]
-        box = box.join(chosen.select("geo", *[F.col(n).alias(f"_{n}") for n in names]), "geo", "left").select("geo", *[F.coalesce(f"_{n}", n).alias(n) for n in names])
-    k = F.least(F.try_divide(F.lit(width), F.col("x1") - F.col("x0")), F.try_divide(F.lit(height), F.col("y1") - F.col("y0")))
-    fit = box.select("geo", k.alias("_k"), (width / 2 - k * (F.col("x0") + F.col("x1")) / 2).alias("_tx"), (height / 2 - k * (F.col("y0") + F.col("y1")) / 2).alias("_ty"))
-    rows = ring.join(fit, "geo")
-    return rows.select(*POLYGON, "ring_ord", F.transform("xs", lambda x: x * F.col("_k") + F.col("_tx")).alias("xs"), F.transform("ys", lambda y: y * F.col("_k") + F.col("_ty")).alias("ys"))
+def fit_extent(ring: DataFrame, boxes: DataFrame, include: DataFrame | None = None) -> DataFrame:
+    """Scales and centres the rings of each (geo, inset) into its box, keeping the aspect.
 
-
-def inset_of(ring: DataFrame) -> DataFrame:
-    """The inset of each region, by its id and the first vertex of its first polygon."""
-    first = ring.where("ring_ord = 0").groupBy("geo", "region_id").agg(F.min_by(F.get("xs", F.lit(0)), "poly_ord").alias("lon"))
-    return first.select("geo", "region_id", route_inset("region_id", "lon").alias("inset"))
-
-
-def inset_box(share: Column, width: float, height: float, low: float = 0.02, high: float = 0.25) -> tuple[Column, Column]:
-    """Width and height of an inset whose area follows its share of the weight (0.05 if unknown)."""
-    k = F.sqrt(F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(share, F.lit(0.05)))))
-    return k * width, k * height
+    boxes(geo, inset, bx0, by0, bx1, by1, least): see inset_boxes(). The fit follows the
+    regions in `include` (geo, region_id) if the geography has at least `least` of them, else
+    (or where least is null) all regions.
+    """
+    drawn = include.distinct().withColumn("_drawn", F.lit(True)) if include is not None else None
+    rows = ring.join(boxes, ["geo", "inset"])
+    outer = rows.where("ring_ord = 0")
+    if drawn is None:
+        counted = outer.withColumns({"_drawn": F.lit(None).cast("boolean"), "_n": F.lit(0)})
+    else:
+        n = ring.select("geo", "region_id").distinct().join(drawn, ["geo", "region_id"]).groupBy("geo").agg(F.count("*").alias("_n"))
+        counted = outer.join(drawn, ["geo", "region_id"], "left").join(n, "geo", "left")
+    follows = F.coalesce((F.col("_n") >= F.col("least")), F.lit(False))
+    ends = counted.where(~follows | F.col("_drawn")).groupBy("geo", "inset").agg(
+        F.min(F.array_min("xs")).alias("x0"), F.max(F.array_max("xs")).alias("x1"), F.min(F.array_min("ys")).alias("y0"), F.max(F.array_max("ys")).alias("y1"),
+        *[F.first(c).alias(c) for c in ("bx0", "by0", "bx1", "by1")],
+    )
+    k = F.least(F.try_divide(F.col("bx1") - F.col("bx0"), F.col("x1") - F.col("x0")), F.try_divide(F.col("by1") - F.col("by0"), F.col("y1") - F.col("y0")))
+    middle = lambda b, v: (F.col(f"b{v}0") + F.col(f"b{v}1")) / 2 - b * (F.col(f"{v}0") + F.col(f"{v}1")) / 2
+    fit = ends.select("geo", "inset", k.alias("_k"), middle(k, "x").alias("_tx"), middle(k, "y").alias("_ty"))
+    rows = ring.join(fit, ["geo", "inset"])
+    return rows.select(*POLYGON, "ring_ord", "inset", F.transform("xs", lambda x: x * F.col("_k") + F.col("_tx")).alias("xs"), F.transform("ys", lambda y: y * F.col("_k") + F.col("_ty")).alias("ys"))
+
+
+def inset_of(ring: DataFrame, geography: DataFrame) -> DataFrame:
+    """The inset of each region, by the rules of its geography (geo, insets)."""
+    least = ring.groupBy("geo", "region_id").agg(F.min(F.array_min("xs")).alias("_lon"))
+    return least.join(geography.select("geo", "insets"), "geo").select("geo", "region_id", route_inset("insets", "region_id", "_lon").alias("inset"))
+
+
+def _clamp(v: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), v))
+
+
+def inset_box(share: Column, width: float, height: float) -> tuple[Column, Column]:
+    """Width and height of the western inset, whose area follows its share of the weight (0.05
+    if unknown) within bounds."""
+    usable = (width - 22) * (height - 96)
+    area = _clamp(F.coalesce(share, F.lit(0.05)) * usable * 1.35, usable * 0.04, usable * 0.26)
+    w = _clamp(F.sqrt(area * 1.7), width * 0.2, width * 0.56)
+    return w, _clamp(area / w, height * 0.1, height * 0.3)
+
+
+def inset_boxes(maps: DataFrame, width: float, height: float) -> DataFrame:
+    """maps(geo, insets, share) -> (geo, inset, bx0, by0, bx1, by1, least): the boxes of each
+    map, with margins left free, and how many regions must be drawn for a fit to follow them."""
+    w, h = inset_box(F.col("share"), width, height)
+    iw, ih = width * 0.06, height * 0.07
+    box = lambda inset, x0, y0, x1, y1, least: F.struct(
+        F.lit(inset).alias("inset"), *[(v if isinstance(v, Column) else F.lit(float(v))).alias(n) for n, v in (("bx0", x0), ("by0", y0), ("bx1", x1), ("by1", y1))],
+        F.lit(least).cast("int").alias("least"),
+    )
+    west = F.array(box("main", 10, 62, width - 10, height - h - 60, 1), box("canaries", 12, height - h - 34, 12 + w, height - 34, 1))
+    islands = F.array(
+        box("main", 10, 62, width - 10, height - 14, 9), box("iceland", 14, 66, 14 + iw, 66 + ih, None),
+        box("east", width - 14 - iw, height - 30 - ih, width - 14, height - 30, None),
+    )
+    plain = F.array(box("main", 10, 62, width - 10, height - 30, 1))
+    return maps.select("geo", F.inline(F.when(F.col("insets") == "west", west).when(F.col("insets") == "islands", islands).otherwise(plain)))
 
 
 def dorling_radius(weights: DataFrame, width: float = 900, height: float = 780) -> DataFrame:
-    """Radius of each region's circle: areas proportional to weights, at least 2.5."""
+    """Radius of each region's circle: areas proportional to positive weights, at least 2.5."""
+    weights = weights.where(finite("w") & (F.col("w") > 0))
     total = weights.groupBy("map_id").agg(F.sum("w").alias("_total"))
     k = 0.42 * (width - 40) * (height - 120) / F.col("_total")
     return weights.join(total, "map_id").select("map_id", "region_id", "w", F.greatest(F.lit(2.5), F.sqrt(F.col("w") * k / F.pi())).alias("radius"))
 
 
 def scale_polygons(ring: DataFrame, weights: DataFrame) -> DataFrame:
-    """Rings shrunk about their region's label point, so that areas follow the weights (geo, region_id, w)."""
+    """Rings shrunk about their region's label point, so that areas follow the positive weights
+    (geo, region_id, w)."""
+    weights = weights.where(finite("w") & (F.col("w") > 0))
     top = weights.groupBy("geo").agg(F.max("w").alias("_max"))
     k = weights.join(top, "geo").select("geo", "region_id", F.sqrt(F.col("w") / F.col("_max")).alias("_k"))
     centre = label_centroid(ring).withColumnsRenamed({"x": "_cx", "y": "_cy"})
@@ -110,8 +151,9 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     """points(point_id.., geo, x, y) with the region of the first feature that holds them.
 
     Both sides are dealt to squares of side `bucket`: a polygon to all that its box meets, a
-    point to one. Even-odd test with half-open edges over all rings of a polygon, so that
-    holes are outside. Points in no polygon go.
+    point to one; each square gets just the edges that cross its band of y. Even-odd test with
+    half-open edges over all rings of a polygon, so that holes are outside. Points in no
+    polygon go; rows that repeat a point stay as many.
     """
     n = F.size("xs")
     edges = F.transform(
@@ -124,7 +166,10 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     polys = rings.groupBy(*POLYGON).agg(F.flatten(F.collect_list("_e")).alias("_edges"), F.min("_x0").alias("_x0"), F.max("_x1").alias("_x1"), F.min("_y0").alias("_y0"), F.max("_y1").alias("_y1"))
     cell = lambda c: F.floor(F.col(c) / bucket)
     polys = polys.withColumn("_bx", F.explode(F.sequence(cell("_x0"), cell("_x1")))).withColumn("_by", F.explode(F.sequence(cell("_y0"), cell("_y1"))))
-    pairs = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y")).join(polys.select(*POLYGON, "_edges", "_bx", "_by"), ["geo", "_bx", "_by"])
+    low = F.col("_by") * F.lit(bucket)
+    band = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= low + bucket) & (F.greatest(e["y1"], e["y2"]) >= low))
+    polys = polys.select(*POLYGON, band.alias("_edges"), "_bx", "_by")
+    pairs = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y")).join(polys, ["geo", "_bx", "_by"])
     x, y = F.col("x"), F.col("y")
     def crosses(e: Column) -> Column:
         """Whether the edge crosses the ray to the right of the point, without a division."""
@@ -132,7 +177,11 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
         return ((e["y1"] > y) != (e["y2"] > y)) & F.when(e["y1"] > e["y2"], left < right).otherwise(left > right)
 
     crossing = F.filter("_edges", crosses)
-    return pairs.where(F.size(crossing) % 2 == 1).groupBy(*point_id).agg(F.min_by("region_id", F.col("feature_ord").cast("long") * (1 << 20) + F.col("poly_ord")).alias("region_id"))
+    place = F.struct(F.col("feature_ord").alias("f"), F.col("poly_ord").alias("p"), F.col("region_id").alias("r"))
+    one = list(dict.fromkeys([*point_id, "geo", "x", "y"]))
+    hits = pairs.where(F.size(crossing) % 2 == 1).groupBy(*one, place.alias("_at")).agg(F.count("*").alias("_n"))
+    first = hits.groupBy(*one).agg(F.min(F.struct("_at", "_n")).alias("_first"))
+    return first.select(*point_id, F.col("_first._at.r").alias("region_id"), F.explode(F.sequence(F.lit(1), F.col("_first._n"))).alias("_k")).drop("_k")
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from .panel import SLICE
 from .trend import choose_base_year
 
 #: What a descriptor must have, and the kinds.
-FIELDS = ("label", "unit", "kind", "source")
+FIELDS = {"label": "label", "unit": "unit", "kind": "kind", "decimals": "decimals", "source": "source", "source_url": "sourceUrl"}
 KINDS = ("count", "rate", "currency", "index")
 COLUMNS = ("geo", "indicator", "year", "region_id")
 
@@ -24,13 +24,15 @@ def _problem(rows: DataFrame, check: str, detail: Column) -> DataFrame:
 
 
 def missing_fields(indicator: DataFrame) -> DataFrame:
-    gone = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in FIELDS]))
+    gone = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(name)) for f, name in FIELDS.items()]))
     rows = indicator.select("geo", "indicator", F.explode(gone).alias("_field"))
     return _problem(rows, "missing field", F.col("_field"))
 
 
 def unknown_kinds(indicator: DataFrame) -> DataFrame:
-    return _problem(indicator.where(~F.col("kind").isin(*KINDS)), "unknown kind", F.col("kind"))
+    """Kinds that are none of the four; a kind that is not given is one too."""
+    rows = indicator.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False)))
+    return _problem(rows, "unknown kind", F.coalesce("kind", F.lit("missing")))
 
 
 def unknown_regions(panel: DataFrame, region: DataFrame) -> DataFrame:
@@ -47,10 +49,11 @@ def negative_counts(panel: DataFrame, indicator: DataFrame) -> DataFrame:
 
 
 def trend_notes(panel: DataFrame, region: DataFrame, bar: float = 0.9, least: float = 0.85) -> DataFrame:
-    """Base year moved; base year covers too little; a single year."""
+    """Base year covers too little; else, base year moved; a single year."""
     base = choose_base_year(panel, region, bar)
-    moved = _problem(base.where("base_year <> first_year").withColumn("year", F.col("base_year")), "base year moved", F.col("first_year"))
-    thin = _problem(base.where(F.col("base_have") < least * F.col("latest_have")).withColumn("year", F.col("base_year")), "base year covers too little", F.col("base_have"))
+    few = F.col("base_have") < least * F.col("latest_have")
+    moved = _problem(base.where((F.col("base_year") != F.col("first_year")) & ~few).withColumn("year", F.col("base_year")), "base year moved", F.col("first_year"))
+    thin = _problem(base.where(few).withColumn("year", F.col("base_year")), "base year covers too little", F.col("base_have"))
     single = _problem(base.where("n_years = 1").withColumn("year", F.col("base_year")), "single year", F.col("n_years"))
     return moved.unionByName(thin).unionByName(single)
 

@@ -26,12 +26,15 @@ def choose_base_year(panel: DataFrame, region: DataFrame, bar: float = 0.9) -> D
     )
 
 
-def index_to_base(panel: DataFrame, base: DataFrame, indexed: bool = True) -> DataFrame:
-    """Years from the base on, as per cent of the base year's value; regions without one go.
+def index_to_base(panel: DataFrame, base: DataFrame | None, indexed: bool = True, region: DataFrame | None = None) -> DataFrame:
+    """Years from the base on, as per cent of the base year's value; regions without one go,
+    and so do those without a label, where `region` is given.
 
     With indexed=False the values as they are, from the first year on. A base of 0 gives null.
     """
     points = panel.where(finite("value"))
+    if region is not None:
+        points = points.join(region.where("label is not null").select("geo", "region_id"), ["geo", "region_id"], "left_semi")
     if not indexed:
         return points.select(*SERIES, "year", "value")
     rows = points.join(base.select("geo", "indicator", "base_year"), ["geo", "indicator"]).where("year >= base_year")
@@ -47,7 +50,9 @@ def trend_domain(series: DataFrame) -> DataFrame:
 
 
 def trend_coverage(series: DataFrame, n_regions: DataFrame) -> DataFrame:
-    kept = series.groupBy("geo", "indicator").agg(F.count_distinct("region_id").alias("kept"))
+    """Regions that have a line: a series of more than one point."""
+    lines = series.groupBy(*SERIES).agg(F.count("*").alias("_n")).where("_n > 1")
+    kept = lines.groupBy("geo", "indicator").agg(F.count("*").alias("kept"))
     return kept.join(n_regions, "geo").select("geo", "indicator", "kept", "n_regions")
 
 

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 DESCRIPTOR = ("label", "unit", "kind", "source", "sourceUrl")
 SCHEMA = (
     "regions struct<key: string, labels: map<string,string>, colors: map<string,string>>, "
+    "meta map<string, string>, "
     "datasets map<string, struct<label: string, unit: string, kind: string, source: string, sourceUrl: string, decimals: int, values: map<string, map<string,double>>>>"
 )
 
 
 def read_datasets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", "-datasets.json$", "").alias("geo"), F.col("value").alias("json"))
-    return parse_datasets(files)
+    return parse_datasets(read_files(spark, path))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(geo, json): files named after their geography, or as write_files() writes them."""
+    files = spark.read.text(path, wholetext=True)
+    geo = F.col("geo").cast("string") if "geo" in files.columns else F.regexp_replace("_metadata.file_name", "-datasets.json$", "")
+    return files.select(geo.alias("geo"), F.col("value").alias("json"))
+
+
+def parse_meta(docs: DataFrame) -> DataFrame:
+    """docs(geo, json) -> (geo, meta): the provenance of each file."""
+    return docs.select("geo", F.from_json("json", SCHEMA)["meta"].alias("meta"))
 
 
 def parse_datasets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,15 +40,40 @@ def parse_datasets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return indicator, panel, region.select("geo", "region_id", "label", F.try_element_at("colors", F.col("region_id")).alias("color"))
 
 
-def datasets_json(panel: DataFrame, indicator: DataFrame, region: DataFrame) -> DataFrame:
-    """(geo, json): the nested file of each geography; region names are as given."""
+def datasets_json(
+    panel: DataFrame, indicator: DataFrame, region: DataFrame, existing: DataFrame | None = None, meta: DataFrame | None = None, key: str = "id"
+) -> DataFrame:
+    """(geo, json): the nested file of each geography.
+
+    The `regions` block of a file that exists (geo, json) stays as it is written there, as it
+    is curated by hand; only for other geographies it is made, from `region` (geo, region_id,
+    label, and color if there is one). `meta` (geo, meta map) is the provenance of each file.
+    """
     years = panel.groupBy("geo", "indicator", "year").agg(F.map_from_entries(F.collect_list(F.struct("region_id", "value"))).alias("_r"))
     values = years.groupBy("geo", "indicator").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"), "_r"))).alias("values"))
     entry = F.struct("label", "unit", "kind", "source", F.col("source_url").alias("sourceUrl"), "decimals", "values")
     datasets = indicator.join(values, ["geo", "indicator"], "left").groupBy("geo").agg(F.map_from_entries(F.collect_list(F.struct("indicator", entry))).alias("datasets"))
-    labels = region.groupBy("geo").agg(F.map_from_entries(F.collect_list(F.struct("region_id", "label"))).alias("_l"))
-    regions = F.struct(F.lit("id").alias("key"), F.col("_l").alias("labels"))
-    return datasets.join(labels, "geo").select("geo", F.to_json(F.struct(regions.alias("regions"), "datasets")).alias("json"))
+    color = F.col("color") if "color" in region.columns else F.lit(None).cast("string")
+    names = region.groupBy("geo").agg(
+        F.map_from_entries(F.collect_list(F.struct("region_id", "label"))).alias("labels"),
+        F.map_from_entries(F.collect_list(F.when(color.isNotNull(), F.struct("region_id", color.alias("_c"))))).alias("colors"),
+    )
+    out = datasets.join(names.select("geo", F.to_json(F.struct(F.lit(key).alias("key"), "labels", "colors")).alias("_made")), "geo", "left")
+    kept = F.lit(None).cast("string")
+    if existing is not None:
+        out = out.join(existing.select("geo", F.get_json_object("json", "$.regions").alias("_kept")), "geo", "left")
+        kept = F.col("_kept")
+    about = F.lit("{}")
+    if meta is not None:
+        out = out.join(meta.select("geo", F.to_json("meta").alias("_meta")), "geo", "left")
+        about = F.coalesce("_meta", F.lit("{}"))
+    parts = [F.lit('{"regions":'), F.coalesce(kept, "_made", F.lit("{}")), F.lit(',"meta":'), about, F.lit(',"datasets":'), F.to_json("datasets"), F.lit("}")]
+    return out.select("geo", F.concat(*parts).alias("json"))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """One file a geography, under geo=...; only those written now are replaced."""
+    files.select("geo", "json").repartition("geo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("geo").text(path)
 
 
 def write_datasets(panel: DataFrame, path: str) -> None:

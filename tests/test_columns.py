@@ -22,9 +22,12 @@ def test_finite(spark):
 
 @pytest.mark.parametrize(("v", "want"), [(104.0, 0), (105.0, 1), (115.0, 2), (70.0, -3), (99.8, 0), (None, None)])
 def test_diverging_class(spark, v, want):
-    # 104 is within the first step but beyond half a unit: the step decides
-    got = one(spark, C.diverging_class(F.lit(v).cast("double"), F.lit(10.0)))[0]
-    assert got == (1 if v == 104.0 else want)
+    assert one(spark, C.diverging_class(F.lit(v).cast("double"), F.lit(10.0)))[0] == want
+
+
+def test_route_inset(spark):
+    got = one(spark, *[C.route_inset(F.lit(k), F.lit(i), F.lit(lon)) for k, i, lon in (("islands", "IS00", -20.0), ("west", "IS00", -20.0), ("west", "ES70", -16.0), ("islands", "MT00", 14.0), ("none", "CY00", -20.0))])
+    assert got == ("iceland", "canaries", "canaries", "east", "main")
 
 
 def test_sequential_class(spark):
@@ -35,6 +38,7 @@ def test_sequential_class(spark):
 def test_formats(spark):
     got = one(spark, C.format_value(F.lit(1234.5), 2, F.lit("EUR")), C.format_value(F.lit(None).cast("double"), 1), C.format_compact(F.lit(2.34e6)), C.format_compact(F.lit(45_600.0)), C.format_compact(F.lit(999.4)))
     assert got == ("1.234,50 EUR", "—", "2.3 M", "46 k", "999")
+    assert one(spark, C.format_value(F.lit(-1234.00000012), 8), C.format_value(F.lit(0.25), 9)) == ("-1.234,00000012", "0,250000000")
 
 
 def test_year_label_and_numeric_year(spark):
