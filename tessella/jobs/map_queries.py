@@ -117,10 +117,10 @@ BOXES = """usable AS (SELECT (900 - 22) * (780 - 96) AS u),
   wide AS (SELECT geo, insets, a, greatest(180.0, least(504.0, sqrt(a * 1.7))) AS w FROM area),
   high AS (SELECT geo, insets, w, greatest(78.0, least(234.0, a / w)) AS h FROM wide),
   boxes AS (
-    SELECT geo, 'main' AS inset, 10.0 AS bx0, 62.0 AS by0, 890.0 AS bx1, CASE insets WHEN 'west' THEN 780 - h - 60 WHEN 'islands' THEN 766.0 ELSE 750.0 END AS by1, CASE insets WHEN 'islands' THEN 9 ELSE 1 END AS least FROM high
+    SELECT geo, 'main' AS inset, CAST(10 AS DOUBLE) AS bx0, CAST(62 AS DOUBLE) AS by0, CAST(890 AS DOUBLE) AS bx1, CASE insets WHEN 'west' THEN 780 - h - 60 WHEN 'islands' THEN 766.0 ELSE 750.0 END AS by1, CASE insets WHEN 'islands' THEN 9 ELSE 1 END AS least FROM high
     UNION ALL SELECT geo, 'canaries', 12.0, 780 - h - 34, 12 + w, 746.0, 1 FROM high WHERE insets = 'west'
-    UNION ALL SELECT geo, 'iceland', 14.0, 66.0, 14 + 54.0, 66 + 780 * 0.07, NULL FROM high WHERE insets = 'islands'
-    UNION ALL SELECT geo, 'east', 900 - 14 - 54.0, 780 - 30 - 780 * 0.07, 886.0, 750.0, NULL FROM high WHERE insets = 'islands')"""
+    UNION ALL SELECT geo, 'iceland', 14.0, 66.0, 68.0, 120.6, NULL FROM high WHERE insets = 'islands'
+    UNION ALL SELECT geo, 'east', CAST(832 AS DOUBLE), CAST(695.4 AS DOUBLE), CAST(886 AS DOUBLE), CAST(750 AS DOUBLE), NULL FROM high WHERE insets = 'islands')"""
 
 
 def _boxes(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -324,27 +324,77 @@ def drift(spark, sf_dir):
     return _rounded(grid.drift(cells, centres, cells.select("map_id", F.lit(50.0).alias("diagonal")).distinct()), "mean", "p95")
 
 
-@register("grid_components")
+#: All cells that a cell's region reaches from it, by steps along the sides.
+REACH = """reach AS (SELECT map_id, region_id, col AS c0, row AS r0, col, row FROM cells UNION
+  SELECT c.map_id, c.region_id, c0, r0, c.col, c.row FROM reach q JOIN cells c ON c.map_id = q.map_id AND c.region_id = q.region_id AND abs(c.col - q.col) + abs(c.row - q.row) = 1),
+parts AS (SELECT map_id, region_id, c0 AS col, r0 AS row, min(CAST(col AS BIGINT) * 1048576 + row) AS component FROM reach GROUP BY ALL)"""
+PIECES = "pieces AS (SELECT map_id, count(*) AS regions, count(*) FILTER (n > 1) AS fragmented FROM (SELECT map_id, region_id, count(DISTINCT component) AS n FROM parts GROUP BY ALL) GROUP BY map_id)"
+
+
+@register("grid_components", f", {CELLS}, {REACH} SELECT *, CAST(col AS DOUBLE) AS x, CAST(row AS DOUBLE) AS y FROM parts")
 def grid_components(spark, sf_dir):
     return grid.grid_components(cells_of_parts(spark, sf_dir), ["region_id"])
 
 
-@register("fragmentation")
+@register("fragmentation", f", {CELLS}, {REACH}, {PIECES} SELECT * FROM pieces")
 def fragmentation(spark, sf_dir):
     return grid.fragmentation(cells_of_parts(spark, sf_dir))
 
 
-@register("fill_enclosed")
+#: The holes of this grid never touch, so that the order in which they are filled is all one.
+@register(
+    "fill_enclosed",
+    f""", {CELLS}, b AS (SELECT map_id, min(col) - 1 AS a, max(col) + 1 AS b, min(row) - 1 AS c, max(row) + 1 AS d FROM cells GROUP BY map_id),
+g AS (SELECT b.*, unnest(range(a, b + 1)) AS col FROM b), g2 AS (SELECT g.*, unnest(range(c, d + 1)) AS row FROM g), free AS (SELECT map_id, a, c, CAST(col AS INTEGER) AS col, CAST(row AS INTEGER) AS row FROM g2 ANTI JOIN cells USING (map_id, col, row)),
+sea AS (SELECT map_id, col, row FROM free WHERE col = a AND row = c UNION SELECT f.map_id, f.col, f.row FROM sea s JOIN free f ON f.map_id = s.map_id AND abs(f.col - s.col) + abs(f.row - s.row) = 1),
+n AS (SELECT h.map_id, h.col, h.row, x.region_id, count(*) AS n FROM (SELECT map_id, col, row FROM free ANTI JOIN sea USING (map_id, col, row)) h JOIN cells x ON x.map_id = h.map_id AND abs(x.col - h.col) + abs(x.row - h.row) = 1 GROUP BY ALL)
+SELECT map_id, col, row, region_id FROM cells UNION ALL SELECT map_id, col, row, region_id FROM (SELECT *, row_number() OVER (PARTITION BY map_id, col, row ORDER BY n DESC, region_id) AS k FROM n) WHERE k = 1""",
+)
 def fill_enclosed(spark, sf_dir):
     return grid.fill_enclosed(cells_of_parts(spark, sf_dir))
 
 
-@register("open_cell")
+def _run(to: str, dc: int, dr: int) -> str:
+    """Steps from each cell that stay in its region, at most 40."""
+    return f"""{to} AS (SELECT map_id, region_id, col, row, 0 AS n FROM cells UNION ALL SELECT q.map_id, q.region_id, q.col, q.row, n + 1 FROM {to} q
+  JOIN cells c ON c.map_id = q.map_id AND c.region_id = q.region_id AND c.col = q.col + (n + 1) * {dc} AND c.row = q.row + (n + 1) * {dr} WHERE n < 40)"""
+
+
+@register(
+    "open_cell",
+    f""", {CELLS}, {_run('lf', -1, 0)}, {_run('rt', 1, 0)}, {_run('up', 0, -1)}, {_run('dn', 0, 1)},
+m AS (SELECT map_id, region_id, col, row, 2 * least(a, b) + 1 AS w, 2 * least(c, d) + 1 AS h FROM (SELECT map_id, region_id, col, row, max(n) AS a FROM lf GROUP BY ALL) JOIN (SELECT map_id, region_id, col, row, max(n) AS b FROM rt GROUP BY ALL) USING (map_id, region_id, col, row)
+  JOIN (SELECT map_id, region_id, col, row, max(n) AS c FROM up GROUP BY ALL) USING (map_id, region_id, col, row) JOIN (SELECT map_id, region_id, col, row, max(n) AS d FROM dn GROUP BY ALL) USING (map_id, region_id, col, row))
+SELECT map_id, region_id, col, row, CAST(w AS DOUBLE) AS width, CAST(h AS DOUBLE) AS height FROM m QUALIFY row_number() OVER (PARTITION BY map_id, region_id ORDER BY least(w, 3.2 * h) DESC, row, col) = 1""",
+)
 def open_cell(spark, sf_dir):
     return grid.open_cell(cells_of_parts(spark, sf_dir))
 
 
-@register("component_budget")
+ALL_REACH = REACH.replace(" AND c.region_id = q.region_id", "").replace("c.region_id, c0", "q.region_id, c0")
+
+
+@register(
+    "region_placement",
+    f""", {CELLS}, {ALL_REACH} SELECT map_id, component, region_id, count(*) AS here FROM parts GROUP BY ALL
+UNION ALL SELECT map_id, component, 'lost', 1 FROM parts QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY power(col - 20.2, 2) + power(row - 7.1, 2)) = 1""",
+)
+def region_placement(spark, sf_dir):
+    """One more region without a cell goes where its seed is nearest."""
+    cells = grid.grid_components(cells_of_parts(spark, sf_dir))
+    lost = cells.select("map_id").distinct().select("map_id", F.lit("lost").alias("region_id"))
+    seeds = lost.select("map_id", "region_id", F.lit(20.2).alias("x"), F.lit(7.1).alias("y"))
+    return grid.region_placement(cells, _targets(cells).unionByName(lost.withColumn("target", F.lit(9))), seeds)
+
+
+@register(
+    "component_budget",
+    f""", {CELLS}, {TARGETS}, {ALL_REACH}, p AS (SELECT map_id, component, region_id, count(*) AS here FROM parts GROUP BY ALL),
+w AS (SELECT p.*, target * here / sum(here) OVER (PARTITION BY map_id, region_id) AS w FROM p JOIN targets USING (map_id, region_id) WHERE target > 0),
+t AS (SELECT map_id, component, CAST(floor(sum(w) + 0.5) AS INTEGER) AS total FROM w GROUP BY ALL), e AS (SELECT w.*, total, w * total / sum(w) OVER (PARTITION BY map_id, component) AS e FROM w JOIN t USING (map_id, component) WHERE total > 0),
+f AS (SELECT *, total - sum(floor(e)) OVER (PARTITION BY map_id, component) AS more, row_number() OVER (PARTITION BY map_id, component ORDER BY e - floor(e) DESC, region_id) AS k FROM e)
+SELECT map_id, component, region_id, total, CAST(floor(e) + CASE WHEN k <= more THEN 1 ELSE 0 END AS INTEGER) AS budget FROM f""",
+)
 def component_budget(spark, sf_dir):
     cells = grid.grid_components(cells_of_parts(spark, sf_dir))
     targets = _targets(cells)
@@ -352,23 +402,58 @@ def component_budget(spark, sf_dir):
     return grid.component_budget(grid.region_placement(cells, targets, seeds), targets)
 
 
+BLOCK = 100
+
+
 def _cartogram(spark, sf_dir):
-    """A map for each brand and year; shipped quantities make the sizes."""
-    weights = _weights(spark, sf_dir).withColumn("geo", F.split("map_id", "[|]")[0])
-    return weights, *allocate.cartogram(weights, lattice(spark, sf_dir), 1000)
+    """A map for each hundred parts, squares side by side; the latest year's quantities make the sizes."""
+    k = F.col("p_partkey")
+    place = lambda i: (10.0 * i).alias("_at")
+    parts = S.read(spark, sf_dir, "part").select(
+        F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), k.cast("string").alias("region_id"), k.cast("int").alias("feature_ord"), F.lit(0).alias("poly_ord"), F.lit(0).alias("ring_ord"),
+        place(k % 10).alias("_x"), place(F.floor(k % BLOCK / 10)).alias("_y"),
+    )
+    box = lambda c, *d: F.array(*[F.col(c) + float(v) for v in d])
+    rings = parts.withColumn("xs", box("_x", 0, 10, 10, 0)).withColumn("ys", box("_y", 0, 0, 10, 10)).drop("_x", "_y")
+    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumn("geo", F.concat(F.lit("b"), F.floor(F.col("region_id").cast("long") / BLOCK)))
+    last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
+    weights = shipped.join(last, ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
+    return rings, *allocate.cartogram(weights, rings, 1000)
 
 
+@register("cartogram")
 def cartogram(spark, sf_dir):
     return _cartogram(spark, sf_dir)[1]
 
 
-def map_gates(spark, sf_dir):
-    """The acceptance checks of every map of the cartogram."""
-    weights, cells, targets = _cartogram(spark, sf_dir)
+@register("cartogram_measures")
+def cartogram_measures(spark, sf_dir):
+    """What each map of the cartogram is judged by."""
+    rings, cells, targets = _cartogram(spark, sf_dir)
+    cells = cells.withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
+    measures = _measures(cells, targets, F.lit(1000))
+    round_ = grid.compactness(cells).select("map_id", "compactness")
+    return _rounded(measures.join(round_, "map_id", "left"), "mean_error", "compactness")
+
+
+def _measures(cells: DataFrame, targets: DataFrame, budget) -> DataFrame:
     error = grid.allocation_error(cells, targets).select("map_id", F.col("mean").alias("mean_error"))
-    sizes = cells.groupBy("map_id").agg(F.count("*").alias("cells")).withColumn("budget", F.lit(1000))
-    measures = error.join(sizes, "map_id").join(grid.fragmentation(cells), "map_id").withColumn("geo", F.split("map_id", "[|]")[0])
-    return quality.map_gates(measures)
+    sizes = cells.groupBy("map_id").agg(F.count("*").alias("cells")).withColumn("budget", budget)
+    return error.join(sizes, "map_id").join(grid.fragmentation(cells), "map_id").withColumn("geo", F.split("map_id", "[|]")[0])
+
+
+@register(
+    "map_gates",
+    f""", {CELLS}, {TARGETS}, {REACH}, {PIECES}, e AS (SELECT t.map_id, abs(count(c.col) - target) / target * 100 AS e FROM targets t LEFT JOIN cells c USING (map_id, region_id) WHERE target >= 3 GROUP BY t.map_id, t.region_id, target),
+m AS (SELECT *, 900 AS budget FROM (SELECT map_id, avg(e) AS mean_error FROM e GROUP BY map_id) JOIN (SELECT map_id, count(*) AS cells FROM cells GROUP BY map_id) USING (map_id) JOIN pieces USING (map_id)),
+p AS (SELECT map_id, 'allocation error' AS "check", format('{{}}|{{:.1f}}', map_id, mean_error) AS detail FROM m WHERE mean_error > 5
+  UNION ALL SELECT map_id, 'tiles missing', format('{{}}|{{}}/{{}}', map_id, cells, budget) FROM m WHERE cells < 0.97 * budget UNION ALL SELECT map_id, 'fragmented', format('{{}}|{{}}/{{}}', map_id, fragmented, regions) FROM m WHERE fragmented > 0.15 * regions)
+SELECT "check", map_id AS geo, CAST(NULL AS VARCHAR) AS indicator, CAST(NULL AS INTEGER) AS year, CAST(NULL AS VARCHAR) AS region_id, detail FROM p""",
+)
+def map_gates(spark, sf_dir):
+    """The acceptance checks, of the grids of parts."""
+    cells = cells_of_parts(spark, sf_dir)
+    return quality.map_gates(_measures(cells, _targets(cells), F.lit(900)))
 
 
 @register(

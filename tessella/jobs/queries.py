@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
     def add(f: Callable) -> Callable:
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH {SQL} {sql.strip()}"
+            ORACLES[name] = f"WITH RECURSIVE {SQL} {sql.strip()}"
         return f
 
     return add

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.tables import written
+
 from . import geo, grid
 
 ROUNDS, PULL = 4, 0.25
@@ -39,7 +41,9 @@ def resize_cells(cells: set[tuple[int, int]], taken: set[tuple[int, int]], size:
 
 def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) -> np.ndarray:
     """Owner of each cell: every region gets exactly its budget, and the squared distances to
-    the seeds are least in sum. Prices first; the rest moves along shortest paths."""
+    the seeds are least in sum. Prices first; the rest moves along shortest paths, each of
+    which takes one cell from an over-full region to a short one, so that they come to an end.
+    The budgets are not negative, and sum to the number of cells."""
     d = ((xy[:, None, :] - seeds[None, :, :]) ** 2).sum(2)
     n, k = d.shape
     price, step = np.zeros(k), max(1e-9, float(np.median(d)))
@@ -52,14 +56,15 @@ def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) ->
         step *= 0.98
     # successive shortest paths, from over-full to short regions, keep the assignment optimal
     owner = np.argmin(d - price, axis=1)
-    while True:
+    cost, mover = np.full((k, k), np.inf), np.full((k, k), -1)
+    changed = range(k)
+    for _ in range(n + 1):
         gap = budget - np.bincount(owner, minlength=k)
         if not gap.any():
             return owner
-        cost = np.full((k, k), np.inf)
-        mover = np.full((k, k), -1)
-        for r in range(k):
+        for r in changed:  # the cheapest cell of r to hand to each other region
             mine = np.flatnonzero(owner == r)
+            cost[r] = np.inf
             if len(mine):
                 move = d[mine] - d[mine, r][:, None]
                 best = move.argmin(0)
@@ -69,17 +74,26 @@ def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) ->
         for _ in range(k):
             through = dist[:, None] + cost
             best = through.argmin(0)
-            better = through[best, np.arange(k)] < dist - 1e-12
+            least = through[best, np.arange(k)]
+            better = least < dist - 1e-12
             if not better.any():
                 break
-            dist = np.where(better, through[best, np.arange(k)], dist)
-            came = np.where(better, best, came)
-        to = int(np.where(gap > 0, dist, np.inf).argmin())
-        path = [to]
+            dist, came = np.where(better, least, dist), np.where(better, best, came)
+        path = [int(np.where(gap > 0, dist, np.inf).argmin())]
         while came[path[-1]] >= 0:
             path.append(int(came[path[-1]]))
         for b, a in zip(path, path[1:], strict=False):
             owner[mover[a, b]] = b
+        changed = path
+    raise ValueError("budgets and cells differ")
+
+
+def shrunk(budget: np.ndarray, cells: int) -> np.ndarray:
+    """The budgets dealt again over fewer cells, by largest remainder, ties to the first."""
+    exact = budget * cells / budget.sum()
+    out = np.floor(exact).astype(int)
+    out[np.argsort(out - exact, kind="stable")[: cells - out.sum()]] += 1
+    return out
 
 
 def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
@@ -97,8 +111,9 @@ def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
             continue
         at = np.array(sorted(after), float)
         anchor = part[["x", "y"]].to_numpy(float)
-        budget = part["budget"].to_numpy(int).copy()
-        budget[-1] += len(at) - budget.sum()  # no place was left to grow
+        budget = part["budget"].to_numpy(int)
+        if len(at) != budget.sum():  # no place was left to grow
+            budget = shrunk(budget, len(at))
         seeds, owner = anchor, None
         for _ in range(ROUNDS + 1):
             owner = capacitated_assign(at, seeds, budget)
@@ -120,8 +135,6 @@ def allocate(cells: DataFrame, plan: DataFrame) -> DataFrame:
 def cartogram(weights: DataFrame, ring: DataFrame, tiles: int) -> tuple[DataFrame, DataFrame]:
     """weights(map_id, geo, region_id, w), ring in projected coordinates -> cells and targets of
     every map: apportion, rasterise, fill, label, place, budget, assign."""
-    from tessella.functions.tables import written
-
     targets = written(grid.largest_remainder(weights.where("w > 0"), tiles, ["map_id"]).select("map_id", "region_id", "target"), "targets")
     base = written(grid.fill_enclosed(grid.rasterize(ring, tiles)), "raster")
     base = written(grid.grid_components(base), "components").withColumnRenamed("map_id", "geo")
@@ -132,5 +145,6 @@ def cartogram(weights: DataFrame, ring: DataFrame, tiles: int) -> tuple[DataFram
     unit = lambda v, o: (F.col(v) - F.col(o)) / F.col("side") + 1.5
     seeds = seeds.select("geo", "region_id", unit("x", "x0").alias("x"), unit("y", "y0").alias("y")).join(maps, "geo").select("map_id", "region_id", "x", "y")
     plan = grid.component_budget(grid.region_placement(cells, targets, seeds), targets).join(seeds, ["map_id", "region_id"])
+    plan = written(plan, "plan")
     out = allocate(cells.select("map_id", "col", "row", "component"), plan.select("map_id", "component", "region_id", "budget", "x", "y"))
     return written(out, "cartogram"), targets

@@ -5,15 +5,20 @@ Everything is keyed by map_id, so that scale is the number of maps.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessella.functions.tables import written
+
 from .geo import bounds, nearest_cell, points_in_polygons, tile_side
 from .graph import connected_components
 
 CELL = ["map_id", "col", "row"]
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1))
+#: Runs of cells that one task labels; a larger map goes by joins.
+RUNS_AT_ONCE = 200_000
 
 
 def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: str = "region_id", value: str = "w") -> DataFrame:
@@ -73,39 +78,85 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     """4-connected components, within the key `by` besides the map; a component is named by
     its least cell, as `component` = col * 2^20 + row of it.
 
-    Cells of a column that follow each other are one run; only runs are joined and labelled.
+    Cells of a column that follow each other are one run; only runs are labelled, those of a
+    map (and `by`) in one task, or by rounds of joins where it has more than RUNS_AT_ONCE.
     """
-    by = ["map_id", *(by or [])]
+    by, cells = ["map_id", *(by or [])], cells.drop("component")
     order = W.partitionBy(*by, "col").orderBy("row")
-    rows = cells.withColumn("_island", F.col("row") - F.row_number().over(order))
-    runs = rows.groupBy(*by, "col", "_island").agg(F.min("row").alias("top"), F.max("row").alias("bottom"))
-    key = F.xxhash64(*by, "col", "_island")
-    runs = runs.withColumn("_run", key)
+    rows = cells.withColumn("_island", (F.col("row") - F.row_number().over(order)).cast("int"))
+    runs = written(rows.groupBy(*by, "col", "_island").agg(F.min("row").cast("int").alias("top"), F.max("row").cast("int").alias("bottom")), "runs")
+    sizes = runs.groupBy(*by).agg(F.count("*").alias("_n"))
+    large = sizes.where(F.col("_n") > RUNS_AT_ONCE).select(*by)
+    schema = runs.select(*by, F.col("col").cast("int"), "_island").schema.add("component", "long")
+    named = runs.join(large, by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
+    if large.head(1):
+        named = named.unionByName(_joined_components(runs.join(large, by, "left_semi"), by))
+    return rows.join(named, [*by, "col", "_island"]).drop("_island")
+
+
+def _labelled(runs: pd.DataFrame) -> pd.DataFrame:
+    """The component of each run of one map: runs of neighbouring columns that meet are one."""
+    runs = runs.sort_values(["col", "top"]).reset_index(drop=True)
+    col, top, bottom = (runs[c].tolist() for c in ("col", "top", "bottom"))
+    root = list(range(len(col)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    first = 0  # of the runs in the column before
+    for k in range(len(col)):
+        while first < k and (col[first] < col[k] - 1 or (col[first] == col[k] - 1 and bottom[first] < top[k])):
+            first += 1
+        at = first
+        while at < k and col[at] == col[k] - 1 and top[at] <= bottom[k]:
+            a, b = sorted((find(at), find(k)))
+            root[b] = a
+            at += 1
+    # the least run of a component has its least cell
+    return runs.assign(component=[(col[x] << 20) + top[x] for x in map(find, range(len(col)))])
+
+
+def _joined_components(runs: DataFrame, by: list[str]) -> DataFrame:
+    runs = runs.withColumn("_run", F.xxhash64(*by, "col", "_island"))
     right = runs.select(*by, (F.col("col") - 1).alias("col"), F.col("top").alias("r_top"), F.col("bottom").alias("r_bottom"), F.col("_run").alias("v"))
     edges = runs.join(right, [*by, "col"]).where("top <= r_bottom and r_top <= bottom").select(F.col("_run").alias("u"), "v")
     labels = connected_components(edges)
     named = runs.join(labels, runs["_run"] == labels["node"], "left").withColumn("_label", F.coalesce("component", "_run")).drop("node", "component")
     least = named.groupBy(*by, "_label").agg(F.min(F.col("col").cast("long") * (1 << 20) + F.col("top")).alias("component"))
-    named = named.join(least, [*by, "_label"]).select(*by, "col", "_island", "component")
-    return rows.join(named, [*by, "col", "_island"]).drop("_island")
+    return named.join(least, [*by, "_label"]).select(*by, F.col("col").cast("int").alias("col"), "_island", "component")
 
 
 def fill_enclosed(cells: DataFrame) -> DataFrame:
-    """Cells, with those that no way leads out of filled by the majority around, rim first."""
-    from tessella.functions.tables import written
-
+    """Cells, with the empty ones that no way leads out of: those are filled row by row, each by
+    the majority of what is around it by then, ties to the least id."""
     cells = cells.select(*CELL, "region_id")
     box = cells.groupBy("map_id").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
     grid = box.select("*", F.explode(F.expr("sequence(c0 - 1, c1 + 1)")).alias("col")).select("*", F.explode(F.expr("sequence(r0 - 1, r1 + 1)")).alias("row"))
     free = grid.join(cells, CELL, "left_anti").select(*CELL, ((F.col("col") < F.col("c0")) & (F.col("row") < F.col("r0"))).alias("_out"))
     parts = written(grid_components(free), "free")
     outside = parts.where("_out").select("map_id", "component").distinct()
-    holes = written(parts.join(outside, ["map_id", "component"], "left_anti").select(*CELL), "holes")
-    while holes.count():
-        filled = majority_region(cells, holes)
-        cells = written(cells.unionByName(filled.select(*CELL, "region_id")), "filled")
-        holes = written(holes.join(filled, CELL, "left_anti"), "holes")
-    return cells
+    holes = parts.join(outside, ["map_id", "component"], "left_anti").select("map_id", "component", "col", "row")
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND]))
+    rim = holes.withColumn("_o", around).select("map_id", "component", (F.col("col") + F.col("_o.a")).alias("col"), (F.col("row") + F.col("_o.b")).alias("row")).distinct().join(cells, CELL)
+    names = ["map_id", "component", "col", "row", "region_id"]
+    both = rim.select(*names).unionByName(holes.withColumn("region_id", F.lit(None).cast("string")).select(*names))
+    filled = both.groupBy("map_id", "component").applyInPandas(_filled, "map_id string, col int, row int, region_id string")
+    return cells.unionByName(filled)
+
+
+def _filled(part: pd.DataFrame) -> pd.DataFrame:
+    """The cells of one hole with their regions; the part has the hole's rim too."""
+    known = {(c, r): x for c, r, x in zip(part["col"], part["row"], part["region_id"], strict=True) if x is not None}
+    hole = part[part["region_id"].isna()].sort_values(["row", "col"])
+    out = []
+    for c, r in zip(hole["col"].tolist(), hole["row"].tolist(), strict=True):
+        around = [known[c + a, r + b] for a, b in AROUND if (c + a, r + b) in known]
+        known[c, r] = min(set(around), key=lambda x: (-around.count(x), x))
+        out.append(known[c, r])
+    return hole.assign(region_id=out)[["map_id", "col", "row", "region_id"]]
 
 
 def region_placement(cells: DataFrame, targets: DataFrame, seeds: DataFrame) -> DataFrame:

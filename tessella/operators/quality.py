@@ -65,15 +65,17 @@ def no_shared_year(panel: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def map_gates(measures: DataFrame) -> DataFrame:
-    """measures(map_id, geo, mean_error, cells, budget, regions, fragmented) of each map."""
+    """measures(map_id, geo, mean_error, cells, budget, regions, fragmented) of each map -> what
+    fails: a mean error above 5 %, under 97 % of the tiles, over 15 % of the regions in pieces."""
+    detail = lambda pattern, *c: F.format_string(pattern, "map_id", *c).alias("d")
     rows = measures.select(
         "geo",
         F.explode(
             F.array_compact(
                 F.array(
-                    F.when(F.col("mean_error") > 5, F.struct(F.lit("allocation error").alias("c"), F.concat_ws("|", "map_id", F.col("mean_error").cast("string")).alias("d"))),
-                    F.when(F.col("cells") < 0.97 * F.col("budget"), F.struct(F.lit("tiles missing").alias("c"), F.concat_ws("|", "map_id", F.col("cells").cast("string")).alias("d"))),
-                    F.when(F.col("fragmented") > 0.15 * F.col("regions"), F.struct(F.lit("fragmented").alias("c"), F.concat_ws("|", "map_id", F.col("fragmented").cast("string")).alias("d"))),
+                    F.when(F.col("mean_error") > 5, F.struct(F.lit("allocation error").alias("c"), detail("%s|%.1f", "mean_error"))),
+                    F.when(F.col("cells") < 0.97 * F.col("budget"), F.struct(F.lit("tiles missing").alias("c"), detail("%s|%d/%d", "cells", "budget"))),
+                    F.when(F.col("fragmented") > 0.15 * F.col("regions"), F.struct(F.lit("fragmented").alias("c"), detail("%s|%d/%d", "fragmented", "regions"))),
                 )
             )
         ).alias("_p"),
