@@ -473,7 +473,8 @@ def rasterize(spark, sf_dir):
 def _documents(spark, sf_dir) -> DataFrame:
     """A JSON-stat cube for each brand: indicator x geo x time."""
     p = S.fine_panel(spark, sf_dir).select(F.col("geo").alias("brand"), "indicator", F.col("region_id").alias("geo"), F.col("year").alias("time"), "value")
-    return jsonstat.to_jsonstat(p, ["brand"], ["indicator", "geo", "time"]).select(F.col("brand").alias("doc_id"), "json")
+    docs = jsonstat.to_jsonstat(p, ["brand"], ["indicator", "geo", "time"]).select(F.col("brand").alias("doc_id"), "json")
+    return written(docs, "documents")  # read once for each dimension and for the values
 
 
 @register("jsonstat_round_trip", "SELECT * FROM fine")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import columns as C
 from tessella.functions.columns import round_half_up
+from tessella.functions.tables import written
 from tessella.operators import classify, metrics, panel, quality, trend
 
 from . import sample_panel as S
@@ -466,6 +467,7 @@ def format_value(spark, sf_dir):
 def minimum_slice(spark, sf_dir):
     """Per geography and year: regions ranked by revenue, their quantile class, the headline and coverage."""
     p, region, i = _both(spark, sf_dir)
+    p = written(p, "panel")  # some rows a nation and year: aggregated once, read six times
     revenue = p.where("indicator = 'revenue'")
     ranked = metrics.rank_regions(revenue)
     classes = classify.classified(revenue, i).select("geo", "year", "region_id", "class")

@@ -136,7 +136,8 @@ def cartogram(weights: DataFrame, ring: DataFrame, tiles: int) -> tuple[DataFram
     """weights(map_id, geo, region_id, w), ring in projected coordinates -> cells and targets of
     every map: apportion, rasterise, fill, label, place, budget, assign."""
     targets = written(grid.largest_remainder(weights.where("w > 0"), tiles, ["map_id"]).select("map_id", "region_id", "target"), "targets")
-    base = written(grid.fill_enclosed(grid.rasterize(ring, tiles)), "raster")
+    base = written(grid.rasterize(ring, tiles), "raster")
+    base = written(grid.fill_enclosed(base), "filled")
     base = written(grid.grid_components(base), "components").withColumnRenamed("map_id", "geo")
     maps = weights.select("map_id", "geo").distinct()
     cells = base.join(maps, "geo").select("map_id", "col", "row", "region_id", "component", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
