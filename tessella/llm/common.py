@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.tables import fresh_path, join_counted, shared_dir, written  # noqa: F401, for the operators
 
 #: Spark's settings of Arrow batches: their defaults, and what rows with whole texts need.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(4 << 20))}
@@ -71,34 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where a session names none (a local test) a temporary folder is set instead.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """The rows of `df`, read again from a table in the shared folder: lineage ends there,
-    and an executor lost later costs no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def literal_table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
     """A small fixed table, as a literal of the plan."""
     made = [F.struct(*[F.lit(x).alias(n) for x, n in zip(row, names, strict=True)]) for row in rows]
@@ -132,30 +103,6 @@ def running(values: Column, op, zero: Column, kind: str = "int", chunk: int = 51
     return once(values, lambda v: once(cut(v), of))
 
 
-def join_counted(
-    left: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, spread: Column, least: int = 1000, groups_at_most: int = 4096
-) -> DataFrame:
-    """Left join of rows with one row per group, where a group may hold a third of all rows.
-
-    `groups[size]` is the number of `left` rows of the group. Groups of at least
-    max(least, total / groups_at_most) rows are broadcast: there can be no more than
-    `groups_at_most` of them, whatever the data. Their rows take no part in the shuffled
-    join of the rest: a salt from `spread` deals them over all partitions.
-    """
-    bar = max(least, total // groups_at_most)
-    values = [c for c in groups.columns if c not in on]
-    hot = groups.where(F.col(size) >= bar).select(*on, *[F.col(c).alias(f"_hot_{c}") for c in values])
-    # 0 in every row, but not as a literal: the optimizer would take that out of the join keys
-    rest = groups.where(F.col(size) < bar).withColumn("_salt", F.pmod(F.xxhash64(size), F.lit(1)).cast("int"))
-    out = left.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col(f"_hot_{size}").isNull(), 0).otherwise((1 + F.pmod(F.xxhash64(spread), F.lit(1009))).cast("int"))
-    )
-    out = out.join(rest, [*on, "_salt"], "left")
-    return out.select(
-        *[c for c in left.columns], *[F.coalesce(f"_hot_{c}", c).alias(c) for c in values]
-    )
-
-
 BUCKET_BITS = 32768  # of Spark's bitmap functions
 MAX_FILTER_BITS = 1 << 27
 

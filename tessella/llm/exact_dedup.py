@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashFilter, join_counted, table, text_or_empty
+from .common import HashFilter, join_counted, table, text_or_empty, written
 
 PREFIX_CHARS = 256
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Adds to each row: keep_id, group_size, copy_no, kept.
+    """Adds to each row: keep_id, group_size, kept.
 
     Texts are equal when they are identical; a null text counts as empty. Of equal texts the
-    row with the largest id stays; a null id is smaller than any other. Rows that repeat both
-    id and text are numbered by copy_no in no particular order, and only the first is kept.
-    keep_id is null if all ids of a group are null. `carry` names the columns that the result
+    row with the largest id stays; a null id is smaller than any other. Of rows that repeat
+    both id and text one is kept. An empty table gives no rows; texts of any length are
+    compared whole. keep_id is null if all ids of a group are null. `carry` names the columns that the result
     has besides (default: all); input columns named like the new ones are replaced.
 
     1. rows are counted by length and prefix hash; a group of one row is decided;
@@ -26,7 +26,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     3. those are grouped by (length, prefix hash, full hash). The join back to the rows
        broadcasts the few largest groups (join_counted).
     """
-    new = ["keep_id", "group_size", "copy_no", "kept"]
+    new = ["keep_id", "group_size", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
     text = text_or_empty(text_col)
     rows = docs.select(
@@ -37,7 +37,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_pre"),
     )
     by_length = rows.groupBy("_len", "_pre").agg(F.count("*").alias("_n"))
-    survivors = HashFilter(by_length.where("_n > 1"), ["_len", "_pre"])
+    survivors = HashFilter(written(by_length.where("_n > 1"), "lengths"), ["_len", "_pre"])
     hashed = survivors.mark(rows, ["_len", "_pre"], "_maybe").select(
         "_row", "_id", "_len", "_pre", F.when(F.col("_maybe"), F.sha2("_text", 256)).alias("_full")
     )
@@ -46,21 +46,25 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = per_id.groupBy("_len", "_pre", "_full").agg(
         F.max("_id").alias("_keep"), F.sum("_rows").alias("_size"), F.max("_rows").alias("_most")
     ).where("_size > 1")
+    groups = written(groups, "groups")
     total = docs.count()
     out = join_counted(hashed.withColumn("_full", F.coalesce("_full", F.lit(""))), groups, ["_len", "_pre", "_full"], "_size", total, F.struct("_id"))
     out = out.withColumn("_keep", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep")))
     out = out.withColumn("_size", F.coalesce("_size", F.lit(1)).cast("long"))
-    alone = out.where("coalesce(_most, 1) = 1").withColumn("_copy", F.lit(1))
-    numbered = out.where("_most > 1").withColumn(
-        "_copy", F.expr("row_number() over (partition by _len, _pre, _full, _id order by _id)")
-    )
-    out = alone.unionByName(numbered)
+    last = F.col("_id").eqNullSafe(F.col("_keep"))
+    alone = out.where("coalesce(_most, 1) = 1").withColumn("_kept", last)
+    if groups.where("_most > 1").head(1):
+        # rows that repeat id and text, however many: one of each group by a number of its own
+        repeats = written(out.where("_most > 1").withColumn("_at", F.monotonically_increasing_id()), "repeats")
+        first = repeats.where(last).groupBy("_len", "_pre", "_full").agg(F.min("_at").alias("_first")).select("_first")
+        repeats = repeats.join(first, F.col("_at") == F.col("_first"), "left").withColumn("_kept", F.col("_first").isNotNull())
+        alone = alone.unionByName(repeats.drop("_at", "_first"))
+    out = alone
     return out.select(
         *[F.col(f"_row.{c}").alias(c) for c in carry],
         F.col("_keep").alias("keep_id"),
         F.col("_size").alias("group_size"),
-        F.col("_copy").alias("copy_no"),
-        (F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_copy") == 1)).alias("kept"),
+        F.col("_kept").alias("kept"),
     )
 
 
@@ -81,5 +85,7 @@ FROM documents
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Pipeline stage: one row of each group of equal texts stays."""
-    return exact_groups(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: of each group of equal texts the row with the largest id stays, a null
+    text counting as empty; of rows that repeat id and text one. An empty table gives no rows."""
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))  # columns may have the new names
+    return exact_groups(rows, carry=["_doc"]).where("kept").select(*[F.col(f"_doc.{c}").alias(c) for c in docs.columns])

@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators.graph import connected_components
+
 from .common import HashFilter, importable, join_counted, lean, table, text_or_empty, written
-from .components import connected_components
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: 32 bands of 4 values: a pair of similarity 0.8 shares no band with probability 5e-8.
@@ -336,6 +337,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     banded = nodes.where("n > 0").select("node", "sig", at)
     banded = banded.select("node", "band", F.xxhash64(F.expr(f"substring(sig, band * {2 * ROWS} + 1, {2 * ROWS})")).alias("key"))
     buckets = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
+    buckets = written(buckets, "buckets")
     maybe = HashFilter(buckets, ["band", "key"]).mark(banded, ["band", "key"], "_maybe").where("_maybe").drop("_maybe")
     members = join_counted(maybe, buckets, ["band", "key"], "size", maybe.count(), F.struct("node")).where("size is not null")
     members = written(members, "members")
@@ -416,5 +418,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def near_dedup_stage(spark, docs, sf_dir):
-    """Pipeline stage: of each class of near duplicates one row stays (drop_near_duplicates)."""
+    """Pipeline stage: of each class of near duplicates one row stays, the others as they are,
+    with null ids and texts and repeated rows as drop_near_duplicates() says."""
     return drop_near_duplicates(docs)

@@ -321,4 +321,7 @@ def langid_stage(spark, docs, sf_dir):
     letter; the others stay as they are, repeated rows and null ids too. Where nothing is
     labelled nothing can be learned, and an empty table gives no rows: then none stays."""
     sample = labelled_sample(docs)
-    return identify(docs, sample).where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= MOST_PHRASES)).select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(*others).alias("_doc"))  # columns may have the new names
+    found = identify(rows, sample).where((F.col("lang_pred") != UNKNOWN) & (F.col("phrase_rate") <= MOST_PHRASES))
+    return found.select(*[F.col(c if c == "text" else f"_doc.{c}").alias(c) for c in docs.columns])

@@ -229,7 +229,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     that every row of `docs`, repeated ones and those with a null id too, has at least one
     piece. Each partition is packed by itself in the order of its rows, with no shuffle;
     sequence_id holds the partition's number above bit 40. A text of any length is held whole
-    while it is cut, with about CHUNK other ids. An empty table gives no rows.
+    while it is cut, with about CHUNK other ids. An empty table gives no rows. Other columns
+    are left out, so that none can clash.
     """
     importable(docs.sparkSession)
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
@@ -274,7 +275,9 @@ def op1_packing(spark, sf_dir):
 
 
 def packing_stage(spark, docs, sf_dir):
-    """Pipeline stage, the last: the pieces of the documents in sequences."""
+    """Pipeline stage, the last: the pieces of the documents in sequences, as pack() gives them:
+    a null or empty text has its end alone, repeated rows are packed as often, and an empty
+    table gives no rows."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -292,7 +292,8 @@ def secrets_stage(spark, docs, sf_dir):
     A text without secrets stays as it is, a null one too. Every row stays, repeated ones and
     those with a null id as well. An empty table gives no rows.
     """
-    found = find_secrets(docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = find_secrets(docs.select("doc_id", "text", F.struct(*others).alias("_doc") if others else F.lit(None).alias("_doc")))  # columns may have the new names
     spans = F.col("secret_spans")
     text = F.when(F.size(spans) > 0, redacted(text_or_empty("text"), spans)).otherwise(F.col("text"))
-    return found.withColumn("text", text).select(*docs.columns)
+    return found.withColumn("text", text).select(*[F.col(f"_doc.{c}").alias(c) if c in others else c for c in docs.columns])

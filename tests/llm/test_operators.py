@@ -69,6 +69,31 @@ def test_packing(spark, tokenizer):
     assert rows[rows.doc_id.isna()].length.sum() == 3 and packing.pack(docs(spark, []), PATH).count() == 0
 
 
+def test_packing_in_chunks(spark, tokenizer, monkeypatch):
+    """Ids are cut as they come; one text is longer than a chunk, and columns clash."""
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice(["one", "two. ", "three,", "fourteen!"]) for _ in range(rng.choice((0, 5, 300, 900))))) for k in range(80)] + [(80, "word " * 30_000)]
+    rows = []
+    packer, ends = packing._Packer(3, packing._ids_encoder(PATH)[1], 2048), {}
+    monkeypatch.setattr(packing, "CHUNK", 1 << 15)
+    for i, t in texts:
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], np.uint32)
+        ends[i] = len(ids)
+        packer.add(i, ids)
+    packer.pack(True)
+    rows = sorted(packer.rows, key=lambda r: (r[5], r[6]))
+    got, sizes, at = dict.fromkeys(ends, 0), {}, (None, 0)
+    for doc_id, start, length, _, total, sequence, offset in rows:
+        assert start == got[doc_id] and total == ends[doc_id] and offset == (at[1] if at[0] == sequence else 0)
+        got[doc_id] += length
+        sizes[sequence] = sizes.get(sequence, 0) + length
+        at = (sequence, offset + length)
+    assert got == ends and max(sizes.values()) <= 2048 and all(s >> 40 == 3 for s in sizes)
+    assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in sizes.values()) < 0.05 * sum(sizes.values())
+    clash = docs(spark, texts[:3]).withColumn("start", F.lit("x")).withColumn("_text", F.lit(1))
+    assert packing.pack(clash, PATH).groupBy().sum("length").first()[0] == sum(ends[i] for i in range(3))
+
+
 def test_best_cuts_is_least():
     rng = random.Random(1)
     for _ in range(30):
@@ -304,6 +329,11 @@ def test_exact_dedup(spark):
         [("1", 2, 2, False), ("2", 2, 2, True), ("None", 9, 4, False), ("3", 9, 4, False), ("3", 9, 4, False), ("9", 9, 4, True), ("4", 4, 1, True), ("5", 5, 1, True), ("10", 11, 2, False), ("11", 11, 2, True)]
     )
     twice = exact_dedup.exact_dedup_stage(spark, docs(spark, [(3, "a"), (3, "a")]), "")
+    many = docs(spark, [(None, "same")] * 40 + [(7, "same")] * 30 + [(None, "other")] * 9 + [(1, None), (2, "")]).withColumn("keep_id", F.lit("old"))
+    kept = exact_dedup.exact_dedup_stage(spark, many, "")
+    assert sorted((str(r.doc_id), r.text, r.keep_id) for r in kept.collect()) == [("2", "", "old"), ("7", "same", "old"), ("None", "other", "old")]
+    sizes = [(r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(many).collect()]
+    assert sizes.count((7, 70, True)) == 1 and sizes.count((7, 70, False)) == 69 and sizes.count((None, 9, True)) == 1
     assert twice.count() == 1 and exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
@@ -473,3 +503,58 @@ def test_near_dedup_drops_rows_not_ids(spark):
     links = {(r.doc_id, r.class_id): r.n_links for r in jaccard_join.near_duplicates(table).collect()}
     assert links[(1, 1)] == 2 and links[(None, 1)] == 2 and links[(None, None)] == 1
     assert jaccard_join.drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pipeline_against_brute_force(spark, tokenizer, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    common = {"en": "the of and to in is was that for with his they this have from one had word".split(), "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein".split()}
+    vocab = {k: v * 3 + ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(4, 9))) for _ in range(150)] for k, v in common.items()}
+    base = lambda k, n: [rng.choice(vocab[k]) for _ in range(n)]
+    rows = []
+    for g in range(30):
+        k = ("en", "de")[g % 2]
+        words = base(k, rng.randint(60, 120))
+        for _ in range(1 + g % 3):
+            rows.append((len(rows), " ".join(words), k, "x"))
+        near = [*words]
+        near[-1] = "changed"
+        rows.append((len(rows), " ".join(near) + (" password = abcdefgh12345678" if g % 5 == 0 else ""), k, "x"))
+    rows += [(900, None, "en", "x"), (901, "12 34 !", "de", "x"), (902, "\u4e00\u4e8c\u4e09" * 30, None, "x"), (None, rows[0][1], "en", "y"), (903, "", None, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = table.withColumns({c: F.lit("own") for c in ("kept", "keep_id", "lang_pred", "score", "_row", "_text", "class_id", "spans", "_id")})
+    docs_ = extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_ = corpus_pipeline.written(stage(spark, docs_, ""), "clash")
+        assert docs_.columns == extra.columns and docs_.where("keep_id <> 'own' or lang_pred <> 'own' or _row <> 'own'").count() == 0, name
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    parser = langid.CrossParser(langid.labelled_sample(table))
+    kept = [r for r, (lang, _, rate) in zip(rows, parser.predict([r[1] for r in rows]), strict=True) if lang != "und" and rate <= langid.MOST_PHRASES]
+    assert {r[0] for r in rows} - {r[0] for r in kept} == {900, 901, 902, 903}
+    largest = {}
+    for r in sorted(kept, key=lambda r: -1 if r[0] is None else r[0]):
+        largest[r[1]] = r
+    kept = sorted(largest.values())
+    root = {r[0]: r[0] for r in kept}
+    sets = {r[0]: jaccard_sets(r[1]) for r in kept}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in ((a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    kept = [(r[0], brute_redaction(r[1])) for r in kept if find(r[0]) == r[0]]
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in kept}
+    got = {}
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        ids = want[r.doc_id][r.start : r.start + r.length]
+        assert r.start == got.get(r.doc_id, 0) and r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        got[r.doc_id] = r.start + r.length
+    assert got == {i: len(ids) for i, ids in want.items()} and len(got) >= 30
+    empty = spark.createDataFrame([], table.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0, name
