@@ -1,9 +1,12 @@
-"""Tables in the folder that driver and executors share, and joins with groups of any size."""
+"""Tables in the folder that driver and executors share, joins with groups of any size, and
+what Python workers import."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, as where it is not
+    installed but lies in a folder that all have."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def join_counted(
     left: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, spread: Column, least: int = 1000, groups_at_most: int = 4096
 ) -> DataFrame:

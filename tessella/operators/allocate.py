@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import written
+from tessella.functions.tables import importable, written
 
 from . import geo, grid
 
@@ -129,6 +129,7 @@ def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
 def allocate(cells: DataFrame, plan: DataFrame) -> DataFrame:
     """All maps: cells(map_id, col, row, component), plan(map_id, component, region_id, budget, x, y)."""
     schema = "map_id string, col int, row int, component long, region_id string"
+    importable(cells.sparkSession)
     return cells.groupBy("map_id").cogroup(plan.groupBy("map_id")).applyInPandas(allocate_map, schema)
 
 

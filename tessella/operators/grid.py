@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import written
+from tessella.functions.tables import importable, written
 
 from .geo import bounds, nearest_cell, points_in_polygons, tile_side
 from .graph import connected_components
@@ -86,6 +86,7 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     rows = cells.withColumn("_island", (F.col("row") - F.row_number().over(order)).cast("int"))
     runs = written(rows.groupBy(*by, "col", "_island").agg(F.min("row").cast("int").alias("top"), F.max("row").cast("int").alias("bottom")), "runs")
     sizes = runs.groupBy(*by).agg(F.count("*").alias("_n"))
+    importable(cells.sparkSession)
     large = sizes.where(F.col("_n") > RUNS_AT_ONCE).select(*by)
     schema = runs.select(*by, F.col("col").cast("int"), "_island").schema.add("component", "long")
     named = runs.join(large, by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
@@ -143,6 +144,7 @@ def fill_enclosed(cells: DataFrame) -> DataFrame:
     rim = holes.withColumn("_o", around).select("map_id", "component", (F.col("col") + F.col("_o.a")).alias("col"), (F.col("row") + F.col("_o.b")).alias("row")).distinct().join(cells, CELL)
     names = ["map_id", "component", "col", "row", "region_id"]
     both = rim.select(*names).unionByName(holes.withColumn("region_id", F.lit(None).cast("string")).select(*names))
+    importable(cells.sparkSession)
     filled = both.groupBy("map_id", "component").applyInPandas(_filled, "map_id string, col int, row int, region_id string")
     return cells.unionByName(filled)
 

@@ -147,3 +147,15 @@ def test_points_that_repeat_stay(spark):
 def test_nothing_to_do(spark):
     empty = spark.createDataFrame([], CELL)
     assert grid.grid_components(empty).count() == 0 and grid.fill_enclosed(empty).count() == 0 and grid.open_cell(empty).count() == 0
+
+
+def test_workers_find_the_package(spark, monkeypatch):
+    from pathlib import Path
+
+    from tessella.functions.tables import importable
+
+    root = str(Path(__file__).resolve().parents[1])
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", "/elsewhere")
+    importable(spark)
+    importable(spark)
+    assert spark.sparkContext.environment["PYTHONPATH"].split(":") == [root, "/elsewhere"]
