@@ -65,3 +65,12 @@ def join_counted(
     )
     out = out.join(rest, [*on, "_salt"], "left")
     return out.select(*left.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in values])
+
+
+def in_blocks(rows: DataFrame, by: list[str], column: str, most: int) -> DataFrame:
+    """Adds _block: within `by`, some `most` values of `column` are in a block, and all rows of
+    a value in the same one. The number of blocks follows from the number of values."""
+    sizes = rows.groupBy(*by).agg(F.count_distinct(column).alias("_values"), F.count("*").alias("_in"))
+    dealt = join_counted(rows, sizes, by, "_in", rows.count(), F.struct(column))
+    block = F.pmod(F.xxhash64(column), F.greatest(F.ceil(F.col("_values") / most), F.lit(1)))
+    return dealt.select(*rows.columns, F.coalesce(block, F.lit(0)).alias("_block"))

@@ -471,9 +471,9 @@ def rasterize(spark, sf_dir):
 
 
 def _documents(spark, sf_dir) -> DataFrame:
-    """A JSON-stat cube for each brand: indicator x geo x time."""
+    """JSON-stat cubes for each brand: indicator x geo x time, with some of the parts each."""
     p = S.fine_panel(spark, sf_dir).select(F.col("geo").alias("brand"), "indicator", F.col("region_id").alias("geo"), F.col("year").alias("time"), "value")
-    docs = jsonstat.to_jsonstat(p, ["brand"], ["indicator", "geo", "time"]).select(F.col("brand").alias("doc_id"), "json")
+    docs = jsonstat.to_jsonstat(written(p, "cells"), ["brand"], ["indicator", "geo", "time"], split="geo").select(F.col("brand").alias("doc_id"), "json")
     return written(docs, "documents")  # read once for each dimension and for the values
 
 
@@ -487,12 +487,12 @@ def jsonstat_round_trip(spark, sf_dir):
 @register("category_codes", "SELECT geo, CAST(year AS VARCHAR) AS code, CAST(row_number() OVER (PARTITION BY geo ORDER BY year) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT geo, year FROM fine)")
 def category_codes(spark, sf_dir):
     labels = jsonstat.category_labels(_documents(spark, sf_dir)).where("dim = 'time'")
-    return labels.select(F.col("doc_id").alias("geo"), "code", "pos")
+    return labels.select(F.col("doc_id").alias("geo"), "code", "pos").distinct()  # each cube of a brand has them
 
 
 @register("resolve_pick", "SELECT geo AS doc_id, CAST(min(year) AS VARCHAR) AS code FROM fine WHERE year % 2 = 0 GROUP BY geo")
 def resolve_pick(spark, sf_dir):
-    labels = jsonstat.category_labels(_documents(spark, sf_dir)).where("dim = 'time'").withColumn("label", F.concat(F.lit("Year "), "code"))
+    labels = jsonstat.category_labels(_documents(spark, sf_dir)).where("dim = 'time'").distinct().withColumn("label", F.concat(F.lit("Year "), "code"))
     return panel.resolve_pick(labels, ["doc_id"], "^Year .*[02468]$")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.tables import in_blocks
+
 
 def read_jsonstat(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, key map, value) of every file under `path`; one file is one task until its
@@ -46,22 +48,32 @@ def parse_jsonstat(docs: DataFrame) -> DataFrame:
 
 
 def category_labels(docs: DataFrame) -> DataFrame:
-    """(doc_id, dim, code, pos, label) of every category."""
+    """(doc_id, dim, code, pos, label) of every category of every document."""
     dims = docs.select("doc_id", F.from_json("json", "dimension string")["dimension"].alias("_d")).select("doc_id", F.explode(F.from_json("_d", "map<string,string>")).alias("dim", "_c"))
     parsed = dims.select("doc_id", "dim", F.from_json("_c", "category struct<index string, label map<string,string>>")["category"].alias("_c"))
     rows = parsed.select("doc_id", "dim", F.posexplode(category_codes(F.col("_c.index"))).alias("pos", "code"), F.col("_c.label").alias("_l"))
     return rows.select("doc_id", "dim", "code", "pos", F.try_element_at("_l", F.col("code")).alias("label"))
 
 
-def to_jsonstat(cells: DataFrame, by: list[str], dims: list[str]) -> DataFrame:
-    """cells(by.., dims.., value) -> (by.., json): sparse documents, one for each `by`."""
-    codes = cells.groupBy(*by).agg(*[F.array_sort(F.collect_set(F.col(d).cast("string"))).alias(f"_c_{d}") for d in dims])
-    rows = cells.join(codes, by)
+def to_jsonstat(cells: DataFrame, by: list[str], dims: list[str], split: str | None = None, most: int = 1000) -> DataFrame:
+    """cells(by.., dims.., value) -> (by.., json): sparse documents, one for each `by`.
+
+    With `split`, a dimension, some `most` of its codes go to a document, so that a `by` with
+    many gives many documents of a bounded size; each lists all codes of the other dimensions,
+    which are taken to be few.
+    """
+    cells = cells.withColumn("_block", F.lit(0).cast("long")) if split is None else in_blocks(cells, by, split, most)
+    doc_key = [*by, "_block"]
+    listed = lambda ds: [F.array_sort(F.collect_set(F.col(d).cast("string"))).alias(f"_c_{d}") for d in ds]
+    codes = cells.groupBy(*doc_key).agg(*listed(dims if split is None else [split]))
+    if split is not None and len(dims) > 1:
+        codes = codes.join(cells.groupBy(*by).agg(*listed([d for d in dims if d != split])), by)
+    rows = cells.join(codes, doc_key)
     flat = F.lit(0).cast("long")
     for d in dims:
         flat = flat * F.size(f"_c_{d}") + F.array_position(f"_c_{d}", F.col(d).cast("string")) - 1
-    found = rows.select(*by, flat.cast("string").alias("_flat"), "value").groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_flat", "value"))).alias("_v"))
+    found = rows.select(*doc_key, flat.cast("string").alias("_flat"), "value").groupBy(*doc_key).agg(F.map_from_entries(F.collect_list(F.struct("_flat", "value"))).alias("_v"))
     place = lambda d: F.map_from_arrays(F.col(f"_c_{d}"), F.sequence(F.lit(0), F.size(f"_c_{d}") - 1))
     dimension = F.struct(*[F.struct(F.struct(place(d).alias("index")).alias("category")).alias(d) for d in dims])
     doc = F.struct(F.array(*[F.lit(d) for d in dims]).alias("id"), F.array(*[F.size(f"_c_{d}") for d in dims]).alias("size"), dimension.alias("dimension"), F.col("_v").alias("value"))
-    return found.join(codes, by).select(*by, F.to_json(doc).alias("json"))
+    return found.join(codes, doc_key).select(*by, F.to_json(doc).alias("json"))

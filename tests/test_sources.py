@@ -33,6 +33,21 @@ def test_category_labels(spark):
     assert found == [("a", "x", 0, "Ex"), ("a", "y", 1, None), ("b", "p", 0, None), ("b", "q", 1, None)]
 
 
+def test_cubes_in_blocks_of_a_dimension(spark):
+    rows = [(g, f"r{k}", y, float(k * 10 + y)) for g, n in (("big", 40), ("small", 2)) for k in range(n) for y in (1, 2) if k or y == 1]
+    table = spark.createDataFrame(rows, "g string, region string, year int, value double")
+    docs = jsonstat.to_jsonstat(table, ["g"], ["region", "year"], split="region", most=5)
+    per = {r["g"]: r["count"] for r in docs.groupBy("g").count().collect()}
+    assert 3 <= per["big"] <= 8 and per["small"] == 1
+    found = jsonstat.parse_jsonstat(docs.withColumnRenamed("g", "doc_id")).collect()
+    assert sorted((r.doc_id, r.key["region"], int(r.key["year"]), r.value) for r in found) == sorted(rows)
+    # each document lists all codes of the other dimension
+    years = jsonstat.category_labels(docs.withColumnRenamed("g", "doc_id")).where("dim = 'year'").select("doc_id", "code", "pos").distinct()
+    assert sorted(map(tuple, years.collect())) == [(g, str(y), y - 1) for g in ("big", "small") for y in (1, 2)]
+    none = jsonstat.to_jsonstat(table.limit(0), ["g"], ["region", "year"], split="region")
+    assert none.count() == 0
+
+
 def test_geojson(spark):
     square = [[[0, 0], [4, 0], [4, 4], [0, 4]], [[1, 1], [2, 1], [2, 2], [1, 2]]]
     two = [[[[0, 0], [1, 0], [1, 1]]], [[[5, 5], [6, 5], [6, 6], [5, 6]], [[0, 0], [1, 1]]]]
@@ -49,6 +64,9 @@ def test_geojson(spark):
     assert sorted((r.region_id, r.poly_ord, r.ring_ord, len(r.xs)) for r in valid.collect()) == [("m", 0, 0, 3), ("m", 1, 0, 4), ("s", 0, 0, 4), ("s", 0, 1, 4)]
     again = geojson.parse_geojson(geojson.to_geojson(valid, "id"), "id")
     assert sorted(map(str, again.collect())) == sorted(map(str, valid.select(*again.columns).collect()))
+    parts = geojson.to_geojson(valid, "id", most=1)
+    apart = geojson.parse_geojson(parts, "id").drop("feature_ord")
+    assert sorted(map(str, apart.collect())) == sorted(map(str, valid.select(*apart.columns).collect()))
 
 
 def test_datasets_round_trip(spark, tmp_path):
