@@ -518,9 +518,9 @@ def build_panel(spark, sf_dir):
 
 @register("datasets_round_trip", "SELECT f.geo, f.indicator, f.year, f.region_id, f.value, kind, r.label FROM fine f JOIN fine_indicator USING (geo, indicator) JOIN fine_region r ON r.geo = f.geo AND r.region_id = f.region_id")
 def datasets_round_trip(spark, sf_dir):
-    files = datasets.datasets_json(S.fine_panel(spark, sf_dir), S.fine_indicator(spark, sf_dir), S.fine_region(spark, sf_dir))
+    files = datasets.datasets_json(written(S.fine_panel(spark, sf_dir), "panel"), S.fine_indicator(spark, sf_dir), S.fine_region(spark, sf_dir), most=1000)
     indicator, values, region = datasets.parse_datasets(files)
-    rows = values.join(indicator.select("geo", "indicator", "kind"), ["geo", "indicator"]).join(region.select("geo", "region_id", "label"), ["geo", "region_id"])
+    rows = values.join(indicator.select("geo", "indicator", "kind").distinct(), ["geo", "indicator"]).join(region.select("geo", "region_id", "label"), ["geo", "region_id"])
     return rows.select("geo", "indicator", "year", "region_id", "value", "kind", "label")
 
 

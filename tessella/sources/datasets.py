@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.tables import in_blocks, written
+
 DESCRIPTOR = ("label", "unit", "kind", "source", "sourceUrl")
 SCHEMA = (
     "regions struct<key: string, labels: map<string,string>, colors: map<string,string>>, "
@@ -41,24 +43,34 @@ def parse_datasets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def datasets_json(
-    panel: DataFrame, indicator: DataFrame, region: DataFrame, existing: DataFrame | None = None, meta: DataFrame | None = None, key: str = "id"
+    panel: DataFrame, indicator: DataFrame, region: DataFrame, existing: DataFrame | None = None, meta: DataFrame | None = None, key: str = "id", most: int | None = None
 ) -> DataFrame:
-    """(geo, json): the nested file of each geography.
+    """(geo, json): the nested file of each geography; with `most`, several, of some `most`
+    regions each, which repeat the descriptors (where there are no `existing` files).
 
     The `regions` block of a file that exists (geo, json) stays as it is written there, as it
     is curated by hand; only for other geographies it is made, from `region` (geo, region_id,
     label, and color if there is one). `meta` (geo, meta map) is the provenance of each file.
     """
-    years = panel.groupBy("geo", "indicator", "year").agg(F.map_from_entries(F.collect_list(F.struct("region_id", "value"))).alias("_r"))
-    values = years.groupBy("geo", "indicator").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"), "_r"))).alias("values"))
+    file = ["geo", "_block"]
+    if most is not None and existing is None:
+        ids = written(panel.select("geo", "region_id").unionByName(region.select("geo", "region_id")).distinct(), "region-ids")
+        dealt = written(in_blocks(ids, ["geo"], "region_id", most), "blocks")
+        panel, region = (x.join(dealt, ["geo", "region_id"]) for x in (panel, region))
+        blocks = indicator.join(dealt.select(*file).distinct(), "geo", "left")
+        indicator = blocks.withColumn("_block", F.coalesce("_block", F.lit(0).cast("long")))
+    else:
+        panel, region, indicator = (x.withColumn("_block", F.lit(0).cast("long")) for x in (panel, region, indicator))
+    years = panel.groupBy(*file, "indicator", "year").agg(F.map_from_entries(F.collect_list(F.struct("region_id", "value"))).alias("_r"))
+    values = years.groupBy(*file, "indicator").agg(F.map_from_entries(F.collect_list(F.struct(F.col("year").cast("string"), "_r"))).alias("values"))
     entry = F.struct("label", "unit", "kind", "source", F.col("source_url").alias("sourceUrl"), "decimals", "values")
-    datasets = indicator.join(values, ["geo", "indicator"], "left").groupBy("geo").agg(F.map_from_entries(F.collect_list(F.struct("indicator", entry))).alias("datasets"))
+    datasets = indicator.join(values, [*file, "indicator"], "left").groupBy(*file).agg(F.map_from_entries(F.collect_list(F.struct("indicator", entry))).alias("datasets"))
     color = F.col("color") if "color" in region.columns else F.lit(None).cast("string")
-    names = region.groupBy("geo").agg(
+    names = region.groupBy(*file).agg(
         F.map_from_entries(F.collect_list(F.struct("region_id", "label"))).alias("labels"),
         F.map_from_entries(F.collect_list(F.when(color.isNotNull(), F.struct("region_id", color.alias("_c"))))).alias("colors"),
     )
-    out = datasets.join(names.select("geo", F.to_json(F.struct(F.lit(key).alias("key"), "labels", "colors")).alias("_made")), "geo", "left")
+    out = datasets.join(names.select(*file, F.to_json(F.struct(F.lit(key).alias("key"), "labels", "colors")).alias("_made")), file, "left")
     kept = F.lit(None).cast("string")
     if existing is not None:
         out = out.join(existing.select("geo", F.get_json_object("json", "$.regions").alias("_kept")), "geo", "left")
@@ -72,8 +84,8 @@ def datasets_json(
 
 
 def write_files(files: DataFrame, path: str) -> None:
-    """One file a geography, under geo=...; only those written now are replaced."""
-    files.select("geo", "json").repartition("geo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("geo").text(path)
+    """A file for each row, under geo=...; only the geographies written now are replaced."""
+    files.select("geo", "json").repartition("geo").write.option("maxRecordsPerFile", 1).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("geo").text(path)
 
 
 def write_datasets(panel: DataFrame, path: str) -> None:

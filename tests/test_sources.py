@@ -82,3 +82,20 @@ def test_datasets_round_trip(spark, tmp_path):
     assert again.collect() == panel.collect()
     datasets.write_datasets(panel, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_datasets_in_several_files(spark, tmp_path):
+    rows = [("g", i, y, f"r{k}", float(k + y)) for i in ("a", "b") for y in (2000, 2001) for k in range(12) if k or y == 2000]
+    rows.append(("h", "a", 2000, "r0", 1.0))
+    panel = spark.createDataFrame(rows, "geo string, indicator string, year int, region_id string, value double")
+    names = [("g", f"r{k}", f"Region {k}") for k in range(14)] + [("h", "r0", "Only")]  # two without values
+    region = spark.createDataFrame(names, "geo string, region_id string, label string")
+    kinds = [(g, i, i, "", "count", 0, "s", "u") for g in ("g", "h", "none") for i in ("a", "b")]
+    indicator = spark.createDataFrame(kinds, "geo string, indicator string, label string, unit string, kind string, decimals int, source string, source_url string")
+    files = datasets.datasets_json(panel, indicator, region, most=4)
+    assert 2 <= files.where("geo = 'g'").count() <= 4 and files.where("geo <> 'g'").count() == 2
+    datasets.write_files(files, str(tmp_path / "files"))
+    found, values, labels = datasets.read_datasets(spark, str(tmp_path / "files"))
+    assert sorted(map(tuple, values.collect())) == sorted(rows)
+    assert sorted(tuple(r)[:3] for r in labels.collect()) == sorted(names)
+    assert sorted((r.geo, r.indicator) for r in found.distinct().collect()) == sorted((k[0], k[1]) for k in kinds)
