@@ -10,6 +10,7 @@ from .licenses import OP10_SQL, op10_licenses
 from .line_dedup import op8_line_dedup
 from .ngram_lm import op2_ngram_lm
 from .packing import op1_packing
+from .quality_rules import op13_quality_rules
 from .secrets import OP5_SQL, op5_secrets
 from .topk import OP9_SQL, op9_topk
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_licenses": op10_licenses,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 SQL = {
