@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .jaccard_join import op4_jaccard_join
 from .langid import op6_langid
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_topk": op9_topk,
     "op10_licenses": op10_licenses,
+    "op11_collocations": op11_collocations,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -33,4 +35,5 @@ SQL = {
     "op7_exact_dedup": OP7_SQL,
     "op9_topk": OP9_SQL,
     "op10_licenses": OP10_SQL,
+    "op11_collocations": OP11_SQL,
 }
