@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .collocations import OP11_SQL, op11_collocations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .jaccard_join import op4_jaccard_join
 from .langid import op6_langid
 from .licenses import OP10_SQL, op10_licenses
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_topk": op9_topk,
     "op10_licenses": op10_licenses,
     "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_quality_rules": op13_quality_rules,
 }
 
@@ -36,4 +38,5 @@ SQL = {
     "op9_topk": OP9_SQL,
     "op10_licenses": OP10_SQL,
     "op11_collocations": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
