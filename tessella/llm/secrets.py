@@ -10,7 +10,7 @@ mandatory trigrams is searched for in every row.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +20,17 @@ from .common import HashFilter, join_counted, literal_table, running, table, tex
 
 @dataclass(frozen=True)
 class Rule:
-    """`least`: characters that a match has at least; `value`: a group of at least `value_least`."""
+    """`least`: characters that a match has at least; `value`: a group of at least `value_least`;
+    `run`: the class of characters in which a match may begin anywhere, at the literal `begin`. If one
+    place of a run fails, all later ones do, so runs are read from their start, once."""
 
     kind: str
     regex: str
     least: int = 0
     value: int = 0
     value_least: int = 0
+    run: str = ""
+    begin: str = ""
 
 
 #: The base rules, then formats of well-known keys, in the order of their kinds.
@@ -42,7 +46,7 @@ RULES = (
     Rule("forge_token", "gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", "xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("pay_key", "[rs]k_live_[A-Za-z0-9]+", least=24),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", run="[A-Za-z0-9_-]", begin="eyJ"),
 )
 MOST_STRINGS = 64
 
@@ -138,8 +142,9 @@ def _spans(text: str, matches: str, number: int, rule: Rule) -> Column:
 
     def placed(x: Column) -> Column:
         ends = running(F.transform(x["m"], lambda m, k: F.length(m) + F.length(F.get(x["p"], k))), lambda a, b: a + b, F.lit(0))
+        before = lambda m: F.instr(m, rule.begin) - 1 if rule.run else F.lit(0)  # noqa: E731, of the run, not of the match
         made = F.zip_with(
-            x["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(number).alias("number"), e.alias("end"), F.lit(rule.kind).alias("kind"), m.alias("text"))
+            x["m"], ends, lambda m, e: F.struct((e - F.length(m) + before(m)).alias("start"), F.lit(number).alias("number"), e.alias("end"), F.lit(rule.kind).alias("kind"), m.alias("text"))
         )
         return F.transform(F.filter(made, good), lambda s: F.struct(s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind")))
 
@@ -178,9 +183,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
         for k in numbers:
             # too short runs are no matches of this form either: a run is taken whole
             regex = re.sub(r"\+$", "{%d,}" % rules[k].least, rules[k].regex) if k in full and rules[k].regex.count("+") == 1 and rules[k].regex.startswith("[") else rules[k].regex
+            if rules[k].run:
+                regex = f"(?<!{rules[k].run})(?:(?!{rules[k].begin}){rules[k].run})*+{regex}"
             found = F.regexp_extract_all("_text", F.lit(regex), F.lit(0))
             texts = texts.withColumn(f"_m{k}", found if only is None else F.when(F.array_contains("_rules", k), found).otherwise(F.array().cast("array<string>")))
-            rule = Rule(rules[k].kind, regex, rules[k].least, rules[k].value, rules[k].value_least)
+            rule = replace(rules[k], regex=regex)
             texts = texts.withColumn(f"_s{k}", F.coalesce(_spans("_text", f"_m{k}", k, rule), F.array().cast(EMPTY)))
         return texts.withColumn("_spans", F.concat(*[f"_s{k}" for k in numbers]) if numbers else F.array().cast(EMPTY))
 
