@@ -54,7 +54,7 @@ def labelled_sample(labelled: DataFrame, text_col: str = "text", lang_col: str =
     # twice the rate that is needed, so that too few come with no odds to speak of; then the least
     order = f"over (partition by _lang order by pmod(_key, {1 << 30}), _key"
     sampled = (
-        known.where(short & (F.pmod("_key", F.lit(1 << 30)) * F.col("_count") < F.lit(2 * SAMPLE_ROWS << 30)))
+        known.where(short & (F.pmod("_key", F.lit(1 << 30)) < F.try_divide(F.lit(float(2 * SAMPLE_ROWS << 30)), "_count")))
         .groupBy("_lang", "_key")
         .agg(F.min("_text").alias("_text"))
         .withColumn("_rank", F.expr(f"row_number() {order})"))
