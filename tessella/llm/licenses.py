@@ -93,7 +93,7 @@ MORE_NOTICES: tuple[tuple[str, tuple[str, ...]], ...] = (
     *((f"spdx:{k}", (f"SPDX-License-Identifier {k}",)) for k in SPDX_IDS),
 )
 #: What ends a sentence; comment marks that read as one, or as a word, at a line's start.
-END, MARK, OTHER = r"[.;:!?]+[ \n]", r"(?m)^ *(?:[;!]+|dnl|rem)(?=[ \n])", "[^a-z0-9]+"
+END, MARK, OTHER = r"(?<![.;:!?])[.;:!?]++[ \n]", r"(?m)^ *(?:[;!]+|dnl|rem)(?=[ \n])", "[^a-z0-9]+"
 
 
 def normalised(sentence: str) -> str:
