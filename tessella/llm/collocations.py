@@ -27,7 +27,7 @@ LONGEST = 4  # words of a phrase
 #: Words whose numbers tasks get as one sorted array (32 MB); with more, words go by 64-bit fingerprints.
 DICTIONARY = 1 << 22
 #: Bytes of text handled, keys sorted, and counted keys in a range, at once.
-BLOCK, HELD, RANGE = 4_000_000, 2_000_000, 4_000_000
+BLOCK, HELD, RANGE = 3_000_000, 1_000_000, 4_000_000
 BUCKET_ROWS = 50_000  # ranked at once
 
 SPACE, BREAK = np.zeros(256, bool), np.zeros(256, bool)
