@@ -498,7 +498,7 @@ def resolve_pick(spark, sf_dir):
 
 @register("pin_dimensions", "SELECT geo, year, region_id, value FROM fine WHERE indicator = 'qty' AND year = 1997")
 def pin_dimensions(spark, sf_dir):
-    cells = panel.pin_dimensions(jsonstat.parse_jsonstat(_documents(spark, sf_dir)), {"indicator": "qty", "time": "1997"})
+    cells = jsonstat.parse_jsonstat(_documents(spark, sf_dir), {"indicator": "qty", "time": "1997"})
     key = lambda d: F.try_element_at("key", F.lit(d))
     return cells.select(F.col("doc_id").alias("geo"), key("time").cast("int").alias("year"), key("geo").alias("region_id"), "value")
 
@@ -510,10 +510,10 @@ ok AS (SELECT geo, indicator, year FROM v JOIN fine_n USING (geo) GROUP BY geo,
 )
 def build_panel(spark, sf_dir):
     region = S.fine_region(spark, sf_dir)
-    cube = jsonstat.parse_jsonstat(_documents(spark, sf_dir)).withColumnRenamed("doc_id", "dataset")
     made = F.array(*[F.struct(F.lit(n).alias("indicator"), F.create_map(F.lit("indicator"), F.lit(c)).alias("filter"), F.lit(1).alias("decimals")) for n, c in (("shipped", "qty"), ("discount", "avg_discount"))])
     metrics = region.select("geo").distinct().select("geo", F.col("geo").alias("dataset"), F.inline(made))
-    return panel.build_panel(cube, metrics, region.select("geo", F.col("region_id").alias("src_code"), "region_id"), panel.region_counts(region))
+    cells = jsonstat.parse_pinned(_documents(spark, sf_dir).withColumnRenamed("doc_id", "dataset"), metrics)
+    return panel.panel_of_cells(cells, region.select("geo", F.col("region_id").alias("src_code"), "region_id"), panel.region_counts(region))
 
 
 @register("datasets_round_trip", "SELECT f.geo, f.indicator, f.year, f.region_id, f.value, kind, r.label FROM fine f JOIN fine_indicator USING (geo, indicator) JOIN fine_region r ON r.geo = f.geo AND r.region_id = f.region_id")

@@ -110,7 +110,11 @@ def build_panel(cube: DataFrame, metrics: DataFrame, crosswalk: DataFrame, n_reg
     """Several metrics of one read of the cells: cube(dataset, key map, value) with dims geo and
     time; metrics(geo, indicator, dataset, filter map, decimals)."""
     spec = metrics.select("geo", "indicator", "dataset", F.col("filter").alias("_pins"), "decimals")
-    cells = pin_dimensions(cube.join(spec, "dataset"), "_pins")
+    return panel_of_cells(pin_dimensions(cube.join(spec, "dataset"), "_pins"), crosswalk, n_regions, min_coverage)
+
+
+def panel_of_cells(cells: DataFrame, crosswalk: DataFrame, n_regions: DataFrame, min_coverage: float = 0.6) -> DataFrame:
+    """The panel of pinned cells (geo, indicator, decimals, key map, value), recoded and pruned."""
     rows = cells.select("geo", "indicator", F.try_element_at("key", F.lit("time")).alias("year"), F.try_element_at("key", F.lit("geo")).alias("src_code"), "value", "decimals")
     panel = numeric_years(remap_regions(rows, crosswalk, "decimals")).select(*SLICE, "region_id", "value")
     return prune_sparse_years(panel, n_regions, min_coverage)

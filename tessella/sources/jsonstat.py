@@ -23,28 +23,101 @@ def category_codes(index: Column) -> Column:
     return F.when(F.startswith(F.trim(index), F.lit("[")), listed).otherwise(ordered)
 
 
-def parse_jsonstat(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, json) -> (doc_id, key, value), a row for each value that is not null.
+#: Cells that are dealt out together, with the codes of their document.
+CHUNK = 4096
 
-    The last dimension varies fastest. `id` and `size` stand at the top or in `dimension`.
-    """
+
+def _headers(docs: DataFrame, *carry: str) -> DataFrame:
+    """The dimensions of each document, their codes and strides, and its values as text."""
     top = F.from_json("json", "id array<string>, size array<int>, dimension string, value string")
-    rows = docs.select("doc_id", top.alias("_t"))
+    rows = docs.select("doc_id", *carry, top.alias("_t"))
     inner = F.from_json("_t.dimension", "id array<string>, size array<int>")
     rows = rows.select(
-        "doc_id", F.coalesce("_t.id", inner["id"]).alias("_id"), F.coalesce("_t.size", inner["size"]).alias("_size"),
+        "doc_id", *carry, F.coalesce("_t.id", inner["id"]).alias("_id"), F.coalesce("_t.size", inner["size"]).alias("_size"),
         F.from_json("_t.dimension", "map<string,string>").alias("_dims"), F.trim("_t.value").alias("_value"),
     )
     index = lambda d: F.from_json(F.try_element_at("_dims", d), "category struct<index string>")["category"]["index"]
     codes = F.transform("_id", lambda d: category_codes(index(d)))
     stride = F.transform("_id", lambda d, i: F.aggregate(F.slice("_size", i + 2, F.size("_size")), F.lit(1).cast("long"), lambda a, s: a * s))
-    rows = rows.select("doc_id", "_id", "_size", codes.alias("_codes"), stride.alias("_stride"), "_value")
-    dense = rows.where(F.startswith("_value", F.lit("["))).select("doc_id", "_id", "_size", "_codes", "_stride", F.posexplode(F.from_json("_value", "array<double>")).alias("_flat", "value"))
-    sparse = rows.where(F.startswith("_value", F.lit("{"))).select("doc_id", "_id", "_size", "_codes", "_stride", F.explode(F.from_json("_value", "map<string,double>")).alias("_flat", "value"))
-    cells = dense.unionByName(sparse.withColumn("_flat", F.col("_flat").cast("int"))).where("value is not null")
-    cells = cells.repartition("doc_id", "_flat")  # a document is one task no longer
-    key = F.map_from_arrays("_id", F.transform("_id", lambda d, i: F.get(F.get("_codes", i), (F.floor(F.col("_flat") / F.get("_stride", i)) % F.get("_size", i)).cast("int"))))
-    return cells.select("doc_id", key.alias("key"), "value")
+    return rows.select("doc_id", *carry, "_id", "_size", codes.alias("_codes"), stride.alias("_stride"), "_value")
+
+
+def _place(flat: Column, i: Column) -> Column:
+    """The position in dimension i of the cell at a flat position; the last dimension varies fastest."""
+    return (F.floor(flat / F.get("_stride", i)) % F.get("_size", i)).cast("int")
+
+
+CELLS = "array<struct<flat:bigint,value:double>>"
+
+
+def _values() -> Column:
+    """A document's values, parsed: (dense array, sparse entries), one of them null."""
+    entries = F.transform(F.map_entries(F.from_json("_value", "map<string,double>")), lambda e: F.struct(e["key"].cast("long").alias("flat"), e["value"].alias("value")))
+    return F.struct(F.when(F.startswith("_value", F.lit("[")), F.from_json("_value", "array<double>")).alias("dense"), F.when(F.startswith("_value", F.lit("{")), entries).alias("sparse"))
+
+
+def _cells(v: Column, pins: Column | None = None) -> Column:
+    """The cells that have a value, at the pinned codes if there are pins (a map dimension -> code).
+
+    Pins give the flat positions by stride arithmetic, so that of a dense array just those are
+    read; of sparse entries those whose position fits stay. A pin on a dimension or code that the
+    document lacks leaves nothing.
+    """
+    none = F.array().cast(CELLS)
+    if pins is None:
+        dense = F.transform(v["dense"], lambda x, i: F.struct(i.cast("long").alias("flat"), x.alias("value")))
+        found = F.coalesce(dense, v["sparse"], none)
+    else:
+        pin = lambda d, i: (F.array_position(F.get("_codes", i), F.try_element_at(pins, d)) - 1).cast("int")
+        pinned = F.transform("_id", lambda d, i: F.when(F.array_contains(F.map_keys(pins), d), F.coalesce(pin(d, i), F.lit(-1))))  # null: any
+        steps = F.transform("_id", lambda d, i: F.when(F.get(pinned, i).isNull(), F.sequence(F.lit(0), F.get("_size", i) - 1)).otherwise(F.array(F.get(pinned, i))))
+        scaled = F.transform(steps, lambda s, i: F.transform(s, lambda p: p * F.get("_stride", i)))
+        flats = F.aggregate(scaled, F.array(F.lit(0).cast("long")), lambda a, s: F.flatten(F.transform(a, lambda x: F.transform(s, lambda y: x + y))))
+        dense = F.transform(flats, lambda f: F.struct(f.alias("flat"), F.get(v["dense"], f.cast("int")).alias("value")))
+        at = F.filter(F.transform("_id", lambda d, i: F.struct(F.get("_stride", i).alias("stride"), F.get("_size", i).alias("size"), F.get(pinned, i).alias("pos"))), lambda p: p["pos"].isNotNull())
+        fits = lambda c, ps: F.forall(ps, lambda p: F.floor(c["flat"] / p["stride"]) % p["size"] == p["pos"])
+        sparse = F.transform(F.array(at), lambda ps: F.filter(v["sparse"], lambda c: fits(c, ps)))[0]  # the pins are looked up once
+        known = F.forall(F.map_keys(pins), lambda d: F.array_contains("_id", d)) & ~F.exists(pinned, lambda p: F.coalesce(p < 0, F.lit(False)))
+        found = F.when(known, F.when(v["dense"].isNotNull(), dense).otherwise(sparse))
+    return F.coalesce(F.filter(found, lambda c: c["value"].isNotNull()), none)
+
+
+def _keyed(cells: Column) -> Column:
+    key = lambda c: F.map_from_arrays("_id", F.transform("_id", lambda d, i: F.get(F.get("_codes", i), _place(c["flat"], i))))
+    return F.transform(cells, lambda c: F.struct(key(c).alias("key"), c["value"].alias("value")))
+
+
+def parse_jsonstat(docs: DataFrame, pins: dict[str, str] | None = None) -> DataFrame:
+    """docs(doc_id, json) -> (doc_id, key, value), a row for each value that is not null.
+
+    The last dimension varies fastest. `id` and `size` stand at the top or in `dimension`. With
+    `pins`, only the cells at those codes are made, where the document is read, and nothing is
+    shuffled. Without, chunks of cells are dealt out, so that a document is one task no longer.
+    """
+    once = lambda f: F.transform(F.array(_values()), f)[0]  # noqa: E731, a lambda's variable is computed before its body
+    rows = _headers(docs)
+    header = ["doc_id", "_id", "_size", "_codes", "_stride"]
+    if pins:
+        wanted = F.create_map(*[F.lit(x) for kv in pins.items() for x in kv])
+        rows = rows.select(*header, once(lambda v: _cells(v, wanted)).alias("_cells"))
+    else:
+        size = F.lit(CHUNK)
+        cut = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(c), F.lit(1)) - 1) / CHUNK).cast("int")), lambda k: F.slice(c, k * size + 1, size))
+        chunks = once(lambda v: F.transform(F.array(_cells(v)), cut)[0])
+        rows = rows.select(*header, F.posexplode(chunks).alias("_part", "_cells")).repartition("doc_id", "_part")
+    return rows.select("doc_id", F.inline(_keyed(F.col("_cells"))))
+
+
+def parse_pinned(docs: DataFrame, metrics: DataFrame, dataset: str = "dataset") -> DataFrame:
+    """Cells of several metrics of each document: docs(dataset, json); metrics(dataset, filter map, more..)
+    -> (dataset, more.., key, value). A document is read and parsed once, whatever the number of its
+    metrics (a small table); each makes just its own cells, and none is shuffled."""
+    more = [c for c in metrics.columns if c not in (dataset, "filter")]
+    listed = metrics.groupBy(dataset).agg(F.collect_list(F.struct("filter", F.struct(*more).alias("m"))).alias("_metrics"))
+    rows = _headers(docs.join(listed, dataset).withColumnRenamed(dataset, "doc_id"), "_metrics")
+    made = lambda v: F.transform("_metrics", lambda m: F.struct(m["m"].alias("m"), _cells(v, m["filter"]).alias("cells")))
+    rows = rows.select("doc_id", "_id", "_size", "_codes", "_stride", F.inline(F.transform(F.array(_values()), made)[0]))
+    return rows.select(F.col("doc_id").alias(dataset), "m", F.inline(_keyed(F.col("cells")))).select(dataset, "m.*", "key", "value")
 
 
 def category_labels(docs: DataFrame) -> DataFrame:
@@ -64,16 +137,26 @@ def to_jsonstat(cells: DataFrame, by: list[str], dims: list[str], split: str | N
     """
     cells = cells.withColumn("_block", F.lit(0).cast("long")) if split is None else in_blocks(cells, by, split, most)
     doc_key = [*by, "_block"]
-    listed = lambda ds: [F.array_sort(F.collect_set(F.col(d).cast("string"))).alias(f"_c_{d}") for d in ds]
-    codes = cells.groupBy(*doc_key).agg(*listed(dims if split is None else [split]))
-    if split is not None and len(dims) > 1:
-        codes = codes.join(cells.groupBy(*by).agg(*listed([d for d in dims if d != split])), by)
-    rows = cells.join(codes, doc_key)
-    flat = F.lit(0).cast("long")
-    for d in dims:
-        flat = flat * F.size(f"_c_{d}") + F.array_position(f"_c_{d}", F.col(d).cast("string")) - 1
-    found = rows.select(*doc_key, flat.cast("string").alias("_flat"), "value").groupBy(*doc_key).agg(F.map_from_entries(F.collect_list(F.struct("_flat", "value"))).alias("_v"))
+    text = lambda d: F.col(d).cast("string").alias(d)
+    rest = [d for d in dims if d != split]
+    # the cells of a code of the split dimension go together, so that its position is its place in the list
+    own = F.lit("").alias("_code") if split is None else F.col(split).cast("string").alias("_code")
+    each = cells.groupBy(*doc_key, own).agg(F.collect_list(F.struct(*[text(d) for d in rest], "value")).alias("_cells"))
+    found = each.groupBy(*doc_key).agg(F.sort_array(F.collect_list(F.struct("_code", "_cells"))).alias("_codes"))
+    if rest:
+        found = found.join(cells.groupBy(*(doc_key if split is None else by)).agg(*[F.array_sort(F.collect_set(text(d))).alias(f"_c_{d}") for d in rest]), doc_key if split is None else by)
+    if split is not None:
+        found = found.withColumn(f"_c_{split}", F.transform("_codes", lambda x: x["_code"]))
+
+    def flat(c: Column, k: Column) -> Column:
+        at = F.lit(0).cast("long")
+        for d in dims:
+            at = at * F.size(f"_c_{d}") + (k if d == split else F.array_position(f"_c_{d}", c[d]) - 1)
+        return at.cast("string")
+
+    of_code = lambda x, k: F.transform(x["_cells"], lambda c: F.struct(flat(c, k).alias("flat"), c["value"].alias("value")))
+    values = F.map_from_entries(F.flatten(F.transform("_codes", of_code)))
     place = lambda d: F.map_from_arrays(F.col(f"_c_{d}"), F.sequence(F.lit(0), F.size(f"_c_{d}") - 1))
     dimension = F.struct(*[F.struct(F.struct(place(d).alias("index")).alias("category")).alias(d) for d in dims])
-    doc = F.struct(F.array(*[F.lit(d) for d in dims]).alias("id"), F.array(*[F.size(f"_c_{d}") for d in dims]).alias("size"), dimension.alias("dimension"), F.col("_v").alias("value"))
-    return found.join(codes, doc_key).select(*by, F.to_json(doc).alias("json"))
+    doc = F.struct(F.array(*[F.lit(d) for d in dims]).alias("id"), F.array(*[F.size(f"_c_{d}") for d in dims]).alias("size"), dimension.alias("dimension"), values.alias("value"))
+    return found.select(*by, F.to_json(doc).alias("json"))

@@ -99,3 +99,57 @@ def test_datasets_in_several_files(spark, tmp_path):
     assert sorted(map(tuple, values.collect())) == sorted(rows)
     assert sorted(tuple(r)[:3] for r in labels.collect()) == sorted(names)
     assert sorted((r.geo, r.indicator) for r in found.distinct().collect()) == sorted((k[0], k[1]) for k in kinds)
+
+
+def _cube(n_geo, dense, gap=7):
+    """A cube of 2 indicators x n_geo places x 4 years; every gap-th value is missing."""
+    places = [f"g{k}" for k in range(n_geo)]
+    values = [None if k % gap == 0 else k / 2 for k in range(2 * n_geo * 4)]
+    dims = {"indicator": ["a", "b"], "geo": places, "time": ["2000", "2001", "2002", "2003"]}
+    doc = {
+        "id": list(dims), "size": [len(x) for x in dims.values()], "value": values if dense else {str(k): v for k, v in enumerate(values) if v is not None},
+        "dimension": {d: {"category": {"index": {c: i for i, c in enumerate(x)}}} for d, x in dims.items()},
+    }
+    cells = {(i, g, t): values[(x * n_geo + y) * 4 + z] for x, i in enumerate("ab") for y, g in enumerate(places) for z, t in enumerate(dims["time"])}
+    return json.dumps(doc), {k: v for k, v in cells.items() if v is not None}
+
+
+def _found(df):
+    rows = [(tuple(r.key[d] for d in ("indicator", "geo", "time")), r.value) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+def test_pins_make_only_their_cells(spark):
+    for dense in (True, False):
+        text, cells = _cube(50, dense)
+        docs = spark.createDataFrame([("d", text)], "doc_id string, json string")
+        assert _found(jsonstat.parse_jsonstat(docs)) == cells
+        for pins in ({"indicator": "b"}, {"time": "2002", "indicator": "a"}, {"geo": "g7"}, {"geo": "g7", "time": "2000", "indicator": "b"}):
+            found = jsonstat.parse_jsonstat(docs, pins)
+            want = {k: v for k, v in cells.items() if all(dict(zip(("indicator", "geo", "time"), k))[d] == c for d, c in pins.items())}
+            assert _found(found) == want
+            assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        for pins in ({"indicator": "c"}, {"sex": "T"}):
+            assert jsonstat.parse_jsonstat(docs, pins).count() == 0
+
+
+def test_metrics_of_one_document(spark):
+    text, cells = _cube(20, True)
+    docs = spark.createDataFrame([("d", text), ("e", text)], "dataset string, json string")
+    rows = [("d", {"indicator": "a"}, "A"), ("d", {"indicator": "b", "time": "2001"}, "B"), ("x", {"indicator": "a"}, "C")]
+    found = jsonstat.parse_pinned(docs, spark.createDataFrame(rows, "dataset string, filter map<string,string>, name string"))
+    got = {(r.name, r.key["geo"], r.key["time"]): r.value for r in found.collect()}
+    want = {("A", g, t): v for (i, g, t), v in cells.items() if i == "a"} | {("B", g, t): v for (i, g, t), v in cells.items() if i == "b" and t == "2001"}
+    assert got == want and found.count() == len(want)
+
+
+def test_cells_are_dealt_out_in_chunks(spark):
+    """What is shuffled of a document is its chunks of cells, each with the codes once."""
+    text, cells = _cube(1250, True)
+    docs = spark.createDataFrame([("d", text)], "doc_id string, json string")
+    found = jsonstat.parse_jsonstat(docs)
+    assert _found(found) == cells
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan.index("RepartitionByExpression")
+    assert "inline" in plan[:dealt] and "posexplode" in plan[dealt:]
