@@ -80,11 +80,12 @@ def mercator(lon: str | Column, lat: str | Column) -> tuple[Column, Column]:
     return F.radians(_col(lon)), F.log(F.tan(F.lit(0.7853981633974483) + F.radians(_col(lat)) / 2))
 
 
-def laea(lon: str | Column, lat: str | Column, lon0: float = 15.0, lat0: float = 54.0) -> tuple[Column, Column]:
+def laea(lon: str | Column, lat: str | Column, lon0: float | Column = 15.0, lat0: float | Column = 54.0) -> tuple[Column, Column]:
     """Lambert azimuthal equal-area projection (Snyder 1987), unit sphere."""
+    lon0, lat0 = (x if isinstance(x, Column) else F.lit(x) for x in (lon0, lat0))
     lam, phi = F.radians(_col(lon) - lon0), F.radians(_col(lat))
-    s0, c0 = F.sin(F.radians(F.lit(lat0))), F.cos(F.radians(F.lit(lat0)))
-    k = F.sqrt(2 / (1 + s0 * F.sin(phi) + c0 * F.cos(phi) * F.cos(lam)))
+    s0, c0 = F.sin(F.radians(lat0)), F.cos(F.radians(lat0))
+    k = F.sqrt(F.try_divide(F.lit(2.0), 1 + s0 * F.sin(phi) + c0 * F.cos(phi) * F.cos(lam)))
     return k * F.cos(phi) * F.sin(lam), k * (c0 * F.sin(phi) - s0 * F.cos(phi) * F.cos(lam))
 
 

@@ -426,14 +426,83 @@ def cartogram(spark, sf_dir):
     return _cartogram(spark, sf_dir)[1]
 
 
+#: Each region's tiles by largest remainder, of the maps of squares, where nothing stands in the way of a budget.
+SIZES = f""", w AS (SELECT 'b' || CAST(CAST(region_id AS BIGINT) // {BLOCK} AS VARCHAR) AS g, region_id, year, value FROM fine WHERE indicator = 'qty'),
+l AS (SELECT g, max(year) AS year FROM w GROUP BY g), v AS (SELECT g || '|' || CAST(year AS VARCHAR) AS map_id, region_id, value * 1000 / sum(value) OVER (PARTITION BY g) AS e FROM w JOIN l USING (g, year) WHERE value > 0),
+f AS (SELECT *, 1000 - sum(floor(e)) OVER (PARTITION BY map_id) AS more, row_number() OVER (PARTITION BY map_id ORDER BY e - floor(e) DESC, region_id) AS k FROM v)
+SELECT * FROM (SELECT map_id, region_id, CAST(floor(e) + CASE WHEN k <= more THEN 1 ELSE 0 END AS BIGINT) AS cells FROM f) WHERE cells > 0"""
+
+
+@register("cartogram_sizes", SIZES)
+def cartogram_sizes(spark, sf_dir):
+    """The cells that each region of the cartogram has."""
+    return _cartogram(spark, sf_dir)[1].groupBy("map_id", "region_id").agg(F.count("*").alias("cells"))
+
+
 @register("cartogram_measures")
 def cartogram_measures(spark, sf_dir):
     """What each map of the cartogram is judged by."""
     rings, cells, targets = _cartogram(spark, sf_dir)
+    return _judged(cells, targets, allocate.centres(rings, 1000))
+
+
+def _judged(cells: DataFrame, targets: DataFrame, centres: DataFrame) -> DataFrame:
     cells = cells.withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
-    measures = _measures(cells, targets, F.lit(1000))
+    maps = cells.select("map_id").distinct()
+    if "map_id" not in centres.columns:  # one drawing for all maps of a geography
+        centres = centres.join(maps.withColumn("geo", F.split("map_id", "[|]")[0]), "geo")
+    far = grid.drift(cells, centres.select("map_id", "region_id", "x", "y"), centres.select("map_id", "diagonal").distinct()).select("map_id", F.col("mean").alias("drift"), F.col("p95").alias("drift_p95"))
     round_ = grid.compactness(cells).select("map_id", "compactness")
-    return _rounded(measures.join(round_, "map_id", "left"), "mean_error", "compactness")
+    measures = _measures(cells, targets, F.lit(1000)).join(round_, "map_id", "left").join(far, "map_id", "left")
+    return _rounded(measures, "mean_error", "compactness", "drift", "drift_p95")
+
+
+def _degrees(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rings in degrees, weights, and the geographies' rules: a hundred parts are a land of ten by ten
+    degrees with an oblique coast in the east, a lake, two regions off the west coast and one off the
+    east, and one as small as a town within another. Lands have, by turns, a western inset or islands."""
+    k = F.col("p_partkey")
+    n = (k % BLOCK).cast("int")
+    west, east = n.isin(80, 90), n == 9
+    islands = F.floor(k / BLOCK) % 2 == 1
+    code = F.when(islands & west, F.concat(F.lit("IS"), k.cast("string"))).when(islands & east, F.concat(F.lit("CY"), k.cast("string"))).otherwise(k.cast("string"))
+    x = (n % 10).cast("double") - F.when(west, 16.0).when(east, -18.0).otherwise(0.0)
+    parts = S.read(spark, sf_dir, "part").where(n != 55).select(
+        F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), code.alias("region_id"), k.cast("string").alias("part"), k.cast("int").alias("feature_ord"),
+        x.alias("_x"), (40.0 + F.floor(n / 10)).alias("_y"), n.alias("_n"),
+    )
+    at = lambda c, d: F.array(*[F.col(c) + float(v) for v in d])
+    ring = lambda order, xs, ys: F.struct(F.lit(0).alias("poly_ord"), F.lit(order).alias("ring_ord"), at("_x", xs).alias("xs"), at("_y", ys).alias("ys"))
+    square = ring(0, (0, 1, 1, 0), (0, 0, 1, 1))
+    town = F.struct(F.lit(0).alias("poly_ord"), F.lit(0).alias("ring_ord"), at("_x", (-0.51, -0.49, -0.49, -0.51)).alias("xs"), at("_y", (0.49, 0.49, 0.51, 0.51)).alias("ys"))
+    shapes = (
+        F.when(F.col("_n") == 44, F.array(square, ring(1, (0.49, 0.51, 0.51, 0.49), (0.49, 0.49, 0.51, 0.51))))
+        .when(F.col("_n") == 45, F.array(town))
+        .when(F.col("_n") % 10 == 8, F.array(ring(0, (0, 1.4, 0.8, 0), (0, 0, 1, 1))))
+        .otherwise(F.array(square))
+    )
+    rings = parts.select("geo", "region_id", "feature_ord", F.inline(shapes))
+    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumnRenamed("region_id", "part").drop("geo").join(parts.select("geo", "part", "region_id"), "part")
+    last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
+    weights = shipped.join(last, ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
+    odd = F.substring("geo", 2, 20).cast("long") % 2 == 1
+    kinds = parts.select("geo").distinct().select("geo", F.when(odd, "islands").otherwise("west").alias("insets"), F.when(odd, "laea").otherwise("mercator").alias("projection"))
+    return rings, weights, kinds
+
+
+@register("cartogram_insets")
+def cartogram_insets(spark, sf_dir):
+    """Cartograms from rings in degrees: projections, insets, coasts, a lake and a town without a cell."""
+    rings, weights, kinds = _degrees(spark, sf_dir)
+    return allocate.cartogram(weights, rings, 1000, kinds)[0]
+
+
+@register("cartogram_insets_measures")
+def cartogram_insets_measures(spark, sf_dir):
+    rings, weights, kinds = _degrees(spark, sf_dir)
+    cells, targets = allocate.cartogram(weights, rings, 1000, kinds)
+    drawn = written(geo.projected_maps(rings, kinds, weights), "drawn")
+    return _judged(cells, targets, allocate.centres(drawn, 1000).withColumnRenamed("geo", "map_id"))
 
 
 def _measures(cells: DataFrame, targets: DataFrame, budget) -> DataFrame:

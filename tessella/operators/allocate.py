@@ -6,6 +6,8 @@ map has a few thousand cells at most, by its tile budget.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,27 +20,133 @@ from . import geo, grid
 ROUNDS, PULL = 4, 0.25
 
 
-def resize_cells(cells: set[tuple[int, int]], taken: set[tuple[int, int]], size: int) -> set[tuple[int, int]]:
-    """A component of exactly `size` cells: the most exposed cells go, or the free places with
-    most neighbours come, ties by (row, col); `taken` are cells of any component."""
+Cell = tuple[int, int]
+
+
+def _beside(c: Cell) -> list[Cell]:
+    return [(c[0] + a, c[1] + b) for a, b in grid.AROUND]
+
+
+def resize_cells(cells: set[Cell], taken: set[Cell], size: int) -> set[Cell]:
+    """A component of exactly `size` cells, one cell at a time: the cell with fewest neighbours goes,
+    or the free place with most comes, ties by (row, col). A cell with four neighbours never goes, so no
+    hole is made; `taken` are cells of any component. Counts are kept up to date in a queue, so
+    that each step costs the changed cell's neighbours only."""
     cells = set(cells)
-    around = lambda c, s: sum((c[0] + a, c[1] + b) in s for a, b in grid.AROUND)
-    while len(cells) > size:
-        edge = [c for c in cells if around(c, cells) < 4]
-        # a layer at a time, the most exposed first; never a cell inside
-        least = min(around(c, cells) for c in edge)
-        drop = sorted((c for c in edge if around(c, cells) == least), key=lambda c: (c[1], c[0]))
-        cells -= set(drop[: max(1, min(len(cells) - size, len(drop) // 4))])
-    while len(cells) < size:
-        free = {(c[0] + a, c[1] + b) for c in cells for a, b in grid.AROUND} - cells - taken
-        if not free:
-            break
-        most = max(around(c, cells) for c in free)
-        add = sorted((c for c in free if around(c, cells) == most), key=lambda c: (c[1], c[0]))
-        cells |= set(add[: max(1, min(size - len(cells), len(add) // 4))])
+    count = lambda c: sum(n in cells for n in _beside(c))
+    queue = [(count(c), c[1], c[0]) for c in cells] if len(cells) > size else []
+    heapq.heapify(queue)
+    while len(cells) > size and queue:
+        n, row, col = heapq.heappop(queue)
+        if (col, row) in cells and n == count((col, row)) < 4:  # else it has changed since
+            cells.remove((col, row))
+            for x in _beside((col, row)):
+                if x in cells:
+                    heapq.heappush(queue, (count(x), x[1], x[0]))
+    free = {x for c in cells for x in _beside(c)} - cells - taken if len(cells) < size else set()
+    queue = [(-count(c), c[1], c[0]) for c in free]
+    heapq.heapify(queue)
+    while len(cells) < size and queue:
+        n, row, col = heapq.heappop(queue)
+        if (col, row) not in cells and -n == count((col, row)):
+            cells.add((col, row))
+            for x in _beside((col, row)):
+                if x not in cells and x not in taken:
+                    heapq.heappush(queue, (-count(x), x[1], x[0]))
     return cells
 
 
+def pieces(cells: set[Cell]) -> list[set[Cell]]:
+    """Cells that hang together, the largest first, ties to the one with the least cell."""
+    left, out = set(cells), []
+    while left:
+        part, edge = set(), [left.pop()]
+        while edge:
+            c = edge.pop()
+            part.add(c)
+            for x in _beside(c):
+                if x in left:
+                    left.remove(x)
+                    edge.append(x)
+        out.append(part)
+    return sorted(out, key=lambda p: (-len(p), min(p)))
+
+
+def rejoin(owner: dict[Cell, int], passes: int = 3) -> dict[Cell, int]:
+    """Owners of the cells of one component, with fewer regions in pieces; each keeps its number of cells.
+
+    A fragment's cells go to the regions around them. For each, one cell moves back along a path of
+    regions that touch, from the one that got the cell to the fragment's own region, whose main piece
+    grows by it; a region on the way gives a cell of its border that it does not need to hang
+    together. What is changed stays only if there are fewer pieces than before.
+    """
+    owner = dict(owner)
+    own: dict[int, set[Cell]] = {}
+    for c, r in owner.items():
+        own.setdefault(r, set()).add(c)
+
+    def gift(own: dict, giver: int, home: set[Cell], banned: set[Cell]) -> Cell | None:
+        """A cell of `giver` beside `home` without which it is in no more pieces."""
+        now = len(pieces(own[giver]))
+        near = sorted(c for c in own[giver] if c not in banned and any(x in home for x in _beside(c)))
+        near.sort(key=lambda c: -sum(x in home for x in _beside(c)))
+        return next((c for c in near if len(own[giver]) > 1 and len(pieces(own[giver] - {c})) <= now), None)
+
+    def path(owner: dict, own: dict, start: int, end: int, home: set[Cell]) -> list[int]:
+        """Regions from `end`, whose piece `home` is to grow, to `start`, each touching the one before."""
+        came, edge = {end: end}, [end]
+        while edge and start not in came:
+            following = []
+            for r in edge:
+                for n in sorted({owner[x] for c in (home if r == end else own[r]) for x in _beside(c) if x in owner} - set(came)):
+                    came[n] = r
+                    following.append(n)
+            edge = following
+        out = [start] if start in came else []
+        while out and out[-1] != end:
+            out.append(came[out[-1]])
+        return out[::-1]
+
+    def without(r: int, part: set[Cell], home: set[Cell]) -> tuple[dict, dict] | None:
+        """Owners and cells of all regions after the fragment has gone home, if that can be done."""
+        new, mine, home = dict(owner), {k: set(v) for k, v in own.items()}, set(home)
+
+        def move(c: Cell, to: int) -> None:
+            mine[new[c]].discard(c)
+            mine[to].add(c)
+            new[c] = to
+
+        for c in sorted(part):
+            around = [new[x] for x in _beside(c) if x in new and new[x] != r]
+            host = min(set(around), key=lambda n: (-around.count(n), n)) if around else None
+            way = path(new, mine, host, r, home) if around else []
+            if len(way) < 2:
+                return None
+            move(c, host)
+            for taker, giver in zip(way, way[1:], strict=False):
+                cell = gift(mine, giver, home if taker == r else mine[taker], part)
+                if cell is None:
+                    return None
+                move(cell, taker)
+                if taker == r:
+                    home.add(cell)
+        return new, mine
+
+    total = lambda regions: sum(len(pieces(x)) for x in regions.values())
+    for _ in range(passes):
+        changed = False
+        for r in sorted(own):
+            for part in pieces(own[r])[1:]:
+                home = pieces(own[r])[0]
+                found = without(r, part, home) if part <= own[r] and not part & home else None
+                if found and total(found[1]) < total(own):
+                    owner, own = found
+                    changed = True
+        if not changed:
+            break
+    return owner
+
+
 def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) -> np.ndarray:
     """Owner of each cell: every region gets exactly its budget, and the squared distances to
     the seeds are least in sum. Prices first; the rest moves along shortest paths, each of
@@ -120,6 +228,9 @@ def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
             size = np.maximum(1, np.bincount(owner, minlength=len(part)))
             mean = np.stack([np.bincount(owner, at[:, i], len(part)) / size for i in (0, 1)], axis=1)
             seeds = np.where((np.bincount(owner, minlength=len(part)) > 0)[:, None], mean + PULL * (anchor - mean), anchor)
+        places = [(int(c), int(r)) for c, r in at]
+        whole = rejoin(dict(zip(places, owner.tolist(), strict=True)))
+        owner = np.array([whole[p] for p in places], int)
         out.append(pd.DataFrame({"col": at[:, 0].astype(int), "row": at[:, 1].astype(int), "component": component, "region_id": part["region_id"].to_numpy()[owner]}))
     made = pd.concat(out) if out else pd.DataFrame({"col": [], "row": [], "component": [], "region_id": []})
     made.insert(0, "map_id", plan["map_id"].iloc[0] if len(plan) else None)
@@ -133,19 +244,32 @@ def allocate(cells: DataFrame, plan: DataFrame) -> DataFrame:
     return cells.groupBy("map_id").cogroup(plan.groupBy("map_id")).applyInPandas(allocate_map, schema)
 
 
-def cartogram(weights: DataFrame, ring: DataFrame, tiles: int) -> tuple[DataFrame, DataFrame]:
-    """weights(map_id, geo, region_id, w), ring in projected coordinates -> cells and targets of
-    every map: apportion, rasterise, fill, label, place, budget, assign."""
+def centres(ring: DataFrame, tiles: int) -> DataFrame:
+    """(geo, region_id, x, y, diagonal): where each region's seed lies, and the map's diagonal, in units of
+    cells of the raster."""
+    box = geo.tile_side(ring, tiles).join(geo.bounds(ring), "geo")
+    unit = lambda v, o: (F.col(v) - F.col(o)) / F.col("side") + 1.5
+    diagonal = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.col("side")
+    return geo.region_seed(ring).join(box, "geo").select("geo", "region_id", unit("x", "x0").alias("x"), unit("y", "y0").alias("y"), diagonal.alias("diagonal"))
+
+
+def cartogram(weights: DataFrame, ring: DataFrame, tiles: int, geography: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """weights(map_id, geo, region_id, w), ring -> cells and targets of every map: apportion, rasterise,
+    fill, label, place, budget, assign, rejoin.
+
+    Rings are in projected coordinates, one drawing for all maps of a geography; or, with
+    `geography` (see projected_maps), in degrees: then each map has its own drawing, with its insets.
+    """
+    if geography is not None:
+        ring = written(geo.projected_maps(ring, geography, weights), "drawn")
+        weights = weights.withColumn("geo", F.col("map_id"))
     targets = written(grid.largest_remainder(weights.where("w > 0"), tiles, ["map_id"]).select("map_id", "region_id", "target"), "targets")
     base = written(grid.rasterize(ring, tiles), "raster")
     base = written(grid.fill_enclosed(base), "filled")
     base = written(grid.grid_components(base), "components").withColumnRenamed("map_id", "geo")
     maps = weights.select("map_id", "geo").distinct()
     cells = base.join(maps, "geo").select("map_id", "col", "row", "region_id", "component", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
-    side, box = geo.tile_side(ring, tiles), geo.bounds(ring)
-    seeds = geo.region_seed(ring).join(side, "geo").join(box.select("geo", "x0", "y0"), "geo")
-    unit = lambda v, o: (F.col(v) - F.col(o)) / F.col("side") + 1.5
-    seeds = seeds.select("geo", "region_id", unit("x", "x0").alias("x"), unit("y", "y0").alias("y")).join(maps, "geo").select("map_id", "region_id", "x", "y")
+    seeds = centres(ring, tiles).join(maps, "geo").select("map_id", "region_id", "x", "y")
     plan = grid.component_budget(grid.region_placement(cells, targets, seeds), targets).join(seeds, ["map_id", "region_id"])
     plan = written(plan, "plan")
     out = allocate(cells.select("map_id", "col", "row", "component"), plan.select("map_id", "component", "region_id", "budget", "x", "y"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import array_mean, finite, laea, mercator, ring_area, route_inset
+from tessella.functions.tables import written
 
 POLYGON = ["geo", "region_id", "feature_ord", "poly_ord"]
 
@@ -103,6 +104,7 @@ def _clamp(v: Column, low: float, high: float) -> Column:
 def inset_box(share: Column, width: float, height: float) -> tuple[Column, Column]:
     """Width and height of the western inset, whose area follows its share of the weight (0.05
     if unknown) within bounds."""
+    # margins, bounds and the aspect are fixed values
     usable = (width - 22) * (height - 96)
     area = _clamp(F.coalesce(share, F.lit(0.05)) * usable * 1.35, usable * 0.04, usable * 0.26)
     w = _clamp(F.sqrt(area * 1.7), width * 0.2, width * 0.56)
@@ -113,7 +115,7 @@ def inset_boxes(maps: DataFrame, width: float, height: float) -> DataFrame:
     """maps(geo, insets, share) -> (geo, inset, bx0, by0, bx1, by1, least): the boxes of each
     map, with margins left free, and how many regions must be drawn for a fit to follow them."""
     w, h = inset_box(F.col("share"), width, height)
-    iw, ih = width * 0.06, height * 0.07
+    iw, ih = width * 0.06, height * 0.07  # fixed values, as are the margins below
     box = lambda inset, x0, y0, x1, y1, least: F.struct(
         F.lit(inset).alias("inset"), *[(v if isinstance(v, Column) else F.lit(float(v))).alias(n) for n, v in (("bx0", x0), ("by0", y0), ("bx1", x1), ("by1", y1))],
         F.lit(least).cast("int").alias("least"),
@@ -184,15 +186,84 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     return first.select(*point_id, F.col("_first._at.r").alias("region_id"), F.explode(F.sequence(F.lit(1), F.col("_first._n"))).alias("_k")).drop("_k")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[str]) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[str], bucket: float = 8.0) -> DataFrame:
     """The cell of the same `by` nearest to each point, ties to the least (col, row).
 
-    Points are the few seeds without a cell of their own; each map's cells are met once a point.
+    Cells lie in square buckets. A point looks at the buckets around its own, then at rings of twice the
+    width, and so on, until some bucket there has cells: the far corner of one bounds the distance. Of the
+    buckets no farther than that bound, the cells are compared. Only buckets are met in search, and only cells of near buckets at the end,
+    so no map's cells meet all its points. Points of a map without cells, or of no finite place, have no row;
+    points that repeat have one.
     """
-    pairs = points.join(cells.select(by, "col", "row", F.col("x").alias("_x"), F.col("y").alias("_y")), by)
-    d = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
-    pairs = pairs.select(by, *point_id, "col", "row", d.alias("_d"))
-    least = pairs.groupBy(by, *point_id).agg(F.min("_d").alias("_d"))
-    cell = F.min(F.col("col").cast("long") * (1 << 20) + F.col("row")).alias("_cell")
-    best = pairs.join(least, [by, *point_id, "_d"]).groupBy(by, *point_id).agg(cell)
-    return best.select(by, *point_id, F.floor(F.col("_cell") / (1 << 20)).cast("int").alias("col"), (F.col("_cell") % (1 << 20)).cast("int").alias("row"))
+    place = lambda c: F.floor(F.col(c) / bucket).alias(f"_b{c}")
+    inside = cells.where(finite("x") & finite("y")).select(by, "col", "row", F.col("x").alias("_x"), F.col("y").alias("_y"), place("x"), place("y"))
+    inside = written(inside, "bucketed")
+    full = written(inside.select(by, "_bx", "_by").distinct(), "buckets")
+    left = points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct().join(full.select(by).distinct(), by, "left_semi")
+    left = written(left, "points")
+    found, level = None, 0
+    key = [by, *point_id, "x", "y"]
+
+    def around(rows: DataFrame, level: int) -> DataFrame:
+        """Rows of points with the buckets of cells in the 3 x 3 squares of 2^level buckets about them."""
+        wide = bucket * 2.0**level
+        step = lambda c, o: (F.floor(F.col(c) / wide) + F.col(o)).alias(f"_n{c}")
+        near = rows.withColumn("_i", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
+        near = near.select(*rows.columns, step("x", "_i"), step("y", "_j"))
+        coarse = full.select(by, "_bx", "_by", *[F.floor(F.col(f"_b{c}") / 2.0**level).alias(f"_n{c}") for c in "xy"])
+        return near.join(coarse, [by, "_nx", "_ny"])
+
+    def off(c: str, far: bool) -> Column:
+        """How far the bucket's far, or near, side is from the point along an axis."""
+        low, v = F.col(f"_b{c}") * bucket, F.col(c)
+        a, b = low - v, v - low - bucket
+        return F.greatest(-a, -b) if far else F.greatest(a, b, F.lit(0.0))
+
+    while left.head(1):
+        reach = around(left, level).groupBy(*key).agg(F.min(F.hypot(off("x", True), off("y", True))).alias("_reach"))
+        reach = written(reach, "reach")
+        # the bound is at most 2 sqrt(2) squares: nothing nearer lies outside the squares of four times the width
+        near = around(reach, level + 2).where(F.hypot(off("x", False), off("y", False)) <= F.col("_reach") * (1 + 1e-9))
+        pairs = near.select(*key, "_bx", "_by").join(inside, [by, "_bx", "_by"])
+        d = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
+        best = pairs.groupBy(*key).agg(F.min(F.struct(d.alias("d"), "col", "row")).alias("_best"))
+        best = best.select(by, *point_id, "_best.col", "_best.row")
+        found = best if found is None else found.unionByName(best)
+        left, level = written(left.join(reach, key, "left_anti"), "points"), level + 1
+    if found is None:
+        return points.join(cells.select(by, "col", "row"), by).select(by, *point_id, "col", "row").limit(0)
+    return found
+
+
+#: Where each projection is centred, by geography and inset: longitude, latitude. Fixed values.
+CENTRES = {("laea", "main"): (15.0, 54.0), ("laea", "inset"): (0.0, 0.0)}
+
+
+def projected_maps(ring: DataFrame, geography: DataFrame, weights: DataFrame, width: float = 900, height: float = 780) -> DataFrame:
+    """Rings in degrees, drawn for each map: ring table with geo = map_id and the inset of each region.
+
+    geography(geo, insets, projection): the rules of its insets, and `laea` or `mercator`;
+    weights(map_id, geo, region_id, w). Regions are routed to their insets, projected (an inset of
+    `laea` about (0, 0)), and fitted to the boxes of their map: the western one's size follows
+    its share of the map's positive weights, and a fit follows the regions with a positive weight. Vertices that are no number, or have no finite place in
+    the projection, go, and rings of fewer than three with them.
+    """
+    ring = valid_rings(ring)
+    drawn = weights.where(finite("w") & (F.col("w") > 0))
+    inset = written(inset_of(ring, geography), "insets")
+    rows = ring.join(inset, ["geo", "region_id"]).join(geography.select("geo", "projection"), "geo")
+    centre = lambda i: F.when(F.col("inset") == "main", CENTRES["laea", "main"][i]).otherwise(CENTRES["laea", "inset"][i])
+    equal = F.col("projection") == "laea"
+
+    def to(p: Column) -> Column:
+        (ax, ay), (mx, my) = laea(p["xs"], p["ys"], centre(0), centre(1)), mercator(p["xs"], p["ys"])
+        return F.struct(F.when(equal, ax).otherwise(mx).alias("x"), (-F.when(equal, ay).otherwise(my)).alias("y"))
+
+    rows = rows.withColumn("_p", F.transform(F.arrays_zip("xs", "ys"), to))
+    rows = rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: p["y"]).alias("ys"))
+    flat = written(valid_rings(rows), "projected")
+    west = drawn.join(inset, ["geo", "region_id"]).groupBy("map_id").agg((F.sum(F.when(F.col("inset") == "canaries", F.col("w")).otherwise(0.0)) / F.sum("w")).alias("share"))
+    maps = weights.select("map_id", "geo").distinct().join(west, "map_id", "left").join(geography.select("geo", "insets"), "geo")
+    boxes = inset_boxes(maps.select(F.col("map_id").alias("geo"), "insets", F.coalesce("share", F.lit(0.0)).alias("share")), width, height)
+    each = flat.join(inset, ["geo", "region_id"]).join(maps.select("map_id", "geo"), "geo").drop("geo").withColumnRenamed("map_id", "geo")
+    return fit_extent(each, boxes, drawn.select(F.col("map_id").alias("geo"), "region_id"))

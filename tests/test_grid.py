@@ -159,3 +159,66 @@ def test_workers_find_the_package(spark, monkeypatch):
     importable(spark)
     importable(spark)
     assert spark.sparkContext.environment["PYTHONPATH"].split(":") == [root, "/elsewhere"]
+
+
+def test_nearest_cell_across_gaps(spark):
+    """Against all pairs: gaps wider than a bucket, ties, cells left of zero, a map without cells."""
+    rng = random.Random(5)
+    cells = [("a", c, r, float(c), float(r)) for c, r in {(rng.randrange(-30, 30), rng.randrange(-30, 30)) for _ in range(200)}] + [("a", 500, 500, 500.0, 500.0), ("b", 3, 4, 3.0, 4.0)]
+    points = [("a", k, rng.uniform(-60, 60), rng.uniform(-60, 60)) for k in range(60)] + [("a", 60, 300.0, 290.0), ("a", 61, 0.5, 0.5), ("b", 1, 900.0, -700.0), ("c", 1, 0.0, 0.0), ("a", 62, float("nan"), 0.0), ("a", 61, 0.5, 0.5)]
+    got = geo.nearest_cell(spark.createDataFrame(points, "m string, k int, x double, y double"), spark.createDataFrame(cells, "m string, col int, row int, x double, y double"), "m", ["k"])
+    found = {(r.m, r.k): (r.col, r.row) for r in got.collect()}
+    want = {(m, k): min(((x - cx) ** 2 + (y - cy) ** 2, c, r) for n, c, r, cx, cy in cells if n == m)[1:] for m, k, x, y in points if m != "c" and x == x}
+    assert found == want and got.count() == len(want)
+    none = spark.createDataFrame([], "m string, col int, row int, x double, y double")
+    assert geo.nearest_cell(spark.createDataFrame(points, "m string, k int, x double, y double"), none, "m", ["k"]).count() == 0
+
+
+def test_resize_is_one_cell_at_a_time():
+    rng = random.Random(1)
+
+    def slowly(cells, taken, size):
+        cells = set(cells)
+        count = lambda c: sum(n in cells for n in allocate._beside(c))
+        while len(cells) > size and (edge := [c for c in cells if count(c) < 4]):
+            cells.remove(min(edge, key=lambda c: (count(c), c[1], c[0])))
+        while len(cells) < size and (free := {x for c in cells for x in allocate._beside(c)} - cells - taken):
+            cells.add(min(free, key=lambda c: (-count(c), c[1], c[0])))
+        return cells
+
+    for _ in range(150):
+        taken = {(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(5, 60))}
+        part, size = allocate.pieces(taken)[0], rng.randrange(1, 50)
+        assert allocate.resize_cells(part, taken, size) == slowly(part, taken, size)
+
+
+def test_rejoin_keeps_budgets_and_mends_pieces():
+    rng = random.Random(2)
+    total = lambda owner: sum(len(allocate.pieces({c for c in owner if owner[c] == r})) for r in set(owner.values()))
+    before = after = 0
+    for _ in range(60):
+        owner = {(c, r): rng.randrange(4) if rng.random() < 0.1 else c // 4 + 2 * (r // 4) for c in range(8) for r in range(8)}
+        new = allocate.rejoin(owner)
+        assert sorted(new.values()) == sorted(owner.values()) and total(new) <= total(owner)
+        before, after = before + total(owner) - 4, after + total(new) - 4
+    assert after < 0.4 * before
+    whole = {(c, r): c // 2 for c in range(6) for r in range(3)}
+    assert allocate.rejoin(whole) == whole
+    far = {(c, 0): c // 3 for c in range(9)} | {(8, 1): 0, (0, 1): 2}  # a piece of the first beside the third
+    new = allocate.rejoin(far)
+    assert total(new) <= total(far) and sorted(new.values()) == sorted(far.values())
+
+
+def test_maps_in_degrees(spark):
+    """Insets have boxes of their own, equal areas stay equal under laea, and what has no finite place goes."""
+    box = lambda x, y: ([float(x), x + 1.0, x + 1.0, float(x)], [float(y), float(y), y + 1.0, y + 1.0])
+    rings = [("w", "1", 0, *box(0, 40)), ("w", "2", 1, *box(1, 40)), ("w", "3", 2, *box(-16, 28)), ("i", "A1", 0, *box(14, 53)), ("i", "IS", 1, *box(-20, 64)), ("i", "CY", 2, *box(33, 35)), ("w", "4", 3, [0.0, float("nan"), 1.0], [0.0, 1.0, 2.0])]
+    ring = spark.createDataFrame([(g, r, f, 0, 0, xs, ys) for g, r, f, xs, ys in rings], "geo string, region_id string, feature_ord int, poly_ord int, ring_ord int, xs array<double>, ys array<double>")
+    kinds = spark.createDataFrame([("w", "west", "mercator"), ("i", "islands", "laea")], "geo string, insets string, projection string")
+    weights = spark.createDataFrame([("w|1", "w", "1", 1.0), ("w|1", "w", "3", 1.0), ("w|2", "w", "1", 99.0), ("w|2", "w", "3", 1.0), ("i|1", "i", "A1", 1.0)], "map_id string, geo string, region_id string, w double")
+    drawn = {(r.geo, r.region_id): (r.inset, r.xs, r.ys) for r in geo.projected_maps(ring, kinds, weights).collect()}
+    assert {k: v[0] for k, v in drawn.items()} == {(m, "1"): "main" for m in ("w|1", "w|2")} | {(m, "2"): "main" for m in ("w|1", "w|2")} | {(m, "3"): "canaries" for m in ("w|1", "w|2")} | {("i|1", "A1"): "main", ("i|1", "IS"): "iceland", ("i|1", "CY"): "east"}
+    width = lambda m, r: max(drawn[m, r][1]) - min(drawn[m, r][1])
+    assert width("w|1", "3") > width("w|2", "3")  # by its share of the weight
+    for (_, _), (inset, xs, ys) in drawn.items():
+        assert 0 <= min(xs) and max(xs) <= 2000 and (inset == "main" or min(ys) >= 60)
