@@ -85,7 +85,16 @@ FROM documents
 
 
 def exact_dedup_stage(spark, docs, sf_dir):
-    """Pipeline stage: of each group of equal texts the row with the largest id stays, a null
-    text counting as empty; of rows that repeat id and text one. An empty table gives no rows."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))  # columns may have the new names
-    return exact_groups(rows, carry=["_doc"]).where("kept").select(*[F.col(f"_doc.{c}").alias(c) for c in docs.columns])
+    """Pipeline stage: of each group of equal texts the row with the largest id stays, a null text
+    counting as empty and a null id as smaller than any other; of rows that repeat id and text one. An
+    empty table gives no rows. Rows whose length and prefix are alone go on as they are: only
+    those that may have copies are shuffled, one a task and group."""
+    text = text_or_empty("text")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_doc"), text.alias("_text"), F.octet_length(text).alias("_len"), F.xxhash64(F.substring(text, 1, PREFIX_CHARS)).alias("_pre")
+    )  # columns of docs may have any names
+    by_length = rows.groupBy("_len", "_pre").agg(F.count("*").alias("_n"))
+    marked = HashFilter(written(by_length.where("_n > 1"), "lengths"), ["_len", "_pre"]).mark(rows, ["_len", "_pre"], "_maybe")
+    some = marked.where("_maybe").groupBy("_len", "_pre", F.sha2("_text", 256).alias("_full"))
+    kept = some.agg(F.max_by("_doc", F.struct(F.col("_doc.doc_id").isNotNull(), F.col("_doc.doc_id"))).alias("_doc"))
+    return marked.where("not _maybe").select("_doc").unionByName(kept.select("_doc")).select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
