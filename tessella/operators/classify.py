@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import class_for, finite
 
+from .order import quantiles
 from .panel import SLICE
 
 CLASSES = 7
@@ -14,10 +15,7 @@ CLASSES = 7
 
 def quantile_cuts(panel: DataFrame, k: int = CLASSES) -> DataFrame:
     """The k - 1 inner quantiles of each slice (linear between values), with its extremes."""
-    share = F.array(*[F.lit(i / k) for i in range(1, k)])
-    return panel.where(finite("value")).groupBy(*SLICE).agg(
-        F.percentile("value", share).alias("cuts"), F.min("value").alias("low"), F.max("value").alias("high")
-    )
+    return quantiles(panel.where(finite("value")).select(*SLICE, "value"), SLICE, "value", [i / k for i in range(1, k)])
 
 
 def class_breaks(panel: DataFrame, k: int = CLASSES) -> DataFrame:

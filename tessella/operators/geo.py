@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessella.functions.columns import array_mean, finite, laea, mercator, ring_area, route_inset
 from tessella.functions.tables import written
 
+from .order import GROUPS_AT_MOST, large_groups
+
 POLYGON = ["geo", "region_id", "feature_ord", "poly_ord"]
 
 
@@ -149,13 +151,14 @@ def scale_polygons(ring: DataFrame, weights: DataFrame) -> DataFrame:
     return rows.select(*POLYGON, "ring_ord", move("xs", "_cx").alias("xs"), move("ys", "_cy").alias("ys"))
 
 
-def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str], bucket: float) -> DataFrame:
+def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str], bucket: float, at_once: int = 1 << 18) -> DataFrame:
     """points(point_id.., geo, x, y) with the region of the first feature that holds them.
 
     Both sides are dealt to squares of side `bucket`: a polygon to all that its box meets, a
     point to one; each square gets just the edges that cross its band of y. Even-odd test with
     half-open edges over all rings of a polygon, so that holes are outside. Points in no
-    polygon go; rows that repeat a point stay as many.
+    polygon go; rows that repeat a point stay as many. Squares of more than `at_once` points (and
+    a 4096th of all) are dealt to several tasks: their polygons are sent to each, some 8192 in all.
     """
     n = F.size("xs")
     edges = F.transform(
@@ -171,7 +174,18 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     low = F.col("_by") * F.lit(bucket)
     band = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= low + bucket) & (F.greatest(e["y1"], e["y2"]) >= low))
     polys = polys.select(*POLYGON, band.alias("_edges"), "_bx", "_by")
-    pairs = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y")).join(polys, ["geo", "_bx", "_by"])
+    square = ["geo", "_bx", "_by"]
+    placed = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y"))
+    crowded = large_groups(placed, square, at_once)
+    if crowded is None:
+        pairs = placed.join(polys, square)
+    else:
+        share = max(at_once, placed.count() // GROUPS_AT_MOST)
+        crowded = F.broadcast(crowded.select(*square, F.ceil(F.col("_size") / share).cast("int").alias("_deals")))
+        deals, mine = F.coalesce("_deals", F.lit(1)), F.pmod(F.xxhash64(*point_id, "x", "y"), F.coalesce("_deals", F.lit(1))).cast("int")
+        dealt = placed.join(crowded, square, "left").withColumn("_deal", mine).drop("_deals")
+        each = polys.join(crowded, square, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
+        pairs = dealt.join(each, [*square, "_deal"]).drop("_deal")
     x, y = F.col("x"), F.col("y")
     def crosses(e: Column) -> Column:
         """Whether the edge crosses the ray to the right of the point, without a division."""

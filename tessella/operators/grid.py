@@ -14,6 +14,7 @@ from tessella.functions.tables import importable, written
 
 from .geo import bounds, nearest_cell, points_in_polygons, tile_side
 from .graph import connected_components
+from .order import AT_ONCE, large_groups, ranges
 
 CELL = ["map_id", "col", "row"]
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1))
@@ -21,15 +22,27 @@ AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1))
 RUNS_AT_ONCE = 200_000
 
 
-def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: str = "region_id", value: str = "w") -> DataFrame:
+def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: str = "region_id", value: str = "w", at_once: int = AT_ONCE) -> DataFrame:
     """`total` dealt out in proportion: whole parts, then one each to the largest fractions,
-    ties to the least key."""
+    ties to the least key. A group too large for one task is summed and ranked in ranges."""
     total = F.lit(total) if isinstance(total, int) else F.col(total)
+    target = (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int")).cast("int").alias("target")
+    order = [(F.col("_exact") - F.col("_floor")).desc(), F.col(key)]
     per = W.partitionBy(*by)
-    rows = values.withColumn("_exact", F.col(value) * total / F.sum(value).over(per))
-    rows = rows.withColumn("_floor", F.floor("_exact")).withColumn("_left", total - F.sum("_floor").over(per))
-    rank = F.row_number().over(per.orderBy((F.col("_exact") - F.col("_floor")).desc(), key))
-    return rows.withColumn("target", (F.col("_floor") + (rank <= F.col("_left")).cast("int")).cast("int")).drop("_exact", "_floor", "_left")
+    large = large_groups(values, by, at_once)
+    rest = values if large is None else values.join(F.broadcast(large.select(*by)), by, "left_anti")
+    rest = rest.withColumn("_exact", F.col(value) * total / F.sum(value).over(per))
+    rest = rest.withColumn("_floor", F.floor("_exact")).withColumn("_left", total - F.sum("_floor").over(per))
+    rest = rest.withColumn("_rank", F.row_number().over(per.orderBy(*order))).select(*values.columns, target)
+    if large is None:
+        return rest
+    some = values.join(F.broadcast(large.select(*by)), by)
+    sums = written(some.groupBy(*by).agg(F.sum(value).alias("_sum")), "sums")  # as few as there are large groups
+    some = some.join(F.broadcast(sums), by).withColumn("_exact", F.col(value) * total / F.col("_sum"))
+    some = ranges(some.withColumn("_floor", F.floor("_exact")), by, order, at_once).withColumnRenamed("_at", "_rank")
+    floors = some.groupBy(*by).agg(F.sum("_floor").alias("_floors"))
+    some = some.join(F.broadcast(floors), by).withColumn("_left", total - F.col("_floors"))
+    return rest.unionByName(some.select(*values.columns, target))
 
 
 def rasterize(ring: DataFrame, tiles: int, bucket_tiles: int = 4) -> DataFrame:

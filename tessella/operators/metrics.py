@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import finite
 
+from .order import numbered
 from .panel import SERIES, SLICE
 
 
@@ -55,9 +56,7 @@ def coverage(panel: DataFrame, n_regions: DataFrame) -> DataFrame:
 
 def rank_regions(panel: DataFrame) -> DataFrame:
     """Position among finite values of a slice, largest first, ties by region, and their number."""
-    points = panel.where(finite("value"))
-    order = W.partitionBy(*SLICE).orderBy(F.col("value").desc(), "region_id")
-    return points.withColumn("pos", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy(*SLICE)))
+    return numbered(panel.where(finite("value")), SLICE, [F.col("value").desc(), F.col("region_id")], "pos", "n")
 
 
 def top_k(panel: DataFrame, region: DataFrame, k: int = 22) -> DataFrame:
@@ -89,8 +88,8 @@ def value_table(region: DataFrame, values: DataFrame, weights: DataFrame) -> Dat
     slices = values.select(*SLICE).distinct()
     rows = slices.join(region.where("label is not null"), "geo")
     rows = rows.join(values.where(finite("value")), [*SLICE, "region_id"], "left").join(weights.select("geo", "year", "region_id", "w"), ["geo", "year", "region_id"], "left")
-    order = W.partitionBy(*SLICE).orderBy(F.col("value").desc_nulls_last(), "region_id")
-    return rows.select(*SLICE, "region_id", "label", "value", "w", F.row_number().over(order).alias("row"))
+    rows = rows.select(*SLICE, "region_id", "label", "value", "w")
+    return numbered(rows, SLICE, [F.col("value").desc_nulls_last(), F.col("region_id")], "row")
 
 
 def missing_regions(region: DataFrame, weights: DataFrame) -> DataFrame:
