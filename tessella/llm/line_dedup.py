@@ -59,6 +59,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is joined by newlines. A null or empty text is one empty line and stays
     as an empty text. Should passages with different bytes share a hash, they all stay. `carry`
     (default: all) names the columns kept besides; ones named like the new ones are replaced.
+    An empty table gives no rows; texts of any length are cut whole.
     """
     new = ["clean_text", "n_lines", "n_removed", "n_chunks_removed"]
     carry = [c for c in (docs.columns if carry is None else carry) if c not in new]
@@ -86,9 +87,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = ["_id", "_text_hash"]
     # per text: the passages that another text has first, or that the same id has before
     own = F.col("_id").eqNullSafe(F.col("_first")).alias("_own")
-    places = known.groupBy(*first, *key, own).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_places"))
-    late = places.select(*first, F.when(F.col("_own"), F.slice("_places", 2, F.size("_places"))).otherwise(F.col("_places")).alias("_late"))
-    found = late.where(F.size("_late") > 0).groupBy(*first).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_late")))).alias("_found"))
+    places = known.groupBy(*first, *key, own).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_places"), F.count("*").alias("_rows"))
+    late = places.select(*first, F.when(F.col("_own"), F.slice("_places", 2, F.size("_places"))).otherwise(F.col("_places")).alias("_late"), (F.col("_rows") / F.size("_places")).cast("long").alias("_copies"))
+    found = late.where(F.size("_late") > 0).groupBy(*first).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_late")))).alias("_found"), F.max("_copies").alias("_copies"))
 
     # both starts and ends ascend: a run ends where the next passage does not touch it
     def run_starts(f: Column) -> Column:
@@ -98,12 +99,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.filter(f, lambda c, k: (k == F.size(f) - 1) | (F.get(f, k + 1)["start"] > c["end"]))
 
     runs = F.zip_with(run_starts(F.col("_found")), run_ends(F.col("_found")), lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
-    removed = written(found.select(*first, runs.alias("_removed")), "removed")
+    removed = written(found.select(*first, "_copies", runs.alias("_removed")), "removed")
     marked = HashFilter(removed, first).mark(rows, first, "_maybe")
     none = F.array().cast("array<struct<start:int,end:int>>")
     untouched = marked.where("not _maybe").select("_row", "_text", none.alias("_removed"))
-    removed = removed.select(F.col("_id").alias("_rid"), F.col("_text_hash").alias("_rhash"), "_removed")
-    touched = marked.where("_maybe").join(removed, (F.col("_text_hash") == F.col("_rhash")) & F.col("_id").eqNullSafe(F.col("_rid")), "left")
+    # a third of the rows may share text and id. Of `total` passages each copy holds those of its runs,
+    # so that the runs of all texts that are broadcast are no more than 4096
+    text_and_id = F.concat_ws(" ", F.hex("_text_hash"), F.col("_id").cast("string")).alias("_key")  # a null id is one too
+    removed = removed.select(text_and_id, "_copies", "_removed")
+    touched = join_counted(marked.where("_maybe").select("_row", "_text", text_and_id), removed, ["_key"], "_copies", total, F.monotonically_increasing_id())
     touched = touched.select("_row", "_text", F.coalesce("_removed", none).alias("_removed"))
     out = untouched.unionByName(touched).withColumn("_lines", F.split("_text", "\n", -1))
     # what stays lies between the removed runs
@@ -111,13 +115,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     after = F.array(F.struct(F.coalesce(F.try_element_at("_removed", F.lit(-1))["end"], F.lit(0)).alias("at"), F.size("_lines").alias("to")))
     kept = F.flatten(F.transform(F.concat(before, after), lambda c: F.slice(F.col("_lines"), c["at"] + 1, c["to"] - c["at"])))
     lost = F.aggregate("_removed", F.lit(0), lambda acc, c: acc + c["end"] - c["start"])
-    return out.select(
-        *[F.col(f"_row.{c}").alias(c) for c in carry],
+    out = out.select(  # before the carried columns, which may have any names
+        "_row",
         F.when(F.size("_removed") == 0, F.col("_text")).otherwise(F.array_join(kept, "\n")).alias("clean_text"),
         F.size("_lines").cast("long").alias("n_lines"),
         lost.cast("long").alias("n_removed"),
         F.size("_removed").cast("long").alias("n_chunks_removed"),
     )
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in carry], *new)
 
 
 def op8_line_dedup(spark, sf_dir):

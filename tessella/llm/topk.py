@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import importable, table, written
 
-CANDIDATES, QUERIES, BLOCKS_A_TASK = 4096, 256, 16
+CANDIDATES, QUERIES = 4096, 256
+TILE = 4  # blocks of candidates, and of queries, that meet in one group
 DEPTHS = (0.125, 0.5)
 SCALE = 64
 MOST_COMPONENT = 1 << 20  # components beyond +-2^20 would not be exact in the products of doubles
@@ -32,8 +33,8 @@ LEAST_SCORE = -(1 << 63)  # stands for a score that is no long
 class SortedLists:
     """A block of candidates: one sorted list per dimension."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.n = ids, len(ids)
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        self.rows, self.ids, self.n = rows, ids, len(ids)
         small = int(np.abs(x).max(initial=0)) ** 2 * x.shape[1] < 1 << 23
         self.kind = np.float32 if small else np.float64
         self.x = x.astype(self.kind)
@@ -54,15 +55,15 @@ class SortedLists:
         high = seen + out_top @ (up * s[depth - 1]).T + out_bottom @ (down * s[self.n - depth]).T
         return low, high
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query number, id, score) of every candidate that may be among the query's k best;
-        bar: the k-th score that the query has elsewhere."""
+    def search(self, query_rows: np.ndarray, queries: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query number, id, score) of every candidate that may be among the query's k best, its
+        own row left out; bar: the k-th score that the query has elsewhere."""
         big = int(np.abs(queries).max(initial=0)) * int(np.abs(self.x).max(initial=0)) * queries.shape[1] >= 1 << 23
         if big and self.kind is np.float32:
             self.kind, self.x, self.sorted = np.float64, self.x.astype(float), self.sorted.astype(float)
         q = queries.astype(self.kind)
         up, down = np.maximum(q, 0), np.minimum(q, 0)
-        own = self.ids[:, None] == query_ids[None, :]
+        own = self.rows[:, None] == query_rows[None, :]
         bar = bar.copy()
         left = ~own
         for share in DEPTHS:
@@ -90,18 +91,18 @@ def _integers(x: np.ndarray) -> np.ndarray:
     return np.array([math.floor(v * SCALE) if abs(v) < 1 << 53 else int(v) * SCALE for v in x.ravel().tolist()], object).reshape(x.shape)
 
 
-def exact_search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def exact_search(rows: np.ndarray, ids: np.ndarray, x: np.ndarray, query_rows: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """As SortedLists.search, of all candidates, where components are large."""
-    a, b = _integers(x), _integers(queries)
+    a, b, others = _integers(x), _integers(queries), rows[:, None] != query_rows[None, :]
     most_a, most_b = int(np.abs(a).max(initial=0)), int(np.abs(b).max(initial=0))
     if max(most_a, most_b, most_a * most_b * x.shape[1]) < 1 << 63:
         score = a.astype(np.int64) @ b.astype(np.int64).T
     else:
         score = a @ b.T
-        if ((score >= 1 << 63) & (ids[:, None] != query_ids[None, :])).any():
+        if ((score >= 1 << 63) & others).any():
             raise OverflowError("a score among the best is no 64-bit integer")
         score = np.clip(score, LEAST_SCORE, (1 << 63) - 1).astype(np.int64)
-    c, j = np.nonzero(ids[:, None] != query_ids[None, :])
+    c, j = np.nonzero(others)
     return j, ids[c], score[c, j]
 
 
@@ -116,7 +117,7 @@ def best(j: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.
 
 
 def _blocks(vectors: DataFrame, block: str, width: int) -> DataFrame:
-    """One row a block: its ids and its integer components, or large ones as they are, as bytes."""
+    """One row a block: its row numbers, ids and integer components, or large ones as they are, as bytes."""
 
     def pack(found):  # without hints: else all need them
         x = np.zeros((found.num_rows, width))
@@ -127,10 +128,10 @@ def _blocks(vectors: DataFrame, block: str, width: int) -> DataFrame:
         if np.abs(x).max(initial=0) < MOST_COMPONENT / SCALE:  # else they stay raw
             x = np.floor(x * SCALE)
             x = x.astype(np.int8 if np.abs(x).max(initial=0) < 128 else np.int32)
-        ids = found.column("_id").to_numpy().astype(np.int64)
-        return pa.table({block: pa.array([found.column(block)[0].as_py()], pa.int64()), "ids": [ids.tobytes()], "x": [x.tobytes()], "kind": [x.dtype.str]})
+        rows, ids = (found.column(c).to_numpy().astype(np.int64).tobytes() for c in ("_row", "_id"))
+        return pa.table({block: pa.array([found.column(block)[0].as_py()], pa.int64()), "rows": [rows], "ids": [ids], "x": [x.tobytes()], "kind": [x.dtype.str]})
 
-    return vectors.groupBy(block).applyInArrow(pack, f"{block} long, ids binary, x binary, kind string")
+    return vectors.groupBy(block).applyInArrow(pack, f"{block} long, rows binary, ids binary, x binary, kind string")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -138,8 +139,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
     Components become floor(SCALE * x). A row takes no part if its id or vector is null, or
     if its vector holds a null or non-finite component. Shorter vectors count as ending in
-    zeros. Rows may share an id: each is a candidate of all queries with another id, and the
-    queries that share one have one ranking of all their pairs. Vectors with components beyond
+    zeros. Rows may share an id: each is a query of its own, with its own ranking, and a candidate
+    of all the others. Vectors with components beyond
     +-MOST_COMPONENT after scaling are in blocks of their own, which go by exact integers; a
     score among the best that is no 64-bit integer is an error. A query with
     fewer than k gets all; equal scores go by id. An empty table gives no rows. `is_query` is
@@ -153,46 +154,58 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     rows = rows.select(F.col(id_col).cast("long").alias("_id"), is_query.alias("_query"), real.alias("_v"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.withColumn("_large", F.exists("_v", lambda x: F.abs(x) >= MOST_COMPONENT / SCALE))
     rows = written(rows, "vectors")
-    n, queries, width = rows.agg(F.count("*"), F.count_if("_query"), F.max(F.size("_v"))).first()
-    n_blocks, n_queries, width = -(-n // CANDIDATES) or 1, -(-queries // QUERIES) or 1, width or 1
-    groups = -(-n_blocks // BLOCKS_A_TASK)
+    counts = F.count("*"), F.count_if("_large"), F.count_if("_query"), F.count_if(F.col("_query") & F.col("_large")), F.max(F.size("_v"))
+    n, n_large, asking, large_asking, width = rows.agg(*counts).first()
+    width = width or 1
     h = F.xxhash64("_row")  # ids may repeat
 
-    def block_of(n: int) -> Column:  # those of large components come after
-        return F.pmod(h, F.lit(n)) + F.when(F.col("_large"), n).otherwise(0)
+    def in_blocks(rows: DataFrame, name: str, n: int, n_large: int, size: int) -> tuple[DataFrame, int]:
+        """The rows in blocks of some `size`, those of large components in blocks after the others, and the number of blocks."""
+        plain, large = -(-(n - n_large) // size), -(-n_large // size)
+        block = F.when(F.col("_large"), F.pmod(h, F.lit(large or 1)) + plain).otherwise(F.pmod(h, F.lit(plain or 1)))
+        return _blocks(rows.withColumn(name, block), name, width), plain + large
 
-    candidates = _blocks(rows.withColumn("_cb", block_of(n_blocks)), "_cb", width)
-    asked = _blocks(rows.where("_query").withColumn("_qb", block_of(n_queries)), "_qb", width)
-    # the stated queries, in blocks, against all candidates, in blocks
-    left = candidates.select(F.explode(F.expr(f"sequence(0L, {2 * n_queries - 1}L)")).alias("_qb"), F.pmod("_cb", F.lit(groups)).alias("_g"), *["ids", "x", "kind"])
-    right = asked.select("_qb", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("_g"), *[F.col(c).alias(f"q_{c}") for c in ("ids", "x", "kind")])
-    pairs = left.join(right.hint("shuffle_merge"), ["_qb", "_g"]).select("_qb", "ids", "x", "kind", "q_ids", "q_x", "q_kind")
+    candidates, n_blocks = in_blocks(rows, "_cb", n, n_large, CANDIDATES)
+    asked, n_asked = in_blocks(rows.where("_query"), "_qb", asking, large_asking, QUERIES)
+    # the stated queries, in blocks, against all candidates, in blocks: tiles of TILE x TILE blocks meet
+    tiles, asked_tiles = -(-n_blocks // TILE) or 1, -(-n_asked // TILE) or 1
+    left = candidates.select(F.explode(F.expr(f"sequence(0L, {asked_tiles - 1}L)")).alias("_qt"), F.pmod("_cb", F.lit(tiles)).alias("_ct"), "_cb", "rows", "ids", "x", "kind")
+    right = asked.select(F.pmod("_qb", F.lit(asked_tiles)).alias("_qt"), F.explode(F.expr(f"sequence(0L, {tiles - 1}L)")).alias("_ct"), "_qb", *[F.col(c).alias(f"q_{c}") for c in ("rows", "ids", "x", "kind")])
+    pairs = left.join(right.hint("shuffle_merge"), ["_qt", "_ct"]).select("_qb", "_cb", *[p + c for p in ("", "q_") for c in ("rows", "ids", "x", "kind")])
 
-    def read(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(row[f"{prefix}ids"], np.int64), np.frombuffer(row[f"{prefix}x"], np.dtype(row[f"{prefix}kind"])).reshape(-1, width)
+    def read(row: dict, prefix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, ids = (np.frombuffer(row[prefix + c], np.int64) for c in ("rows", "ids"))
+        return rows, ids, np.frombuffer(row[f"{prefix}x"], np.dtype(row[f"{prefix}kind"])).reshape(-1, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple] = {}  # of each block of queries: its ids, and the k best so far of each
+        found: dict[int, tuple] = {}  # of each block of queries: its rows and ids, and the k best so far of each
+        last_block, lists = None, None  # a block of candidates meets the queries of a tile one after the other
+        none = np.zeros(0, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids, q = read(row, "q_")
-                old = found.get(row["_qb"]) or (ids, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-                bar = np.full(len(ids), -np.inf)
-                full = np.bincount(old[1], minlength=len(ids)) >= k
-                last = np.full(len(ids), np.inf)
-                np.minimum.at(last, old[1], old[3])
+                query_rows, query_ids, q = read(row, "q_")
+                old = found.get(row["_qb"], (query_rows, query_ids, none, none, none))[2:]
+                bar = np.full(len(query_rows), -np.inf)
+                full = np.bincount(old[0], minlength=len(query_rows)) >= k
+                last = np.full(len(query_rows), np.inf)
+                np.minimum.at(last, old[0], old[2])
                 bar[full] = last[full]
-                own, x = read(row, "")
-                new = exact_search(own, x, ids, q) if "f" in (x.dtype.kind, q.dtype.kind) else SortedLists(own, x).search(ids, q, k, bar)
-                found[row["_qb"]] = (ids, *best(*(np.concatenate(x) for x in zip(old[1:], new, strict=True)), k)[:3])
-        for ids, j, other, score in found.values():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(other), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    best_of_groups = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
+                rows, ids, x = read(row, "")
+                if "f" in (x.dtype.kind, q.dtype.kind):
+                    new = exact_search(rows, ids, x, query_rows, q)
+                else:
+                    if last_block != row["_cb"]:
+                        last_block, lists = row["_cb"], SortedLists(rows, ids, x)
+                    new = lists.search(query_rows, q, k, bar)
+                found[row["_qb"]] = (query_rows, query_ids, *best(*(np.concatenate(c) for c in zip(old, new, strict=True)), k)[:3])
+        for rows, ids, j, other, score in found.values():
+            yield pa.RecordBatch.from_arrays([pa.array(rows[j]), pa.array(ids[j]), pa.array(other), pa.array(score)], ["query_row", "query_id", "vec_id", "score"])
+
+    best_of_tiles = pairs.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+    rank = F.expr("row_number() over (partition by query_row order by score desc, vec_id)")
     score = F.when(F.col("score") == LEAST_SCORE, F.raise_error(F.lit("a score among the best is no 64-bit integer")).cast("long")).otherwise(F.col("score")).alias("score")
-    return best_of_groups.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
+    return best_of_tiles.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
 
 
 def op9_topk(spark, sf_dir):
@@ -200,17 +213,17 @@ def op9_topk(spark, sf_dir):
 
 
 OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS e
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, [CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT) FOR x IN embedding] AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.i AS i, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.i <> q.i
 ), r AS (
-  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

@@ -409,10 +409,42 @@ def test_top_k_of_large_components_and_repeated_ids(spark, monkeypatch):
     found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 9).collect()
     e = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     want = []
-    for i in range(0, 70, 20):
-        pairs = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for q, v in e if q == i for j, w in e if j != i)
-        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(pairs[:9])]
-    assert sorted(map(tuple, found)) == want
+    for a, (i, v) in enumerate(e):  # each row is a query of its own; only that row is left out
+        if i % 20 == 0:
+            pairs = sorted((-sum(s * t for s, t in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(e) if b != a)
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(pairs[:9])]
+    assert sorted(map(tuple, found)) == sorted(want) and sum(i % 20 == 0 for i, _ in rows) * 9 == len(want)
+
+
+def test_top_k_infinite_components_clashing_names_and_the_tiles(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 8), ("QUERIES", 2), ("TILE", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(3)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(3)]) for k in range(200)] + [(20, [math.inf, 0.0, 1.0]), (300, [0.0, -math.inf, 1.0]), (40, [0.5, 0.5, 0.5])]
+    made = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = made.withColumns({c: F.lit("own") for c in ("rank", "score", "query_id", "_row", "_cb", "_qb", "_qt", "rows", "ids", "x")})
+    found = topk.top_k(made, F.col("vec_id") % 20 == 0, 4)
+    e = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if all(map(math.isfinite, v))]
+    want = []
+    for a, (i, v) in enumerate(e):
+        if i % 20 == 0:
+            pairs = sorted((-sum(s * t for s, t in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(e) if b != a)
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(pairs[:4])]
+    assert found.columns == ["query_id", "rank", "vec_id", "score"] and sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_line_dedup_of_a_text_that_most_rows_share(spark, monkeypatch):
+    """Most rows share text and id; very long texts, clashing names, an empty table."""
+    passage = "one line here\nanother line there"
+    rows = [(1, passage)] + [(7, "own words\n" + passage)] * 1500 + [(None, "none\n" + passage)] * 20 + [(9, "a\n" * 30000 + passage), (10, "alone")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("own") for c in ("clean_text", "_copies", "_key", "_removed", "_salt")})
+    found = line_dedup.dedup_lines(made).collect()
+    assert len(found) == len(rows)
+    kept = {r.doc_id: (r.n_removed, r.clean_text) for r in found}
+    assert kept[None] == (0, "none\n" + passage) and kept[1] == (2, "") and kept[7] == (2, "own words") and kept[10] == (0, "alone")
+    assert sum(r.doc_id == 7 and r.clean_text == "own words" for r in found) == 1500
+    assert kept[9][0] > 2 and passage not in kept[9][1] and all(r._copies == r._key == "own" for r in found)
+    assert line_dedup.dedup_lines(made.limit(0)).count() == 0
 
 
 def test_licenses(spark):
