@@ -186,8 +186,8 @@ def weight_slice(spark, sf_dir):
     return metrics.weight_slice(p.where("indicator = 'qty' and year < 1999"), wanted).select("geo", "weight", "year", "weight_year", "region_id", "w")
 
 
-HEADLINE = f"""SELECT p.geo, p.indicator, p.year, {r("CASE WHEN i.kind = 'count' THEN sum(p.value) WHEN sum(coalesce(w, 1)) > 0 THEN sum(p.value * coalesce(w, 1)) / sum(coalesce(w, 1)) END", 4)} AS value,
-  CASE WHEN i.kind = 'count' THEN 'Total' WHEN count(w) > 0 THEN 'weighted mean' ELSE 'mean' END AS label
+HEADLINE = f"""SELECT p.geo, p.indicator, p.year, {r("CASE WHEN i.kind = 'count' THEN sum(p.value) WHEN sum(coalesce(w, 1)) FILTER (p.value IS NOT NULL) > 0 THEN sum(p.value * coalesce(w, 1)) / sum(coalesce(w, 1)) FILTER (p.value IS NOT NULL) END", 4)} AS value,
+  CASE WHEN count(p.value) = 0 THEN 'no data' WHEN i.kind = 'count' THEN 'Total' WHEN count(w) FILTER (p.value IS NOT NULL) > 0 THEN 'weighted mean' ELSE 'mean' END AS label
 FROM {{panel}} p JOIN {{indicator}} i USING (geo, indicator) LEFT JOIN weights w ON w.geo = p.geo AND w.year = p.year AND w.region_id = p.region_id AND {{use}} GROUP BY p.geo, p.indicator, p.year, i.kind"""
 
 
@@ -197,6 +197,18 @@ def headline(spark, sf_dir):
     return metrics.headline(p, _weights(p).where("w % 3 <> 0"), i).withColumn("value", round_half_up("value", 4))
 
 
+# a third of the years without values
+GAPS = "(SELECT geo, indicator, year, region_id, CASE WHEN year % 3 <> 0 THEN value END AS value FROM fine)"
+
+
+@register("headline_gaps", f", {W_QTY} " + HEADLINE.format(panel=GAPS, indicator="fine_indicator", use="w.w % 2 = 0"))
+def headline_gaps(spark, sf_dir):
+    """Slices that hold no value have a row that says so."""
+    p, _, i = _fine(spark, sf_dir)
+    gaps = p.withColumn("value", F.when(F.col("year") % 3 != 0, F.col("value")))
+    return metrics.headline(gaps, _weights(p, "qty").where("w % 2 = 0"), i).withColumn("value", round_half_up("value", 4))
+
+
 @register("headline_fine", f", {W_QTY} " + HEADLINE.format(panel="fine", indicator="fine_indicator", use="w.w % 2 = 0"))
 def headline_fine(spark, sf_dir):
     p, _, i = _fine(spark, sf_dir)

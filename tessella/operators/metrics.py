@@ -39,13 +39,16 @@ def weight_slice(panel: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def headline(values: DataFrame, weights: DataFrame, indicator: DataFrame) -> DataFrame:
     """values ⋈ weights (geo, year, region_id, w): the sum of counts, else the mean weighted by
-    w, 1 where the weight is missing; null without data or weight."""
-    rows = values.where(finite("value")).join(weights.select("geo", "year", "region_id", "w"), ["geo", "year", "region_id"], "left")
-    w = F.coalesce(F.when(finite("w"), F.col("w")), F.lit(1.0))
-    sums = rows.groupBy(*SLICE).agg(F.sum("value").alias("_sum"), F.sum(F.col("value") * w).alias("_vw"), F.sum(w).alias("_w"), F.count("w").alias("_n"))
+    w, 1 where the weight is missing. A slice without a finite value has the label "no data" and no
+    value; a mean whose weights are not positive in all keeps its label and has no value."""
+    rows = values.join(weights.select("geo", "year", "region_id", "w"), ["geo", "year", "region_id"], "left")
+    v = F.when(finite("value"), F.col("value"))
+    w = F.when(v.isNotNull(), F.coalesce(F.when(finite("w"), F.col("w")), F.lit(1.0)))
+    weighted = F.count(F.when(v.isNotNull(), F.col("w")))
+    sums = rows.groupBy(*SLICE).agg(F.sum(v).alias("_sum"), F.sum(v * w).alias("_vw"), F.sum(w).alias("_w"), weighted.alias("_n"), F.count(v).alias("_have"))
     out = sums.join(indicator.select("geo", "indicator", "kind"), ["geo", "indicator"])
     value = F.when(F.col("kind") == "count", F.col("_sum")).when(F.col("_w") > 0, F.col("_vw") / F.col("_w"))
-    label = F.when(F.col("kind") == "count", "Total").when(value.isNull(), "no data").when(F.col("_n") > 0, "weighted mean").otherwise("mean")
+    label = F.when(F.col("_have") == 0, "no data").when(F.col("kind") == "count", "Total").when(F.col("_n") > 0, "weighted mean").otherwise("mean")
     return out.select(*SLICE, value.alias("value"), label.alias("label"))
 
 

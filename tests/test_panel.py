@@ -30,6 +30,14 @@ def test_headline_weighs_with_one_where_the_weight_is_missing(spark):
     assert rows(metrics.headline(p, w, indicators(spark, ("r", "count"))), "value", "label") == [(30.0, "Total")]
 
 
+def test_headline_without_values_or_weight(spark):
+    p = make(spark, [("g", "r", 2000, "x", math.nan), ("g", "r", 2000, "y", None), ("g", "r", 2001, "x", 4.0)])
+    w = spark.createDataFrame([("g", 2000, "x", 3.0), ("g", 2001, "x", 0.0)], "geo string, year int, region_id string, w double")
+    found = metrics.headline(p, w, indicators(spark, ("r", "rate"))).orderBy("year")
+    assert rows(found, "year", "value", "label") == [(2000, None, "no data"), (2001, None, "weighted mean")]
+    assert rows(metrics.headline(p, w, indicators(spark, ("r", "count"))).where("year = 2000"), "value", "label") == [(None, "no data")]
+
+
 def test_rank_breaks_ties_by_region(spark):
     p = make(spark, [("g", "i", 2000, "10", 1.0), ("g", "i", 2000, "01", 1.0), ("g", "i", 2000, "z", 2.0), ("g", "i", 2000, "n", None)])
     assert rows(metrics.rank_regions(p), "pos", "region_id", "n") == [(1, "z", 3), (2, "01", 3), (3, "10", 3)]
