@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,16 +68,53 @@ def project_rings(ring: DataFrame, projection: str) -> DataFrame:
     return valid_rings(rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: -p["y"]).alias("ys")))
 
 
-def fit_extent(ring: DataFrame, boxes: DataFrame, include: DataFrame | None = None) -> DataFrame:
+def along_arcs(ring: DataFrame, to: Callable[[Column, Column], tuple[Column, Column]], deviation: Column) -> DataFrame:
+    """Rings in degrees, projected by `to`, with points between the vertices where an edge bends.
+
+    An edge is the great arc between two vertices. It is cut into so many pieces that none leaves
+    its chord by more than about `deviation`, a column in projected units: the arc's distance from the
+    chord at three points, which falls with the square of the number of pieces, gives that number.
+    Points without a finite place go; edges that have such an end are not cut.
+    """
+    unit = lambda p: F.struct(
+        (F.cos(F.radians(p["ys"])) * F.cos(F.radians(p["xs"]))).alias("a"), (F.cos(F.radians(p["ys"])) * F.sin(F.radians(p["xs"]))).alias("b"), F.sin(F.radians(p["ys"])).alias("c"),
+        p["xs"].alias("lon"), p["ys"].alias("lat"),
+    )
+    pair = lambda lon, lat: F.struct(*[c.alias(n) for c, n in zip(to(lon, lat), ("x", "y"), strict=True)])
+
+    def at(e: Column, t: Column | float) -> Column:
+        a, b, c = (e["p"][n] + t * (e["q"][n] - e["p"][n]) for n in "abc")
+        return pair(F.degrees(F.atan2(b, a)), F.degrees(F.atan2(c, F.hypot(a, b))))
+
+    n = F.size("_v")
+    rows = ring.withColumn("_v", F.transform(F.arrays_zip("xs", "ys"), unit))
+    rows = rows.withColumn("_e", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get("_v", i).alias("p"), F.get("_v", (i + 1) % n).alias("q"))))
+    bent = lambda e: F.struct(
+        e["p"].alias("p"), e["q"].alias("q"), pair(e["p"]["lon"], e["p"]["lat"]).alias("from"), pair(e["q"]["lon"], e["q"]["lat"]).alias("to"), *[at(e, t).alias(k) for k, t in QUARTERS]
+    )
+    off = lambda e, k, t: F.hypot(e[k]["x"] - e["from"]["x"] - t * (e["to"]["x"] - e["from"]["x"]), e[k]["y"] - e["from"]["y"] - t * (e["to"]["y"] - e["from"]["y"]))
+    most = lambda e: F.greatest(*[off(e, k, t) / (4 * t * (1 - t)) for k, t in QUARTERS])
+    count = lambda e: F.when(finite(most(e)), F.greatest(F.coalesce(F.ceil(F.sqrt(F.try_divide(most(e), deviation))), F.lit(1)), F.lit(1))).otherwise(1).cast("int")
+    rows = rows.withColumn("_e", F.transform("_e", bent)).withColumn("_e", F.transform("_e", lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), e["from"].alias("from"), count(e).alias("n"))))
+    more = lambda e: F.concat(F.array(e["from"]), F.when(e["n"] > 1, F.transform(F.sequence(F.lit(1), F.greatest(e["n"] - 1, F.lit(1))), lambda k: at(e, k / e["n"]))).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
+    rows = rows.withColumn("_p", F.flatten(F.transform("_e", more)))
+    return valid_rings(rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: p["y"]).alias("ys")))
+
+
+#: Where an arc's distance from its chord is looked at.
+QUARTERS = (("m1", 0.25), ("m2", 0.5), ("m3", 0.75))
+
+
+def fit_extent(ring: DataFrame, boxes: DataFrame, include: DataFrame | None = None, outline: DataFrame | None = None) -> DataFrame:
     """Scales and centres the rings of each (geo, inset) into its box, keeping the aspect.
 
     boxes(geo, inset, bx0, by0, bx1, by1, least): see inset_boxes(). The fit follows the
     regions in `include` (geo, region_id) if the geography has at least `least` of them, else
-    (or where least is null) all regions.
+    (or where least is null) all regions. Extents are those of `outline`, the same rings with more
+    points, if there is one.
     """
     drawn = include.distinct().withColumn("_drawn", F.lit(True)) if include is not None else None
-    rows = ring.join(boxes, ["geo", "inset"])
-    outer = rows.where("ring_ord = 0")
+    outer = (ring if outline is None else outline).where("ring_ord = 0").join(boxes, ["geo", "inset"])
     if drawn is None:
         counted = outer.withColumns({"_drawn": F.lit(None).cast("boolean"), "_n": F.lit(0)})
     else:
@@ -259,8 +298,9 @@ def projected_maps(ring: DataFrame, geography: DataFrame, weights: DataFrame, wi
     geography(geo, insets, projection): the rules of its insets, and `laea` or `mercator`;
     weights(map_id, geo, region_id, w). Regions are routed to their insets, projected (an inset of
     `laea` about (0, 0)), and fitted to the boxes of their map: the western one's size follows
-    its share of the map's positive weights, and a fit follows the regions with a positive weight. Vertices that are no number, or have no finite place in
-    the projection, go, and rings of fewer than three with them.
+    its share of the map's positive weights, and a fit follows the regions with a positive weight. It
+    measures the edges as great arcs, to a hundredth of a pixel; the rings keep their vertices. Vertices that are no
+    number, or have no finite place in the projection, go, and rings of fewer than three with them.
     """
     ring = valid_rings(ring)
     drawn = weights.where(finite("w") & (F.col("w") > 0))
@@ -269,15 +309,20 @@ def projected_maps(ring: DataFrame, geography: DataFrame, weights: DataFrame, wi
     centre = lambda i: F.when(F.col("inset") == "main", CENTRES["laea", "main"][i]).otherwise(CENTRES["laea", "inset"][i])
     equal = F.col("projection") == "laea"
 
-    def to(p: Column) -> Column:
-        (ax, ay), (mx, my) = laea(p["xs"], p["ys"], centre(0), centre(1)), mercator(p["xs"], p["ys"])
-        return F.struct(F.when(equal, ax).otherwise(mx).alias("x"), (-F.when(equal, ay).otherwise(my)).alias("y"))
-
-    rows = rows.withColumn("_p", F.transform(F.arrays_zip("xs", "ys"), to))
-    rows = rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: p["y"]).alias("ys"))
-    flat = written(valid_rings(rows), "projected")
+    def to(lon: Column, lat: Column) -> tuple[Column, Column]:
+        (ax, ay), (mx, my) = laea(lon, lat, centre(0), centre(1)), mercator(lon, lat)
+        return F.when(equal, ax).otherwise(mx), -F.when(equal, ay).otherwise(my)
+
+    points = F.transform(F.arrays_zip("xs", "ys"), lambda p: F.struct(*[c.alias(n) for c, n in zip(to(p["xs"], p["ys"]), "xy", strict=True)]))
+    made = rows.withColumn("_p", points)
+    made = made.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: p["y"]).alias("ys"))
+    flat = written(valid_rings(made), "projected")
+    # a hundredth of a pixel, where the extent of the vertices fills the width
+    reach = lambda c: F.max(F.array_max(c)) - F.min(F.array_min(c))
+    span = flat.join(inset, ["geo", "region_id"]).groupBy("geo", "inset").agg((F.greatest(reach("xs"), reach("ys")) / (100 * max(width, height))).alias("_hair"))
+    outline = written(along_arcs(rows.where("ring_ord = 0").join(span, ["geo", "inset"]), to, F.col("_hair")), "outline")
     west = drawn.join(inset, ["geo", "region_id"]).groupBy("map_id").agg((F.sum(F.when(F.col("inset") == "canaries", F.col("w")).otherwise(0.0)) / F.sum("w")).alias("share"))
     maps = weights.select("map_id", "geo").distinct().join(west, "map_id", "left").join(geography.select("geo", "insets"), "geo")
     boxes = inset_boxes(maps.select(F.col("map_id").alias("geo"), "insets", F.coalesce("share", F.lit(0.0)).alias("share")), width, height)
-    each = flat.join(inset, ["geo", "region_id"]).join(maps.select("map_id", "geo"), "geo").drop("geo").withColumnRenamed("map_id", "geo")
-    return fit_extent(each, boxes, drawn.select(F.col("map_id").alias("geo"), "region_id"))
+    each = lambda rings: rings.join(inset, ["geo", "region_id"]).join(maps.select("map_id", "geo"), "geo").drop("geo").withColumnRenamed("map_id", "geo")
+    return fit_extent(each(flat), boxes, drawn.select(F.col("map_id").alias("geo"), "region_id"), each(outline))

@@ -9,17 +9,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessella.functions.tables import importable, written
 
 from .geo import bounds, nearest_cell, points_in_polygons, tile_side
-from .graph import connected_components
 from .order import AT_ONCE, large_groups, ranges
 
 CELL = ["map_id", "col", "row"]
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1))
-#: Runs of cells that one task labels; a larger map goes by joins.
-RUNS_AT_ONCE = 200_000
+#: Runs of cells that one task labels, and neighbouring blocks that are joined at once where a map has more.
+RUNS_AT_ONCE, FAN = 200_000, 16
 
 
 def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: str = "region_id", value: str = "w", at_once: int = AT_ONCE) -> DataFrame:
@@ -92,7 +92,7 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     its least cell, as `component` = col * 2^20 + row of it.
 
     Cells of a column that follow each other are one run; only runs are labelled, those of a
-    map (and `by`) in one task, or by rounds of joins where it has more than RUNS_AT_ONCE.
+    map (and `by`) in one task, or by blocks of columns where it has more than RUNS_AT_ONCE.
     """
     by, cells = ["map_id", *(by or [])], cells.drop("component")
     order = W.partitionBy(*by, "col").orderBy("row")
@@ -104,7 +104,7 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     schema = runs.select(*by, F.col("col").cast("int"), "_island").schema.add("component", "long")
     named = runs.join(large, by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
     if large.head(1):
-        named = named.unionByName(_joined_components(runs.join(large, by, "left_semi"), by))
+        named = named.unionByName(_block_components(runs.join(large, by, "left_semi"), by))
     return rows.join(named, [*by, "col", "_island"]).drop("_island")
 
 
@@ -133,14 +133,85 @@ def _labelled(runs: pd.DataFrame) -> pd.DataFrame:
     return runs.assign(component=[(col[x] << 20) + top[x] for x in map(find, range(len(col)))])
 
 
-def _joined_components(runs: DataFrame, by: list[str]) -> DataFrame:
-    runs = runs.withColumn("_run", F.xxhash64(*by, "col", "_island"))
-    right = runs.select(*by, (F.col("col") - 1).alias("col"), F.col("top").alias("r_top"), F.col("bottom").alias("r_bottom"), F.col("_run").alias("v"))
-    edges = runs.join(right, [*by, "col"]).where("top <= r_bottom and r_top <= bottom").select(F.col("_run").alias("u"), "v")
-    labels = connected_components(edges)
-    named = runs.join(labels, runs["_run"] == labels["node"], "left").withColumn("_label", F.coalesce("component", "_run")).drop("node", "component")
-    least = named.groupBy(*by, "_label").agg(F.min(F.col("col").cast("long") * (1 << 20) + F.col("top")).alias("component"))
-    return named.join(least, [*by, "_label"]).select(*by, F.col("col").cast("int").alias("col"), "_island", "component")
+def _block_components(runs: DataFrame, by: list[str]) -> DataFrame:
+    """Components of maps too large for a task: columns are dealt to blocks of some RUNS_AT_ONCE runs,
+    each labelled in a task; what meets across the border of two blocks is joined, FAN neighbouring
+    blocks at a time, then FAN of those, and so on. The number of rounds follows from the number
+    of blocks and not from the shape, and only components that reach a border take part."""
+    across = W.partitionBy(*by).orderBy("col")
+    columns = runs.groupBy(*by, "col").agg(F.count("*").alias("_n"))
+    columns = columns.withColumn("_block", F.floor((F.sum("_n").over(across) - F.col("_n")) / RUNS_AT_ONCE))
+    border = lambda side, step: F.coalesce((side("col").over(across) == F.col("col") + step) & (side("_block").over(across) != F.col("_block")), F.lit(False))
+    columns = columns.select(*by, "col", "_block", border(F.lag, -1).alias("_left"), border(F.lead, 1).alias("_right"))
+    placed = runs.join(columns, [*by, "col"]).withColumn("col", F.col("col").cast("int"))
+    schema = _extended(placed.schema, component="long")
+    local = written(placed.groupBy(*by, "_block").applyInPandas(lambda part: _labelled(part)[schema.names], schema), "blocks")
+    side = lambda flag, at: local.where(flag).select(*by, (F.col("col") + at).alias("_border"), F.lit(at == 0).alias("_ahead"), "top", "bottom", "_block", "component")
+    key = runs.select(*by).schema
+    meets = _extended(key, u="long", v="long", bu="long", bv="long")
+    edges = side("_left", 0).unionByName(side("_right", 1)).groupBy(*by, "_border").applyInPandas(lambda part: _met(part, by), meets)
+    edges, moved, width = written(edges, "borders"), None, FAN
+    while edges.head(1):
+        same = F.floor(F.col("bu") / width) == F.floor(F.col("bv") / width)
+        roots = edges.where(same).groupBy(*by, F.floor(F.col("bu") / width)).applyInPandas(lambda part: _united(part, by), _extended(key, node="long", root="long"))
+        roots = written(roots, "roots")
+        edges = edges.where(~same)
+        for end in "uv":
+            edges = edges.join(roots.withColumnsRenamed({"node": end, "root": "_root"}), [*by, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+        edges = written(edges.select(*meets.names).distinct(), "borders")
+        if moved is None:
+            moved = roots
+        else:
+            later = roots.select(*by, F.col("root").alias("_root"), F.col("node").alias("root"))
+            moved = written(moved.join(later, [*by, "root"], "left").select(*by, "node", F.coalesce("_root", "root").alias("root")).unionByName(roots), "roots")
+        width *= FAN
+    names = [*by, "col", "_island", "component"]
+    if moved is None:
+        return local.select(*names)
+    # a block's component has no more runs than its block
+    named = local.join(moved.withColumnRenamed("node", "component"), [*by, "component"], "left")
+    return named.withColumn("component", F.coalesce("root", "component")).select(*names)
+
+
+def _extended(schema: StructType, **columns: str) -> StructType:
+    out = StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out
+
+
+def _met(part: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The components on both sides of one border that have runs side by side."""
+    left, right = (part[part["_ahead"] == ahead].sort_values("top") for ahead in (False, True))
+    top, bottom, names = (left[c].tolist() for c in ("top", "bottom", "component"))
+    found, first = set(), 0
+    for t, b, name in zip(right["top"].tolist(), right["bottom"].tolist(), right["component"].tolist(), strict=True):
+        while first < len(top) and bottom[first] < t:
+            first += 1
+        at = first
+        while at < len(top) and top[at] <= b:
+            found.add((names[at], name))
+            at += 1
+    out = pd.DataFrame(sorted(found), columns=["u", "v"], dtype="int64")
+    out = out.assign(**{c: part[c].iloc[0] for c in by}, bu=0 if left.empty else left["_block"].iloc[0], bv=0 if right.empty else right["_block"].iloc[0])
+    return out[[*by, "u", "v", "bu", "bv"]]
+
+
+def _united(part: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The least component that each one is joined to; those that are the least themselves are left out."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in zip(part["u"].tolist(), part["v"].tolist(), strict=True):
+        a, b = sorted((find(u), find(v)))
+        root[b] = a
+    out = pd.DataFrame([(x, find(x)) for x in list(root) if find(x) != x], columns=["node", "root"], dtype="int64")
+    return out.assign(**{c: part[c].iloc[0] for c in by})[[*by, "node", "root"]]
 
 
 def fill_enclosed(cells: DataFrame) -> DataFrame:

@@ -37,6 +37,10 @@ def maps():
     # a ring with a hole of several cells, a bay open to the sea, and cells that touch at corners only
     out["ring"] = {(c, r): "ab"[c > 2] for c in range(7) for r in range(6) if c in (0, 6) or r in (0, 5)} | {(10, 10): "a", (11, 11): "b"}
     out["bay"] = {(c, r): "a" for c in range(4) for r in range(4) if not (c == 1 and r >= 1)}
+    # a snake as long as the map has cells, two combs that meet in the last column, and a map of columns apart
+    out["snake"] = {(c, r): "a" for c in range(15) for r in range(5) if c % 2 == 0 or r == (0 if c % 4 == 1 else 4)}
+    out["combs"] = {(c, r): "b" for c in range(14) for r in range(9) if r % 2 == 0 or c == 13}
+    out["apart"] = {(c, r): "c" for c in range(0, 20, 3) for r in range(0, 9, 2)}
     return out
 
 
@@ -44,9 +48,11 @@ def table(spark, maps):
     return spark.createDataFrame([(m, c, r, x) for m, cells in maps.items() for (c, r), x in cells.items()], CELL)
 
 
-@pytest.mark.parametrize("at_once", [200_000, 5])
-def test_components(spark, maps, monkeypatch, at_once):
+@pytest.mark.parametrize(("at_once", "fan"), [(200_000, 16), (5, 16), (3, 2)])
+def test_components(spark, maps, monkeypatch, at_once, fan):
+    """Components, however many blocks a map is cut into and joined at once, are those of a flood fill."""
     monkeypatch.setattr(grid, "RUNS_AT_ONCE", at_once)
+    monkeypatch.setattr(grid, "FAN", fan)
     for by in (None, ["region_id"]):
         want = {}
         for m, cells in maps.items():
@@ -222,3 +228,33 @@ def test_maps_in_degrees(spark):
     assert width("w|1", "3") > width("w|2", "3")  # by its share of the weight
     for (_, _), (inset, xs, ys) in drawn.items():
         assert 0 <= min(xs) and max(xs) <= 2000 and (inset == "main" or min(ys) >= 60)
+
+
+@pytest.mark.parametrize("projection", ["laea", "mercator"])
+def test_fit_measures_edges_as_great_arcs(spark, projection):
+    """Against a dense walk along the arcs: the drawing fills its box to a hundredth of a pixel."""
+    lon, lat = [-12.0, 40.0, 40.0, -12.0], [34.0, 34.0, 66.0, 66.0]
+    ring = spark.createDataFrame([("e", "A", 0, 0, 0, lon, lat)], "geo string, region_id string, feature_ord int, poly_ord int, ring_ord int, xs array<double>, ys array<double>")
+    kinds = spark.createDataFrame([("e", "none", projection)], "geo string, insets string, projection string")
+    weights = spark.createDataFrame([("m", "e", "A", 1.0)], "map_id string, geo string, region_id string, w double")
+    r = geo.projected_maps(ring, kinds, weights).first()
+
+    def to(x, y):
+        x, y = np.radians(x), np.radians(y)
+        if projection == "mercator":
+            return x, -np.log(np.tan(np.pi / 4 + y / 2))
+        x, y0 = x - np.radians(15), np.radians(54)
+        k = np.sqrt(2 / (1 + np.sin(y0) * np.sin(y) + np.cos(y0) * np.cos(y) * np.cos(x)))
+        return k * np.cos(y) * np.sin(x), -k * (np.cos(y0) * np.sin(y) - np.sin(y0) * np.cos(y) * np.cos(x))
+
+    p = np.radians(np.array([lon, lat]))
+    unit = np.stack([np.cos(p[1]) * np.cos(p[0]), np.cos(p[1]) * np.sin(p[0]), np.sin(p[1])])
+    arcs = np.concatenate([unit[:, [i]] + np.linspace(0, 1, 20_001) * (unit[:, [(i + 1) % 4]] - unit[:, [i]]) for i in range(4)], axis=1)
+    dense = np.array(to(np.degrees(np.arctan2(arcs[1], arcs[0])), np.degrees(np.arctan2(arcs[2], np.hypot(arcs[0], arcs[1])))))
+    plain = np.array(to(np.array(lon), np.array(lat)))
+    low, high = dense.min(axis=1), dense.max(axis=1)
+    k = min(880 / (high[0] - low[0]), 688 / (high[1] - low[1]))
+    middle = np.array([450.0, 406.0]) - k * (low + high) / 2
+    want = k * plain + middle[:, None]
+    assert np.abs(want - np.array([r.xs, r.ys])).max() < 0.01
+    assert plain.max(axis=1)[1] - plain.min(axis=1)[1] < (high - low)[1] - 1e-3  # the vertices alone are a smaller extent
