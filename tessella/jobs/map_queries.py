@@ -605,9 +605,9 @@ def datasets_rewrite(spark, sf_dir):
     code = F.col("region_id").cast("long")
     curated = region.withColumn("color", F.when(code % 2 == 0, F.concat(F.lit("#"), F.lpad((code % 1000).cast("string"), 6, "0"))))
     p, i = S.fine_panel(spark, sf_dir), S.fine_indicator(spark, sf_dir)
-    existing = datasets.datasets_json(p.where("year = 1995"), i, curated)
+    existing = datasets.datasets_json(p.where("year = 1995"), i, curated, most=1000)
     meta = region.select("geo").distinct().select("geo", F.create_map(F.lit("builtBy"), F.lit("nightly")).alias("meta"))
-    files = datasets.datasets_json(p, i, region.withColumn("label", F.lit("changed")), existing, meta)
+    files = datasets.datasets_json(p, i, region.withColumn("label", F.lit("changed")), existing, meta, most=1000)
     _, values, kept = datasets.parse_datasets(files)
     counts = values.where("indicator = 'qty'").groupBy("geo", "region_id").agg(F.count("*").alias("n"))
     rows = kept.join(counts, ["geo", "region_id"], "left").join(datasets.parse_meta(files), "geo")

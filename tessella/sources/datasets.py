@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,18 +44,42 @@ def parse_datasets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return indicator, panel, region.select("geo", "region_id", "label", F.try_element_at("colors", F.col("region_id")).alias("color"))
 
 
+def curated_regions(existing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """existing(geo, json) -> (geo, region_id, label, color) and (geo, _others): the entries of the
+    `regions` blocks of files, in one or in several a geography, and their other fields as JSON.
+
+    A region with a colour but no label is an entry too; of entries that several files repeat, and
+    of the other fields, the greatest stays. Files without a `regions` block give nothing.
+    """
+    text = existing.select("geo", F.get_json_object("json", "$.regions").alias("_text")).where("_text is not null")
+    doc = text.select("geo", F.from_json("_text", "labels map<string,string>, colors map<string,string>").alias("_d"), F.from_json("_text", "map<string,variant>").alias("_f"))
+    none = F.create_map().cast("map<string,string>")
+    doc = doc.select("geo", F.coalesce("_d.labels", none).alias("_l"), F.coalesce("_d.colors", none).alias("_c"), "_f")
+    each = doc.select("geo", F.explode(F.array_union(F.map_keys("_l"), F.map_keys("_c"))).alias("region_id"), "_l", "_c")
+    each = each.select("geo", "region_id", F.try_element_at("_l", F.col("region_id")).alias("label"), F.try_element_at("_c", F.col("region_id")).alias("color"))
+    others = F.to_json(F.map_filter("_f", lambda k, v: ~k.isin("labels", "colors")))
+    return each.groupBy("geo", "region_id").agg(F.max("label").alias("label"), F.max("color").alias("color")), doc.groupBy("geo").agg(F.max(others).alias("_others"))
+
+
 def datasets_json(
     panel: DataFrame, indicator: DataFrame, region: DataFrame, existing: DataFrame | None = None, meta: DataFrame | None = None, key: str = "id", most: int | None = None
 ) -> DataFrame:
     """(geo, json): the nested file of each geography; with `most`, several, of some `most`
-    regions each, which repeat the descriptors (where there are no `existing` files).
+    regions each, which repeat the descriptors.
 
     The `regions` block of a file that exists (geo, json) stays as it is written there, as it
     is curated by hand; only for other geographies it is made, from `region` (geo, region_id,
-    label, and color if there is one). `meta` (geo, meta map) is the provenance of each file.
+    label, and color if there is one). With `most`, the entries of that block are dealt out as the
+    regions are, and each file repeats the block's other fields, so that no row holds all regions
+    of a geography. `meta` (geo, meta map) is the provenance of each file.
     """
-    file = ["geo", "_block"]
-    if most is not None and existing is None:
+    file, others = ["geo", "_block"], None
+    if most is not None and existing is not None:
+        curated, others = curated_regions(existing)
+        shade = F.col("color") if "color" in region.columns else F.lit(None).cast("string").alias("color")
+        made = region.select("geo", "region_id", "label", shade).join(others, "geo", "left_anti")
+        region, existing = written(curated.unionByName(made), "regions"), None
+    if most is not None:
         ids = written(panel.select("geo", "region_id").unionByName(region.select("geo", "region_id")).distinct(), "region-ids")
         dealt = written(in_blocks(ids, ["geo"], "region_id", most), "blocks")
         panel, region = (x.join(dealt, ["geo", "region_id"]) for x in (panel, region))
@@ -67,10 +93,17 @@ def datasets_json(
     datasets = indicator.join(values, [*file, "indicator"], "left").groupBy(*file).agg(F.map_from_entries(F.collect_list(F.struct("indicator", entry))).alias("datasets"))
     color = F.col("color") if "color" in region.columns else F.lit(None).cast("string")
     names = region.groupBy(*file).agg(
-        F.map_from_entries(F.collect_list(F.struct("region_id", "label"))).alias("labels"),
+        F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull() | color.isNull(), F.struct("region_id", "label")))).alias("labels"),
         F.map_from_entries(F.collect_list(F.when(color.isNotNull(), F.struct("region_id", color.alias("_c"))))).alias("colors"),
     )
-    out = datasets.join(names.select(*file, F.to_json(F.struct(F.lit(key).alias("key"), "labels", "colors")).alias("_made")), file, "left")
+    if others is None:
+        out = datasets.join(names.select(*file, F.to_json(F.struct(F.lit(key).alias("key"), "labels", "colors")).alias("_made")), file, "left")
+    else:
+        # the fields of the curated block, without its brace, before the entries
+        names = names.join(others, "geo", "left")
+        fields = F.coalesce(F.when(F.col("_others") == "{}", "{").otherwise(F.regexp_replace("_others", r"\}$", ",")), F.concat(F.lit("{"), F.lit(f"{json.dumps('key')}:{json.dumps(key)},")))
+        made = F.concat(fields, F.substr(F.to_json(F.struct("labels", "colors")), F.lit(2)))
+        out = datasets.join(names.select(*file, made.alias("_made")), file, "left")
     kept = F.lit(None).cast("string")
     if existing is not None:
         out = out.join(existing.select("geo", F.get_json_object("json", "$.regions").alias("_kept")), "geo", "left")

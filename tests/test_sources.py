@@ -101,6 +101,34 @@ def test_datasets_in_several_files(spark, tmp_path):
     assert sorted((r.geo, r.indicator) for r in found.distinct().collect()) == sorted((k[0], k[1]) for k in kinds)
 
 
+def test_curated_regions_in_several_files(spark, tmp_path):
+    """A curated block is dealt out with its other fields, entries whole; values of regions it lacks stay."""
+    curated = {"note": {"by": "hand", "n": 3}, "key": "code", "flag": "5", "labels": {f"r{k}": f'Name "{k}"' for k in range(30)}, "colors": {f"r{k}": "#00f" for k in range(0, 33, 3)}}
+    old = [("g", json.dumps({"regions": curated, "datasets": {}})), ("bare", json.dumps({"datasets": {}}))]
+    rows = [(g, "a", y, f"r{k}", float(k + y)) for g in ("g", "h", "bare") for y in (2000, 2001) for k in range(35)]
+    panel = spark.createDataFrame(rows, "geo string, indicator string, year int, region_id string, value double")
+    region = spark.createDataFrame([(g, f"r{k}", "made") for g in ("g", "h", "bare") for k in range(35)], "geo string, region_id string, label string")
+    indicator = spark.createDataFrame([(g, "a", "A", "", "count", 0, "s", "u") for g in ("g", "h", "bare")], "geo string, indicator string, label string, unit string, kind string, decimals int, source string, source_url string")
+    files = datasets.datasets_json(panel, indicator, region, spark.createDataFrame(old, "geo string, json string"), most=8)
+    blocks = [json.loads(r.json)["regions"] for r in files.where("geo = 'g'").collect()]
+    assert len(blocks) >= 3 and max(len(b.get("labels", {})) for b in blocks) < 30
+    merged = {"labels": {}, "colors": {}}
+    for b in blocks:
+        if b:
+            assert (b["note"], b["key"], b["flag"]) == (curated["note"], "code", "5")
+            merged = {k: merged[k] | b[k] for k in merged}
+    assert merged == {k: curated[k] for k in merged}
+    datasets.write_files(files, str(tmp_path / "files"))
+    _, values, labels = datasets.read_datasets(spark, str(tmp_path / "files"))
+    assert sorted(map(tuple, values.collect())) == sorted(rows)
+    made = {(r.geo, r.region_id, r.label) for r in labels.where("geo <> 'g'").collect()}
+    assert made == {(g, f"r{k}", "made") for g in ("h", "bare") for k in range(35)}
+    # again, over the files just written
+    twice = datasets.datasets_json(panel, indicator, region, datasets.read_files(spark, str(tmp_path / "files")), most=5)
+    again = datasets.parse_datasets(twice)[2]
+    assert sorted(map(str, again.where("geo = 'g'").collect())) == sorted(map(str, labels.where("geo = 'g'").collect()))
+
+
 def _cube(n_geo, dense, gap=7):
     """A cube of 2 indicators x n_geo places x 4 years; every gap-th value is missing."""
     places = [f"g{k}" for k in range(n_geo)]
