@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import written
+from tessella.functions.tables import fresh_path, written
 from tessella.functions.columns import laea, mercator, round_half_up
 from tessella.operators import allocate, geo, grid, panel, quality
 from tessella.sources import datasets, geojson, jsonstat
@@ -548,11 +548,22 @@ def _documents(spark, sf_dir) -> DataFrame:
 
 @register("jsonstat_round_trip", "SELECT * FROM fine")
 def jsonstat_round_trip(spark, sf_dir):
-    cells = jsonstat.parse_jsonstat(_documents(spark, sf_dir))
+    return _as_panel(jsonstat.parse_jsonstat(_documents(spark, sf_dir)))
+
+
+def _as_panel(cells: DataFrame) -> DataFrame:
     key = lambda d: F.try_element_at("key", F.lit(d))
     return cells.select(F.col("doc_id").alias("geo"), key("indicator").alias("indicator"), key("time").cast("int").alias("year"), key("geo").alias("region_id"), "value")
 
 
+@register("jsonstat_files", "SELECT * FROM fine")
+def jsonstat_files(spark, sf_dir):
+    """The cubes as files, a document each, read in splits."""
+    path = fresh_path(spark, "cubes")
+    _documents(spark, sf_dir).repartition("doc_id").write.option("maxRecordsPerFile", 1).partitionBy("doc_id").text(path)
+    return _as_panel(jsonstat.read_cells(spark, path))
+
+
 @register("category_codes", "SELECT geo, CAST(year AS VARCHAR) AS code, CAST(row_number() OVER (PARTITION BY geo ORDER BY year) - 1 AS INTEGER) AS pos FROM (SELECT DISTINCT geo, year FROM fine)")
 def category_codes(spark, sf_dir):
     labels = jsonstat.category_labels(_documents(spark, sf_dir)).where("dim = 'time'")

@@ -3,18 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import in_blocks
+from tessella.functions.tables import in_blocks, join_counted, written
 
 
 def read_jsonstat(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, key map, value) of every file under `path`; one file is one task until its
-    cells are dealt out anew."""
+    cells are dealt out anew. For files too large for that see read_cells()."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc_id"), F.col("value").alias("json"))
     return parse_jsonstat(files)
 
 
+#: The start of a document's values (a quote within a text is escaped), and what ends them.
+START, END = r'(?<!\\)"value"\s*:\s*[\[{]', r"[\]}]"
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, key map, value) as of read_jsonstat(), of files of any size.
+
+    Files are read as the texts between commas, which Spark splits by bytes, so that a file is as many
+    tasks as it has splits. Texts are numbered by their place in a split plus the texts in the splits
+    before; the longest run of texts from `"value": [` or `{` to its end holds the values, numbered
+    within it, and what is left is the document without values, which is taken to be small (of a
+    document with a status for each cell it is not). Files without values give no rows. `doc_id` is
+    the file's name, or what its folder doc_id=... says; two files of one name are two documents.
+    """
+    texts = spark.read.option("lineSep", ",").text(path)
+    name = F.col("doc_id").cast("string") if "doc_id" in texts.columns else F.col("_metadata.file_name")
+    texts = texts.select(
+        F.col("_metadata.file_path").alias("_file"), name.alias("_name"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value").alias("_text"),
+    )
+    texts = written(texts, "texts")
+    splits = texts.groupBy("_file", "_split").agg(F.min("_line").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_file").orderBy("_split")) - F.col("_n")
+    placed = texts.join(splits.select("_file", "_split", (before - F.col("_first")).alias("_shift")), ["_file", "_split"])
+    # the part of a text from the start of the values on, or all of it
+    starts = F.col("_text").rlike(START)
+    placed = placed.select("_file", "_name", (F.col("_line") + F.col("_shift")).alias("_at"), "_text", starts.alias("_starts"), F.when(starts, F.regexp_extract("_text", f"(?s)^.*?{START}(.*)$", 1)).otherwise(F.col("_text")).alias("_rest"))
+    placed = written(placed, "placed")
+    ends = placed.where(F.col("_rest").rlike(END)).select("_file", F.col("_at").alias("_end"))
+    runs = placed.where("_starts").select("_file", F.col("_at").alias("_start")).join(ends, "_file").where("_end >= _start").groupBy("_file", "_start").agg(F.min("_end").alias("_end"))
+    longest = runs.groupBy("_file").agg(F.max(F.struct((F.col("_end") - F.col("_start")).alias("n"), (-F.col("_start")).alias("s"), "_start", "_end")).alias("_run"))
+    sizes = written(placed.groupBy("_file").agg(F.count("*").alias("_n")).join(longest, "_file").select("_file", "_n", "_run._start", "_run._end"), "runs")
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    dealt = written(join_counted(placed, sizes, ["_file"], "_n", total, F.struct("_at")).where("_start is not null"), "dealt")
+
+    inside = dealt.where("_at between _start and _end").withColumn("_cell", F.regexp_extract("_rest", r"(?s)^([^\]}]*)", 1))
+    named = r'(?s)^\s*"(\d+)"\s*:(.*)$'
+    sparse = F.col("_cell").rlike(named)
+    flat = F.when(sparse, F.regexp_extract("_cell", named, 1).try_cast("long")).otherwise(F.col("_at") - F.col("_start"))
+    value = F.trim(F.when(sparse, F.regexp_extract("_cell", named, 2)).otherwise(F.col("_cell")), F.lit(" \t\r\n")).try_cast("double")
+    cells = inside.select("_file", flat.alias("flat"), value.alias("value")).where("value is not null")
+    chunks = written(cells.groupBy("_file", F.floor(F.col("flat") / CHUNK).alias("_part")).agg(F.collect_list(F.struct("flat", "value")).alias("_cells")), "chunks")
+
+    at_start, at_end = F.col("_at") == F.col("_start"), F.col("_at") == F.col("_end")
+    head, tail = F.regexp_extract("_text", f"(?s)^(.*?{START})", 1), F.regexp_extract("_rest", rf"(?s)^[^\]}}]*({END}.*)$", 1)
+    kept = F.when(at_start & at_end, F.concat(head, tail)).when(at_start, head).when(at_end, tail).otherwise(F.col("_text"))
+    comma = F.when((F.col("_at") == 0) | (at_end & ~at_start), "").otherwise(",")
+    outside = dealt.where("_at <= _start or _at >= _end").groupBy("_file", "_name").agg(F.array_sort(F.collect_list(F.struct("_at", F.concat(comma, kept).alias("t")))).alias("_t"))
+    docs = outside.select(F.col("_file").alias("doc_id"), "_name", F.array_join(F.transform("_t", lambda x: x["t"]), "").alias("json"))
+    parts = chunks.groupBy("_file").agg(F.count("*").alias("_n"))
+    headers = written(_headers(docs, "_name").withColumnRenamed("doc_id", "_file").drop("_value").join(parts, "_file"), "headers")
+    n_chunks = headers.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    whole = join_counted(chunks, headers, ["_file"], "_n", n_chunks, F.struct("_part"))
+    return whole.select(F.col("_name").alias("doc_id"), F.inline(_keyed(F.col("_cells"))))
+
+
 def category_codes(index: Column) -> Column:
     """Codes in order, from an array of codes or an object code -> position."""
     listed = F.from_json(index, "array<string>")

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from tessella.operators import geo
 from tessella.sources import datasets, geojson, jsonstat
 
@@ -148,6 +150,31 @@ def _found(df):
     return dict(rows)
 
 
+@pytest.mark.parametrize("split", [97, 1 << 20])
+def test_cells_of_files_in_splits(spark, tmp_path, split):
+    """The same rows as of whole files, wherever a file is cut; a dense file is read by several tasks."""
+    for name, n, dense in (("a", 10, True), ("b", 10, False), ("c", 1, True)):
+        (tmp_path / f"{name}.json").write_text(_cube(n, dense)[0])
+    # values first or last, spread over lines, another array of that name, a text that looks like one, one cell or none
+    doc = json.loads(_cube(9, True, 5)[0])
+    note = {"label": 'is "value":[1,2,3,4,5,6,7,8,9', "extension": {"value": [7, 8]}}
+    (tmp_path / "first.json").write_text(json.dumps({"value": doc.pop("value"), **note, **doc}, indent=1))
+    one = {"id": ["d"], "size": [1], "dimension": {"d": {"category": {"index": ["x"]}}}}
+    (tmp_path / "one.json").write_text(json.dumps(one | {"value": [1.5e3]}))
+    (tmp_path / "none.json").write_text(json.dumps(one | {"value": []}))
+    (tmp_path / "lacks.json").write_text(json.dumps(one))
+    want = sorted((r.doc_id, sorted(r.key.items()), r.value) for r in jsonstat.read_jsonstat(spark, str(tmp_path)).collect())
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        tasks = spark.read.option("lineSep", ",").text(str(tmp_path / "a.json")).rdd.getNumPartitions()
+        rows = jsonstat.read_cells(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.doc_id, sorted(r.key.items()), r.value) for r in rows.collect()) == want
+    assert len({d for d, *_ in want}) == 5 and (split > 1000 or tasks > 1)
+
+
 def test_pins_make_only_their_cells(spark):
     for dense in (True, False):
         text, cells = _cube(50, dense)
