@@ -29,6 +29,7 @@ def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: s
     target = (F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("int")).cast("int").alias("target")
     order = [(F.col("_exact") - F.col("_floor")).desc(), F.col(key)]
     per = W.partitionBy(*by)
+    values = written(values, "values")  # made once, though counted and dealt
     large = large_groups(values, by, at_once)
     rest = values if large is None else values.join(F.broadcast(large.select(*by)), by, "left_anti")
     rest = rest.withColumn("_exact", F.col(value) * total / F.sum(value).over(per))

@@ -20,16 +20,18 @@ AT_ONCE, GROUPS_AT_MOST = 1 << 20, 4096
 def large_groups(rows: DataFrame, by: list[str], at_once: int = AT_ONCE) -> DataFrame | None:
     """(by.., _size) of the groups of more than `at_once` rows and a 4096th of all, so there are
     fewer than 4096 of them whatever the data; None if there are none. `by` holds no nulls."""
-    sizes = written(rows.groupBy(*by).agg(F.count("*").alias("_size")), "sizes")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_size"))
     total, most = sizes.agg(F.sum("_size"), F.max("_size")).first()
     bar = max(at_once, (total or 0) // GROUPS_AT_MOST)
-    return sizes.where(F.col("_size") > bar) if (most or 0) > bar else None
+    return written(sizes.where(F.col("_size") > bar), "sizes") if (most or 0) > bar else None
 
 
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str, size: str | None = None, at_once: int = AT_ONCE) -> DataFrame:
     """Adds `name`, the position from 1 of each row of a group in `order`, and, if asked, `size`,
     the number of its rows. Rows equal in all of `order` are numbered in any order. Groups whose
-    `by` holds a null are groups too, but each is one task. An empty table gives no rows."""
+    `by` holds a null are groups too, but each is one task. An empty table gives no rows. The rows are
+    written first, so that counting them reads their keys and does not make them twice."""
+    rows = written(rows, "rows")
     whole = W.partitionBy(*by)
     counted = [F.count("*").over(whole).alias(size)] if size else []
     at = F.row_number().over(whole.orderBy(*order)).alias(name)
@@ -63,6 +65,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float], a
     """(by.., cuts, low, high): the values at `shares` of each group (linear between values), its least
     and largest. Small groups are an aggregate whose buffer is the group; in large ones only
     the rows on both sides of a share are taken, by their positions. No value is null."""
+    rows = written(rows.select(*by, value), "values")
     asked = F.array(*[F.lit(s) for s in shares])
     ends = [F.min(value).alias("low"), F.max(value).alias("high")]
     large = large_groups(rows, by, at_once)
