@@ -29,8 +29,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_meta(docs: DataFrame) -> DataFrame:
-    """docs(geo, json) -> (geo, meta): the provenance of each file."""
-    return docs.select("geo", F.from_json("json", SCHEMA)["meta"].alias("meta"))
+    """docs(geo, json) -> (geo, meta): the provenance of each geography, in one row however many files
+    it has; of files that differ, the greatest (as JSON) stays."""
+    meta = docs.select("geo", F.from_json("json", SCHEMA)["meta"].alias("meta"))
+    return meta.groupBy("geo").agg(F.max_by("meta", F.to_json("meta")).alias("meta"))
 
 
 def parse_datasets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -103,6 +103,12 @@ def test_datasets_in_several_files(spark, tmp_path):
     assert sorted((r.geo, r.indicator) for r in found.distinct().collect()) == sorted((k[0], k[1]) for k in kinds)
 
 
+def test_meta_of_several_files_is_one_row(spark):
+    docs = [("g", json.dumps({"meta": {"builtBy": "nightly"}, "datasets": {}})) for _ in range(3)] + [("g", '{"datasets":{}}'), ("h", json.dumps({"meta": {"builtBy": "hand"}})), ("none", "{}")]
+    meta = datasets.parse_meta(spark.createDataFrame(docs, "geo string, json string")).collect()
+    assert sorted(map(tuple, meta)) == [("g", {"builtBy": "nightly"}), ("h", {"builtBy": "hand"}), ("none", None)]
+
+
 def test_curated_regions_in_several_files(spark, tmp_path):
     """A curated block is dealt out with its other fields, entries whole; values of regions it lacks stay."""
     curated = {"note": {"by": "hand", "n": 3}, "key": "code", "flag": "5", "labels": {f"r{k}": f'Name "{k}"' for k in range(30)}, "colors": {f"r{k}": "#00f" for k in range(0, 33, 3)}}
