@@ -45,6 +45,12 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """Rows whose join shuffles and merges both sides. Spark broadcasts a side by the size of the file it is read
+    from, and a packed file of a few MB holds millions of cells, which the driver would have to gather."""
+    return df.hint("merge")
+
+
 def join_counted(
     left: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, spread: Column, least: int = 1000, groups_at_most: int = 4096
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import fresh_path, written
+from tessella.functions.tables import by_merge, fresh_path, written
 from tessella.functions.columns import laea, mercator, round_half_up
 from tessella.operators import allocate, geo, grid, panel, quality
 from tessella.sources import datasets, geojson, jsonstat
@@ -417,7 +417,7 @@ def _cartogram(spark, sf_dir):
     rings = parts.withColumn("xs", box("_x", 0, 10, 10, 0)).withColumn("ys", box("_y", 0, 0, 10, 10)).drop("_x", "_y")
     shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumn("geo", F.concat(F.lit("b"), F.floor(F.col("region_id").cast("long") / BLOCK)))
     last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
-    weights = shipped.join(last, ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
+    weights = shipped.join(by_merge(last), ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
     return rings, *allocate.cartogram(weights, rings, 1000)
 
 
@@ -450,10 +450,10 @@ def _judged(cells: DataFrame, targets: DataFrame, centres: DataFrame) -> DataFra
     cells = cells.withColumns({"x": F.col("col").cast("double"), "y": F.col("row").cast("double")})
     maps = cells.select("map_id").distinct()
     if "map_id" not in centres.columns:  # one drawing for all maps of a geography
-        centres = centres.join(maps.withColumn("geo", F.split("map_id", "[|]")[0]), "geo")
+        centres = centres.join(by_merge(maps.withColumn("geo", F.split("map_id", "[|]")[0])), "geo")
     far = grid.drift(cells, centres.select("map_id", "region_id", "x", "y"), centres.select("map_id", "diagonal").distinct()).select("map_id", F.col("mean").alias("drift"), F.col("p95").alias("drift_p95"))
     round_ = grid.compactness(cells).select("map_id", "compactness")
-    measures = _measures(cells, targets, F.lit(1000)).join(round_, "map_id", "left").join(far, "map_id", "left")
+    measures = _measures(cells, targets, F.lit(1000)).join(by_merge(round_), "map_id", "left").join(by_merge(far), "map_id", "left")
     return _rounded(measures, "mean_error", "compactness", "drift", "drift_p95")
 
 
@@ -482,12 +482,12 @@ def _degrees(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         .otherwise(F.array(square))
     )
     rings = parts.select("geo", "region_id", "feature_ord", F.inline(shapes))
-    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumnRenamed("region_id", "part").drop("geo").join(parts.select("geo", "part", "region_id"), "part")
+    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumnRenamed("region_id", "part").drop("geo").join(by_merge(parts.select("geo", "part", "region_id")), "part")
     last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
-    weights = shipped.join(last, ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
+    weights = shipped.join(by_merge(last), ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
     odd = F.substring("geo", 2, 20).cast("long") % 2 == 1
     kinds = parts.select("geo").distinct().select("geo", F.when(odd, "islands").otherwise("west").alias("insets"), F.when(odd, "laea").otherwise("mercator").alias("projection"))
-    return rings, weights, kinds
+    return rings, written(weights, "weights"), kinds
 
 
 @register("cartogram_insets")
@@ -508,7 +508,7 @@ def cartogram_insets_measures(spark, sf_dir):
 def _measures(cells: DataFrame, targets: DataFrame, budget) -> DataFrame:
     error = grid.allocation_error(cells, targets).select("map_id", F.col("mean").alias("mean_error"))
     sizes = cells.groupBy("map_id").agg(F.count("*").alias("cells")).withColumn("budget", budget)
-    return error.join(sizes, "map_id").join(grid.fragmentation(cells), "map_id").withColumn("geo", F.split("map_id", "[|]")[0])
+    return error.join(by_merge(sizes), "map_id").join(by_merge(grid.fragmentation(cells)), "map_id").withColumn("geo", F.split("map_id", "[|]")[0])
 
 
 @register(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import round_half_up
+from tessella.functions.tables import by_merge
 
 #: indicator, label, unit, kind, decimals
 COARSE = (
@@ -70,7 +71,7 @@ def fine_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = lines.groupBy(F.col("l_partkey").alias("p_partkey"), F.year("l_shipdate").alias("year")).agg(
         F.sum("l_quantity").alias("qty"), F.sum(F.col("l_discount").cast("decimal(10,2)")).cast("double").alias("_d"), F.count("*").alias("_n")
     )
-    rows = per.join(part.select("p_partkey", F.col("p_brand").alias("geo")), "p_partkey")
+    rows = per.join(by_merge(part.select("p_partkey", F.col("p_brand").alias("geo"))), "p_partkey")
     made = F.array(F.struct(F.lit("qty").alias("indicator"), F.col("qty").alias("value")), F.struct(F.lit("avg_discount").alias("indicator"), round_half_up(F.col("_d") / F.col("_n"), 4).alias("value")))
     return rows.select("geo", "year", F.col("p_partkey").cast("string").alias("region_id"), F.inline(made)).select("geo", "indicator", "year", "region_id", "value")
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.tables import importable, written
+from tessella.functions.tables import by_merge, importable, written
 
 from . import geo, grid
 
@@ -247,10 +247,10 @@ def allocate(cells: DataFrame, plan: DataFrame) -> DataFrame:
 def centres(ring: DataFrame, tiles: int) -> DataFrame:
     """(geo, region_id, x, y, diagonal): where each region's seed lies, and the map's diagonal, in units of
     cells of the raster."""
-    box = geo.tile_side(ring, tiles).join(geo.bounds(ring), "geo")
+    box = geo.tile_side(ring, tiles).join(by_merge(geo.bounds(ring)), "geo")
     unit = lambda v, o: (F.col(v) - F.col(o)) / F.col("side") + 1.5
     diagonal = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / F.col("side")
-    return geo.region_seed(ring).join(box, "geo").select("geo", "region_id", unit("x", "x0").alias("x"), unit("y", "y0").alias("y"), diagonal.alias("diagonal"))
+    return geo.region_seed(ring).join(by_merge(box), "geo").select("geo", "region_id", unit("x", "x0").alias("x"), unit("y", "y0").alias("y"), diagonal.alias("diagonal"))
 
 
 def cartogram(weights: DataFrame, ring: DataFrame, tiles: int, geography: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -260,6 +260,7 @@ def cartogram(weights: DataFrame, ring: DataFrame, tiles: int, geography: DataFr
     Rings are in projected coordinates, one drawing for all maps of a geography; or, with
     `geography` (see projected_maps), in degrees: then each map has its own drawing, with its insets.
     """
+    weights = written(weights, "weights")  # made once, though used at each step
     if geography is not None:
         ring = written(geo.projected_maps(ring, geography, weights), "drawn")
         weights = weights.withColumn("geo", F.col("map_id"))
@@ -268,9 +269,9 @@ def cartogram(weights: DataFrame, ring: DataFrame, tiles: int, geography: DataFr
     base = written(grid.fill_enclosed(base), "filled")
     base = written(grid.grid_components(base), "components").withColumnRenamed("map_id", "geo")
     maps = weights.select("map_id", "geo").distinct()
-    cells = base.join(maps, "geo").select("map_id", "col", "row", "region_id", "component", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
-    seeds = centres(ring, tiles).join(maps, "geo").select("map_id", "region_id", "x", "y")
-    plan = grid.component_budget(grid.region_placement(cells, targets, seeds), targets).join(seeds, ["map_id", "region_id"])
+    cells = base.join(by_merge(maps), "geo").select("map_id", "col", "row", "region_id", "component", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
+    seeds = centres(ring, tiles).join(by_merge(maps), "geo").select("map_id", "region_id", "x", "y")
+    plan = grid.component_budget(grid.region_placement(cells, targets, seeds), targets).join(by_merge(seeds), ["map_id", "region_id"])
     plan = written(plan, "plan")
     out = allocate(cells.select("map_id", "col", "row", "component"), plan.select("map_id", "component", "region_id", "budget", "x", "y"))
     return written(out, "cartogram"), targets

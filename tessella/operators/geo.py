@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import array_mean, finite, laea, mercator, ring_area, route_inset
-from tessella.functions.tables import written
+from tessella.functions.tables import by_merge, written
 
 from .order import GROUPS_AT_MOST, large_groups
 
@@ -114,12 +114,12 @@ def fit_extent(ring: DataFrame, boxes: DataFrame, include: DataFrame | None = No
     points, if there is one.
     """
     drawn = include.distinct().withColumn("_drawn", F.lit(True)) if include is not None else None
-    outer = (ring if outline is None else outline).where("ring_ord = 0").join(boxes, ["geo", "inset"])
+    outer = (ring if outline is None else outline).where("ring_ord = 0").join(by_merge(boxes), ["geo", "inset"])
     if drawn is None:
         counted = outer.withColumns({"_drawn": F.lit(None).cast("boolean"), "_n": F.lit(0)})
     else:
-        n = ring.select("geo", "region_id").distinct().join(drawn, ["geo", "region_id"]).groupBy("geo").agg(F.count("*").alias("_n"))
-        counted = outer.join(drawn, ["geo", "region_id"], "left").join(n, "geo", "left")
+        n = ring.select("geo", "region_id").distinct().join(by_merge(drawn), ["geo", "region_id"]).groupBy("geo").agg(F.count("*").alias("_n"))
+        counted = outer.join(by_merge(drawn), ["geo", "region_id"], "left").join(by_merge(n), "geo", "left")
     follows = F.coalesce((F.col("_n") >= F.col("least")), F.lit(False))
     ends = counted.where(~follows | F.col("_drawn")).groupBy("geo", "inset").agg(
         F.min(F.array_min("xs")).alias("x0"), F.max(F.array_max("xs")).alias("x1"), F.min(F.array_min("ys")).alias("y0"), F.max(F.array_max("ys")).alias("y1"),
@@ -128,14 +128,14 @@ def fit_extent(ring: DataFrame, boxes: DataFrame, include: DataFrame | None = No
     k = F.least(F.try_divide(F.col("bx1") - F.col("bx0"), F.col("x1") - F.col("x0")), F.try_divide(F.col("by1") - F.col("by0"), F.col("y1") - F.col("y0")))
     middle = lambda b, v: (F.col(f"b{v}0") + F.col(f"b{v}1")) / 2 - b * (F.col(f"{v}0") + F.col(f"{v}1")) / 2
     fit = ends.select("geo", "inset", k.alias("_k"), middle(k, "x").alias("_tx"), middle(k, "y").alias("_ty"))
-    rows = ring.join(fit, ["geo", "inset"])
+    rows = ring.join(by_merge(fit), ["geo", "inset"])
     return rows.select(*POLYGON, "ring_ord", "inset", F.transform("xs", lambda x: x * F.col("_k") + F.col("_tx")).alias("xs"), F.transform("ys", lambda y: y * F.col("_k") + F.col("_ty")).alias("ys"))
 
 
 def inset_of(ring: DataFrame, geography: DataFrame) -> DataFrame:
     """The inset of each region, by the rules of its geography (geo, insets)."""
     least = ring.groupBy("geo", "region_id").agg(F.min(F.array_min("xs")).alias("_lon"))
-    return least.join(geography.select("geo", "insets"), "geo").select("geo", "region_id", route_inset("insets", "region_id", "_lon").alias("inset"))
+    return least.join(by_merge(geography.select("geo", "insets")), "geo").select("geo", "region_id", route_inset("insets", "region_id", "_lon").alias("inset"))
 
 
 def _clamp(v: Column, low: float, high: float) -> Column:
@@ -175,7 +175,7 @@ def dorling_radius(weights: DataFrame, width: float = 900, height: float = 780)
     weights = weights.where(finite("w") & (F.col("w") > 0))
     total = weights.groupBy("map_id").agg(F.sum("w").alias("_total"))
     k = 0.42 * (width - 40) * (height - 120) / F.col("_total")
-    return weights.join(total, "map_id").select("map_id", "region_id", "w", F.greatest(F.lit(2.5), F.sqrt(F.col("w") * k / F.pi())).alias("radius"))
+    return weights.join(by_merge(total), "map_id").select("map_id", "region_id", "w", F.greatest(F.lit(2.5), F.sqrt(F.col("w") * k / F.pi())).alias("radius"))
 
 
 def scale_polygons(ring: DataFrame, weights: DataFrame) -> DataFrame:
@@ -183,9 +183,9 @@ def scale_polygons(ring: DataFrame, weights: DataFrame) -> DataFrame:
     (geo, region_id, w)."""
     weights = weights.where(finite("w") & (F.col("w") > 0))
     top = weights.groupBy("geo").agg(F.max("w").alias("_max"))
-    k = weights.join(top, "geo").select("geo", "region_id", F.sqrt(F.col("w") / F.col("_max")).alias("_k"))
+    k = weights.join(by_merge(top), "geo").select("geo", "region_id", F.sqrt(F.col("w") / F.col("_max")).alias("_k"))
     centre = label_centroid(ring).withColumnsRenamed({"x": "_cx", "y": "_cy"})
-    rows = ring.join(k, ["geo", "region_id"]).join(centre, ["geo", "region_id"])
+    rows = ring.join(by_merge(k), ["geo", "region_id"]).join(by_merge(centre), ["geo", "region_id"])
     move = lambda a, c: F.transform(a, lambda v: F.col(c) + (v - F.col(c)) * F.col("_k"))
     return rows.select(*POLYGON, "ring_ord", move("xs", "_cx").alias("xs"), move("ys", "_cy").alias("ys"))
 
@@ -217,14 +217,14 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     placed = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y"))
     crowded = large_groups(placed, square, at_once)
     if crowded is None:
-        pairs = placed.join(polys, square)
+        pairs = placed.join(by_merge(polys), square)
     else:
         share = max(at_once, placed.count() // GROUPS_AT_MOST)
         crowded = F.broadcast(crowded.select(*square, F.ceil(F.col("_size") / share).cast("int").alias("_deals")))
         deals, mine = F.coalesce("_deals", F.lit(1)), F.pmod(F.xxhash64(*point_id, "x", "y"), F.coalesce("_deals", F.lit(1))).cast("int")
         dealt = placed.join(crowded, square, "left").withColumn("_deal", mine).drop("_deals")
         each = polys.join(crowded, square, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
-        pairs = dealt.join(each, [*square, "_deal"]).drop("_deal")
+        pairs = dealt.join(by_merge(each), [*square, "_deal"]).drop("_deal")
     x, y = F.col("x"), F.col("y")
     def crosses(e: Column) -> Column:
         """Whether the edge crosses the ray to the right of the point, without a division."""
@@ -252,7 +252,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[st
     inside = cells.where(finite("x") & finite("y")).select(by, "col", "row", F.col("x").alias("_x"), F.col("y").alias("_y"), place("x"), place("y"))
     inside = written(inside, "bucketed")
     full = written(inside.select(by, "_bx", "_by").distinct(), "buckets")
-    left = points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct().join(full.select(by).distinct(), by, "left_semi")
+    left = points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct().join(by_merge(full.select(by).distinct()), by, "left_semi")
     left = written(left, "points")
     found, level = None, 0
     key = [by, *point_id, "x", "y"]
@@ -264,7 +264,7 @@ def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[st
         near = rows.withColumn("_i", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))).withColumn("_j", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])))
         near = near.select(*rows.columns, step("x", "_i"), step("y", "_j"))
         coarse = full.select(by, "_bx", "_by", *[F.floor(F.col(f"_b{c}") / 2.0**level).alias(f"_n{c}") for c in "xy"])
-        return near.join(coarse, [by, "_nx", "_ny"])
+        return near.join(by_merge(coarse), [by, "_nx", "_ny"])
 
     def off(c: str, far: bool) -> Column:
         """How far the bucket's far, or near, side is from the point along an axis."""
@@ -277,14 +277,14 @@ def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[st
         reach = written(reach, "reach")
         # the bound is at most 2 sqrt(2) squares: nothing nearer lies outside the squares of four times the width
         near = around(reach, level + 2).where(F.hypot(off("x", False), off("y", False)) <= F.col("_reach") * (1 + 1e-9))
-        pairs = near.select(*key, "_bx", "_by").join(inside, [by, "_bx", "_by"])
+        pairs = near.select(*key, "_bx", "_by").join(by_merge(inside), [by, "_bx", "_by"])
         d = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
         best = pairs.groupBy(*key).agg(F.min(F.struct(d.alias("d"), "col", "row")).alias("_best"))
         best = best.select(by, *point_id, "_best.col", "_best.row")
         found = best if found is None else found.unionByName(best)
-        left, level = written(left.join(reach, key, "left_anti"), "points"), level + 1
+        left, level = written(left.join(by_merge(reach), key, "left_anti"), "points"), level + 1
     if found is None:
-        return points.join(cells.select(by, "col", "row"), by).select(by, *point_id, "col", "row").limit(0)
+        return points.join(by_merge(cells.select(by, "col", "row")), by).select(by, *point_id, "col", "row").limit(0)
     return found
 
 
@@ -305,7 +305,7 @@ def projected_maps(ring: DataFrame, geography: DataFrame, weights: DataFrame, wi
     ring = valid_rings(ring)
     drawn = weights.where(finite("w") & (F.col("w") > 0))
     inset = written(inset_of(ring, geography), "insets")
-    rows = ring.join(inset, ["geo", "region_id"]).join(geography.select("geo", "projection"), "geo")
+    rows = ring.join(by_merge(inset), ["geo", "region_id"]).join(by_merge(geography.select("geo", "projection")), "geo")
     centre = lambda i: F.when(F.col("inset") == "main", CENTRES["laea", "main"][i]).otherwise(CENTRES["laea", "inset"][i])
     equal = F.col("projection") == "laea"
 
@@ -319,10 +319,10 @@ def projected_maps(ring: DataFrame, geography: DataFrame, weights: DataFrame, wi
     flat = written(valid_rings(made), "projected")
     # a hundredth of a pixel, where the extent of the vertices fills the width
     reach = lambda c: F.max(F.array_max(c)) - F.min(F.array_min(c))
-    span = flat.join(inset, ["geo", "region_id"]).groupBy("geo", "inset").agg((F.greatest(reach("xs"), reach("ys")) / (100 * max(width, height))).alias("_hair"))
-    outline = written(along_arcs(rows.where("ring_ord = 0").join(span, ["geo", "inset"]), to, F.col("_hair")), "outline")
-    west = drawn.join(inset, ["geo", "region_id"]).groupBy("map_id").agg((F.sum(F.when(F.col("inset") == "canaries", F.col("w")).otherwise(0.0)) / F.sum("w")).alias("share"))
-    maps = weights.select("map_id", "geo").distinct().join(west, "map_id", "left").join(geography.select("geo", "insets"), "geo")
+    span = flat.join(by_merge(inset), ["geo", "region_id"]).groupBy("geo", "inset").agg((F.greatest(reach("xs"), reach("ys")) / (100 * max(width, height))).alias("_hair"))
+    outline = written(along_arcs(rows.where("ring_ord = 0").join(by_merge(span), ["geo", "inset"]), to, F.col("_hair")), "outline")
+    west = drawn.join(by_merge(inset), ["geo", "region_id"]).groupBy("map_id").agg((F.sum(F.when(F.col("inset") == "canaries", F.col("w")).otherwise(0.0)) / F.sum("w")).alias("share"))
+    maps = weights.select("map_id", "geo").distinct().join(by_merge(west), "map_id", "left").join(by_merge(geography.select("geo", "insets")), "geo")
     boxes = inset_boxes(maps.select(F.col("map_id").alias("geo"), "insets", F.coalesce("share", F.lit(0.0)).alias("share")), width, height)
-    each = lambda rings: rings.join(inset, ["geo", "region_id"]).join(maps.select("map_id", "geo"), "geo").drop("geo").withColumnRenamed("map_id", "geo")
+    each = lambda rings: rings.join(by_merge(inset), ["geo", "region_id"]).join(by_merge(maps.select("map_id", "geo")), "geo").drop("geo").withColumnRenamed("map_id", "geo")
     return fit_extent(each(flat), boxes, drawn.select(F.col("map_id").alias("geo"), "region_id"), each(outline))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessella.functions.tables import importable, written
+from tessella.functions.tables import by_merge, importable, written
 
 from .geo import bounds, nearest_cell, points_in_polygons, tile_side
 from .order import AT_ONCE, large_groups, ranges
@@ -48,17 +48,17 @@ def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: s
 
 def rasterize(ring: DataFrame, tiles: int, bucket_tiles: int = 4) -> DataFrame:
     """Cells whose centres lie in a region; the grid reaches two tiles beyond the bounds."""
-    grid = bounds(ring).join(tile_side(ring, tiles), "geo")
+    grid = bounds(ring).join(by_merge(tile_side(ring, tiles)), "geo")
     n = lambda a, b: F.ceil((F.col(b) - F.col(a)) / F.col("side")).cast("int") + 4
     centres = grid.select("geo", "side", "x0", "y0", F.explode(F.sequence(F.lit(0), n("x0", "x1") - 1)).alias("col"), n("y0", "y1").alias("_rows"))
     centres = centres.select("geo", "side", "x0", "y0", "col", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("row"))
     at = lambda i, o: (F.col(i) + 0.5 - 2) * F.col("side") + F.col(o)
     points = centres.select("geo", "col", "row", at("col", "x0").alias("x"), at("row", "y0").alias("y"))
     # buckets in units of the tile, so that points and polygons of all maps are dealt alike
-    scaled = ring.join(grid.select("geo", "side"), "geo").select(*[c for c in ring.columns if c not in ("xs", "ys")], F.transform("xs", lambda v: v / F.col("side")).alias("xs"), F.transform("ys", lambda v: v / F.col("side")).alias("ys"))
-    unit = points.join(grid.select("geo", "side"), "geo").select("geo", "col", "row", (F.col("x") / F.col("side")).alias("x"), (F.col("y") / F.col("side")).alias("y"))
+    scaled = ring.join(by_merge(grid.select("geo", "side")), "geo").select(*[c for c in ring.columns if c not in ("xs", "ys")], F.transform("xs", lambda v: v / F.col("side")).alias("xs"), F.transform("ys", lambda v: v / F.col("side")).alias("ys"))
+    unit = points.join(by_merge(grid.select("geo", "side")), "geo").select("geo", "col", "row", (F.col("x") / F.col("side")).alias("x"), (F.col("y") / F.col("side")).alias("y"))
     found = points_in_polygons(unit, scaled, ["geo", "col", "row"], bucket_tiles)
-    return points.join(found, ["geo", "col", "row"]).select(F.col("geo").alias("map_id"), "col", "row", "x", "y", "region_id")
+    return points.join(by_merge(found), ["geo", "col", "row"]).select(F.col("geo").alias("map_id"), "col", "row", "x", "y", "region_id")
 
 
 def neighbour_pairs(cells: DataFrame) -> DataFrame:
@@ -67,13 +67,13 @@ def neighbour_pairs(cells: DataFrame) -> DataFrame:
     around = F.array(*[F.struct(F.lit(a).alias("dc"), F.lit(b).alias("dr")) for a, b in AROUND])
     rows = cells.select(*CELL, "region_id", F.explode(around).alias("_o"))
     rows = rows.select(*CELL, "region_id", (F.col("col") + F.col("_o.dc")).alias("n_col"), (F.col("row") + F.col("_o.dr")).alias("n_row"))
-    return rows.join(there, ["map_id", "n_col", "n_row"])
+    return rows.join(by_merge(there), ["map_id", "n_col", "n_row"])
 
 
 def exposure(cells: DataFrame) -> DataFrame:
     """How many of a cell's four sides have no cell of its own region."""
     same = neighbour_pairs(cells).where("region_id <=> n_region").groupBy(*CELL).agg(F.count("*").alias("_n"))
-    return cells.select(*CELL, "region_id").join(same, CELL, "left").select(*CELL, "region_id", (4 - F.coalesce("_n", F.lit(0))).cast("int").alias("exposure"))
+    return cells.select(*CELL, "region_id").join(by_merge(same), CELL, "left").select(*CELL, "region_id", (4 - F.coalesce("_n", F.lit(0))).cast("int").alias("exposure"))
 
 
 def region_adjacency(cells: DataFrame) -> DataFrame:
@@ -103,10 +103,10 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     importable(cells.sparkSession)
     large = sizes.where(F.col("_n") > RUNS_AT_ONCE).select(*by)
     schema = runs.select(*by, F.col("col").cast("int"), "_island").schema.add("component", "long")
-    named = runs.join(large, by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
+    named = runs.join(by_merge(large), by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
     if large.head(1):
-        named = named.unionByName(_block_components(runs.join(large, by, "left_semi"), by))
-    return rows.join(named, [*by, "col", "_island"]).drop("_island")
+        named = named.unionByName(_block_components(runs.join(by_merge(large), by, "left_semi"), by))
+    return rows.join(by_merge(named), [*by, "col", "_island"]).drop("_island")
 
 
 def _labelled(runs: pd.DataFrame) -> pd.DataFrame:
@@ -144,7 +144,7 @@ def _block_components(runs: DataFrame, by: list[str]) -> DataFrame:
     columns = columns.withColumn("_block", F.floor((F.sum("_n").over(across) - F.col("_n")) / RUNS_AT_ONCE))
     border = lambda side, step: F.coalesce((side("col").over(across) == F.col("col") + step) & (side("_block").over(across) != F.col("_block")), F.lit(False))
     columns = columns.select(*by, "col", "_block", border(F.lag, -1).alias("_left"), border(F.lead, 1).alias("_right"))
-    placed = runs.join(columns, [*by, "col"]).withColumn("col", F.col("col").cast("int"))
+    placed = runs.join(by_merge(columns), [*by, "col"]).withColumn("col", F.col("col").cast("int"))
     schema = _extended(placed.schema, component="long")
     local = written(placed.groupBy(*by, "_block").applyInPandas(lambda part: _labelled(part)[schema.names], schema), "blocks")
     side = lambda flag, at: local.where(flag).select(*by, (F.col("col") + at).alias("_border"), F.lit(at == 0).alias("_ahead"), "top", "bottom", "_block", "component")
@@ -158,19 +158,19 @@ def _block_components(runs: DataFrame, by: list[str]) -> DataFrame:
         roots = written(roots, "roots")
         edges = edges.where(~same)
         for end in "uv":
-            edges = edges.join(roots.withColumnsRenamed({"node": end, "root": "_root"}), [*by, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+            edges = edges.join(by_merge(roots.withColumnsRenamed({"node": end, "root": "_root"})), [*by, end], "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
         edges = written(edges.select(*meets.names).distinct(), "borders")
         if moved is None:
             moved = roots
         else:
             later = roots.select(*by, F.col("root").alias("_root"), F.col("node").alias("root"))
-            moved = written(moved.join(later, [*by, "root"], "left").select(*by, "node", F.coalesce("_root", "root").alias("root")).unionByName(roots), "roots")
+            moved = written(moved.join(by_merge(later), [*by, "root"], "left").select(*by, "node", F.coalesce("_root", "root").alias("root")).unionByName(roots), "roots")
         width *= FAN
     names = [*by, "col", "_island", "component"]
     if moved is None:
         return local.select(*names)
     # a block's component has no more runs than its block
-    named = local.join(moved.withColumnRenamed("node", "component"), [*by, "component"], "left")
+    named = local.join(by_merge(moved.withColumnRenamed("node", "component")), [*by, "component"], "left")
     return named.withColumn("component", F.coalesce("root", "component")).select(*names)
 
 
@@ -221,12 +221,12 @@ def fill_enclosed(cells: DataFrame) -> DataFrame:
     cells = cells.select(*CELL, "region_id")
     box = cells.groupBy("map_id").agg(F.min("col").alias("c0"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.max("row").alias("r1"))
     grid = box.select("*", F.explode(F.expr("sequence(c0 - 1, c1 + 1)")).alias("col")).select("*", F.explode(F.expr("sequence(r0 - 1, r1 + 1)")).alias("row"))
-    free = grid.join(cells, CELL, "left_anti").select(*CELL, ((F.col("col") < F.col("c0")) & (F.col("row") < F.col("r0"))).alias("_out"))
+    free = grid.join(by_merge(cells), CELL, "left_anti").select(*CELL, ((F.col("col") < F.col("c0")) & (F.col("row") < F.col("r0"))).alias("_out"))
     parts = written(grid_components(free), "free")
     outside = parts.where("_out").select("map_id", "component").distinct()
-    holes = parts.join(outside, ["map_id", "component"], "left_anti").select("map_id", "component", "col", "row")
+    holes = parts.join(by_merge(outside), ["map_id", "component"], "left_anti").select("map_id", "component", "col", "row")
     around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in AROUND]))
-    rim = holes.withColumn("_o", around).select("map_id", "component", (F.col("col") + F.col("_o.a")).alias("col"), (F.col("row") + F.col("_o.b")).alias("row")).distinct().join(cells, CELL)
+    rim = holes.withColumn("_o", around).select("map_id", "component", (F.col("col") + F.col("_o.a")).alias("col"), (F.col("row") + F.col("_o.b")).alias("row")).distinct().join(by_merge(cells), CELL)
     names = ["map_id", "component", "col", "row", "region_id"]
     both = rim.select(*names).unionByName(holes.withColumn("region_id", F.lit(None).cast("string")).select(*names))
     importable(cells.sparkSession)
@@ -250,9 +250,9 @@ def region_placement(cells: DataFrame, targets: DataFrame, seeds: DataFrame) ->
     """Cells of each region in each component (cells has `component`); a region with a target
     but no cell goes to the component of the cell nearest to its seed, with weight 1."""
     here = cells.where("region_id is not null").groupBy("map_id", "component", "region_id").agg(F.count("*").alias("here"))
-    lost = targets.where("target > 0").join(here, ["map_id", "region_id"], "left_anti").join(seeds, ["map_id", "region_id"])
+    lost = targets.where("target > 0").join(by_merge(here), ["map_id", "region_id"], "left_anti").join(by_merge(seeds), ["map_id", "region_id"])
     near = nearest_cell(lost.select("map_id", "region_id", "x", "y"), cells, "map_id", ["region_id"])
-    placed = near.join(cells.select(*CELL, "component"), CELL).select("map_id", "component", "region_id", F.lit(1).cast("long").alias("here"))
+    placed = near.join(by_merge(cells.select(*CELL, "component")), CELL).select("map_id", "component", "region_id", F.lit(1).cast("long").alias("here"))
     return here.unionByName(placed)
 
 
@@ -260,10 +260,10 @@ def component_budget(placement: DataFrame, targets: DataFrame) -> DataFrame:
     """Each component's whole number of tiles, dealt to its regions by largest remainder;
     components with none go."""
     everywhere = placement.groupBy("map_id", "region_id").agg(F.sum("here").alias("_all"))
-    rows = placement.join(everywhere, ["map_id", "region_id"]).join(targets.where("target > 0"), ["map_id", "region_id"])
+    rows = placement.join(by_merge(everywhere), ["map_id", "region_id"]).join(by_merge(targets.where("target > 0")), ["map_id", "region_id"])
     rows = rows.withColumn("w", F.col("target") * F.col("here") / F.col("_all"))
     totals = rows.groupBy("map_id", "component").agg(F.floor(F.sum("w") + 0.5).cast("int").alias("total")).where("total > 0")
-    dealt = largest_remainder(rows.drop("target").join(totals, ["map_id", "component"]), "total", ["map_id", "component"])
+    dealt = largest_remainder(rows.drop("target").join(by_merge(totals), ["map_id", "component"]), "total", ["map_id", "component"])
     return dealt.select("map_id", "component", "region_id", "total", F.col("target").alias("budget"))
 
 
@@ -271,7 +271,7 @@ def allocation_error(cells: DataFrame, targets: DataFrame, least: int = 3) -> Da
     """|got - target| / target in per cent over targets of at least `least`: mean, upper
     median, largest, number."""
     got = cells.groupBy("map_id", "region_id").agg(F.count("*").alias("got"))
-    rows = targets.where(F.col("target") >= least).join(got, ["map_id", "region_id"], "left")
+    rows = targets.where(F.col("target") >= least).join(by_merge(got), ["map_id", "region_id"], "left")
     error = F.abs(F.coalesce("got", F.lit(0)) - F.col("target")) / F.col("target") * 100
     out = rows.groupBy("map_id").agg(F.avg(error).alias("mean"), F.array_sort(F.collect_list(error)).alias("_e"), F.max(error).alias("max"), F.count("*").alias("n"))
     return out.select("map_id", "mean", F.get("_e", F.floor(F.col("n") / 2).cast("int")).alias("median"), "max", "n")
@@ -279,7 +279,7 @@ def allocation_error(cells: DataFrame, targets: DataFrame, least: int = 3) -> Da
 
 def worst_allocations(cells: DataFrame, targets: DataFrame, k: int = 4, least: int = 3) -> DataFrame:
     got = cells.groupBy("map_id", "region_id").agg(F.count("*").alias("got"))
-    rows = targets.where(F.col("target") >= least).join(got, ["map_id", "region_id"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    rows = targets.where(F.col("target") >= least).join(by_merge(got), ["map_id", "region_id"], "left").withColumn("got", F.coalesce("got", F.lit(0)))
     rows = rows.withColumn("error", F.floor((F.col("got") - F.col("target")) / F.col("target") * 100 + 0.5).cast("int"))
     pos = F.row_number().over(W.partitionBy("map_id").orderBy(F.abs("error").desc(), "region_id"))
     return rows.withColumn("pos", pos).where(F.col("pos") <= k).select("map_id", "region_id", "target", "got", "error", "pos")
@@ -288,7 +288,7 @@ def worst_allocations(cells: DataFrame, targets: DataFrame, k: int = 4, least: i
 def compactness(cells: DataFrame, side: float = 1.0, least: int = 8) -> DataFrame:
     """Mean distance from a region's centre over that of a disc of its size; the map's mean."""
     centre = cells.groupBy("map_id", "region_id").agg(F.avg("x").alias("_cx"), F.avg("y").alias("_cy"), F.count("*").alias("n")).where(F.col("n") >= least)
-    rows = cells.join(centre, ["map_id", "region_id"]).groupBy("map_id", "region_id").agg(F.avg(F.hypot(F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy"))).alias("_r"), F.first("n").alias("n"))
+    rows = cells.join(by_merge(centre), ["map_id", "region_id"]).groupBy("map_id", "region_id").agg(F.avg(F.hypot(F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy"))).alias("_r"), F.first("n").alias("n"))
     each = rows.withColumn("_v", F.col("_r") / (2 / 3 * F.sqrt(F.col("n") / F.pi()) * side))
     return each.groupBy("map_id").agg(F.avg("_v").alias("compactness"), F.count("*").alias("regions"))
 
@@ -297,7 +297,7 @@ def drift(cells: DataFrame, centres: DataFrame, diagonal: DataFrame) -> DataFram
     """How far regions' cells lie from their true centres (map_id, region_id, x, y), as a share
     of the map's diagonal (map_id, diagonal): mean and 95th percentile."""
     blobs = cells.groupBy("map_id", "region_id").agg(F.avg("x").alias("_bx"), F.avg("y").alias("_by"))
-    rows = blobs.join(centres, ["map_id", "region_id"]).join(diagonal, "map_id")
+    rows = blobs.join(by_merge(centres), ["map_id", "region_id"]).join(by_merge(diagonal), "map_id")
     d = F.hypot(F.col("_bx") - F.col("x"), F.col("_by") - F.col("y")) / F.col("diagonal")
     out = rows.groupBy("map_id").agg(F.avg(d).alias("mean"), F.array_sort(F.collect_list(d)).alias("_d"), F.count("*").alias("n"))
     return out.select("map_id", "mean", F.get("_d", F.floor(F.col("n") * 0.95).cast("int")).alias("p95"), "n")

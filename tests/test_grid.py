@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import allocate, geo, grid
 
@@ -140,6 +141,18 @@ def test_cartogram_gives_each_region_its_budget(spark):
     assert all(r.fragmented <= 0.15 * r.regions for r in grid.fragmentation(cells).collect())
 
 
+def test_no_step_of_a_map_is_broadcast(spark):
+    """Files of cells are small beside their rows, so that their size must not decide on a broadcast."""
+    rings = spark.createDataFrame([("g", "r", 0, 0, 0, [0.0, 9.0, 9.0, 0.0], [0.0, 0.0, 9.0, 9.0])], "geo string, region_id string, feature_ord int, poly_ord int, ring_ord int, xs array<double>, ys array<double>")
+    weights = spark.createDataFrame([("g|1", "g", "r", 1.0)], "map_id string, geo string, region_id string, w double")
+    kinds = spark.createDataFrame([("g", "west", "mercator")], "geo string, insets string, projection string")
+    cells = spark.createDataFrame([("g", 0, 0, 0.5, 0.5, "r", 0)], "map_id string, col int, row int, x double, y double, region_id string, component long")
+    targets, seeds = weights.select("map_id", "region_id", F.lit(3).alias("target")), weights.select("map_id", "region_id", F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    placed = grid.region_placement(cells, targets, seeds)
+    steps = [grid.rasterize(rings, 4), grid.fill_enclosed(cells), grid.grid_components(cells), allocate.centres(rings, 4), placed, grid.component_budget(placed, targets), geo.projected_maps(rings, kinds, weights), grid.allocation_error(cells, targets)]
+    assert not [k for k, df in enumerate(steps) if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
+
+
 def test_points_that_repeat_stay(spark):
     rings = spark.createDataFrame(
         [("g", "first", 0, 0, 0, [0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ("g", "hole", 1, 0, 0, [3.0, 9.0, 9.0, 3.0], [0.0, 0.0, 9.0, 9.0]), ("g", "hole", 1, 0, 1, [5.0, 7.0, 7.0, 5.0], [5.0, 5.0, 7.0, 7.0])],
