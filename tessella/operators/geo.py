@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import array_mean, finite, laea, mercator, ring_area, route_inset
@@ -239,19 +240,23 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     return first.select(*point_id, F.col("_first._at.r").alias("region_id"), F.explode(F.sequence(F.lit(1), F.col("_first._n"))).alias("_k")).drop("_k")
 
 
-def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[str], bucket: float = 8.0) -> DataFrame:
+def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[str], bucket: float = 8.0, at_once: int = 256) -> DataFrame:
     """The cell of the same `by` nearest to each point, ties to the least (col, row).
 
     Cells lie in square buckets. A point looks at the buckets around its own, then at rings of twice the
     width, and so on, until some bucket there has cells: the far corner of one bounds the distance. Of the
     buckets no farther than that bound, the cells are compared. Only buckets are met in search, and only cells of near buckets at the end,
-    so no map's cells meet all its points. Points of a map without cells, or of no finite place, have no row;
+    so no map's cells meet all its points; they do so in arrays of at most `at_once`, of each of which only the
+    nearest cell becomes a row. Points of a map without cells, or of no finite place, have no row;
     points that repeat have one.
     """
     place = lambda c: F.floor(F.col(c) / bucket).alias(f"_b{c}")
     inside = cells.where(finite("x") & finite("y")).select(by, "col", "row", F.col("x").alias("_x"), F.col("y").alias("_y"), place("x"), place("y"))
-    inside = written(inside, "bucketed")
-    full = written(inside.select(by, "_bx", "_by").distinct(), "buckets")
+    square = [by, "_bx", "_by"]
+    part = F.floor((F.row_number().over(W.partitionBy(*square).orderBy("col", "row")) - 1) / at_once)
+    packed = inside.withColumn("_part", part).groupBy(*square, "_part").agg(F.collect_list(F.struct("_x", "_y", "col", "row")).alias("_cells"))
+    packed = written(packed.drop("_part"), "packed")
+    full = written(packed.select(*square).distinct(), "buckets")
     left = points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct().join(by_merge(full.select(by).distinct()), by, "left_semi")
     left = written(left, "points")
     found, level = None, 0
@@ -277,9 +282,10 @@ def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[st
         reach = written(reach, "reach")
         # the bound is at most 2 sqrt(2) squares: nothing nearer lies outside the squares of four times the width
         near = around(reach, level + 2).where(F.hypot(off("x", False), off("y", False)) <= F.col("_reach") * (1 + 1e-9))
-        pairs = near.select(*key, "_bx", "_by").join(by_merge(inside), [by, "_bx", "_by"])
-        d = (F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y"))
-        best = pairs.groupBy(*key).agg(F.min(F.struct(d.alias("d"), "col", "row")).alias("_best"))
+        pairs = near.select(*key, "_bx", "_by").join(by_merge(packed), square)
+        d = lambda c: (F.col("x") - c["_x"]) * (F.col("x") - c["_x"]) + (F.col("y") - c["_y"]) * (F.col("y") - c["_y"])
+        nearest = F.array_min(F.transform("_cells", lambda c: F.struct(d(c).alias("d"), c["col"].alias("col"), c["row"].alias("row"))))
+        best = pairs.select(*key, nearest.alias("_near")).groupBy(*key).agg(F.min("_near").alias("_best"))
         best = best.select(by, *point_id, "_best.col", "_best.row")
         found = best if found is None else found.unionByName(best)
         left, level = written(left.join(by_merge(reach), key, "left_anti"), "points"), level + 1

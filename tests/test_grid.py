@@ -193,6 +193,17 @@ def test_nearest_cell_across_gaps(spark):
     assert geo.nearest_cell(spark.createDataFrame(points, "m string, k int, x double, y double"), none, "m", ["k"]).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 256])
+def test_nearest_cell_meets_cells_in_arrays(spark, at_once):
+    """Full buckets, in arrays of any size: a pair is a point with an array, not with each cell; ties to the least (col, row)."""
+    cells = spark.createDataFrame([("a", c, r, float(c), float(r)) for c in range(16) for r in range(16)], "m string, col int, row int, x double, y double")
+    points = [("a", k, k % 40 / 2 - 2, k // 40 + 0.5) for k in range(400)]
+    found = geo.nearest_cell(spark.createDataFrame(points, "m string, k int, x double, y double"), cells, "m", ["k"], at_once=at_once)
+    want = {k: min(((x - c) ** 2 + (y - r) ** 2, c, r) for c in range(16) for r in range(16))[1:] for _, k, x, y in points}
+    assert {r.k: (r.col, r.row) for r in found.collect()} == want and found.count() == 400
+    assert "array_min(transform(_cells" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_resize_is_one_cell_at_a_time():
     rng = random.Random(1)
 
