@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BITS, MAX_FILTER_BITS, gathered, importable, join_counted, lean, table, text_or_empty, written
+from .common import BUCKET_BITS, MAX_FILTER_BITS, gathered, importable, join_counted, lean, sliced, table, text_or_empty, written
 from .ngram_lm import _hashes, _mix
 
 U = np.uint64
@@ -146,7 +146,7 @@ def _encode(find_of: Callable, width: int) -> Callable:
             starts, n = _runs(changes, np.ones(len(order), np.int64))
             return pa.RecordBatch.from_arrays([packed([c[starts] for c in columns], width), pa.array(n)], ["key", "n"])
 
-        for batch in gathered(batches, 1, BLOCK):
+        for batch in sliced(gathered(batches, 1, BLOCK), 1, BLOCK):
             data, starts, stops, follows = words_of(batch)
             ids = find(prints_of(batch, data, starts, stops))
             more = np.concatenate([ids, np.zeros(LONGEST, U)])
@@ -260,10 +260,10 @@ def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, text_
             ids, none = find(b.column(2).to_numpy().view(U)), np.zeros(b.num_rows, U)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), packed([ids, *[none] * (LONGEST - 1)], width), b.column(3)], ["lang", "word", "key", "n"])
 
-    words = written(frequent.mapInArrow(number_words, "lang string, word string, key binary, n long"), "dictionary")
+    words = written(frequent.mapInArrow(lean(number_words), "lang string, word string, key binary, n long"), "dictionary")
     keys = written(rows.mapInArrow(lean(_encode(find_of, width)), "key binary, n long"), "keys")
     ranges = max(1, -(-keys.count() // RANGE), spark.sparkContext.defaultParallelism)
-    runs = keys.repartitionByRange(ranges, "key").sortWithinPartitions("key").mapInArrow(_prefix_runs(width, least), "key binary, words int, n long")
+    runs = keys.repartitionByRange(ranges, "key").sortWithinPartitions("key").mapInArrow(lean(_prefix_runs(width, least)), "key binary, words int, n long")
     phrases = written(runs.groupBy("key", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrases")
 
     # the most frequent longer phrase around each

@@ -9,6 +9,7 @@ import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,18 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, least: int) -> Iter
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
+def sliced(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut between rows so that the strings of `column` have at most `most` bytes in each, or are one."""
+    for batch in batches:
+        texts = batch.column(column)
+        ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def release() -> None:
     gc.collect()
     pa.default_memory_pool().release_unused()

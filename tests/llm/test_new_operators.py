@@ -175,3 +175,25 @@ def test_exact_stage_keeps_the_largest_id(spark):
     found = Counter((r.doc_id, (r.text or "")[-1:]) for r in out.collect())
     assert found == Counter([(2, "a"), (4, ""), (None, "b"), (6, "2"), (7, "1"), (8, "e")])
     assert exact_dedup.exact_dedup_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_keys_are_made_of_slices_of_a_batch(monkeypatch):
+    """A batch larger than BLOCK is handled in slices of whole texts, with the same keys."""
+    import pyarrow as pa
+
+    texts = [f"a b c{k % 3} a b. x{k}" * (1 + 30 * (k == 7)) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 40), pa.array(texts)], ["lang", "text"])
+    sizes, real = [], collocations.words_of
+    monkeypatch.setattr(collocations, "words_of", lambda b: sizes.append((b.num_rows, sum(map(len, b.column(1).to_pylist())))) or real(b))
+    find_of = lambda: lambda prints: prints % collocations.U(1000) + collocations.U(1)
+
+    def keys():
+        out = Counter()
+        for b in collocations._encode(find_of, 4)(iter([batch])):
+            out.update(dict(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+        return out
+
+    whole = keys()
+    assert sizes.pop() and not sizes
+    monkeypatch.setattr(collocations, "BLOCK", 100)
+    assert keys() == whole and sum(n for n, _ in sizes) == 40 and all(size <= 100 or n == 1 for n, size in sizes)
