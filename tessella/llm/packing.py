@@ -34,7 +34,7 @@ CUT_SENTENCE, CUT_INSIDE, STRIDE = 6, 24, 64
 #: Ids that are gathered before they are cut; what follows the last but KEEP windows is cut again.
 CHUNK, KEEP = 1 << 18, 8
 SENTENCE_ENDS = ".!?"
-CACHED_WORDS, BLOCK_CHARS = 80_000, 500_000
+CACHED_WORDS, BLOCK_CHARS = 240_000, 500_000
 
 
 def best_cuts(cuts: list[int], penalty: list[int], window: int = WINDOW) -> list[int]:
