@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import allocate, geo, grid
+from tessella.functions.tables import written
+from tessella.jobs import map_queries
+from tessella.operators import allocate, geo, grid, order
 
 CELL = "map_id string, col int, row int, region_id string"
 
@@ -153,6 +155,26 @@ def test_no_step_of_a_map_is_broadcast(spark):
     assert not [k for k, df in enumerate(steps) if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
 
 
+@pytest.mark.parametrize("query", ["cartogram", "cartogram_sizes", "cartogram_measures"])
+def test_no_table_of_a_cartogram_query_is_broadcast(spark, tmp_path, monkeypatch, query):
+    """All tables that the query writes, and its result; the assignment is a cheap one."""
+    lines = [(k, float(1 + k * 7 % 50), 0.01 * (k % 7), f"199{7 + k % 2}-03-01") for k in range(200)]
+    lines = spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_discount double, day string")
+    lines.select("l_partkey", "l_quantity", "l_discount", F.to_timestamp("day").alias("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    for module in (allocate, geo, grid, order, map_queries):
+        monkeypatch.setattr(module, "written", seen)
+    monkeypatch.setattr(allocate, "allocate", lambda cells, plan: cells.join(plan.groupBy("map_id", "component").agg(F.min("region_id").alias("region_id")).hint("merge"), ["map_id", "component"]).select("map_id", "col", "row", "component", "region_id"))
+    seen(getattr(map_queries, query)(spark, str(tmp_path)), "result")
+    assert len(plans) > 10 and not [name for name, plan in plans if "Broadcast" in plan]
+
+
 def test_points_that_repeat_stay(spark):
     rings = spark.createDataFrame(
         [("g", "first", 0, 0, 0, [0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0]), ("g", "hole", 1, 0, 0, [3.0, 9.0, 9.0, 3.0], [0.0, 0.0, 9.0, 9.0]), ("g", "hole", 1, 0, 1, [5.0, 7.0, 7.0, 5.0], [5.0, 5.0, 7.0, 7.0])],
