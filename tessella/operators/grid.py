@@ -93,26 +93,35 @@ def grid_components(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     its least cell, as `component` = col * 2^20 + row of it.
 
     Cells of a column that follow each other are one run; only runs are labelled, those of a
-    map (and `by`) in one task, or by blocks of columns where it has more than RUNS_AT_ONCE.
+    map in one task. Where it has more than RUNS_AT_ONCE they are labelled by `by`, and by blocks of
+    columns where one key has more.
     """
     by, cells = ["map_id", *(by or [])], cells.drop("component")
     order = W.partitionBy(*by, "col").orderBy("row")
     rows = cells.withColumn("_island", (F.col("row") - F.row_number().over(order)).cast("int"))
     runs = written(rows.groupBy(*by, "col", "_island").agg(F.min("row").cast("int").alias("top"), F.max("row").cast("int").alias("bottom")), "runs")
-    sizes = runs.groupBy(*by).agg(F.count("*").alias("_n"))
     importable(cells.sparkSession)
-    large = sizes.where(F.col("_n") > RUNS_AT_ONCE).select(*by)
     schema = runs.select(*by, F.col("col").cast("int"), "_island").schema.add("component", "long")
-    named = runs.join(by_merge(large), by, "left_anti").groupBy(*by).applyInPandas(lambda part: _labelled(part)[schema.names], schema)
-    if large.head(1):
-        named = named.unionByName(_block_components(runs.join(by_merge(large), by, "left_semi"), by))
+    labels = lambda runs, key: runs.groupBy(*key).applyInPandas(lambda part: _labelled(part, by)[schema.names], schema)
+    over = lambda runs, key: runs.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > RUNS_AT_ONCE).select(*key)
+    maps = over(runs, ["map_id"])
+    named = labels(runs.join(by_merge(maps), "map_id", "left_anti"), ["map_id"])
+    if maps.head(1):
+        runs = runs.join(by_merge(maps), "map_id", "left_semi")
+        large = over(runs, by)
+        if len(by) > 1:
+            named = named.unionByName(labels(runs.join(by_merge(large), by, "left_anti"), by))
+        if large.head(1):
+            named = named.unionByName(_block_components(runs.join(by_merge(large), by, "left_semi"), by))
     return rows.join(by_merge(named), [*by, "col", "_island"]).drop("_island")
 
 
-def _labelled(runs: pd.DataFrame) -> pd.DataFrame:
-    """The component of each run of one map: runs of neighbouring columns that meet are one."""
-    runs = runs.sort_values(["col", "top"]).reset_index(drop=True)
-    col, top, bottom = (runs[c].tolist() for c in ("col", "top", "bottom"))
+def _labelled(runs: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """The component of each run of one map, within each key: runs of neighbouring columns that meet are one."""
+    # keys lie side by side, with a gap between
+    key = runs.groupby(by, sort=False).ngroup().astype("int64") * (int(runs["col"].max()) - int(runs["col"].min()) + 2)
+    runs = runs.assign(_at=key + runs["col"]).sort_values(["_at", "top"]).reset_index(drop=True)
+    at_col, col, top, bottom = (runs[c].tolist() for c in ("_at", "col", "top", "bottom"))
     root = list(range(len(col)))
 
     def find(x: int) -> int:
@@ -123,10 +132,10 @@ def _labelled(runs: pd.DataFrame) -> pd.DataFrame:
 
     first = 0  # of the runs in the column before
     for k in range(len(col)):
-        while first < k and (col[first] < col[k] - 1 or (col[first] == col[k] - 1 and bottom[first] < top[k])):
+        while first < k and (at_col[first] < at_col[k] - 1 or (at_col[first] == at_col[k] - 1 and bottom[first] < top[k])):
             first += 1
         at = first
-        while at < k and col[at] == col[k] - 1 and top[at] <= bottom[k]:
+        while at < k and at_col[at] == at_col[k] - 1 and top[at] <= bottom[k]:
             a, b = sorted((find(at), find(k)))
             root[b] = a
             at += 1
@@ -146,7 +155,7 @@ def _block_components(runs: DataFrame, by: list[str]) -> DataFrame:
     columns = columns.select(*by, "col", "_block", border(F.lag, -1).alias("_left"), border(F.lead, 1).alias("_right"))
     placed = runs.join(by_merge(columns), [*by, "col"]).withColumn("col", F.col("col").cast("int"))
     schema = _extended(placed.schema, component="long")
-    local = written(placed.groupBy(*by, "_block").applyInPandas(lambda part: _labelled(part)[schema.names], schema), "blocks")
+    local = written(placed.groupBy(*by, "_block").applyInPandas(lambda part: _labelled(part, by)[schema.names], schema), "blocks")
     side = lambda flag, at: local.where(flag).select(*by, (F.col("col") + at).alias("_border"), F.lit(at == 0).alias("_ahead"), "top", "bottom", "_block", "component")
     key = runs.select(*by).schema
     meets = _extended(key, u="long", v="long", bu="long", bv="long")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -304,3 +305,17 @@ def test_fit_measures_edges_as_great_arcs(spark, projection):
     want = k * plain + middle[:, None]
     assert np.abs(want - np.array([r.xs, r.ys])).max() < 0.01
     assert plain.max(axis=1)[1] - plain.min(axis=1)[1] < (high - low)[1] - 1e-3  # the vertices alone are a smaller extent
+
+
+@pytest.mark.parametrize("at_once", [200_000, 30])
+def test_regions_of_a_map_are_labelled_in_one_task(spark, monkeypatch, at_once):
+    """A group a region is slow where maps have a hundred each; only maps of too many runs are dealt by region."""
+    monkeypatch.setattr(grid, "RUNS_AT_ONCE", at_once)
+    rng = random.Random(8)
+    sizes = {"a": 4, "b": 12}
+    rows = [(m, c, r, rng.choice("pqr")) for m, n in sizes.items() for c in range(n) for r in range(n) if rng.random() < 0.8]
+    parts = grid.grid_components(spark.createDataFrame(rows, CELL), ["region_id"])
+    groups = re.findall(r"FlatMapGroupsInPandas \[([^\]]*)\]", parts._jdf.queryExecution().executedPlan().toString())
+    assert re.sub(r"#\d+", "", groups[0]) == "map_id"
+    expected = {(m, x, *c): root for m in sizes for x in "pqr" for c, root in pieces({(c, r) for k, c, r, y in rows if (k, y) == (m, x)}).items()}
+    assert {(p.map_id, p.region_id, p.col, p.row): (p.component >> 20, p.component & 0xFFFFF) for p in parts.collect()} == expected
