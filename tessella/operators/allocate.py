@@ -18,6 +18,10 @@ from tessella.functions.tables import by_merge, importable, written
 from . import geo, grid
 
 ROUNDS, PULL = 4, 0.25
+#: Steps of prices at most, before what is astray moves one cell at a time.
+NEWTON = 40
+#: Maps that a task assigns, and tasks that maps are dealt to at most.
+MAPS_AT_ONCE, TASKS_AT_MOST = 16, 4096
 
 
 Cell = tuple[int, int]
@@ -147,53 +151,107 @@ def rejoin(owner: dict[Cell, int], passes: int = 3) -> dict[Cell, int]:
     return owner
 
 
-def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) -> np.ndarray:
-    """Owner of each cell: every region gets exactly its budget, and the squared distances to
-    the seeds are least in sum. Prices first; the rest moves along shortest paths, each of
-    which takes one cell from an over-full region to a short one, so that they come to an end.
-    The budgets are not negative, and sum to the number of cells."""
-    d = ((xy[:, None, :] - seeds[None, :, :]) ** 2).sum(2)
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a[:, :1] - b[:, 0]) ** 2 + (a[:, 1:] - b[:, 1]) ** 2
+
+
+def _side_by_side(xy: np.ndarray) -> np.ndarray:
+    """Pairs of cells that share a side, as two rows of positions in `xy`."""
+    key = xy[:, 0] * 2.0**20 + xy[:, 1]
+    order = key.argsort()
+    out = []
+    for step in (2.0**20, 1.0):
+        at = np.minimum(np.searchsorted(key, key + step, sorter=order), len(key) - 1)
+        there = key[order[at]] == key + step
+        out.append([np.flatnonzero(there), order[at[there]]])
+    return np.concatenate(out, axis=1)
+
+
+def _priced(d: np.ndarray, pairs: np.ndarray, seeds: np.ndarray, budget: np.ndarray, price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prices, and the owners of cells by least distance less price, that come near the budgets: Newton steps, where
+    a price moves each border of its region by the difference over twice the distance of the seeds. A
+    step that leaves as many cells astray is taken back and shortened."""
+    k = len(budget)
+    slope = 0.4 / np.maximum(1.0, np.sqrt(_squared(seeds, seeds)))
+    np.fill_diagonal(slope, 0.0)
+    share, tries, least, trial = 1.0, 0, np.inf, price
+    for _ in range(NEWTON):
+        now = (d - trial).argmin(1)
+        gap = budget - np.bincount(now, minlength=k)
+        astray = np.abs(gap).sum()
+        if astray < least:
+            price, owner, least, share, tries = trial, now, astray, min(1.0, 2 * share), 0
+            if not astray:
+                break
+            meet = np.bincount(now[pairs[0]] * k + now[pairs[1]], minlength=k * k).reshape(k, k)
+            meet = (meet + meet.T) * slope
+            held = meet.sum(1)
+            step = np.linalg.solve(np.diag(held + np.where(held > 0, 0.02, 0.5)) - meet, gap.astype(float))
+        else:
+            share, tries = 0.6 * share, tries + 1
+            if tries > 4:
+                break
+        trial = price + share * step
+    return price, owner
+
+
+def assigned(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray, price: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner of each cell, as in capacitated_assign, and prices to begin with when the seeds have moved a
+    little; `pairs` of cells are those that share a side.
+
+    What the prices leave astray moves along shortest paths from over-full to short regions. Costs
+    of handing a cell on are taken less prices, and these follow the distances found, so that no cost is negative and a
+    search ends at the first short region.
+    """
+    d = _squared(xy, seeds)
     n, k = d.shape
-    price, step = np.zeros(k), max(1e-9, float(np.median(d)))
-    for _ in range(300):
-        owner = np.argmin(d - price, axis=1)
-        gap = budget - np.bincount(owner, minlength=k)
-        if not gap.any():
-            return owner
-        price = price + step * gap / np.maximum(1, budget)
-        step *= 0.98
-    # successive shortest paths, from over-full to short regions, keep the assignment optimal
-    owner = np.argmin(d - price, axis=1)
-    cost, mover = np.full((k, k), np.inf), np.full((k, k), -1)
-    changed = range(k)
-    for _ in range(n + 1):
-        gap = budget - np.bincount(owner, minlength=k)
-        if not gap.any():
-            return owner
-        for r in changed:  # the cheapest cell of r to hand to each other region
-            mine = np.flatnonzero(owner == r)
-            cost[r] = np.inf
-            if len(mine):
-                move = d[mine] - d[mine, r][:, None]
-                best = move.argmin(0)
-                cost[r], mover[r] = move[best, np.arange(k)], mine[best]
-        dist = np.where(gap < 0, 0.0, np.inf)
-        came = np.full(k, -1)
+    price, owner = _priced(d, pairs, seeds, budget, price)
+    e = d - price
+    e -= e[np.arange(n), owner][:, None]
+    small = 1e-12 * max(1.0, float(d.max()))
+    gap = budget - np.bincount(owner, minlength=k)
+    cost, more, every = np.full((k, k), np.inf), np.zeros(k), np.arange(k)
+    order = owner.argsort(kind="stable")
+    some, first = np.unique(owner[order], return_index=True)
+    cost[some] = np.minimum.reduceat(e[order], first, axis=0)
+    while gap.any():
+        short, edge = gap > 0, np.flatnonzero(gap < 0)
+        dist, came, end = np.full(k, np.inf), np.full(k, -1), np.inf
+        dist[edge] = 0.0
         for _ in range(k):
-            through = dist[:, None] + cost
+            through = (dist[edge] + more[edge])[:, None] + cost[edge]
             best = through.argmin(0)
-            least = through[best, np.arange(k)]
-            better = least < dist - 1e-12
-            if not better.any():
+            least = through[best, every] - more
+            better = np.flatnonzero((least < dist - small) & (least < end))
+            dist[better], came[better] = least[better], edge[best[better]]
+            end = dist.min(where=short, initial=np.inf)
+            edge = better[dist[better] < end]
+            if not len(edge):
                 break
-            dist, came = np.where(better, least, dist), np.where(better, best, came)
-        path = [int(np.where(gap > 0, dist, np.inf).argmin())]
+        if not np.isfinite(end):
+            raise ValueError("budgets and cells differ")
+        more += np.minimum(dist - end, 0.0)
+        path = [int(np.where(short, dist, np.inf).argmin())]
         while came[path[-1]] >= 0:
             path.append(int(came[path[-1]]))
         for b, a in zip(path, path[1:], strict=False):
-            owner[mover[a, b]] = b
-        changed = path
-    raise ValueError("budgets and cells differ")
+            mine = np.flatnonzero(owner == a)
+            c = mine[e[mine, b].argmin()]
+            owner[c] = b
+            e[c] -= e[c, b]
+        for r in path:
+            cost[r] = e[owner == r].min(0, initial=np.inf)
+        gap[path[0]] -= 1
+        gap[path[-1]] += 1
+    return owner, price
+
+
+def capacitated_assign(xy: np.ndarray, seeds: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """Owner of each cell: every region gets exactly its budget, and the squared distances to
+    the seeds are least in sum. Prices first; the rest moves along shortest paths, each of
+    which takes one cell from an over-full region to a short one, so that they come to an end.
+    The budgets are not negative, and sum to the number of cells."""
+    return assigned(xy, seeds, budget, np.zeros(len(seeds)), _side_by_side(xy))[0]
 
 
 def shrunk(budget: np.ndarray, cells: int) -> np.ndarray:
@@ -222,9 +280,9 @@ def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
         budget = part["budget"].to_numpy(int)
         if len(at) != budget.sum():  # no place was left to grow
             budget = shrunk(budget, len(at))
-        seeds, owner = anchor, None
+        seeds, price, pairs = anchor, np.zeros(len(part)), _side_by_side(at)
         for _ in range(ROUNDS + 1):
-            owner = capacitated_assign(at, seeds, budget)
+            owner, price = assigned(at, seeds, budget, price, pairs)
             size = np.maximum(1, np.bincount(owner, minlength=len(part)))
             mean = np.stack([np.bincount(owner, at[:, i], len(part)) / size for i in (0, 1)], axis=1)
             seeds = np.where((np.bincount(owner, minlength=len(part)) > 0)[:, None], mean + PULL * (anchor - mean), anchor)
@@ -238,10 +296,13 @@ def allocate_map(cells: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
 
 
 def allocate(cells: DataFrame, plan: DataFrame) -> DataFrame:
-    """All maps: cells(map_id, col, row, component), plan(map_id, component, region_id, budget, x, y)."""
+    """All maps: cells(map_id, col, row, component), plan(map_id, component, region_id, budget, x, y). Maps
+    are dealt by their number: Spark would pack them by bytes, of which they have few for the time they take."""
     schema = "map_id string, col int, row int, component long, region_id string"
     importable(cells.sparkSession)
-    return cells.groupBy("map_id").cogroup(plan.groupBy("map_id")).applyInPandas(allocate_map, schema)
+    tasks = min(TASKS_AT_MOST, -(-plan.select("map_id").distinct().count() // MAPS_AT_ONCE)) or 1
+    dealt = [rows.repartition(tasks, "map_id").groupBy("map_id") for rows in (cells, plan)]
+    return dealt[0].cogroup(dealt[1]).applyInPandas(allocate_map, schema)
 
 
 def centres(ring: DataFrame, tiles: int) -> DataFrame:
@@ -266,11 +327,11 @@ def cartogram(weights: DataFrame, ring: DataFrame, tiles: int, geography: DataFr
         weights = weights.withColumn("geo", F.col("map_id"))
     targets = written(grid.largest_remainder(weights.where("w > 0"), tiles, ["map_id"]).select("map_id", "region_id", "target"), "targets")
     base = written(grid.rasterize(ring, tiles), "raster")
-    base = written(grid.fill_enclosed(base), "filled")
-    base = written(grid.grid_components(base), "components").withColumnRenamed("map_id", "geo")
+    base = grid.filled_components(base).withColumnRenamed("map_id", "geo")
     maps = weights.select("map_id", "geo").distinct()
     cells = base.join(by_merge(maps), "geo").select("map_id", "col", "row", "region_id", "component", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
-    seeds = centres(ring, tiles).join(by_merge(maps), "geo").select("map_id", "region_id", "x", "y")
+    cells = written(cells, "cells")
+    seeds = written(centres(ring, tiles).join(by_merge(maps), "geo").select("map_id", "region_id", "x", "y"), "seeds")
     plan = grid.component_budget(grid.region_placement(cells, targets, seeds), targets).join(by_merge(seeds), ["map_id", "region_id"])
     plan = written(plan, "plan")
     out = allocate(cells.select("map_id", "col", "row", "component"), plan.select("map_id", "component", "region_id", "budget", "x", "y"))

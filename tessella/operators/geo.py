@@ -20,7 +20,8 @@ def valid_rings(ring: DataFrame) -> DataFrame:
     """Rings without their non-finite vertices; a ring needs three."""
     ok = lambda p: ~F.isnan(p["xs"]) & ~F.isnan(p["ys"]) & (F.abs(p["xs"]) != float("inf")) & (F.abs(p["ys"]) != float("inf"))
     points = F.filter(F.arrays_zip("xs", "ys"), lambda p: F.coalesce(ok(p), F.lit(False)))
-    rows = ring.withColumn("_p", points).where(F.size("_p") >= 3)
+    # not `where`: Spark would take that down to where xs and ys are worked out, and work them out again for it
+    rows = ring.select(*POLYGON, "ring_ord", F.explode(F.filter(F.array(points), lambda p: F.size(p) >= 3)).alias("_p"))
     return rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["xs"]).alias("xs"), F.transform("_p", lambda p: p["ys"]).alias("ys"))
 
 
@@ -69,6 +70,11 @@ def project_rings(ring: DataFrame, projection: str) -> DataFrame:
     return valid_rings(rows.select(*POLYGON, "ring_ord", F.transform("_p", lambda p: p["x"]).alias("xs"), F.transform("_p", lambda p: -p["y"]).alias("ys")))
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def along_arcs(ring: DataFrame, to: Callable[[Column, Column], tuple[Column, Column]], deviation: Column) -> DataFrame:
     """Rings in degrees, projected by `to`, with points between the vertices where an edge bends.
 
@@ -84,8 +90,10 @@ def along_arcs(ring: DataFrame, to: Callable[[Column, Column], tuple[Column, Col
     pair = lambda lon, lat: F.struct(*[c.alias(n) for c, n in zip(to(lon, lat), ("x", "y"), strict=True)])
 
     def at(e: Column, t: Column | float) -> Column:
-        a, b, c = (e["p"][n] + t * (e["q"][n] - e["p"][n]) for n in "abc")
-        return pair(F.degrees(F.atan2(b, a)), F.degrees(F.atan2(c, F.hypot(a, b))))
+        """The place of the point at `t` of the chord; what is used more than once is named."""
+        chord = F.struct(*[(e["p"][n] + t * (e["q"][n] - e["p"][n])).alias(n) for n in "abc"])
+        place = _named(chord, lambda v: F.struct(F.degrees(F.atan2(v["b"], v["a"])).alias("lon"), F.degrees(F.atan2(v["c"], F.hypot(v["a"], v["b"]))).alias("lat")))
+        return _named(place, lambda v: pair(v["lon"], v["lat"]))
 
     n = F.size("_v")
     rows = ring.withColumn("_v", F.transform(F.arrays_zip("xs", "ys"), unit))
@@ -217,15 +225,16 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
     square = ["geo", "_bx", "_by"]
     placed = points.withColumn("_bx", cell("x")).withColumn("_by", cell("y"))
     crowded = large_groups(placed, square, at_once)
+    at = square if crowded is None else [*square, "_deal"]
     if crowded is None:
-        pairs = placed.join(by_merge(polys), square)
+        pairs = placed.join(by_merge(polys), at)
     else:
         share = max(at_once, placed.count() // GROUPS_AT_MOST)
         crowded = F.broadcast(crowded.select(*square, F.ceil(F.col("_size") / share).cast("int").alias("_deals")))
         deals, mine = F.coalesce("_deals", F.lit(1)), F.pmod(F.xxhash64(*point_id, "x", "y"), F.coalesce("_deals", F.lit(1))).cast("int")
         dealt = placed.join(crowded, square, "left").withColumn("_deal", mine).drop("_deals")
         each = polys.join(crowded, square, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), deals - 1))).drop("_deals")
-        pairs = dealt.join(by_merge(each), [*square, "_deal"]).drop("_deal")
+        pairs = dealt.join(by_merge(each), at)
     x, y = F.col("x"), F.col("y")
     def crosses(e: Column) -> Column:
         """Whether the edge crosses the ray to the right of the point, without a division."""
@@ -234,7 +243,8 @@ def points_in_polygons(points: DataFrame, ring: DataFrame, point_id: list[str],
 
     crossing = F.filter("_edges", crosses)
     place = F.struct(F.col("feature_ord").alias("f"), F.col("poly_ord").alias("p"), F.col("region_id").alias("r"))
-    one = list(dict.fromkeys([*point_id, "geo", "x", "y"]))
+    # a point has one square and deal: with them as keys, its rows are grouped where the join left them
+    one = list(dict.fromkeys([*at, *point_id, "x", "y"]))
     hits = pairs.where(F.size(crossing) % 2 == 1).groupBy(*one, place.alias("_at")).agg(F.count("*").alias("_n"))
     first = hits.groupBy(*one).agg(F.min(F.struct("_at", "_n")).alias("_first"))
     return first.select(*point_id, F.col("_first._at.r").alias("region_id"), F.explode(F.sequence(F.lit(1), F.col("_first._n"))).alias("_k")).drop("_k")
@@ -251,14 +261,16 @@ def nearest_cell(points: DataFrame, cells: DataFrame, by: str, point_id: list[st
     points that repeat have one.
     """
     place = lambda c: F.floor(F.col(c) / bucket).alias(f"_b{c}")
+    left = written(points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct(), "points")
+    if not left.head(1):
+        return points.join(by_merge(cells.select(by, "col", "row")), by).select(by, *point_id, "col", "row").limit(0)
     inside = cells.where(finite("x") & finite("y")).select(by, "col", "row", F.col("x").alias("_x"), F.col("y").alias("_y"), place("x"), place("y"))
     square = [by, "_bx", "_by"]
     part = F.floor((F.row_number().over(W.partitionBy(*square).orderBy("col", "row")) - 1) / at_once)
     packed = inside.withColumn("_part", part).groupBy(*square, "_part").agg(F.collect_list(F.struct("_x", "_y", "col", "row")).alias("_cells"))
     packed = written(packed.drop("_part"), "packed")
     full = written(packed.select(*square).distinct(), "buckets")
-    left = points.where(finite("x") & finite("y")).select(by, *point_id, "x", "y").distinct().join(by_merge(full.select(by).distinct()), by, "left_semi")
-    left = written(left, "points")
+    left = written(left.join(by_merge(full.select(by).distinct()), by, "left_semi"), "points")
     found, level = None, 0
     key = [by, *point_id, "x", "y"]
 

@@ -20,6 +20,8 @@ CELL = ["map_id", "col", "row"]
 AROUND = ((1, 0), (-1, 0), (0, 1), (0, -1))
 #: Runs of cells that one task labels, and neighbouring blocks that are joined at once where a map has more.
 RUNS_AT_ONCE, FAN = 200_000, 16
+#: Places of a map's frame that one task fills and labels, maps of a task, and tasks that maps are dealt to at most.
+PLACES_AT_ONCE, MAPS_AT_ONCE, TASKS_AT_MOST = 200_000, 64, 4096
 
 
 def largest_remainder(values: DataFrame, total: int | str, by: list[str], key: str = "region_id", value: str = "w", at_once: int = AT_ONCE) -> DataFrame:
@@ -53,12 +55,12 @@ def rasterize(ring: DataFrame, tiles: int, bucket_tiles: int = 4) -> DataFrame:
     centres = grid.select("geo", "side", "x0", "y0", F.explode(F.sequence(F.lit(0), n("x0", "x1") - 1)).alias("col"), n("y0", "y1").alias("_rows"))
     centres = centres.select("geo", "side", "x0", "y0", "col", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("row"))
     at = lambda i, o: (F.col(i) + 0.5 - 2) * F.col("side") + F.col(o)
-    points = centres.select("geo", "col", "row", at("col", "x0").alias("x"), at("row", "y0").alias("y"))
+    points = centres.select("geo", "side", "col", "row", at("col", "x0").alias("_x"), at("row", "y0").alias("_y"))
     # buckets in units of the tile, so that points and polygons of all maps are dealt alike
     scaled = ring.join(by_merge(grid.select("geo", "side")), "geo").select(*[c for c in ring.columns if c not in ("xs", "ys")], F.transform("xs", lambda v: v / F.col("side")).alias("xs"), F.transform("ys", lambda v: v / F.col("side")).alias("ys"))
-    unit = points.join(by_merge(grid.select("geo", "side")), "geo").select("geo", "col", "row", (F.col("x") / F.col("side")).alias("x"), (F.col("y") / F.col("side")).alias("y"))
-    found = points_in_polygons(unit, scaled, ["geo", "col", "row"], bucket_tiles)
-    return points.join(by_merge(found), ["geo", "col", "row"]).select(F.col("geo").alias("map_id"), "col", "row", "x", "y", "region_id")
+    unit = points.select("geo", "col", "row", "_x", "_y", (F.col("_x") / F.col("side")).alias("x"), (F.col("_y") / F.col("side")).alias("y"))
+    found = points_in_polygons(unit, scaled, ["geo", "col", "row", "_x", "_y"], bucket_tiles)
+    return found.select(F.col("geo").alias("map_id"), "col", "row", F.col("_x").alias("x"), F.col("_y").alias("y"), "region_id")
 
 
 def neighbour_pairs(cells: DataFrame) -> DataFrame:
@@ -255,6 +257,54 @@ def _filled(part: pd.DataFrame) -> pd.DataFrame:
     return hole.assign(region_id=out)[["map_id", "col", "row", "region_id"]]
 
 
+def filled_components(cells: DataFrame) -> DataFrame:
+    """fill_enclosed, with the grid_components of what it gives: a map whose frame is small in one pass."""
+    cells = cells.select(*CELL, "region_id")
+    wide = lambda c: F.max(c).cast("long") - F.min(c) + 3
+    frames = cells.groupBy("map_id").agg((wide("col") * wide("row")).alias("_places"))
+    maps, most = frames.agg(F.count("*"), F.max("_places")).first()
+    large = frames.where(F.col("_places") > PLACES_AT_ONCE).select("map_id")
+    small = cells if (most or 0) <= PLACES_AT_ONCE else cells.join(by_merge(large), "map_id", "left_anti")
+    importable(cells.sparkSession)
+    dealt = small.repartition(min(TASKS_AT_MOST, -(-maps // MAPS_AT_ONCE)) or 1, "map_id")
+    out = dealt.groupBy("map_id").applyInPandas(_settled, "map_id string, col int, row int, region_id string, component long")
+    if small is cells:
+        return out
+    filled = written(fill_enclosed(cells.join(by_merge(large), "map_id", "left_semi")), "filled")
+    return out.unionByName(grid_components(filled).select(out.columns))
+
+
+def _settled(part: pd.DataFrame) -> pd.DataFrame:
+    """The cells of one map, with those of its holes and the component of each."""
+    known = dict(zip(zip(part["col"].tolist(), part["row"].tolist(), strict=True), part["region_id"].tolist(), strict=True))
+    (c0, c1), (r0, r1) = ((part[x].min() - 1, part[x].max() + 1) for x in ("col", "row"))
+    free = {(c, r) for c in range(c0, c1 + 1) for r in range(r0, r1 + 1)} - known.keys()
+    _reached((c0, r0), free)
+    holes = sorted(free, key=lambda c: (c[1], c[0]))
+    for c, r in holes:
+        around = [x for x in (known.get((c + a, r + b)) for a, b in AROUND) if x is not None]
+        known[c, r] = min(set(around), key=lambda x: (-around.count(x), x), default=None)
+    left, name = set(known), {}
+    while left:
+        found = _reached(next(iter(left)), left)
+        name |= dict.fromkeys(found, (lambda c: (c[0] << 20) + c[1])(min(found)))
+    more = pd.DataFrame({"map_id": part["map_id"].iloc[0], "col": [c for c, _ in holes], "row": [r for _, r in holes], "region_id": [known[c] for c in holes]})
+    out = pd.concat([part, more.astype({"col": part["col"].dtype, "row": part["row"].dtype})]) if holes else part
+    return out.assign(component=[name[c] for c in zip(out["col"].tolist(), out["row"].tolist(), strict=True)])
+
+
+def _reached(start: tuple[int, int], left: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places of `left` that hang together with one of them; they are taken from it."""
+    left.discard(start)
+    found = [start]
+    for c, r in found:  # grows meanwhile
+        for x in ((c + 1, r), (c - 1, r), (c, r + 1), (c, r - 1)):
+            if x in left:
+                left.remove(x)
+                found.append(x)
+    return found
+
+
 def region_placement(cells: DataFrame, targets: DataFrame, seeds: DataFrame) -> DataFrame:
     """Cells of each region in each component (cells has `component`); a region with a target
     but no cell goes to the component of the cell nearest to its seed, with weight 1."""

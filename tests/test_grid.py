@@ -319,3 +319,58 @@ def test_regions_of_a_map_are_labelled_in_one_task(spark, monkeypatch, at_once):
     assert re.sub(r"#\d+", "", groups[0]) == "map_id"
     expected = {(m, x, *c): root for m in sizes for x in "pqr" for c, root in pieces({(c, r) for k, c, r, y in rows if (k, y) == (m, x)}).items()}
     assert {(p.map_id, p.region_id, p.col, p.row): (p.component >> 20, p.component & 0xFFFFF) for p in parts.collect()} == expected
+
+
+def test_assignment_of_many_regions_is_the_cheapest():
+    """No ring of regions can hand cells on and be cheaper, also where seeds lie on lines, so that many sums are equal."""
+    rng = np.random.default_rng(5)
+    xy = np.array([(c, r) for c in range(24) for r in range(24) if (c, r) != (3, 3)], float)
+    places = np.array([(2.2 + 4 * c, 2.7 + 4 * r) for c in range(6) for r in range(6)])
+    for seeds in (places, places + rng.uniform(-2, 2, places.shape), np.zeros((36, 2))):
+        budget = np.bincount(rng.choice(36, len(xy), p=rng.dirichlet(np.full(36, 0.4))), minlength=36)
+        owner = allocate.capacitated_assign(xy, seeds, budget)
+        assert (np.bincount(owner, minlength=36) == budget).all()
+        d = ((xy[:, None] - seeds[None]) ** 2).sum(2)
+        d -= d[np.arange(len(xy)), owner][:, None]
+        way = np.array([d[owner == a].min(0, initial=np.inf) for a in range(36)])
+        for k in range(36):
+            way = np.minimum(way, way[:, [k]] + way[[k]])
+        assert way.diagonal().min() > -1e-9
+    with pytest.raises(ValueError):
+        allocate.capacitated_assign(xy, places, budget + 1)
+
+
+def test_maps_are_dealt_to_tasks_by_their_number(spark):
+    """Spark would pack the few bytes of all maps into one task, which takes its time for each."""
+    cells = spark.range(100 * 6).select(F.concat(F.lit("m"), F.floor(F.col("id") / 6)).alias("map_id"), (F.col("id") % 6).cast("int").alias("col"), F.lit(0).alias("row"), F.lit(0).cast("long").alias("component"))
+    plan = spark.range(200).select(F.concat(F.lit("m"), F.floor(F.col("id") / 2)).alias("map_id"), F.lit(0).cast("long").alias("component"), (F.col("id") % 2).cast("string").alias("region_id"), F.lit(3).alias("budget"), (F.col("id") % 2 * 5.0).alias("x"), F.lit(0.0).alias("y"))
+    made = allocate.allocate(cells, plan)
+    found = made.groupBy("map_id", "region_id").agg(F.count("*").alias("n"), F.min("col").alias("col")).collect()
+    assert len(found) == 200 and {(r.n, r.region_id, r.col) for r in found} == {(3, "0", 0), (3, "1", 3)}
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_points_of_arcs_are_worked_out_once(spark):
+    rings = spark.createDataFrame([("g", "r", 0, 0, 0, [0.0, 9.0, 9.0], [0.0, 0.0, 9.0])], "geo string, region_id string, feature_ord int, poly_ord int, ring_ord int, xs array<double>, ys array<double>")
+    plan = geo.along_arcs(rings, lambda x, y: map_queries.laea(x, y), F.lit(0.001))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("ATAN2(") == 8  # two for each of three points of an edge, and for those between
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 3])
+def test_points_are_grouped_where_they_are_joined(spark, at_once):
+    """One exchange of points; those of polygons are of their rings and of their squares."""
+    rings = spark.createDataFrame([("g", "r", 0, 0, 0, [0.0, 4.0, 4.0, 0.0], [0.0, 0.0, 4.0, 4.0])], "geo string, region_id string, feature_ord int, poly_ord int, ring_ord int, xs array<double>, ys array<double>")
+    points = spark.createDataFrame([(i, "g", 0.5 + i % 6, 0.5 + i % 5) for i in range(30)], "id long, geo string, x double, y double")
+    found = geo.points_in_polygons(points, rings, ["id"], 9.0, at_once)
+    assert len(re.findall(r"Exchange hashpartitioning", found._jdf.queryExecution().executedPlan().toString())) == 3
+    assert sorted(r.id for r in found.collect()) == [i for i in range(30) if i % 6 < 4 and i % 5 < 4]
+
+
+@pytest.mark.parametrize("at_once", [200_000, 150, 0])
+def test_fill_and_labels_in_one_pass(spark, maps, monkeypatch, at_once):
+    """As the two steps one after the other, however many maps are too large for a task."""
+    monkeypatch.setattr(grid, "PLACES_AT_ONCE", at_once)
+    cells = table(spark, maps)
+    row = lambda r: (r.map_id, r.col, r.row, r.region_id, r.component)
+    assert sorted(map(row, grid.filled_components(cells).collect())) == sorted(map(row, grid.grid_components(grid.fill_enclosed(cells)).collect()))
+    assert grid.filled_components(cells.limit(0)).count() == 0
