@@ -500,8 +500,8 @@ def cartogram_insets(spark, sf_dir):
 @register("cartogram_insets_measures")
 def cartogram_insets_measures(spark, sf_dir):
     rings, weights, kinds = _degrees(spark, sf_dir)
-    cells, targets = allocate.cartogram(weights, rings, 1000, kinds)
-    drawn = written(geo.projected_maps(rings, kinds, weights), "drawn")
+    drawn = written(geo.projected_maps(rings, kinds, weights), "drawn")  # once, for the cartogram and its measures
+    cells, targets = allocate.cartogram(weights.withColumn("geo", F.col("map_id")), drawn, 1000)
     return _judged(cells, targets, allocate.centres(drawn, 1000).withColumnRenamed("geo", "map_id"))
 
 

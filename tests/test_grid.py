@@ -374,3 +374,13 @@ def test_fill_and_labels_in_one_pass(spark, maps, monkeypatch, at_once):
     row = lambda r: (r.map_id, r.col, r.row, r.region_id, r.component)
     assert sorted(map(row, grid.filled_components(cells).collect())) == sorted(map(row, grid.grid_components(grid.fill_enclosed(cells)).collect()))
     assert grid.filled_components(cells.limit(0)).count() == 0
+
+
+def test_maps_are_drawn_once_for_cartogram_and_measures(spark, tmp_path, monkeypatch):
+    lines = spark.range(100).select(F.col("id").alias("l_partkey"), (1.0 + F.col("id") * 7 % 50).alias("l_quantity"), F.lit(0.01).alias("l_discount"), F.lit("1997-03-01").cast("timestamp").alias("l_shipdate"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).select(F.col("id").alias("p_partkey"), F.lit("Brand#11").alias("p_brand")).write.parquet(f"{tmp_path}/part.parquet")
+    calls, draw = [], geo.projected_maps
+    monkeypatch.setattr(geo, "projected_maps", lambda *a: calls.append(1) or draw(*a))
+    got = map_queries.cartogram_insets_measures(spark, str(tmp_path)).collect()
+    assert len(calls) == 1 and [(r.map_id, r.cells, r.mean_error) for r in got] == [("b0|1997", 1000, 0.0)]
