@@ -4,6 +4,7 @@ for each part: squares, some with a hole, L shapes and pairs of islands."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.tables import by_merge, fresh_path, written
@@ -410,15 +411,19 @@ def _cartogram(spark, sf_dir):
     k = F.col("p_partkey")
     place = lambda i: (10.0 * i).alias("_at")
     parts = S.read(spark, sf_dir, "part").select(
-        F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), k.cast("string").alias("region_id"), k.cast("int").alias("feature_ord"), F.lit(0).alias("poly_ord"), F.lit(0).alias("ring_ord"),
+        k, F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), k.cast("string").alias("region_id"), k.cast("int").alias("feature_ord"), F.lit(0).alias("poly_ord"), F.lit(0).alias("ring_ord"),
         place(k % 10).alias("_x"), place(F.floor(k % BLOCK / 10)).alias("_y"),
     )
     box = lambda c, *d: F.array(*[F.col(c) + float(v) for v in d])
-    rings = parts.withColumn("xs", box("_x", 0, 10, 10, 0)).withColumn("ys", box("_y", 0, 0, 10, 10)).drop("_x", "_y")
-    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumn("geo", F.concat(F.lit("b"), F.floor(F.col("region_id").cast("long") / BLOCK)))
-    last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
-    weights = shipped.join(by_merge(last), ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
-    return rings, *allocate.cartogram(weights, rings, 1000)
+    rings = parts.withColumn("xs", box("_x", 0, 10, 10, 0)).withColumn("ys", box("_y", 0, 0, 10, 10)).drop("_x", "_y", "p_partkey")
+    return rings, *allocate.cartogram(_last_year(spark, sf_dir, parts.select("geo", "region_id", k.alias("p_partkey"))), rings, 1000)
+
+
+def _last_year(spark, sf_dir, parts: DataFrame) -> DataFrame:
+    """The quantities of each geography's latest year as weights; parts(geo, region_id, p_partkey)."""
+    shipped = S.quantities(spark, sf_dir).join(by_merge(parts), "p_partkey")
+    last = shipped.withColumn("_last", F.max("year").over(W.partitionBy("geo"))).where("year = _last")
+    return last.select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
 
 
 @register("cartogram")
@@ -468,7 +473,7 @@ def _degrees(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     code = F.when(islands & west, F.concat(F.lit("IS"), k.cast("string"))).when(islands & east, F.concat(F.lit("CY"), k.cast("string"))).otherwise(k.cast("string"))
     x = (n % 10).cast("double") - F.when(west, 16.0).when(east, -18.0).otherwise(0.0)
     parts = S.read(spark, sf_dir, "part").where(n != 55).select(
-        F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), code.alias("region_id"), k.cast("string").alias("part"), k.cast("int").alias("feature_ord"),
+        F.concat(F.lit("b"), F.floor(k / BLOCK)).alias("geo"), code.alias("region_id"), k.alias("p_partkey"), k.cast("int").alias("feature_ord"),
         x.alias("_x"), (40.0 + F.floor(n / 10)).alias("_y"), n.alias("_n"),
     )
     at = lambda c, d: F.array(*[F.col(c) + float(v) for v in d])
@@ -482,9 +487,7 @@ def _degrees(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         .otherwise(F.array(square))
     )
     rings = parts.select("geo", "region_id", "feature_ord", F.inline(shapes))
-    shipped = S.fine_panel(spark, sf_dir).where("indicator = 'qty'").withColumnRenamed("region_id", "part").drop("geo").join(by_merge(parts.select("geo", "part", "region_id")), "part")
-    last = shipped.groupBy("geo").agg(F.max("year").alias("year"))
-    weights = shipped.join(by_merge(last), ["geo", "year"]).select(F.concat_ws("|", "geo", "year").alias("map_id"), "geo", "region_id", F.col("value").alias("w"))
+    weights = _last_year(spark, sf_dir, parts.select("geo", "region_id", k.alias("p_partkey")))
     odd = F.substring("geo", 2, 20).cast("long") % 2 == 1
     kinds = parts.select("geo").distinct().select("geo", F.when(odd, "islands").otherwise("west").alias("insets"), F.when(odd, "laea").otherwise("mercator").alias("projection"))
     return rings, written(weights, "weights"), kinds

@@ -76,6 +76,12 @@ def fine_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("geo", "year", F.col("p_partkey").cast("string").alias("region_id"), F.inline(made)).select("geo", "indicator", "year", "region_id", "value")
 
 
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantities of the fine panel alone, for queries that need no other indicator: (p_partkey, year, value) of each part shipped."""
+    lines = read(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_partkey").alias("p_partkey"), F.year("l_shipdate").alias("year")).agg(F.sum("l_quantity").alias("value"))
+
+
 def fine_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_brand").alias("geo"), F.col("p_partkey").cast("string").alias("region_id"), F.col("p_name").alias("label"))
 

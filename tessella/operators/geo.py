@@ -103,7 +103,7 @@ def along_arcs(ring: DataFrame, to: Callable[[Column, Column], tuple[Column, Col
     )
     off = lambda e, k, t: F.hypot(e[k]["x"] - e["from"]["x"] - t * (e["to"]["x"] - e["from"]["x"]), e[k]["y"] - e["from"]["y"] - t * (e["to"]["y"] - e["from"]["y"]))
     most = lambda e: F.greatest(*[off(e, k, t) / (4 * t * (1 - t)) for k, t in QUARTERS])
-    count = lambda e: F.when(finite(most(e)), F.greatest(F.coalesce(F.ceil(F.sqrt(F.try_divide(most(e), deviation))), F.lit(1)), F.lit(1))).otherwise(1).cast("int")
+    count = lambda e: _named(most(e), lambda m: F.when(finite(m), F.greatest(F.coalesce(F.ceil(F.sqrt(F.try_divide(m, deviation))), F.lit(1)), F.lit(1))).otherwise(1).cast("int"))
     rows = rows.withColumn("_e", F.transform("_e", bent)).withColumn("_e", F.transform("_e", lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), e["from"].alias("from"), count(e).alias("n"))))
     more = lambda e: F.concat(F.array(e["from"]), F.when(e["n"] > 1, F.transform(F.sequence(F.lit(1), F.greatest(e["n"] - 1, F.lit(1))), lambda k: at(e, k / e["n"]))).otherwise(F.array().cast("array<struct<x:double,y:double>>")))
     rows = rows.withColumn("_p", F.flatten(F.transform("_e", more)))
